@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import mixing
+from pushgraph.llm import mixing, secrets
 
 QUERIES = {
+    "op3_secret_ownership": secrets.op3_secret_ownership,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
 ORACLES = {
+    "op3_secret_ownership": secrets.OP3_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
