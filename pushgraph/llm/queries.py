@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import mixing, secrets
+from pushgraph.llm import decontamination, mixing, secrets
 
 QUERIES = {
     "op3_secret_ownership": secrets.op3_secret_ownership,
+    "op4_contained_items": decontamination.op4_contained_items,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
 ORACLES = {
     "op3_secret_ownership": secrets.OP3_SQL,
+    "op4_contained_items": decontamination.OP4_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
