@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, mixing, secrets
+from pushgraph.llm import decontamination, mixing, secrets, substrings
 
 QUERIES = {
     "op3_secret_ownership": secrets.op3_secret_ownership,
     "op4_contained_items": decontamination.op4_contained_items,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_repeated_windows": substrings.op9_repeated_windows,
 }
 
 ORACLES = {
     "op3_secret_ownership": secrets.OP3_SQL,
     "op4_contained_items": decontamination.OP4_SQL,
     "op8_source_mix": mixing.OP8_SQL,
+    "op9_repeated_windows": substrings.OP9_SQL,
 }
