@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, mixing, secrets, substrings
+from pushgraph.llm import decontamination, mixing, ngram_join, secrets, substrings
 
 QUERIES = {
+    "op2_ngram_components": ngram_join.op2_ngram_components,
     "op3_secret_ownership": secrets.op3_secret_ownership,
     "op4_contained_items": decontamination.op4_contained_items,
     "op8_source_mix": mixing.op8_source_mix,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_components": ngram_join.OP2_SQL,
     "op3_secret_ownership": secrets.OP3_SQL,
     "op4_contained_items": decontamination.OP4_SQL,
     "op8_source_mix": mixing.OP8_SQL,
