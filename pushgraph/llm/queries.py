@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, mixing, ngram_join, secrets, substrings
+from pushgraph.llm import decontamination, mixing, ngram_join, ogg, secrets, substrings
 
 QUERIES = {
+    "op1_ogg_columns": ogg.op1_ogg_columns,
     "op2_ngram_components": ngram_join.op2_ngram_components,
     "op3_secret_ownership": secrets.op3_secret_ownership,
     "op4_contained_items": decontamination.op4_contained_items,
