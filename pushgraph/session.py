@@ -35,3 +35,11 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under sf_dir; read through Spark alone, so any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Arrow batches of whole texts: fewer rows each than Spark's default, which a session may overrule."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+    return spark
