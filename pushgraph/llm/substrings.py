@@ -6,15 +6,13 @@ fifth of the positions is counted. Each partition counts its anchors into ``dept
 more); partitions' cells are added, block by block, on the executors. The merged sketch overestimates
 only: a window whose sequence stands in two places has a count of 2 or more in every row.
 
-Pass 2 groups exactly the windows estimated repeated, by a 96-bit hash of their words, after each
-partition has reduced its own to the least document a window.
-
-Pass 3 flags, for each document, the windows that a smaller document holds, and cuts their words.
+Pass 2 groups exactly the windows estimated repeated, by an 80-bit hash of their words: they are sorted by
+hash and document and streamed, so that no group is held, however large. A window that an earlier
+document has goes back to its own document, whose words it covers are cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.llm import textvec as V
-from pushgraph.session import table, written
-
-BLOCK = 1 << 16
+from pushgraph.llm.sketch import maybe_repeated, repeated_bits
+from pushgraph.session import small_batches, table
 
 
 def _anchors(h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +46,6 @@ def _anchors(h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return grams, at
 
 
-def _cells(anchor: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
-    return [(V.mix(anchor * V._STEP[40 + d] + V.U(d)) >> V.U(64 - bits)).astype(np.int64) for d in range(depth)]
-
-
 def _docs(batches: Iterator[pa.RecordBatch], text_col: str, size: int):
     """(batch, row, word hashes) for every text of size words or more."""
     for batch in batches:
@@ -64,55 +57,6 @@ def _docs(batches: Iterator[pa.RecordBatch], text_col: str, size: int):
                     yield batch, r, h[first[r - i] : first[r - i + 1]]
 
 
-def sketch(docs: DataFrame, *, text_col: str, size: int, gram: int, depth: int, bits: int) -> dict[int, bytes]:
-    """Block number -> bits of the cells that count 2 or more, over all documents.
-
-    The result has depth * 2**bits bits whatever the input. Between partitions go cell numbers,
-    two bytes each.
-    """
-    per_row = 1 << bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = [[] for _ in range(depth)]
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for d in range(depth):
-                if not waiting[d]:
-                    continue
-                cell, n = np.unique(np.concatenate(waiting[d]), return_counts=True)
-                waiting[d].clear()
-                block = cell // BLOCK
-                edges = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
-                low, twice = (cell % BLOCK).astype(np.uint16), n > 1
-                out = [(int(block[a]) + d * (per_row // BLOCK), low[a:b].tobytes(), low[a:b][twice[a:b]].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "once", "more"])
-
-        for _, _, h in _docs(batches, text_col, size):
-            grams, at = _anchors(h, size, gram)
-            # An anchor counts once for each place it stands at.
-            anchors = grams[np.unique(at)]
-            for d, c in enumerate(_cells(anchors, depth, bits)):
-                waiting[d].append(c)
-            held += len(anchors)
-            if held > 2_000_000:
-                yield from flush()
-                held = 0
-        yield from flush()
-
-    def add(key, parts):
-        total = np.zeros(BLOCK, np.uint8)
-        for col, by in (("once", 1), ("more", 1)):
-            for x in parts.column(col):
-                cell = np.frombuffer(x.as_buffer(), np.uint16)
-                total[cell] = np.minimum(total[cell] + by, 2)  # cells of one piece are distinct
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
-
-    cells = docs.select(text_col).mapInArrow(count, "block int, once binary, more binary")
-    merged = cells.groupBy("block").applyInArrow(add, "block int, bits binary")
-    return {r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator() if any(r["bits"])}
-
-
 def repeated_words(
     docs: DataFrame,
     *,
@@ -124,9 +68,9 @@ def repeated_words(
     bits: int | None = None,
     most_bits: int = 27,
 ) -> DataFrame:
-    """One row for each input row: (doc_id, text, n_words, removed): removed holds (first, last + 1) word
-    ranges, disjoint and in order, of the words in a window whose sequence also starts in a document
-    with a smaller id.
+    """One row for each input row: (doc_id, n_words, n_removed, removed, kept): removed holds (first,
+    last + 1) word ranges, disjoint and in order, of the words in a window whose sequence also starts in
+    a document with a smaller id; kept is the words left, joined by one space.
 
     Null and empty texts have no words. Rows with the same id never take words from each other; nor
     does a null id take or lose any. Windows repeated inside one document stay. No rows: no rows. Further
@@ -140,31 +84,23 @@ def repeated_words(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if bits is None:
         size_of = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-        bits = min(most_bits, max(16, math.ceil(math.log2(max(1, size_of) / 12))))
-    cells = spark.sparkContext.broadcast(sketch(docs, text_col="text", size=size, gram=gram, depth=depth, bits=bits))
-    per_row = (1 << bits) // BLOCK
+        bits = min(most_bits, max(16, math.ceil(math.log2(max(1, size_of) / 3))))
+
+    def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, h in _docs(batches, "text", size):
+            grams, at = _anchors(h, size, gram)
+            yield grams[np.unique(at)]  # once for each place it stands at
 
-    def candidates(batches: Iterator[pa.RecordBatch], reduce: bool) -> Iterator[pa.RecordBatch]:
-        blocks = cells.value
-        full = np.zeros((depth << bits) // 8, np.uint8)
-        for b, packed in blocks.items():
-            full[b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(packed, np.uint8)
-        doc, key, low, pos, tag = [], [], [], [], []
+    repeated = spark.sparkContext.broadcast(repeated_bits(docs.select("text"), anchors_of, depth=depth, bits=bits))
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not doc:
-                return
-            d, k, w, p, t = (np.concatenate(x) for x in (doc, key, low, pos, tag))
-            for x in (doc, key, low, pos, tag):
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(np.concatenate(x)) for x in out]
+            for x in out:
                 x.clear()
-            if reduce:  # the least and the largest document of each window among these
-                order = np.lexsort((d, w, k))
-                d, k, w = d[order], k[order], w[order]
-                new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
-                ends = np.concatenate((new[1:], [len(k)])) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(w[new]), pa.array(d[new]), pa.array(d[ends])], ["key", "low", "least", "most"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(d), pa.array(t), pa.array(p)], ["key", "low", "doc", "tag", "pos"])
+            return pa.RecordBatch.from_arrays(arrays, ["key", "low", "doc", "tag", "pos"])
 
         held = 0
         for batch, r, h in _docs(batches, "text", size):
@@ -173,77 +109,72 @@ def repeated_words(
                 continue
             grams, at = _anchors(h, size, gram)
             anchors, where = np.unique(at, return_inverse=True)
-            hit = np.ones(len(anchors), bool)
-            for d, c in enumerate(_cells(grams[anchors], depth, bits)):
-                c = c + d * per_row * BLOCK
-                hit &= (full[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+            hit = maybe_repeated(grams[anchors], repeated.value, depth=depth, bits=bits)
             found = np.flatnonzero(hit[where])
             if not len(found):
                 continue
-            full_key = V.runs(h, size, 2)[found].view(np.int64)
-            doc.append(np.full(len(found), who, np.int64))
-            key.append(full_key)
-            low.append((V.runs(h, size, 3)[found] >> V.U(32)).astype(np.uint32).view(np.int32))
-            pos.append(found.astype(np.int32))
-            tag.append(np.full(len(found), 0 if reduce else batch.column("tag")[r].as_py(), np.int64))
+            out[0].append(V.runs(h, size, 2)[found].view(np.int64))
+            out[1].append((V.runs(h, size, 3)[found] >> V.U(48)).astype(np.uint16).view(np.int16))
+            out[2].append(np.full(len(found), who, np.int64))
+            out[3].append(np.full(len(found), batch.column("tag")[r].as_py(), np.int32))
+            out[4].append(found.astype(np.int32))
             held += len(found)
-            if held > (1_000_000 if reduce else 200_000):
-                yield from flush()
+            if held > 100_000:
+                yield flush()
                 held = 0
-        yield from flush()
+        if held:
+            yield flush()
 
-    tagged = docs.withColumn("tag", F.xxhash64("text"))  # tells rows apart that share an id
-    first = docs.mapInArrow(lambda b: candidates(b, True), "key long, low int, least long, most long")
-    owners = first.groupBy("key", "low").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    owners = written(owners.filter(F.col("least") < F.col("most")).select("key", "low", "least"))
-    every = tagged.mapInArrow(lambda b: candidates(b, False), "key long, low int, doc long, tag long, pos int")
-    taken = every.join(owners, ["key", "low"]).filter(F.col("doc") > F.col("least"))
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, low, doc): those whose group starts with a smaller document."""
+        last = (None, None, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, doc = (batch.column(c).to_numpy() for c in ("key", "low", "doc"))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1])
+            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            if (key[0], low[0]) == last[:2]:
+                head = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(key)
+                first[:head] = last[2]
+            last = (key[-1], low[-1], first[-1])
+            take = np.flatnonzero(doc > first)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[take]), batch.column("tag").take(pa.array(take)), batch.column("pos").take(pa.array(take))], ["doc", "tag", "pos"])
+
+    # The tag tells rows apart that share an id.
+    tagged = docs.withColumn("tag", F.hash("text"))
+    every = tagged.mapInArrow(candidates, "key long, low short, doc long, tag int, pos int")
+    taken = every.repartition("key").sortWithinPartitions("key", "low", "doc").mapInArrow(later, "doc long, tag int, pos int")
     marks = taken.groupBy("doc", "tag").agg(F.collect_set("pos").alias("at"))
     joined = tagged.join(marks, (F.col("doc_id") == F.col("doc")) & (tagged["tag"] == marks["tag"]), "left").select("doc_id", "text", "at")
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, removed = [], []
-            for i, j, data, offsets in V.doc_pieces(batch, "text"):
-                _, _, word0 = V.words(data, offsets)
-                for r in range(i, j):
-                    n_words.append(int(word0[r - i + 1] - word0[r - i]))
-                    at = batch.column("at")[r].values
-                    if at is None or not len(at):
-                        removed.append([])
-                        continue
-                    at = np.sort(at.to_numpy())
-                    new = np.flatnonzero(np.diff(at, prepend=-size - 2) > size)
-                    ends = at[np.concatenate((new[1:] - 1, [len(at) - 1]))] + size
-                    removed.append([{"first": int(a), "last": int(b)} for a, b in zip(at[new], ends, strict=True)])
-            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(removed, span)], ["doc_id", "text", "n_words", "removed"])
-
-    return joined.mapInArrow(ranges, "doc_id long, text string, n_words long, removed array<struct<first:int,last:int>>")
-
-
-def kept_text(rows: DataFrame) -> DataFrame:
-    """repeated_words' rows -> (doc_id, n_words, n_removed, kept): the words left, joined by one space."""
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, gone, kept = batch.column("doc_id"), batch.column("n_words"), [], []
-            for text, spans in zip(batch.column("text"), batch.column("removed"), strict=True):
+            counts, gone, removed, kept = [], [], [], []
+            for text, at in zip(batch.column("text"), batch.column("at"), strict=True):
                 words = (text.as_py() or "").encode().split()
-                n = 0
-                for s in reversed(spans.as_py()):
-                    n += s["last"] - s["first"]
-                    del words[s["first"] : s["last"]]
-                gone.append(n)
+                counts.append(len(words))
+                spans = []
+                if at.values is not None and len(at.values):
+                    pos = np.sort(at.values.to_numpy())
+                    new = np.flatnonzero(np.diff(pos, prepend=-size - 2) > size)
+                    spans = list(zip(pos[new].tolist(), (pos[np.concatenate((new[1:] - 1, [len(pos) - 1]))] + size).tolist(), strict=True))
+                for a, b in reversed(spans):
+                    del words[a:b]
+                gone.append(counts[-1] - len(words))
+                removed.append([{"first": a, "last": b} for a, b in spans])
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([ids, counts, pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
 
 
 def op9_repeated_windows(spark, sf_dir):
     """All documents; windows of 13 words."""
-    rows = kept_text(repeated_words(table(spark, sf_dir, "documents")))
+    rows = repeated_words(table(small_batches(spark), sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
