@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, mixing, ngram_join, ogg, secrets, substrings
+from pushgraph.llm import decontamination, mixing, ngram_join, ogg, secrets, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_ogg_columns": ogg.op1_ogg_columns,
     "op2_ngram_components": ngram_join.op2_ngram_components,
     "op3_secret_ownership": secrets.op3_secret_ownership,
     "op4_contained_items": decontamination.op4_contained_items,
+    "op6_section_tokens": tokens.op6_section_tokens,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_repeated_windows": substrings.op9_repeated_windows,
 }
