@@ -24,6 +24,8 @@ QUOTES = "\"'«»“”„‘’"
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 NONE, EXACT, FUZZY, BEGIN = 0, 1, 2, 3
 WINDOW = 12
+#: Log likelihood ratio of a term; chance seldom reaches it among some 100,000 terms.
+LEAST_GAIN = 8.0
 PIECE = 1 << 20
 
 _LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)])
@@ -245,8 +247,8 @@ def held_out(doc_id):
 def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, most_words: int = 48, most_beginnings: int = 96, least_texts: int = 3, shortest: int = 4, longest: int = 8) -> Model:
     """A model from the labelled rows that are not held out, most_rows of them at most (by hash of the id).
 
-    Terms are those whose share of toxic texts exceeds that of others e**2.5 times, in least_texts toxic
-    texts or more, best by likelihood ratio. Labels without text, ids without a label and null labels are
+    Terms are those whose share of toxic texts exceeds that of others e**2 times, in least_texts toxic
+    texts and a fiftieth of them or more, best by log likelihood ratio (above LEAST_GAIN), whole words first. Labels without text, ids without a label and null labels are
     left out; of an id labelled twice, the higher label counts. Without any toxic label the lexicon is empty
     and the score is the labels' mean, 0 if there are none.
     """
@@ -265,8 +267,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, most_w
         gain = F.col("k") * F.log(p) + (t - F.col("k")) * F.log(1 - p) + (F.col("n") - F.col("k")) * F.log(q) + (n - t - F.col("n") + F.col("k")) * F.log(1 - q)
         both = (F.col("n") + 0.5) / (n + 1.0)
         gain = gain - F.col("n") * F.log(both) - (n - F.col("n")) * F.log(1 - both)
-        good = terms.filter((F.col("k") >= max(least_texts, t // 200)) & (F.log(p / q) > 2.5)).withColumn("gain", gain)
-        found = good.orderBy(F.desc("gain"), "term").limit(8 * (most_words + most_beginnings)).collect()
+        good = terms.filter((F.col("k") >= max(least_texts, t // 50)) & (F.log(p / q) > 2)).withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
+        found = good.orderBy(F.desc(F.round("gain", 6)), F.desc(F.endswith("term", F.lit(" "))), "term").limit(8 * (most_words + most_beginnings)).collect()
         words, beginnings = [], []
         for r in found:  # best first; what a chosen beginning covers, or begins a chosen word, adds nothing
             term = r["term"]
