@@ -1,13 +1,17 @@
 """N-gram Jaccard join: shingle sets in a prefix tree, joined within candidate clusters.
 
 1. One pass gives every document its set of distinct 5-word shingles (64-bit hashes), the set's size
-   and the set's class (a digest), and counts all shingles in a count-min sketch of fixed size.
-2. The global order is rare first: by the level of the sketch's estimate above its noise, then by hash.
-   Two sets of Jaccard 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of each. Those
-   prefixes go, sorted by shingle and length class, past a task that notes which classes meet.
-   Shared passages come last in the order and so meet nothing.
+   and the set's class (a digest); equal sets are one class from then on.
+2. The global order puts shingles that stand in one class alone first, as far as a count-min sketch of
+   fixed size (over half of the hash space) proves it, then the rest of the hash space's other half, then
+   what may be repeated; by hash within each. Two sets of Jaccard 0.8 or more share a shingle among the
+   first n - ceil(0.8 n) + 1 of each, whatever the order. This one fills the prefixes of texts that copy less
+   than most of their shingles with shingles that can't be shared, which needn't move at all. The others go,
+   sorted by shingle and size class, past a task that notes which classes meet.
 3. Classes that meet, transitively, are a cluster. No link leaves a cluster. Only the sets in clusters
-   move, once, and each cluster's sets are joined in a trie (see trie.py), most frequent first.
+   move. Among them the same is done again, this time rare first by how many of them hold a shingle, which
+   leaves clusters of texts that copy one another, however common the passages in them are. Each
+   cluster's sets are joined in a trie (see trie.py), ordered most frequent first.
 4. A cluster above ``block_tokens`` is split into blocks. Every block first meets a few pivots; what this
    leaves outside the cluster's largest component is then compared with every block. Near copies by the
    thousand mostly join a pivot at once, so they cost in proportion.
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 
 from pushgraph.llm import textvec as V
 from pushgraph.llm.components import components
+from pushgraph.llm.sketch import count_levels, levels_of, maybe_repeated, repeated_bits
 from pushgraph.llm.trie import spanning_links
-from pushgraph.session import table, written
+from pushgraph.session import small_batches, table, written
 
 K = 5
-DEPTH = 2
+SKETCHED = V.U(2**63)  # the half of the hash space that the sketch covers
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -48,38 +53,64 @@ def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _cells(tokens: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(V.mix(tokens * V._STEP[50 + d]) >> V.U(64 - bits)).astype(np.int64) for d in range(DEPTH)]
+def _prefix_length(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
 
 
-def _sketch(docs: DataFrame, text_col: str, bits: int) -> tuple[bytes, int]:
-    """Merged counts of all shingles, DEPTH rows of 2**bits cells, each a power of two above the noise."""
-    block = 1 << 14
+def _size_class(n: int) -> int:
+    """Sizes of sets that link differ by a quarter at most, so by one class at most."""
+    return int(math.floor(math.log(n) / math.log(1.25) + 1e-9))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((DEPTH, 1 << bits), np.uint32)
-        for _, _, s in _sets(batches, text_col):
-            for d, c in enumerate(_cells(s, bits)):
-                np.add.at(total[d], c, 1)
-        flat = total.reshape(-1, block)
-        used = np.flatnonzero(flat.any(axis=1))
-        comp = pa.Codec("zstd")
-        packed = [comp.compress(flat[b].tobytes(), asbytes=True) for b in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "cells"])
 
-    def add(key, parts):
-        total, codec = np.zeros(block, np.uint64), pa.Codec("zstd")
-        for x in parts.column("cells"):
-            total += np.frombuffer(codec.decompress(x.as_py(), block * 4, asbytes=True), np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+def _prefix(s: np.ndarray, sketch: bytes, bits: int) -> np.ndarray:
+    """The shingles of the set's prefix that another set may hold."""
+    rank = np.ones(len(s), np.uint8)
+    inside = int(np.searchsorted(s, SKETCHED, "right"))  # s is sorted
+    rank[:inside] = np.where(maybe_repeated(s[:inside], sketch, depth=1, bits=bits), 2, 0)
+    first = np.argsort(rank, kind="stable")[: _prefix_length(len(s))]
+    return s[first[rank[first] > 0]]
 
-    merged = docs.select(text_col).mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary")
-    out = np.zeros((DEPTH << bits) // block * block, np.uint64)
-    for r in merged.toLocalIterator():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(bytes(r["cells"]), np.uint64)
-    noise = max(16.0, 4 * out.mean())
-    level = np.clip(np.floor(np.log2(np.maximum(out / noise, 0.5))) + 1, 0, 60).astype(np.uint8)
-    return level.tobytes(), bits
+
+def _rare_prefix(s: np.ndarray, levels: bytes, bits: int) -> np.ndarray:
+    """The same where levels tell how many sets hold a shingle; level 0 is one set alone."""
+    rank = levels_of(s, levels, bits)
+    first = np.argsort(rank, kind="stable")[: _prefix_length(len(s))]
+    return s[first[rank[first] > 0]]
+
+
+def _prefix_rows(sets: Iterator[tuple[int, np.ndarray]], prefix) -> Iterator[pa.RecordBatch]:
+    """(token, size, class) rows of the sets' prefixes."""
+    rows, held = [], 0
+
+    def flush() -> pa.RecordBatch:
+        n = [len(x[0]) for x in rows]
+        arrays = [np.concatenate([x[0] for x in rows]).view(np.int64), np.repeat(np.array([x[1] for x in rows], np.int32), n), np.repeat(np.array([x[2] for x in rows], np.int64), n)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "size", "class"])
+
+    for node, s in sets:
+        rows.append((prefix(s), _size_class(len(s)), node))
+        held += len(rows[-1][0])
+        if held > 200_000 or len(rows) > 20_000:
+            yield flush()
+            held = 0
+    if rows:
+        yield flush()
+
+
+_PREFIX = "token long, size int, class long"
+
+
+def _clusters(prefixes: DataFrame) -> DataFrame:
+    """(class, cluster) of the classes that meet another, from prefix rows."""
+    rows = prefixes.repartition("token").sortWithinPartitions("token", "size", "class")
+    return components(rows.mapInArrow(_meeting, _EDGES)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+
+
+def _stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for node, tokens in zip(batch.column("class").to_pylist(), batch.column("tokens"), strict=True):
+            yield node, np.frombuffer(tokens.as_buffer(), np.uint64)
 
 
 class _Forest:
@@ -106,6 +137,17 @@ class _Forest:
         return [(x, self.find(x)) for x in list(self.up) if self.find(x) != x]
 
 
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) for the sets of a partition; copies of those that it has just seen are left out."""
+    seen: set[int] = set()
+    for _, _, s in _sets(batches, "text"):
+        if not len(s) or (node := _digest(s)) in seen:
+            continue
+        if len(seen) < 200_000:
+            seen.add(node)
+        yield node, s
+
+
 _EDGES = "u long, v long"
 
 
@@ -114,20 +156,19 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, level): neighbours with the same token and near lengths have met."""
+    """Rows sorted by (token, size, class): neighbours with the same token and near sizes have met."""
     forest, last = _Forest(), (None, 0, 0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, level, node = (batch.column(c).to_numpy() for c in ("token", "level", "class"))
-        if token[0] == last[0] and level[0] - last[1] <= 1:
+        token, size, node = (batch.column(c).to_numpy() for c in ("token", "size", "class"))
+        if token[0] == last[0] and size[0] - last[1] <= 1 and node[0] != last[2]:
             forest.meet(int(node[0]), last[2])
-        meets = np.flatnonzero((token[1:] == token[:-1]) & (level[1:] - level[:-1] <= 1) & (node[1:] != node[:-1]))
+        meets = np.flatnonzero((token[1:] == token[:-1]) & (size[1:] - size[:-1] <= 1) & (node[1:] != node[:-1]))
         if len(meets):
-            pairs = np.unique(np.stack([node[meets], node[meets + 1]], axis=1), axis=0)
-            for a, b in pairs.tolist():
+            for a, b in np.unique(np.stack([node[meets], node[meets + 1]], axis=1), axis=0).tolist():
                 forest.meet(a, b)
-        last = (token[-1], int(level[-1]), int(node[-1]))
+        last = (token[-1], int(size[-1]), int(node[-1]))
         if len(forest.up) > 1_000_000:
             yield _edge_batch(forest.edges())
             forest = _Forest()
@@ -149,19 +190,22 @@ def _trie_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield links()
                 group, held = g, []
+            if held and held[-1][0] == ids[r].as_py():
+                continue  # the same set again; the row that probes is first
             held.append((ids[r].as_py(), np.frombuffer(sets[r].as_buffer(), np.uint64), labels[r].as_py(), probes[r].as_py()))
     if held:
         yield links()
 
 
 def _joined(rows: DataFrame) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group", "class").select("group", "class", "label", "probe", "tokens").mapInArrow(_trie_join, _EDGES)
+    return rows.repartition("group").sortWithinPartitions("group", "class", F.desc("probe")).select("group", "class", "label", "probe", "tokens").mapInArrow(_trie_join, _EDGES)
 
 
-def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_000_000, pivots: int = 64, bits: int | None = None, most_bits: int = 24
+def linked(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 8_000_000, pivots: int = 64, bits: int | None = None, most_bits: int = 28
 ) -> DataFrame:
-    """One row for each input row: (doc_id, n_shingles, component_id).
+    """One row for each input row: (doc_id, text_key, n_shingles, component, component_id); text_key is
+    xxhash64 of the text, component tells groups apart (null for empty sets).
 
     A set is the distinct 5-word shingles of the text, A-Z lower-cased; the whole sequence where it
     has fewer words; empty for a null text or one without words. Two rows link when 100 * common >=
@@ -171,18 +215,14 @@ def jaccard_components(
     compared by 64-bit hashes. No rows: no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if bits is None:
-        size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-        bits = min(most_bits, max(18, math.ceil(math.log2(max(1, size) / 6 / 512))))
-    levels = spark.sparkContext.broadcast(_sketch(docs, "text", bits)[0])
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, classes, sizes = None, [], [], []
+        now, ids, keys, classes, sizes = None, [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, classes, sizes)], ["doc_id", "class", "n"])
-            for x in (ids, classes, sizes):
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, classes, sizes)], ["doc_id", "text_key", "class", "n"])
+            for x in (ids, keys, classes, sizes):
                 x.clear()
             return out
 
@@ -191,48 +231,25 @@ def jaccard_components(
                 yield flush()
             now = batch
             ids.append(batch.column("doc_id")[r].as_py())
+            keys.append(batch.column("text_key")[r].as_py())
             classes.append(_digest(s))
             sizes.append(len(s))
         yield flush()
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8).reshape(DEPTH, -1)
-        rows: list[tuple[np.ndarray, int, int]] = []
-        seen: set[int] = set()
-        held = 0
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, s in _new_sets(batches):
+            yield s[: np.searchsorted(s, SKETCHED, "right")]
 
-        def flush() -> pa.RecordBatch:
-            n = [len(x[0]) for x in rows]
-            arrays = [np.concatenate([x[0] for x in rows]).view(np.int64), np.repeat(np.array([x[1] for x in rows], np.int32), n), np.repeat(np.array([x[2] for x in rows], np.int64), n)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "level", "class"])
+    base = written(docs.mapInArrow(describe, "doc_id long, text_key long, class long, n long"))
+    if bits is None:
+        bits = min(most_bits, max(16, math.ceil(math.log2(max(1, base.agg(F.sum("n")).first()[0] or 0)))))
+    repeated = spark.sparkContext.broadcast(repeated_bits(docs.select("text"), sketched, depth=1, bits=bits))
 
-        for _, _, s in _sets(batches, "text"):
-            n = len(s)
-            if not n:
-                continue
-            node = _digest(s)
-            if node in seen:
-                continue
-            if len(seen) < 200_000:
-                seen.add(node)
-            c = _cells(s, bits)
-            often = np.minimum(level[0][c[0]], level[1][c[1]])
-            need = n - (4 * n + 4) // 5 + 1
-            rows.append((s[np.argsort(often, kind="stable")[:need]], int(math.floor(math.log(n) / math.log(1.25) + 1e-9)), node))
-            held += need
-            if held > 200_000:
-                yield flush()
-                held = 0
-        if rows:
-            yield flush()
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _prefix_rows(_new_sets(batches), lambda s: _prefix(s, repeated.value, bits))
 
-    base = written(docs.mapInArrow(describe, "doc_id long, class long, n long"))
-    sorted_rows = docs.select("text").mapInArrow(prefixes, "token long, level int, class long").repartition("token").sortWithinPartitions("token", "level", "class")
-    clusters = components(sorted_rows.mapInArrow(_meeting, _EDGES)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    clusters = written(_clusters(docs.select("text").mapInArrow(prefixes, _PREFIX)))
     nodes = base.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    clusters = written(clusters.join(nodes, "class"))
-
     # A fixed-size bitmap of the classes in clusters keeps other sets from moving.
     wide = 26
     position = F.shiftrightunsigned("class", 64 - wide) + 1  # Spark counts positions from 1
@@ -270,12 +287,25 @@ def jaccard_components(
         if at_class:
             yield flush()
 
-    sets = docs.select("text").mapInArrow(members_sets, "class long, tokens binary").dropDuplicates(["class"])
-    weight = clusters.groupBy("cluster").agg(F.sum("n").alias("tokens_in")).withColumn("blocks", F.ceil(F.col("tokens_in") / block_tokens).cast("int"))
-    weight = written(weight.select("cluster", "blocks"))
-    sets = sets.join(clusters.select("class", "cluster"), "class").join(weight, "cluster")
-    large = weight.filter(F.col("blocks") > 1)
-    n_large = large.count()
+    sets = written(docs.select("text").mapInArrow(members_sets, "class long, tokens binary").dropDuplicates(["class"]))
+
+    # Again among the members, rare first.
+    total = clusters.join(nodes, "class").agg(F.sum("n")).first()[0] or 0
+    level_bits = min(most_bits - 2, max(16, math.ceil(math.log2(max(1, total))) + 1))
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (s for _, s in _stored_sets(batches))
+
+    levels = spark.sparkContext.broadcast(count_levels(sets, stored, bits=level_bits))
+
+    def rare_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _prefix_rows(_stored_sets(batches), lambda s: _rare_prefix(s, levels.value, level_bits))
+
+    clusters = written(_clusters(sets.mapInArrow(rare_prefixes, _PREFIX)).join(nodes, "class"))
+    weight = clusters.groupBy("cluster").agg(F.sum("n").alias("tokens_in")).select("cluster", F.ceil(F.col("tokens_in") / block_tokens).cast("int").alias("blocks"))
+    clusters = written(clusters.join(weight, "cluster"))
+    sets = sets.join(clusters.select("class", "cluster", "blocks"), "class")
+    n_large = clusters.filter(F.col("blocks") > 1).count()
     if n_large:
         sets = written(sets)
     whole = sets.filter(F.col("blocks") == 1).select(F.col("cluster").cast("string").alias("group"), "class", F.col("class").alias("label"), F.lit(True).alias("probe"), "tokens")
@@ -285,9 +315,30 @@ def jaccard_components(
     parts = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
     named = nodes.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     names = named.groupBy("part").agg(F.min("least").alias("name"))
-    named = named.join(names, "part").select("class", "name")
+    named = named.join(names, "part").select("class", "name", "part")
     out = base.join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("part")).alias("component"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, **params) -> DataFrame:
+    """linked() reduced to (doc_id, n_shingles, component_id)."""
+    return linked(docs, **params).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """docs with one row of each group of linked texts: the one with the least id (then text hash; null ids last).
+
+    Texts without words are linked with nothing and all stay; other repeated rows are one group.
+    """
+    found = linked(docs, **params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("k")
+    chosen = found.filter(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_key").alias("k_key"))
+    empty = found.filter(F.col("component").isNull()).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
+    keep = written(chosen.withColumn("once", F.lit(True)).unionByName(empty.withColumn("once", F.lit(False))).distinct())
+    hit = docs.withColumn("_key", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_key") == F.col("k_key")))
+    order = Window.partitionBy("doc_id", "_key").orderBy(F.lit(1))
+    hit = hit.withColumn("_nth", F.row_number().over(order)).filter(~F.col("once") | (F.col("_nth") == 1))
+    return hit.select(*docs.columns)
 
 
 def _large(sets: DataFrame, clusters: DataFrame, pivots: int) -> DataFrame:
@@ -316,13 +367,12 @@ def _large(sets: DataFrame, clusters: DataFrame, pivots: int) -> DataFrame:
     as_block = again.select("cluster", "class", "label", "tokens", F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.lit(False).alias("probe"))
     as_rest = again.filter("rest").select("cluster", "class", "label", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), part.alias("p"), F.lit(True).alias("probe"))
     both = as_block.unionByName(as_rest).select(F.concat_ws(":", "cluster", "b", "p").alias("group"), "class", "label", "probe", "tokens")
-    both = both.groupBy("group", "class").agg(F.first("label").alias("label"), F.max("probe").alias("probe"), F.first("tokens").alias("tokens"))
     return met.unionByName(written(_joined(both)))
 
 
 def op2_ngram_components(spark, sf_dir):
     """All documents; five words, Jaccard 0.8."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(small_batches(spark), sf_dir, "documents"))
 
 
 OP2_SQL = """

@@ -74,3 +74,53 @@ def maybe_repeated(keys: np.ndarray, sketch: bytes, *, depth: int, bits: int) ->
     for c in cells(keys, depth, bits):
         hit &= (packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return hit
+
+
+def count_levels(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], *, bits: int) -> bytes:
+    """A byte for each of 2**bits cells: the logarithm (base 2, rounded down) of its keys' number over all arrays.
+
+    Counts are added on the executors, a block of cells at a time; a partition's count of a cell stops at 255.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate([cells(k, 1, bits)[0] for k in waiting]), return_counts=True)
+            waiting.clear()
+            block = cell // BLOCK
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
+            low, n = (cell % BLOCK).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
+            parts = list(zip(edges[:-1], edges[1:], strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(block[a]) for a, _ in parts], pa.int32()), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in parts], pa.binary())],
+                ["block", "cell", "n"],
+            )
+
+        for keys in keys_of(batches):
+            waiting.append(keys)
+            held += len(keys)
+            if held > 1_000_000:
+                yield flush()
+                held = 0
+        if held:
+            yield flush()
+
+    def add(key, parts):
+        total = np.zeros(BLOCK, np.int64)
+        for c, n in zip(parts.column("cell"), parts.column("n"), strict=True):
+            total[np.frombuffer(c.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8)
+        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+
+    merged = rows.mapInArrow(count, "block int, cell binary, n binary").groupBy("block").applyInArrow(add, "block int, level binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in merged.toLocalIterator():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["level"]), np.uint8)
+    return out.tobytes()
+
+
+def levels_of(keys: np.ndarray, levels: bytes, bits: int) -> np.ndarray:
+    """The level of each key's cell."""
+    return np.frombuffer(levels, np.uint8)[cells(keys, 1, bits)[0]]

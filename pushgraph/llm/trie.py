@@ -118,7 +118,7 @@ class SetTrie:
 
 
 def spanning_links(ids: list[int], tokens: list[np.ndarray], labels: list[int] | None = None, probes: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links (Jaccard of 0.8 or more) that span the components of the sets, as pairs of ids.
+    """Links (Jaccard of 0.8 or more) that span the components of the sorted sets, as pairs of ids.
 
     labels: sets with equal labels are known to be in one component. probes: only pairs with such
     a set are looked for; by default all. Tokens held by one set alone count in its size only.
@@ -126,16 +126,21 @@ def spanning_links(ids: list[int], tokens: list[np.ndarray], labels: list[int] |
     sizes = np.array([len(t) for t in tokens], np.int64)
     if len(ids) < 2 or not sizes.sum():
         return []
-    _, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    width = int(np.count_nonzero(counts > 1))
-    ranks, edges = rank[inverse], np.concatenate(([0], np.cumsum(sizes)))
+    together = np.concatenate(tokens)
+    together.sort()
+    again = together[1:][together[1:] == together[:-1]]
+    shared = again[np.flatnonzero(np.concatenate(([True], again[1:] != again[:-1])))] if len(again) else again
+    counts = np.searchsorted(together, shared, "right") - np.searchsorted(together, shared, "left")
+    del together, again
+    width = len(shared)
+    rank = np.empty(width, np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(width)
     sets = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        r = np.sort(ranks[a:b])
-        sets.append(r[: np.searchsorted(r, width)])
+    for t in tokens:
+        at = np.searchsorted(shared, t)
+        at = at[at < width] if width else at[:0]
+        held = shared[at] == t[: len(at)]  # t is sorted, so places past the end are at its end
+        sets.append(np.sort(rank[at[held]]))
     trie = SetTrie(sets, sizes, max(width, 1))
     if labels is not None:
         first: dict[int, int] = {}
