@@ -26,10 +26,11 @@ NAMES = [k for k, *_ in KINDS] + [LIVE]
 def _matches(kind: int, text: Column, found: Column) -> Column:
     """An element for each match: what lies before it since the last one, its length, its secret."""
     _, pattern, group, _ = KINDS[kind]
-    between = F.transform(F.split(text, pattern, -1), F.length)
     value = lambda m: F.regexp_extract(m, pattern, group) if group else m
-    each = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.get(between, i).alias("before"), F.length(m).alias("len"), value(m).alias("value")))
-    return F.when(F.size(found) > 0, each).otherwise(F.expr("cast(array() as array<struct<kind:int,nth:int,before:int,len:int,value:string>>)"))
+    # The pieces are bound to a lambda's variable, lest each match splits the text again.
+    each = lambda between: F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.get(between, i).alias("before"), F.length(m).alias("len"), value(m).alias("value")))
+    bound = F.element_at(F.transform(F.array(F.transform(F.split(text, pattern, -1), F.length)), each), 1)
+    return F.when(F.size(found) > 0, bound).otherwise(F.expr("cast(array() as array<struct<kind:int,nth:int,before:int,len:int,value:string>>)"))
 
 
 def secret_spans(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
@@ -108,11 +109,14 @@ def redact_live(docs: DataFrame, *, mark: str = "[REDACTED]", copied_owners: int
     cols = docs.columns
     keyed = docs.withColumn("_rowhash", F.xxhash64("doc_id", "text"))
     found = scan_secrets(keyed.withColumn("_id", F.struct("doc_id", "_rowhash")), id_col="_id", copied_owners=copied_owners).filter(F.col("n_live") > 0)
-    found = found.select("doc_id.*", F.filter("spans", lambda s: s["kind"] == len(KINDS)).alias("live"))
-    found = found.groupBy(F.col("doc_id").alias("f_id"), F.col("_rowhash").alias("f_hash")).agg(F.first("live").alias("live"))
-    # Live spans are disjoint or equal at their end: the longest at each end is cut out.
-    cuts = F.array_sort(F.transform(F.filter("live", lambda s: ~F.exists("live", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & ((o["start"] < s["start"]) | (o["end"] > s["end"])))), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))))
-    joined = keyed.join(found.withColumn("cuts", F.array_distinct(cuts)).drop("live"), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_rowhash") == F.col("f_hash")), "left")
+    live = found.select("doc_id.*", F.explode(F.filter("spans", lambda s: s["kind"] == len(KINDS))).alias("s")).select("doc_id", "_rowhash", F.col("s.start").alias("a"), F.col("s.end").alias("b")).distinct()
+    # Spans that overlap are cut out as one.
+    row = Window.partitionBy("doc_id", "_rowhash").orderBy("a", "b")
+    opens = F.coalesce(F.col("a") >= F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    live = live.withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = live.groupBy("doc_id", "_rowhash", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    cuts = parts.groupBy(F.col("doc_id").alias("f_id"), F.col("_rowhash").alias("f_hash")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
+    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_rowhash") == F.col("f_hash")), "left")
     n = F.size("cuts")
     kept = F.transform(
         F.sequence(F.lit(0), n),
