@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pushgraph.session import table
+from pushgraph.session import small_batches, table
 
 # Fixed values of the format: capture pattern, header flags, header layout without lacing values.
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
@@ -260,4 +260,4 @@ def media_columns(media: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "n_byt
 
 def op1_ogg_columns(spark, sf_dir):
     """All documents, stored as Ogg and read back."""
-    return media_columns(to_ogg(table(spark, sf_dir, "documents")))
+    return media_columns(to_ogg(table(small_batches(spark), sf_dir, "documents")))
