@@ -1,10 +1,11 @@
 """Weighted pushdown systems: post* and pre* saturation of P-automata.
 
-rule:  qid, kind ('normal', 'push', 'pop'), s1, l1, s2, l2, site, w
+rule:  qid, kind ('normal', 'push', 'pop', 'open'), s1, l1, s2, l2, site, w
 trans: qid, src, label, dst, w
 
 l1 '*' matches every label. l2 '*' (normal) and site '*' (push) copy the label read; l2 'not:f' copies it
-unless it is f. A copy never copies an epsilon. A push makes the state gen(s2, l2).
+unless it is f. A copy never copies an epsilon. A push makes the state gen(s2, l2). 'open' is a pop off an
+empty stack that goes on at (s2, l2): a return to any caller.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ def rule_step(trans: DataFrame, rules: DataFrame, semiring: Semiring, unbalanced
     out = (
         F.when((kind == "normal") & ~blocked, F.array(row(s2, F.when(copies, label).otherwise(l2), dst, w)))
         .when((kind == "push") & ~((site == ANY) & (label == EPS)), F.array(row(made, F.when(site == ANY, label).otherwise(site), dst, w), row(s2, l2, made, semiring.one())))
+        .when((kind == "open") & ~is_gen(dst), F.array(row(s2, l2, dst, w)))
         .when((kind == "pop") & (is_gen(dst) | open_end), F.array(row(s2, F.lit(EPS), dst, w)))
     )
     return hit.select("qid", F.explode(out).alias("o")).select("qid", "o.*")

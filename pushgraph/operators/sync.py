@@ -28,7 +28,7 @@ def node_id(stmt, val):
     return F.concat(stmt, F.lit(SEP), val)
 
 
-def rules_of(flow: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rules_of(flow: DataFrame, unbalanced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(field rules, call rules) of flow rows, a rule of each system for a row."""
     node, to_node, kind, sym, none = node_id(F.col("stmt"), F.col("val")), node_id(F.col("to_stmt"), F.col("to_val")), F.col("kind"), F.col("sym"), F.lit("")
     rule = lambda kind, s1, l1, s2, l2, site: F.struct(F.lit(kind).alias("kind"), s1.alias("s1"), l1.alias("l1"), s2.alias("s2"), l2.alias("l2"), site.alias("site"), F.lit(0).cast("bigint").alias("w"))
@@ -44,22 +44,26 @@ def rules_of(flow: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(kind == "call_pop", rule("pop", F.col("val"), F.col("stmt"), F.col("to_val"), none, none))
         .otherwise(rule("normal", F.col("val"), F.col("stmt"), F.col("to_val"), F.col("to_stmt"), none))
     )
-    return tuple(flow.select("qid", r.alias("r")).select("qid", "r.*").distinct() for r in (field, call))
+    field, call = (flow.select("qid", r.alias("r")).select("qid", "r.*") for r in (field, call))
+    if unbalanced:
+        leave = flow.filter(kind == "call_pop").select("qid", rule("open", F.col("val"), F.col("stmt"), F.col("to_val"), F.col("to_stmt"), none).alias("r")).select("qid", "r.*")
+        call = call.unionByName(leave)
+    return field.distinct(), call.distinct()
 
 
-def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, max_rounds: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, max_rounds: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, field transitions, call transitions) from seeds (qid, stmt, val).
 
     flows: the flow rows, or a function from newly reached nodes to theirs (the demand-driven form). All
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
-    with new rules.
+    with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
     """
     flow_of = flows if callable(flows) else lambda new: flows.join(new.select(*NODE), NODE, "left_semi")
     zero = F.lit(0).cast("bigint").alias("w")
     fields = Growing(seeds.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"), zero), [*KEYS, "w"])
     calls = Growing(seeds.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"), zero), [*KEYS, "w"])
     reached = Growing(seeds.select(*NODE), NODE)
-    field_new, call_new = rules_of(flow_of(reached.delta))
+    field_new, call_new = rules_of(flow_of(reached.delta), unbalanced)
     rule_keys = ["qid", "kind", "s1", "l1", "s2", "l2", "site", "w"]
     field_rules, call_rules = Growing(field_new, rule_keys), Growing(call_new, rule_keys)
     f_new, c_new = field_rules.delta, call_rules.delta
@@ -76,7 +80,7 @@ def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], Data
         f_new = c_new = None
         if reached.grow(both):
             grown = True
-            new_f, new_c = rules_of(flow_of(reached.delta))
+            new_f, new_c = rules_of(flow_of(reached.delta), unbalanced)
             f_new = field_rules.delta if field_rules.grow(new_f) else None
             c_new = call_rules.delta if call_rules.grow(new_c) else None
         if not grown:
