@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def parse_access_paths(text: Column) -> Column:
     """Array of (base, fields, approx) from ``base[f,g];other[h]*``; null for null text."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda p: p != "")
     fields = lambda p: F.regexp_extract(p, r"\[([^\]]*)\]", 1)
-    names = lambda p: F.filter(F.transform(F.split(fields(p), ","), F.trim), lambda f: f != "")
+    names = lambda p: F.filter(F.transform(F.split(fields(p), ","), lambda x: F.trim(x)), lambda f: f != "")
     return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^[^\[*]*", 0)).alias("base"), names(p).alias("fields"), p.endswith("*").alias("approx")))
 
 
