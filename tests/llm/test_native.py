@@ -1,0 +1,174 @@
+"""Mixing, secrets and decontamination against brute force on odd input."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pushgraph.llm import decontamination, mixing, secrets
+from tests.llm.conftest import words
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+@pytest.fixture(scope="module")
+def leaky(spark):
+    r = random.Random(4)
+    shared = ["deadbeef" * 4, "AKIA" + "EXAMPLE7" * 3]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            own = f"{r.getrandbits(120):030x}"
+            parts.append(r.choice([f'Token = "{own}"', f"api_key:{r.choice(shared)}", "password=abc", "secret: token=secret=abc.def", f"é{r.choice(shared)} ", "passwd: 'abcdef'", "ſecret=abcdefgh", f"AKIA{own.upper()[:18]}", own, "plain words"]))
+        rows.append((i, " ".join(parts), r.choice(["en", None]), r.choice(["s1", "s2", "s3", "s4", None])))
+    rows += [(60, None, "en", "s1"), (61, "", "en", "s1"), (None, 'token="0123456789abcdef00"', "en", "s9"), (3, *rows[3][1:]), (62, "token = 1a2b3c4d5e6f7a8b9c0d1e2f3a4b; " * 400, "en", "s8")]
+    return rows, spark.createDataFrame([(*x, len(x[1] or ""), "x") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string").repartition(3)
+
+
+def expected(rows):
+    owners = {}
+    for _, text, _, source in rows:
+        for *_, v in base_spans(text or ""):
+            owners.setdefault(v, set()).add(source)
+    live = {v for v, o in owners.items() if len(o) == 1 and len(set(v)) >= 8 and re.search("[0-9]", v)}
+    copied = {v for v, o in owners.items() if len(o) >= 3}
+    names = ["assign", "access", "hex", "live"]
+    out = []
+    for d, text, _, _ in rows:
+        base = base_spans(text or "")
+        more = sorted({(a, k, b) for a, k, b, _ in base} | {(b - len(v), 3, b) for _, _, b, v in base if v in live})
+        told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        out.append((d, *(sum(k == i for _, k, _, _ in base) for i in range(3)), hashlib.sha256(told([s[:3] for s in base]).encode()).hexdigest(), told(more), sum(v in copied for *_, v in base), sum(v in live for *_, v in base)))
+    return sorted(out, key=repr)
+
+
+def test_secret_spans(leaky, spark, tmp_path):
+    rows, df = leaky
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op3_secret_ownership(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"], r["n_copied"], r["n_live"]) for r in got), key=repr) == expected(rows)
+
+
+def test_redaction(leaky):
+    rows, df = leaky
+    got = sorted(map(tuple, secrets.redact_live(df).collect()), key=repr)
+    assert len(got) == len(rows)
+    want = []
+    by_id = {}
+    for e in expected(rows):
+        by_id.setdefault(e[0], e)
+    for d, text, lang, source in rows:
+        out, last = "", 0
+        merged = []
+        for s in sorted(tuple(map(int, x.split(":")[1:])) for x in by_id[d][5].split(",") if x.startswith("live")):
+            if merged and s[0] < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s[1])
+            else:
+                merged.append(list(s))
+        for a, b in merged:
+            out += (text or "")[last:a] + "[REDACTED]"
+            last = b
+        new = out + (text or "")[last:] if merged else text
+        want.append((d, new, lang, source, len(new or ""), "x"))
+    assert got == sorted(want, key=repr)
+
+
+def test_mix(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "b", "b", "é", "Z", None])) for i in range(300)]
+    rows += [(300, None, "a"), (301, "", "empty"), (5, rows[5][1], rows[5][2]), (None, "x y", "a"), (7, "q " * 9, rows[7][2])]
+    got = mixing.mix_sources(spark.createDataFrame([(*x, "t") for x in rows], "doc_id long, text string, source string, target string").repartition(4)).collect()
+    again = mixing.mix_sources(spark.createDataFrame([(*x, "t") for x in rows[::-1]], "doc_id long, text string, source string, target string").repartition(2)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr) and len(got) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:  # reshare the excess until none is above
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            break
+        fixed |= {s: 3.0 * sizes[s] for s in over}
+    target = fixed | share
+    taken, sources = {}, {}
+    for d, t, s in rows:
+        sources.setdefault((d, len(words(t))), s)
+    for g in got:
+        s = sources[g["doc_id"], g["size"]]
+        assert abs(g["target"] - target[s]) < 1e-6 and g["source_size"] == sizes[s] and 0 <= g["taken"] <= 3 * g["size"]
+        taken[s] = taken.get(s, 0) + g["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_contained_items(spark):
+    r = random.Random(6)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 3, 4, 5, 6, 9, 20, 55])))) for i in range(40)] + [(40, None), (41, ""), (42, "v1 v2 v3 v1 v2 v3")]
+    docs = []
+    for i in range(150):
+        t = [r.choice(vocab) for _ in range(r.randint(0, 300))]
+        if r.random() < 0.5:
+            w = words(r.choice(items)[1])
+            for _ in range(r.randint(0, 2)):
+                if w:
+                    w[r.randrange(len(w))] = "edit"
+            t[3:3] = w
+        docs.append((i, " ".join(t).upper() if i % 3 else " ".join(t)))
+    docs += [(150, None), (151, ""), (None, items[5][1]), (4, docs[4][1]), (9, items[6][1])]
+
+    def shingles(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = set()
+    for d, t in docs:
+        w = words(t, lower=True)
+        for j, x in items:
+            v = words(x, lower=True)
+            if v:
+                k = min(5, len(v))
+                a = shingles(v, k)
+                c = len(a & shingles(w, k))
+                if 10 * c >= 8 * len(a):
+                    want.add((d, j, len(a), c))
+    df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, h long").repartition(3)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    for rows in (500_000, 0):  # with and without broadcasts
+        got = decontamination.contained_items(df, it, broadcast_rows=rows).collect()
+        assert {(g["doc_id"], g["item_id"], g["n_item"], g["n_common"]) for g in got} == want
+    kept = decontamination.drop_contaminated(df, it).collect()
+    bad = {(d, t) for d, t in docs if any(w[0] == d for w in want) and decontaminated(t, items)}
+    assert sorted(((k["doc_id"], k["text"]) for k in kept), key=repr) == sorted((x for x in docs if x not in bad), key=repr)
+    assert decontamination.contained_items(df, it.limit(0)).collect() == [] == decontamination.contained_items(df.limit(0), it).collect()
+
+
+def decontaminated(text, items):
+    w = words(text, lower=True)
+    for _, x in items:
+        v = words(x, lower=True)
+        if v:
+            k = min(5, len(v))
+            a = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
+            if 10 * len(a & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) >= 8 * len(a):
+                return True
+    return False
+
+
+def test_no_python_on_the_main_path(spark, leaky):
+    _, df = leaky
+    for plan in (secrets.scan_secrets(df), mixing.mix_sources(df), decontamination.contained_items(df, df.select(F.col("doc_id").alias("item_id"), "text"))):
+        assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
