@@ -178,3 +178,32 @@ def last_uses(s: Solution) -> DataFrame:
     live = fixpoint(start.join(edge, F.col("at") == F.col("dst")).select("qid", "val", F.col("src").alias("at")), step, keys=["qid", "val", "at"]).total
     return used.join(live.withColumnRenamed("at", "stmt"), ["qid", "stmt", "val"], "left_anti")
 
+
+
+def flow_insensitive(p: Program) -> tuple[DataFrame, DataFrame]:
+    """(val, alloc) and (base, field, alloc) of a program without control flow: every statement may run at any time.
+
+    Allocations are named by their alloc rows' stmt. Both relations grow in one loop; a round joins what is new with
+    copies, loads and stores.
+    """
+    copies = p.assign.select(F.col("rhs").alias("val"), F.col("lhs").alias("to")).distinct()
+    stores = p.store.select("base", "field", "rhs").distinct()
+    loads = p.load.select("lhs", "base", "field").distinct()
+    # One relation holds both: heap edges have their field, variables have an empty one.
+    start = p.alloc.select("val", F.lit("").alias("field"), F.col("stmt").alias("alloc")).distinct()
+
+    def step(total: DataFrame, delta: DataFrame) -> DataFrame:
+        new, old = delta.filter("field = ''").select("val", "alloc"), total.filter("field = ''").select("val", "alloc")
+        out = new.join(copies, "val").select(F.col("to").alias("val"), F.lit("").alias("field"), "alloc")
+        for base, rhs in ((new, old), (old, new)):
+            b = base.select(F.col("val").alias("base"), F.col("alloc").alias("owner"))
+            r = rhs.select(F.col("val").alias("rhs"), "alloc")
+            out = out.unionByName(b.join(stores, "base").join(r, "rhs").select(F.col("owner").alias("val"), "field", "alloc"))
+        for base, heap in ((new, total), (old, delta)):
+            b = base.select(F.col("val").alias("base"), F.col("alloc").alias("owner")).join(loads, "base")
+            h = heap.filter("field <> ''").select(F.col("val").alias("owner"), "field", "alloc")
+            out = out.unionByName(b.join(h, ["owner", "field"]).select(F.col("lhs").alias("val"), F.lit("").alias("field"), "alloc"))
+        return out
+
+    found = fixpoint(start, step, keys=["val", "field", "alloc"]).total
+    return found.filter("field = ''").select("val", "alloc"), found.filter("field <> ''").select(F.col("val").alias("base"), "field", "alloc")

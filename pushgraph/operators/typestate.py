@@ -116,3 +116,31 @@ def must_may(found: DataFrame, asked: DataFrame) -> DataFrame:
     out = asked.join(per, ["machine", "qid", "stmt"], "left")
     may = F.coalesce(F.array_contains("held", F.col("state")), F.lit(False))
     return out.withColumn("may", may).withColumn("must", may & (F.size("held") == 1)).drop("held")
+
+
+def fold_machine(events: DataFrame, moves: DataFrame, initial: str, *, block: int = 1024) -> DataFrame:
+    """events (qid, ord, name) and moves (src, name, dst) -> (qid, state, visited): state after all events in
+    order, and the set of states on the way, the first included. A name without a move from a state keeps it.
+
+    An object's events are cut into blocks; a block is folded once for every state it may start in, and blocks are
+    chained by their changes, so that no task needs all events of an object.
+    """
+    from pyspark.sql import Window
+
+    names = [r["s"] for r in moves.select(F.explode(F.array("src", "dst")).alias("s")).distinct().unionByName(moves.sparkSession.createDataFrame([(initial,)], "s string")).distinct().orderBy("s").collect()]  # a machine's states
+    table = F.create_map(*[x for r in moves.collect() for x in (F.lit(f"{r['src']}\u0001{r['name']}"), F.lit(r["dst"]))])
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("ord")) - 1
+    parts = events.select("qid", "ord", "name", F.floor(nth / block).alias("block"))
+    parts = parts.groupBy("qid", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda e: e["name"]).alias("names"))
+    go = lambda s, name: F.coalesce(table[F.concat(s, F.lit("\u0001"), name)], s)
+
+    def run(s: str):
+        start = F.struct(F.lit(s).alias("at"), F.array(F.lit(s)).alias("seen"))
+        return F.aggregate("names", start, lambda acc, name: F.struct(go(acc["at"], name).alias("at"), F.array_union(acc["seen"], F.array(go(acc["at"], name))).alias("seen")))
+
+    blocks = parts.select("qid", "block", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(run, names))).alias("f"))
+    chain = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("block", F.map_entries("f").alias("f")))).alias("fs"))
+    first = F.struct(F.lit(initial).alias("at"), F.array(F.lit(initial)).alias("seen"))
+    pick = lambda acc, b: F.filter(b["f"], lambda e: e["key"] == acc["at"])[0]["value"]
+    folded = F.aggregate("fs", first, lambda acc, b: F.struct(pick(acc, b)["at"].alias("at"), F.array_union(acc["seen"], pick(acc, b)["seen"]).alias("seen")))
+    return chain.select("qid", folded.alias("r")).select("qid", F.col("r.at").alias("state"), F.array_sort("r.seen").alias("visited"))
