@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import UNWEIGHTED
 from pushgraph.operators.pds import EMPTY, EPS, KEYS, epsilon_step, is_gen, rule_step
-from pushgraph.plans.fixpoint import Growing
+from pushgraph.plans.fixpoint import COMPACT, Growing
+from pushgraph.session import written
 
 SEP = "\u0001"
 FIELD_END, CALL_END = "field_end", "call_end"
@@ -63,28 +64,30 @@ def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], Data
     fields = Growing(seeds.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"), zero), [*KEYS, "w"])
     calls = Growing(seeds.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"), zero), [*KEYS, "w"])
     reached = Growing(seeds.select(*NODE), NODE)
-    field_new, call_new = rules_of(flow_of(reached.delta), unbalanced)
-    rule_keys = ["qid", "kind", "s1", "l1", "s2", "l2", "site", "w"]
-    field_rules, call_rules = Growing(field_new, rule_keys), Growing(call_new, rule_keys)
-    f_new, c_new = field_rules.delta, call_rules.delta
+    # Each node is new once, so its rules are new with it: they are kept, not compared.
+    rules: list[tuple[DataFrame, DataFrame]] = []
+    all_rules: tuple[DataFrame, DataFrame] | None = None
+    fresh = reached.delta
     for _ in range(max_rounds):
+        new = None
+        if fresh is not None:
+            new = rules_of(written(flow_of(fresh)), unbalanced)
+            rules.append(new)
+            all_rules = new if all_rules is None else tuple(a.unionByName(b) for a, b in zip(all_rules, new, strict=True))
+            if len(rules) % COMPACT == 0:
+                all_rules = tuple(written(r) for r in all_rules)
         grown = False
-        for system, rules, new in ((fields, field_rules, f_new), (calls, call_rules, c_new)):
-            step = rule_step(system.delta, rules.total, UNWEIGHTED).unionByName(epsilon_step(system.total, system.delta, UNWEIGHTED))
-            grown |= system.grow(step if new is None else step.unionByName(rule_step(system.total, new, UNWEIGHTED)))
+        for i, system in enumerate((fields, calls)):
+            step = rule_step(system.delta, all_rules[i], UNWEIGHTED).unionByName(epsilon_step(system.total, system.delta, UNWEIGHTED))
+            grown |= system.grow(step if new is None else step.unionByName(rule_step(system.total, new[i], UNWEIGHTED)))
+        if not grown:
+            break
         live = lambda t: t.filter(~is_gen(F.col("src")) & (F.col("label") != EPS))
         parts = F.split("src", SEP)
         by_field = lambda t: live(t).select("qid", parts[0].alias("stmt"), parts[1].alias("val")).distinct()
         by_call = lambda t: live(t).select("qid", F.col("label").alias("stmt"), F.col("src").alias("val")).distinct()
         both = by_field(fields.delta).join(by_call(calls.total), NODE, "left_semi").unionByName(by_call(calls.delta).join(by_field(fields.total), NODE, "left_semi"))
-        f_new = c_new = None
-        if reached.grow(both):
-            grown = True
-            new_f, new_c = rules_of(flow_of(reached.delta), unbalanced)
-            f_new = field_rules.delta if field_rules.grow(new_f) else None
-            c_new = call_rules.delta if call_rules.grow(new_c) else None
-        if not grown:
-            break
+        fresh = reached.delta if reached.grow(both) else None
     return reached.total, fields.total, calls.total
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import Semiring
-from pushgraph.session import written
+from pushgraph.session import written, written_counted
 
 COMPACT = 6
 
@@ -50,8 +50,8 @@ class Growing:
         """Adds the candidates; whether anything changed. The next delta is what did."""
         fresh = self._merged(candidates)
         if self.weight is None:
-            delta = written(fresh.join(self.total, self.keys, "left_anti"))
-            if delta.isEmpty():
+            delta, n = written_counted(fresh.join(self.total, self.keys, "left_anti"))
+            if not n:
                 self.delta = delta
                 return False
             self._parts.append(delta)
@@ -69,8 +69,8 @@ class Growing:
             both = fresh.unionByName(self.total.join(fresh.select(*self.keys), self.keys, "left_semi").select(*self.keys, w))
             merged = self._merged(both).withColumnRenamed(w, "new_w")
             changed = merged.join(known, on, "left").filter(F.col("k_" + self.keys[0]).isNull() | ~F.col("new_w").eqNullSafe(F.col("k_w")))
-            delta = written(changed.select(*self.keys, F.col("new_w").alias(w)))
-            if delta.isEmpty():
+            delta, n = written_counted(changed.select(*self.keys, F.col("new_w").alias(w)))
+            if not n:
                 self.delta = delta
                 return False
             kept = self.total.join(delta.select(*self.keys), self.keys, "left_anti")

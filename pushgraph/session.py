@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """written(df) with its number of rows, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under sf_dir; read through Spark alone, so any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
