@@ -20,7 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents predicted toxic go; the model learns from the labels of those given, held-out ones left out."""
     small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.score_texts(docs, model, prefix="__tox_").filter(F.col("__tox_predicted") == 0).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

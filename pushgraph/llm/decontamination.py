@@ -137,10 +137,10 @@ def contained_items(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
     """docs without the rows that hold an item; a null doc_id is judged by its text like any other."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    bad = contained_items(keyed, items, id_col="_key", **params).select(F.col("doc_id.doc_id").alias("b_id"), F.col("doc_id.h").alias("b_h")).distinct()
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    bad = contained_items(keyed, items, id_col="__key", **params).select(F.col("doc_id.doc_id").alias("__b_id"), F.col("doc_id.h").alias("__b_h")).distinct()
     bad = written(bad)
-    on = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.xxhash64("text") == F.col("b_h"))
+    on = F.col("doc_id").eqNullSafe(F.col("__b_id")) & (F.xxhash64("text") == F.col("__b_h"))
     return _joined(docs, bad, on, "left_anti", bad.count(), 500_000)
 
 

@@ -332,12 +332,12 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """
     found = linked(docs, **params)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("k")
-    chosen = found.filter(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_key").alias("k_key"))
-    empty = found.filter(F.col("component").isNull()).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
-    keep = written(chosen.withColumn("once", F.lit(True)).unionByName(empty.withColumn("once", F.lit(False))).distinct())
-    hit = docs.withColumn("_key", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_key") == F.col("k_key")))
-    order = Window.partitionBy("doc_id", "_key").orderBy(F.lit(1))
-    hit = hit.withColumn("_nth", F.row_number().over(order)).filter(~F.col("once") | (F.col("_nth") == 1))
+    chosen = found.filter(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("k.doc_id").alias("__k_id"), F.col("k.text_key").alias("__k_key"))
+    empty = found.filter(F.col("component").isNull()).select(F.col("doc_id").alias("__k_id"), F.col("text_key").alias("__k_key"))
+    keep = written(chosen.withColumn("__once", F.lit(True)).unionByName(empty.withColumn("__once", F.lit(False))).distinct())
+    hit = docs.withColumn("__key", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("__k_id")) & (F.col("__key") == F.col("__k_key")))
+    order = Window.partitionBy("doc_id", "__key").orderBy(F.lit(1))
+    hit = hit.withColumn("__nth", F.row_number().over(order)).filter(~F.col("__once") | (F.col("__nth") == 1))
     return hit.select(*docs.columns)
 
 

@@ -107,26 +107,26 @@ def redact_live(docs: DataFrame, *, mark: str = "[REDACTED]", copied_owners: int
     rows are treated alike.
     """
     cols = docs.columns
-    keyed = docs.withColumn("_rowhash", F.xxhash64("doc_id", "text"))
-    found = scan_secrets(keyed.withColumn("_id", F.struct("doc_id", "_rowhash")), id_col="_id", copied_owners=copied_owners).filter(F.col("n_live") > 0)
-    live = found.select("doc_id.*", F.explode(F.filter("spans", lambda s: s["kind"] == len(KINDS))).alias("s")).select("doc_id", "_rowhash", F.col("s.start").alias("a"), F.col("s.end").alias("b")).distinct()
+    keyed = docs.withColumn("__rowhash", F.xxhash64("doc_id", "text"))
+    found = scan_secrets(keyed.withColumn("__id", F.struct("doc_id", "__rowhash")), id_col="__id", copied_owners=copied_owners).filter(F.col("n_live") > 0)
+    live = found.select("doc_id.*", F.explode(F.filter("spans", lambda s: s["kind"] == len(KINDS))).alias("s")).select("doc_id", "__rowhash", F.col("s.start").alias("a"), F.col("s.end").alias("b")).distinct()
     # Spans that overlap are cut out as one.
-    row = Window.partitionBy("doc_id", "_rowhash").orderBy("a", "b")
+    row = Window.partitionBy("doc_id", "__rowhash").orderBy("a", "b")
     opens = F.coalesce(F.col("a") >= F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     live = live.withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = live.groupBy("doc_id", "_rowhash", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    cuts = parts.groupBy(F.col("doc_id").alias("f_id"), F.col("_rowhash").alias("f_hash")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
-    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_rowhash") == F.col("f_hash")), "left")
-    n = F.size("cuts")
+    parts = live.groupBy("doc_id", "__rowhash", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    cuts = parts.groupBy(F.col("doc_id").alias("__f_id"), F.col("__rowhash").alias("__f_hash")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("__cuts"))
+    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("__f_id")) & (F.col("__rowhash") == F.col("__f_hash")), "left")
+    n = F.size("__cuts")
     kept = F.transform(
         F.sequence(F.lit(0), n),
         lambda i: F.substring(
             F.col("text"),
-            F.when(i == 0, F.lit(1)).otherwise(F.get("cuts", i - 1)["b"] + 1).cast("int"),
-            (F.when(i == n, F.length("text")).otherwise(F.get("cuts", i)["a"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["b"])).cast("int"),
+            F.when(i == 0, F.lit(1)).otherwise(F.get("__cuts", i - 1)["b"] + 1).cast("int"),
+            (F.when(i == n, F.length("text")).otherwise(F.get("__cuts", i)["a"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["b"])).cast("int"),
         ),
     )
-    hit = F.col("cuts").isNotNull()
+    hit = F.col("__cuts").isNotNull()
     out = joined.withColumn("text", F.when(hit, F.array_join(kept, mark)).otherwise(F.col("text")))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

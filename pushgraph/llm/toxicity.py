@@ -307,14 +307,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, most_w
     return Model(automaton, w, center, scale)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """docs with score (0 to 1), predicted (1 at THRESHOLD or more), n_exact, n_misspelled, n_beginnings.
 
     Only the text is an input. Null and empty texts have no hit and get the score of a text without any. Rows are
-    independent: equal texts get equal scores, no rows give none. Columns of docs with one of the new names are
-    replaced.
+    independent: equal texts get equal scores, no rows give none. Columns of docs with one of the new names, to
+    which prefix is put, are replaced.
     """
-    new = ["score", "predicted", "n_exact", "n_misspelled", "n_beginnings"]
+    new = [prefix + x for x in ("score", "predicted", "n_exact", "n_misspelled", "n_beginnings")]
     kept = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
@@ -329,7 +329,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 hit = hits.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *(pa.array(hit[:, k]) for k in range(3))], [*kept, *new])
 
-    return docs.select(*kept).mapInArrow(apply, ", ".join(fields) + ", score double, predicted int, n_exact long, n_misspelled long, n_beginnings long")
+    return docs.select(*kept).mapInArrow(apply, ", ".join(fields) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(new, ("double", "int", "long", "long", "long"), strict=True)))
 
 
 def op7_toxicity(spark, sf_dir):

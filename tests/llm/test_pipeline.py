@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from pushgraph.session import written
 from tests.llm.conftest import words
@@ -61,3 +63,24 @@ def test_stages(spark, tmp_path):
     total = sum(len(words(x[1])) for x in b)
     assert len(a) == len(b) and abs(sum(x[4] for x in a) - total) <= 5
     assert sorted(map(tuple, P.run(spark, str(tmp_path)).collect()), key=repr) == a
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows, items, labels = corpus()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = ("score", "predicted", "cuts", "class", "kind", "once", "component", "h", "item_id", "size", "toxic", "spans")
+    docs = spark.createDataFrame([(*x, *(f"{c}{x[0]}" for c in more)) for x in rows[:40]], COLUMNS + "".join(f", {c} string" for c in more))
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns[5:] == list(more) and docs.filter(docs.score != F.concat(F.lit("score"), "doc_id")).isEmpty(), name
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 20
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], COLUMNS)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in P.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == 0
