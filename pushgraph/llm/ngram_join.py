@@ -383,8 +383,8 @@ sh AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 TH
 n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
 pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, both.b FROM reach JOIN both ON both.a = reach.t)
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, sym.b FROM reach JOIN sym ON sym.a = reach.t)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id, n.n
 """
