@@ -70,9 +70,8 @@ def forward(p: Program, options: Options = Options()) -> Callable[[DataFrame], D
         n = new.select("qid", "stmt", "val")
         at = n.join(edge, "stmt")
         alive = at.join(kills, ["succ", "val"], "left_anti").join(passed.select("succ", "val").distinct(), ["succ", "val"], "left_anti")
-        static = alive.filter(F.col("val").startswith(STATIC) | F.lit(True))
         overwritten = p.store.filter(fields).select(F.col("stmt").alias("succ"), F.col("base").alias("val"), "field")
-        stays = static.join(overwritten.select("succ", "val").distinct(), ["succ", "val"], "left_anti")
+        stays = alive.join(overwritten.select("succ", "val").distinct(), ["succ", "val"], "left_anti")
         out = [_row(stays, "normal", None, "succ", F.col("val"))]
         out.append(_row(alive.join(overwritten, ["succ", "val"]), "exclude", F.col("field"), "succ", F.col("val")))
         copy = p.assign.select(F.col("stmt").alias("succ"), F.col("rhs").alias("val"), F.col("lhs").alias("to"))

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import Semiring
@@ -48,8 +48,8 @@ class Growing:
 
     def grow(self, candidates: DataFrame) -> bool:
         """Adds the candidates; whether anything changed. The next delta is what did."""
-        fresh = self._merged(candidates)
         if self.weight is None:
+            fresh = self._merged(candidates)
             delta, n = written_counted(fresh.join(self.total, self.keys, "left_anti"))
             if not n:
                 self.delta = delta
@@ -62,19 +62,18 @@ class Growing:
                 self.total = written(self.total)
                 self._parts = [self.total]
         else:
-            w = self.weight
-            known = self.total.withColumnsRenamed({k: f"k_{k}" for k in self.keys} | {w: "k_w"})
-            on = [F.col(k) == F.col(f"k_{k}") for k in self.keys]
-            # Old and new weight are merged by the same aggregate, over two rows.
-            both = fresh.unionByName(self.total.join(fresh.select(*self.keys), self.keys, "left_semi").select(*self.keys, w))
-            merged = self._merged(both).withColumnRenamed(w, "new_w")
-            changed = merged.join(known, on, "left").filter(F.col("k_" + self.keys[0]).isNull() | ~F.col("new_w").eqNullSafe(F.col("k_w")))
-            delta, n = written_counted(changed.select(*self.keys, F.col("new_w").alias(w)))
-            if not n:
+            # One aggregate over old and new rows merges the weights and tells which changed.
+            w, old = self.weight, F.col("_old")
+            rows = candidates.select(*self.keys, w, F.lit(False).alias("_old")).unionByName(self.total.withColumn("_old", F.lit(True)))
+            merged = rows.groupBy(*self.keys).agg(self.semiring.combine(F.col(w)).alias("_new"), F.first(F.when(old, F.col(w)), ignorenulls=True).alias("_was"), F.max("_old").alias("_old"))
+            merged = merged.select(*self.keys, F.col("_new").alias(w), (~old | ~F.col("_new").eqNullSafe(F.col("_was"))).alias("_changed"))
+            seen = Observation()
+            table = written(merged.observe(seen, F.coalesce(F.sum(F.col("_changed").cast("bigint")), F.lit(0)).alias("n")))
+            delta = table.filter("_changed").drop("_changed")
+            if not seen.get["n"]:
                 self.delta = delta
                 return False
-            kept = self.total.join(delta.select(*self.keys), self.keys, "left_anti")
-            self.total = written(kept.unionByName(delta))
+            self.total = table.drop("_changed")
         self.delta = delta
         return True
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from pushgraph.functions import semiring as S
 from pushgraph.functions import text as T
-from pushgraph.operators import alias, closure, pds, sync, typestate
+from pushgraph.operators import alias, closure, flows, language, pds, results, sync, typestate
 from pushgraph.plans import stats
 from pushgraph.session import table
 from pushgraph.sources import ir, sinks
+from pushgraph.streaming import incremental
 
 QUERIES, ORACLES = {}, {}
 
@@ -343,3 +344,62 @@ def _(spark, sf):
     b = _bigrams(spark, sf)
     start = b.select("qid").distinct().select("qid", F.lit("signup").alias("node"))
     return closure.longest_label_path(b.withColumn("label", F.concat("src", F.lit(">"), "dst")).filter("src < dst"), start).select("qid", F.array_join("labels", ",").alias("labels"))
+
+
+@query("a10_whole_program_seeds", "SELECT event_id::VARCHAR AS stmt, user_id::VARCHAR AS method FROM events WHERE event_type = 'signup' AND user_id % 2 = 0")
+def _(spark, sf):
+    p = _program(spark, sf)
+    none = F.lit(None).cast("string")
+    p.tables["alloc"] = p.stmt.filter("kind = 'signup'").select("stmt", F.concat(F.lit("v"), "stmt").alias("val"), F.lit("T").alias("type"), F.lit("new").alias("kind"), none.alias("const"))
+    entries = p.stmt.filter(F.col("method").cast("bigint") % 2 == 0).select("method").distinct()
+    return ir.whole_program_seeds(p, entries).select("stmt").join(p.stmt.select("stmt", "method"), "stmt")
+
+
+@query("c1_forward_identity", f"SELECT event_id::VARCHAR AS stmt, event_type AS val, nxt::VARCHAR AS to_stmt FROM ({_NEXT}) WHERE nxt IS NOT NULL AND next_type <> event_type")
+def _(spark, sf):
+    p = _program(spark, sf)
+    none = F.lit(None).cast("string")
+    p.tables["alloc"] = p.stmt.select("stmt", F.col("kind").alias("val"), F.lit("T").alias("type"), F.lit("new").alias("kind"), none.alias("const"))
+    nodes = p.stmt.select(F.lit(1).cast("bigint").alias("qid"), "stmt", F.col("kind").alias("val"))
+    return flows.forward(p)(nodes).select("stmt", "val", "to_stmt")
+
+
+@query("b9_type_filter", "SELECT s_suppkey AS qid, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def _(spark, sf):
+    s, n, r = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
+    name = lambda a, x: F.concat(F.lit(a), F.col(x).cast("string"))
+    up = s.select(name("s", "s_suppkey").alias("sub"), name("n", "s_nationkey").alias("sup")).unionByName(n.select(name("n", "n_nationkey").alias("sub"), name("r", "n_regionkey").alias("sup")))
+    subtypes = ir.subtype_closure(ir.Program(spark, {"subtype": up}))
+    # Every supplier is asked whether it can be each of the five regions.
+    regions = F.array(*(F.lit(x["r_regionkey"]) for x in r.select("r_regionkey").orderBy("r_regionkey").collect()))
+    facts = s.select(F.col("s_suppkey").alias("qid"), F.explode(regions).alias("region")).withColumn("declared", name("r", "region"))
+    types = s.select(F.col("s_suppkey").alias("qid"), name("s", "s_suppkey").alias("type"))
+    return results.type_filter(facts, types, subtypes).select("qid", "region")
+
+
+@query("d29_callers", "SELECT o_orderkey AS site, o_custkey AS callee FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("callee"), "o_orderpriority")
+    return results.callers(o.filter("o_orderpriority = '1-URGENT'"), o, table(spark, sf, "customer").select(F.col("c_custkey").alias("method")))
+
+
+@query("f15_languages")
+def _(spark, sf):
+    b = _bigrams(spark, sf).withColumn("label", F.substring("dst", 1, 1))
+    return language.languages(b, b.select("qid").distinct().withColumns({"start": F.lit("click"), "final": F.lit("view")}))
+
+
+@query("h4_short_labels", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'x' || user_id || ' = new T' WHEN 'purchase' THEN 'x' || user_id || ' = m()' WHEN 'click' THEN 'x' || user_id || ' = y.f' WHEN 'view' THEN 'x' || user_id || '.f = y' ELSE 'return y' END AS label FROM events")
+def _(spark, sf):
+    kinds = F.create_map(*(F.lit(x) for x in ("signup", "alloc", "purchase", "call", "click", "load", "view", "store", "error", "return")))
+    rhs = F.when(F.col("event_type") == "signup", "T").when(F.col("event_type") == "purchase", "m").otherwise("y")
+    e = table(spark, sf, "events").withColumns({"lhs": F.concat(F.lit("x"), "user_id"), "rhs": rhs, "kind": kinds[F.col("event_type")]})
+    return e.select("event_id", T.short_label(F.col("kind"), F.col("lhs"), F.col("rhs"), F.lit("f")).alias("label"))
+
+
+@query("i1_incremental_closure", ORACLES["d17_transitive_closure"])
+def _(spark, sf):
+    b, c = _bigrams(spark, sf), incremental.IncrementalClosure()
+    for part in (0, 1):  # two batches, split by the edges' starts
+        c.add(b.filter(F.col("src").isin("click", "view") == F.lit(bool(part))))
+    return c.pairs
