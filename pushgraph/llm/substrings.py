@@ -7,8 +7,9 @@ more); partitions' cells are added, block by block, on the executors. The merged
 only: a window whose sequence stands in two places has a count of 2 or more in every row.
 
 Pass 2 groups exactly the windows estimated repeated, by an 80-bit hash of their words: they are sorted by
-hash and document and streamed, so that no group is held, however large. A window that an earlier
-document has goes back to its own document, whose words it covers are cut.
+hash and document and streamed, so that no group is held, however large; of a window in very many documents
+each batch sends one row only. A window that an earlier document has goes back to its own document, whose
+words it covers are cut.
 """
 
 from __future__ import annotations
@@ -97,10 +98,20 @@ def repeated_words(
         out: list[list[np.ndarray]] = [[] for _ in range(5)]
 
         def flush() -> pa.RecordBatch:
-            arrays = [pa.array(np.concatenate(x)) for x in out]
+            key, low, doc, tag, pos = (np.concatenate(x) for x in out)
             for x in out:
                 x.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["key", "low", "doc", "tag", "pos"])
+            # Windows that a smaller document among these holds are settled here: they go on under keys of their
+            # own, so that a window in very many documents sends one row of each batch to its group.
+            order = np.lexsort((doc, low, key))
+            k, w, d = key[order], low[order], doc[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+            least = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            settled = np.zeros(len(k), bool)
+            settled[order] = d > least
+            own = V.mix(doc.view(V.U) * V._STEP[0] + pos.astype(V.U)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.where(settled, own, key)), pa.array(low), pa.array(doc), pa.array(tag), pa.array(pos), pa.array(settled)], ["key", "low", "doc", "tag", "pos", "settled"])
 
         held = 0
         for batch, r, h in _docs(batches, "text", size):
@@ -119,32 +130,35 @@ def repeated_words(
             out[3].append(np.full(len(found), batch.column("tag")[r].as_py(), np.int32))
             out[4].append(found.astype(np.int32))
             held += len(found)
-            if held > 100_000:
+            if held > 300_000:
                 yield flush()
                 held = 0
         if held:
             yield flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (key, low, doc): those whose group starts with a smaller document."""
+        """Rows sorted by (key, low, doc): those whose group starts with a smaller document, and settled ones."""
         last = (None, None, 0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, low, doc = (batch.column(c).to_numpy() for c in ("key", "low", "doc"))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1])
-            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if (key[0], low[0]) == last[:2]:
-                head = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(key)
-                first[:head] = last[2]
-            last = (key[-1], low[-1], first[-1])
-            take = np.flatnonzero(doc > first)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[take]), batch.column("tag").take(pa.array(take)), batch.column("pos").take(pa.array(take))], ["doc", "tag", "pos"])
+            known = batch.column("settled").to_numpy(zero_copy_only=False)
+            rest = np.flatnonzero(~known)
+            take = np.flatnonzero(known)
+            if len(rest):
+                key, low, doc = (batch.column(c).to_numpy()[rest] for c in ("key", "low", "doc"))
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1])
+                first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+                if (key[0], low[0]) == last[:2]:
+                    head = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(key)
+                    first[:head] = last[2]
+                last = (key[-1], low[-1], first[-1])
+                take = np.concatenate((take, rest[doc > first]))
+            at = pa.array(take)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc", "tag", "pos")], ["doc", "tag", "pos"])
 
     # The tag tells rows apart that share an id.
     tagged = docs.withColumn("tag", F.hash("text"))
-    every = tagged.mapInArrow(candidates, "key long, low short, doc long, tag int, pos int")
+    every = tagged.mapInArrow(candidates, "key long, low short, doc long, tag int, pos int, settled boolean")
     taken = every.repartition("key").sortWithinPartitions("key", "low", "doc").mapInArrow(later, "doc long, tag int, pos int")
     marks = taken.groupBy("doc", "tag").agg(F.collect_set("pos").alias("at"))
     joined = tagged.join(marks, (F.col("doc_id") == F.col("doc")) & (tagged["tag"] == marks["tag"]), "left").select("doc_id", "text", "at")
