@@ -16,7 +16,7 @@ from pushgraph.operators.flows import Options, forward
 from pushgraph.operators.pds import EMPTY, EPS, is_gen
 from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, synchronised
 from pushgraph.plans.fixpoint import fixpoint
-from pushgraph.session import written
+from pushgraph.session import written, written_counted
 from pushgraph.sources.ir import Program, dispatch, is_allocation, killed_values, used_values
 
 
@@ -43,23 +43,32 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
     a heap that keeps fields apart but not the order of stores."""
     seeds = written(allocation_seeds(p, options) if seeds is None else seeds)
     flow = forward(p, options)
-    nodes = seeds.select(*NODE)
-    edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct()
-    for _ in range(max_rounds):
-        reached, fields, calls = synchronised(nodes, flow, unbalanced=True)
+    edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct().cache()
+    stores = p.store.select("stmt", F.col("base").alias("val"), "field", "rhs").cache()
+    reads = p.load.select("stmt", F.col("base").alias("val"), "field", "lhs").cache()
+
+    def heap_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(facts before each statement, heap edges)."""
+        before = points.join(edge, "stmt").select("qid", F.col("at").alias("stmt"), "val")
+        base = before.join(stores, ["stmt", "val"]).select(F.col("qid").alias("base"), "stmt", "field", "rhs")
+        return before, base.join(before.select("qid", "stmt", F.col("val").alias("rhs")), ["stmt", "rhs"]).select("base", "field", "qid").distinct()
+
+    left = max_rounds
+
+    def through_heap(reached: DataFrame, fields: DataFrame) -> DataFrame | None:
+        nonlocal left
+        left -= 1
         points = empty_stack_nodes_any_context(reached, fields)
-        before = written(points.join(edge, "stmt").select("qid", F.col("at").alias("stmt"), "val"))
-        base = before.join(p.store.select("stmt", F.col("base").alias("val"), "field", "rhs"), ["stmt", "val"]).select(F.col("qid").alias("base"), "stmt", "field", "rhs")
-        heap = base.join(before.select("qid", "stmt", F.col("val").alias("rhs")), ["stmt", "rhs"]).select("base", "field", "qid").distinct()
-        if not (options.aliasing and options.track_fields):
-            break
-        loads = before.join(p.load.select("stmt", F.col("base").alias("val"), "field", "lhs"), ["stmt", "val"]).select(F.col("qid").alias("base"), "field", "stmt", F.col("lhs").alias("val"))
-        new = loads.join(heap, ["base", "field"]).select(*NODE).distinct().join(points, NODE, "left_anti")
-        new = written(new)
-        if new.isEmpty():
-            break
-        nodes = written(nodes.unionByName(new).distinct())
-    return Solution(p, seeds, written(points), reached, fields, calls, written(heap))
+        before, heap = heap_of(points)
+        gained = before.join(reads, ["stmt", "val"]).select(F.col("qid").alias("base"), "field", "stmt", F.col("lhs").alias("val"))
+        new, n = written_counted(gained.join(heap, ["base", "field"]).select(*NODE).distinct().join(points, NODE, "left_anti"))
+        return new if n and left else None
+
+    more = through_heap if options.aliasing and options.track_fields else None
+    reached, fields, calls = synchronised(seeds.select(*NODE), flow, unbalanced=True, more=more)
+    points = written(empty_stack_nodes_any_context(reached, fields))
+    _, heap = heap_of(points)
+    return Solution(p, seeds, points, reached, fields, calls, written(heap))
 
 
 def empty_stack_nodes_any_context(reached: DataFrame, fields: DataFrame) -> DataFrame:

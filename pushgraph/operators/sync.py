@@ -52,17 +52,20 @@ def rules_of(flow: DataFrame, unbalanced: bool = False) -> tuple[DataFrame, Data
     return field.distinct(), call.distinct()
 
 
-def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, max_rounds: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, field transitions, call transitions) from seeds (qid, stmt, val).
 
     flows: the flow rows, or a function from newly reached nodes to theirs (the demand-driven form). All
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
+    more(reached, field transitions) is asked when nothing grows any more: seeds (qid, stmt, val) that it
+    returns go on from there, None ends.
     """
     flow_of = flows if callable(flows) else lambda new: flows.join(new.select(*NODE), NODE, "left_semi")
     zero = F.lit(0).cast("bigint").alias("w")
-    fields = Growing(seeds.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"), zero), [*KEYS, "w"])
-    calls = Growing(seeds.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"), zero), [*KEYS, "w"])
+    field_seed = lambda n: n.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"), zero)
+    call_seed = lambda n: n.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"), zero)
+    fields, calls = Growing(field_seed(seeds), [*KEYS, "w"]), Growing(call_seed(seeds), [*KEYS, "w"])
     reached = Growing(seeds.select(*NODE), NODE)
     # Each node is new once, so its rules are new with it: they are kept, not compared.
     rules: list[tuple[DataFrame, DataFrame]] = []
@@ -81,7 +84,13 @@ def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], Data
             step = rule_step(system.delta, all_rules[i], UNWEIGHTED).unionByName(epsilon_step(system.total, system.delta, UNWEIGHTED))
             grown |= system.grow(step if new is None else step.unionByName(rule_step(system.total, new[i], UNWEIGHTED)))
         if not grown:
-            break
+            seeds = more(reached.total, fields.total) if more else None
+            if seeds is None:
+                break
+            fields.grow(field_seed(seeds))
+            calls.grow(call_seed(seeds))
+            fresh = reached.delta if reached.grow(seeds) else None
+            continue
         live = lambda t: t.filter(~is_gen(F.col("src")) & (F.col("label") != EPS))
         parts = F.split("src", SEP)
         by_field = lambda t: live(t).select("qid", parts[0].alias("stmt"), parts[1].alias("val")).distinct()
