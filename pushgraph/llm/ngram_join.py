@@ -249,6 +249,7 @@ def linked(
         return _prefix_rows(_new_sets(batches), lambda s: _prefix(s, repeated.value, bits))
 
     clusters = written(_clusters(docs.select("text").mapInArrow(prefixes, _PREFIX)))
+    repeated.unpersist()
     nodes = base.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     # A fixed-size bitmap of the classes in clusters keeps other sets from moving.
     wide = 26
@@ -288,10 +289,11 @@ def linked(
             yield flush()
 
     sets = written(docs.select("text").mapInArrow(members_sets, "class long, tokens binary").dropDuplicates(["class"]))
+    members.unpersist()
 
     # Again among the members, rare first.
     total = clusters.join(nodes, "class").agg(F.sum("n")).first()[0] or 0
-    level_bits = min(most_bits - 2, max(16, math.ceil(math.log2(max(1, total))) + 1))
+    level_bits = min(most_bits - 3, max(16, math.ceil(math.log2(max(1, total))) + 1))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (s for _, s in _stored_sets(batches))
@@ -302,6 +304,7 @@ def linked(
         return _prefix_rows(_stored_sets(batches), lambda s: _rare_prefix(s, levels.value, level_bits))
 
     clusters = written(_clusters(sets.mapInArrow(rare_prefixes, _PREFIX)).join(nodes, "class"))
+    levels.unpersist()
     weight = clusters.groupBy("cluster").agg(F.sum("n").alias("tokens_in")).select("cluster", F.ceil(F.col("tokens_in") / block_tokens).cast("int").alias("blocks"))
     clusters = written(clusters.join(weight, "cluster"))
     sets = sets.join(clusters.select("class", "cluster", "blocks"), "class")
