@@ -101,8 +101,8 @@ def repeated_words(
             key, low, doc, tag, pos = (np.concatenate(x) for x in out)
             for x in out:
                 x.clear()
-            # Windows that a smaller document among these holds are settled here: they go on under keys of their
-            # own, so that a window in very many documents sends one row of each batch to its group.
+            # Windows that a smaller document among these holds are settled here: they go on under a key of their
+            # document, so that a window in very many documents sends one row of each batch to its group.
             order = np.lexsort((doc, low, key))
             k, w, d = key[order], low[order], doc[order]
             new = np.ones(len(k), bool)
@@ -110,7 +110,8 @@ def repeated_words(
             least = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
             settled = np.zeros(len(k), bool)
             settled[order] = d > least
-            own = V.mix(doc.view(V.U) * V._STEP[0] + pos.astype(V.U)).view(np.int64)
+            own = V.mix(doc.view(V.U) * V._STEP[0]).view(np.int64)  # one for each document: its rows pack well
+            low = np.where(settled, 0, low).astype(np.int16)
             return pa.RecordBatch.from_arrays([pa.array(np.where(settled, own, key)), pa.array(low), pa.array(doc), pa.array(tag), pa.array(pos), pa.array(settled)], ["key", "low", "doc", "tag", "pos", "settled"])
 
         held = 0
