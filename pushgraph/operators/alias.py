@@ -112,7 +112,7 @@ def access_paths(s: Solution, queries: DataFrame, *, max_fields: int = 12) -> Da
         longer = F.when(F.col("label") == EMPTY, F.col("fields")).otherwise(F.array_append("fields", F.col("label")))
         return hit.select("query", "qid", "base", F.when(again, F.col("fields")).otherwise(longer).alias("fields"), F.when(again, F.col("seen")).otherwise(F.array_append("seen", F.col("dst"))).alias("seen"), again.alias("approx"))
 
-    found = fixpoint(first, step, keys=["query", "qid", "base", "fields", "seen", "approx"]).total
+    found = fixpoint(first, step, keys=["query", "qid", "base", "fields", "seen", "approx"]).whole()
     done = found.filter(F.col("approx") | (F.element_at("seen", -1) == FIELD_END))
     return done.groupBy("query", "base", "fields").agg(F.max("approx").alias("approx"))
 
@@ -123,7 +123,7 @@ def contexts(s: Solution, queries: DataFrame) -> DataFrame:
     edges = s.calls.filter(F.col("label") != EPS).select("qid", "src", "label", "dst")
     start = owners.join(edges.withColumnsRenamed({"src": "val", "label": "stmt"}), ["qid", "val", "stmt"]).select("query", "qid", F.col("dst").alias("state")).filter(F.col("state") != CALL_END)
     step = lambda total, delta: delta.withColumnRenamed("state", "src").join(edges, ["qid", "src"]).filter(F.col("dst") != CALL_END).select("query", "qid", F.col("dst").alias("state"))
-    states = fixpoint(start, step, keys=["query", "qid", "state"]).total
+    states = fixpoint(start, step, keys=["query", "qid", "state"]).whole()
     return states.withColumnRenamed("state", "src").join(edges, ["qid", "src"]).select("query", F.col("label").alias("call_site")).distinct()
 
 
@@ -184,7 +184,7 @@ def last_uses(s: Solution) -> DataFrame:
     killed = killed_values(p).select(F.col("stmt").alias("at"), "val")
     step = lambda total, delta: delta.join(edge, F.col("at") == F.col("dst")).select("qid", "val", F.col("src").alias("at")).join(killed, ["at", "val"], "left_anti").select("qid", "val", "at")
     # Statements from which a later use can be reached: predecessors of uses, backwards.
-    live = fixpoint(start.join(edge, F.col("at") == F.col("dst")).select("qid", "val", F.col("src").alias("at")), step, keys=["qid", "val", "at"]).total
+    live = fixpoint(start.join(edge, F.col("at") == F.col("dst")).select("qid", "val", F.col("src").alias("at")), step, keys=["qid", "val", "at"]).whole()
     return used.join(live.withColumnRenamed("at", "stmt"), ["qid", "stmt", "val"], "left_anti")
 
 
@@ -214,5 +214,5 @@ def flow_insensitive(p: Program) -> tuple[DataFrame, DataFrame]:
             out = out.unionByName(b.join(h, ["owner", "field"]).select(F.col("lhs").alias("val"), F.lit("").alias("field"), "alloc"))
         return out
 
-    found = fixpoint(start, step, keys=["val", "field", "alloc"]).total
+    found = fixpoint(start, step, keys=["val", "field", "alloc"]).whole()
     return found.filter("field = ''").select("val", "alloc"), found.filter("field <> ''").select(F.col("val").alias("base"), "field", "alloc")

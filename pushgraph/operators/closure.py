@@ -16,7 +16,7 @@ def reachable(edges: DataFrame, start: DataFrame, **limits) -> DataFrame:
     """
     e = edges.select("qid", "src", "dst").distinct()
     step = lambda total, delta: delta.withColumnRenamed("node", "src").join(e, ["qid", "src"]).select("qid", F.col("dst").alias("node"))
-    return fixpoint(start.select("qid", "node"), step, keys=["qid", "node"], **limits).total
+    return fixpoint(start.select("qid", "node"), step, keys=["qid", "node"], **limits).whole()
 
 
 def transitive_closure(edges: DataFrame, *, doubling: bool = True, **limits) -> DataFrame:
@@ -35,7 +35,7 @@ def transitive_closure(edges: DataFrame, *, doubling: bool = True, **limits) ->
         step = lambda total, delta: pairs(delta, total).unionByName(pairs(total, delta))
     else:
         step = lambda total, delta: pairs(delta, e)
-    return fixpoint(e, step, keys=["qid", "src", "dst"], **limits).total
+    return fixpoint(e, step, keys=["qid", "src", "dst"], **limits).whole()
 
 
 def epsilon_closure(trans: DataFrame, **limits) -> DataFrame:
@@ -54,19 +54,22 @@ def has_cycle(edges: DataFrame, **limits) -> DataFrame:
     return edges.select("qid").distinct().join(cyclic, "qid", "left").select("qid", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def depths(edges: DataFrame, start: DataFrame, longest: bool = False, max_rounds: int = 100) -> DataFrame:
+def depths(edges: DataFrame, start: DataFrame, longest: bool = False, max_rounds: int | None = None) -> DataFrame:
     """(qid, node, depth): least number of edges from start; with longest, the most, where paths end.
 
-    longest gives up on a cycle after max_rounds, as a path through it has no end.
+    longest gives up on a cycle, as a path through it has no end: after max_rounds, or as many rounds as a qid has nodes.
     """
     e = edges.select("qid", "src", "dst").distinct()
+    if longest and max_rounds is None:
+        nodes = e.select("qid", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("qid").count()
+        max_rounds = nodes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1
     first = start.select("qid", "node", F.lit(0).alias("depth"))
     step = lambda total, delta: delta.withColumnRenamed("node", "src").join(e, ["qid", "src"]).select("qid", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
     agg = F.max if longest else F.min
     found: Relation = fixpoint(first, step, keys=["qid", "node", "depth"] if longest else ["qid", "node"], weight=None if longest else "depth", semiring=None if longest else _Least, max_rounds=max_rounds)
     if longest and found.timed_out:
         raise ValueError(f"a path has more than {max_rounds} edges; is there a cycle?")
-    return found.total.groupBy("qid", "node").agg(agg("depth").alias("depth"))
+    return found.whole().groupBy("qid", "node").agg(agg("depth").alias("depth"))
 
 
 class _Least:
@@ -82,7 +85,7 @@ def longest_label_path(trans: DataFrame, start: DataFrame, **limits) -> DataFram
         hit = delta.withColumnRenamed("node", "src").join(t, ["qid", "src"]).filter(~F.array_contains("labels", F.col("label")))
         return hit.select("qid", F.col("dst").alias("node"), F.array_sort(F.array_append("labels", F.col("label"))).alias("labels"))
 
-    found = fixpoint(first, step, keys=["qid", "node", "labels"], **limits).total
+    found = fixpoint(first, step, keys=["qid", "node", "labels"], **limits).whole()
     return found.groupBy("qid").agg(F.max_by("labels", F.struct(F.size("labels"), F.array_join("labels", ","))).alias("labels"))
 
 
@@ -102,7 +105,7 @@ def prefix_import(base: DataFrame, flow: DataFrame, at: DataFrame, **limits) ->
         hit = hit.join(b.withColumnRenamed("qid", "b_qid"), (F.col("qid") == F.col("b_qid")) & (F.col("right") == F.col("b_src")) & (F.col("a_label") == F.col("b_label")))
         return hit.select("qid", F.col("a_dst").alias("left"), F.col("b_dst").alias("right"))
 
-    met = fixpoint(first, follow, keys=["qid", "left", "right"], **limits).total
+    met = fixpoint(first, follow, keys=["qid", "left", "right"], **limits).whole()
     taken = a.withColumnRenamed("qid", "a_qid")
     into = met.join(taken, (F.col("qid") == F.col("a_qid")) & (F.col("left") == F.col("a_dst"))).select("qid", F.col("a_src").alias("src"), F.col("a_label").alias("label"), F.col("right").alias("dst"))
     new = into.join(at.select("qid", "src", "label"), ["qid", "src", "label"], "left_anti").join(flow.select("qid", "src", "label", "dst"), ["qid", "src", "label", "dst"], "left_anti").distinct()
@@ -111,7 +114,7 @@ def prefix_import(base: DataFrame, flow: DataFrame, at: DataFrame, **limits) ->
         hit = delta.select("qid", F.col("src").alias("to")).join(taken, (F.col("qid") == F.col("a_qid")) & (F.col("to") == F.col("a_dst")))
         return hit.select("qid", F.col("a_src").alias("src"), F.col("a_label").alias("label"), F.col("to").alias("dst"))
 
-    return fixpoint(new, come_along, keys=["qid", "src", "label", "dst"], **limits).total
+    return fixpoint(new, come_along, keys=["qid", "src", "label", "dst"], **limits).whole()
 
 
 def label(edges: DataFrame, name: Column) -> DataFrame:

@@ -10,6 +10,7 @@ are statements. A node is reached if both automata hold it; only reached nodes h
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -52,14 +53,14 @@ def rules_of(flow: DataFrame, unbalanced: bool = False) -> tuple[DataFrame, Data
     return field.distinct(), call.distinct()
 
 
-def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, field transitions, call transitions) from seeds (qid, stmt, val).
 
     flows: the flow rows, or a function from newly reached nodes to theirs (the demand-driven form). All
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
     more(reached, field transitions) is asked when nothing grows any more: seeds (qid, stmt, val) that it
-    returns go on from there, None ends.
+    returns go on from there, None ends. Runs until nothing grows; an error after max_rounds.
     """
     flow_of = flows if callable(flows) else lambda new: flows.join(new.select(*NODE), NODE, "left_semi")
     zero = F.lit(0).cast("bigint").alias("w")
@@ -71,7 +72,9 @@ def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], Data
     rules: list[tuple[DataFrame, DataFrame]] = []
     all_rules: tuple[DataFrame, DataFrame] | None = None
     fresh = reached.delta
-    for _ in range(max_rounds):
+    for n in itertools.count():
+        if n == max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         new = None
         if fresh is not None:
             new = rules_of(written(flow_of(fresh)), unbalanced)

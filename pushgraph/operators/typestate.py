@@ -101,7 +101,7 @@ def states(s: Solution, start: DataFrame, moves: DataFrame, **limits) -> DataFra
         change = at.join(moved, ["machine", "qid", "to", "state"]).select("machine", "qid", "to", F.col("dst").alias("state"))
         return stay.unionByName(change).select("machine", "qid", F.col("to").alias("stmt"), "state")
 
-    return fixpoint(start, step, keys=["machine", "qid", "stmt", "state"], **limits).total
+    return fixpoint(start, step, keys=["machine", "qid", "stmt", "state"], **limits).whole()
 
 
 def verdicts(found: DataFrame, machines: DataFrame, exits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ round's task at most. All queries of a batch (``qid``) run in the same rounds.
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -30,6 +31,12 @@ class Relation:
     rounds: int = 0
     timed_out: bool = False
 
+    def whole(self) -> DataFrame:
+        """total, where the loop ended by itself; an error where a budget ended it."""
+        if self.timed_out:
+            raise RuntimeError(f"no fixpoint after {self.rounds} rounds: the budget is used up and rows are missing")
+        return self.total
+
 
 class Growing:
     """A set of rows that only grows, or a weighted one whose weights are merged."""
@@ -88,18 +95,19 @@ def fixpoint(
     keys: list[str],
     weight: str | None = None,
     semiring: Semiring | None = None,
-    max_rounds: int = 200,
+    max_rounds: int | None = None,
     budget_seconds: float | None = None,
 ) -> Relation:
     """Least fixpoint of ``step(total, delta)`` above start.
 
-    max_rounds and budget_seconds give up with the partial relation, marked timed_out; both are checked
-    between rounds.
+    It runs until nothing changes, which steps that make finitely many rows or weights come to. max_rounds and
+    budget_seconds give up before, with the partial relation, marked timed_out; both are checked between rounds.
     """
     state, began = Growing(start, keys, weight, semiring), time.monotonic()
-    for n in range(1, max_rounds + 1):
+    if max_rounds is not None and max_rounds < 1:
+        return state.relation(0, True)
+    for n in itertools.count(1):
         if not state.grow(step(state.total, state.delta)):
             return state.relation(n, False)
-        if budget_seconds is not None and time.monotonic() - began > budget_seconds:
+        if n == max_rounds or (budget_seconds is not None and time.monotonic() - began > budget_seconds):
             return state.relation(n, True)
-    return state.relation(max_rounds, True)

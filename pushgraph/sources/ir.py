@@ -185,7 +185,7 @@ def dispatch(p: Program, receivers: DataFrame) -> DataFrame:
         combine = staticmethod(F.min)
 
     step = lambda total, delta: delta.join(up, F.col("at") == F.col("src")).select("type", F.col("dst").alias("at"), (F.col("depth") + 1).alias("depth"))
-    above = fixpoint(start, step, keys=["type", "at"], weight="depth", semiring=_Least).total
+    above = fixpoint(start, step, keys=["type", "at"], weight="depth", semiring=_Least).whole()
     found = want.join(above, "type").join(p.vtable.select(F.col("type").alias("at"), "sig", "method"), ["at", "sig"])
     return found.groupBy("site", "type", "sig").agg(F.min_by("method", F.struct("depth", "at", "method")).alias("method")).select("site", "type", "method").distinct()
 
