@@ -38,9 +38,10 @@ def allocation_seeds(p: Program, options: Options) -> DataFrame:
     return chosen.select(F.xxhash64("stmt", "val").alias("qid"), "stmt", "val", "type").distinct()
 
 
-def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int = 50) -> Solution:
+def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None) -> Solution:
     """Points-to facts of all allocations (or those of seeds), field- and context-sensitive in locals, with
-    a heap that keeps fields apart but not the order of stores."""
+    a heap that keeps fields apart but not the order of stores. max_rounds: passes through the heap that may find
+    something, without end by default; an error where one more is needed."""
     seeds = written(allocation_seeds(p, options) if seeds is None else seeds)
     flow = forward(p, options)
     edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct().cache()
@@ -53,16 +54,20 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
         base = before.join(stores, ["stmt", "val"]).select(F.col("qid").alias("base"), "stmt", "field", "rhs")
         return before, base.join(before.select("qid", "stmt", F.col("val").alias("rhs")), ["stmt", "rhs"]).select("base", "field", "qid").distinct()
 
-    left = max_rounds
+    passes = 0
 
     def through_heap(reached: DataFrame, fields: DataFrame) -> DataFrame | None:
-        nonlocal left
-        left -= 1
+        nonlocal passes
         points = empty_stack_nodes_any_context(reached, fields)
         before, heap = heap_of(points)
         gained = before.join(reads, ["stmt", "val"]).select(F.col("qid").alias("base"), "field", "stmt", F.col("lhs").alias("val"))
         new, n = written_counted(gained.join(heap, ["base", "field"]).select(*NODE).distinct().join(points, NODE, "left_anti"))
-        return new if n and left else None
+        if not n:
+            return None
+        if passes == max_rounds:
+            raise RuntimeError(f"points-to facts still grow after {max_rounds} passes through the heap")
+        passes += 1
+        return new
 
     more = through_heap if options.aliasing and options.track_fields else None
     reached, fields, calls = synchronised(seeds.select(*NODE), flow, unbalanced=True, more=more)
