@@ -239,16 +239,38 @@ def _terms(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["term", "n", "toxic"])
 
 
+def _chosen(terms: list[str]) -> tuple[list[str], list[str]]:
+    """(words, beginnings) of terms, best first: what a chosen beginning covers, or begins a chosen word, adds nothing."""
+    words: list[str] = []
+    beginnings: dict[str, None] = {}
+    begun: set[str] = set()  # all that a chosen word begins with
+    inside: dict[str, list[str]] = {}  # chosen beginnings by what they begin with
+    for term in terms:
+        starts = [term[:k] for k in range(1, len(term) + 1)]
+        if any(x in beginnings for x in starts):
+            continue
+        if term.endswith(" "):
+            words.append(term[:-1])
+            begun.update(starts[:-1])
+        elif term not in begun:
+            for b in inside.get(term, ()):
+                beginnings.pop(b, None)
+            beginnings[term] = None
+            for x in starts:
+                inside.setdefault(x, []).append(term)
+    return words, list(beginnings)
+
+
 def held_out(doc_id):
     """Whether a document's label is held out: crc32 of its id as text, mod 4, is 2. Null: not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, most_words: int = 48, most_beginnings: int = 96, least_texts: int = 3, shortest: int = 4, longest: int = 8) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_texts: int = 3, shortest: int = 4, longest: int = 8) -> Model:
     """A model from the labelled rows that are not held out, most_rows of them at most (by hash of the id).
 
-    Terms are those whose share of toxic texts exceeds that of others e**2 times, in least_texts toxic
-    texts and a fiftieth of them or more, best by log likelihood ratio (above LEAST_GAIN), whole words first. Labels without text, ids without a label and null labels are
+    Terms are all those whose share of toxic texts exceeds that of others e**2 times, in least_texts toxic
+    texts or more, with a log likelihood ratio above LEAST_GAIN; the best first, whole words before beginnings. Labels without text, ids without a label and null labels are
     left out; of an id labelled twice, the higher label counts. Without any toxic label the lexicon is empty
     and the score is the labels' mean, 0 if there are none.
     """
@@ -267,19 +289,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, most_w
         gain = F.col("k") * F.log(p) + (t - F.col("k")) * F.log(1 - p) + (F.col("n") - F.col("k")) * F.log(q) + (n - t - F.col("n") + F.col("k")) * F.log(1 - q)
         both = (F.col("n") + 0.5) / (n + 1.0)
         gain = gain - F.col("n") * F.log(both) - (n - F.col("n")) * F.log(1 - both)
-        good = terms.filter((F.col("k") >= max(least_texts, t // 50)) & (F.log(p / q) > 2)).withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
-        found = good.orderBy(F.desc(F.round("gain", 6)), F.desc(F.endswith("term", F.lit(" "))), "term").limit(8 * (most_words + most_beginnings)).collect()
-        words, beginnings = [], []
-        for r in found:  # best first; what a chosen beginning covers, or begins a chosen word, adds nothing
-            term = r["term"]
-            if any(term.startswith(b) for b in beginnings):
-                continue
-            if term.endswith(" "):
-                if len(words) < most_words:
-                    words.append(term[:-1])
-            elif len(beginnings) < most_beginnings and not any(w.startswith(term) for w in words):
-                beginnings = [b for b in beginnings if not b.startswith(term)] + [term]
-        words = [w for w in words if not any(w.startswith(b) for b in beginnings)]
+        good = terms.filter((F.col("k") >= least_texts) & (F.log(p / q) > 2)).withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
+        found = good.orderBy(F.desc(F.round("gain", 6)), F.desc(F.endswith("term", F.lit(" "))), "term").collect()
+        words, beginnings = _chosen([r["term"] for r in found])
         automaton = Automaton(words, beginnings)
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
