@@ -2,11 +2,13 @@
 
 Any run of whole lines can be a license notice. A run is compared with a template only if their numbers
 of bigrams are near enough for the threshold: Dice >= t needs n * t / (2 - t) <= m <= n * (2 - t) / t.
-Lines that share no bigram with any template start and end no run.
+Lines without a word of any template start and end no run: without them it is as near or nearer. A template whose bigrams a
+text holds too few of, whatever the run, is not looked for in it.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pushgraph.session import small_batches, table
 
-# Notices and texts by SPDX identifier.
-TEMPLATES = (
+# Notices by SPDX identifier.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
@@ -35,6 +37,36 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Whole texts: license_texts/<identifier>.txt.
+TEXTS = ("0BSD", "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")
+_GNU = (("GPL-1.0", "GNU General Public License", "1"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"))
+_NAMED = (("0BSD", "BSD Zero Clause"), ("Apache-2.0", "Apache 2.0"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSL-1.0", "Boost Software"), ("EPL-2.0", "Eclipse Public"), ("ISC", "ISC"), ("MIT", "MIT"), ("MPL-1.1", "Mozilla Public License 1.1"), ("MPL-2.0", "Mozilla Public License 2.0"), ("Zlib", "zlib"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_VERBS = ("Released under", "Licensed under", "Distributed under", "Available under", "This work is licensed under", "This project is licensed under", "This software is released under")
+
+
+def _wordings() -> Iterator[tuple[str, str]]:
+    """The usual notices of each license and version, near siblings among them."""
+    for name, title, version in _GNU:
+        yield name, f"This program is free software; you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+        for verb in _VERBS:
+            yield name, f"{verb} the {title}, version {version}."
+            yield name, f"{verb} the {title} v{version}."
+    for name, title in _NAMED:
+        for verb in _VERBS:
+            yield name, f"{verb} the {title}" + (" License." if "License" not in title else ".")
+    for verb in _VERBS:
+        yield "Apache-2.0", f"{verb} the Apache License, Version 2.0."
+    for kind, title in _CC:
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            scope = {"3.0": " Unported", "4.0": " International"}.get(version, " Generic")
+            for verb in _VERBS:
+                yield f"CC-{kind}-{version}", f"{verb} CC {kind} {version}."
+                yield f"CC-{kind}-{version}", f"{verb} a Creative Commons {title} {version}{scope} License."
+
+
+TEMPLATES = (*NOTICES, *(x for x in _wordings() if x not in NOTICES), *((name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in TEXTS))
+
 _WORD = re.compile(r"[a-z0-9]+|[^\x00-\x7f]+")
 
 
@@ -55,6 +87,16 @@ def dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+class _Words:
+    """Stands for all bigrams that hold one of words."""
+
+    def __init__(self, words: set[str]) -> None:
+        self.words = words
+
+    def isdisjoint(self, pairs) -> bool:
+        return all(self.words.isdisjoint(p) for p in pairs)
+
+
 class Matcher:
     """Templates indexed for run-of-lines comparison."""
 
@@ -64,40 +106,56 @@ class Matcher:
         self.templates = [(name, b) for name, b in self.templates if b]
         self.low = [threshold * len(b) / (2 - threshold) for _, b in self.templates]
         self.high = [(2 - threshold) * len(b) / threshold for _, b in self.templates]
-        self.known = set().union(*(b for _, b in self.templates)) if self.templates else set()
+        self.holders: dict[tuple[str, ...], list[int]] = {}
+        for t, (_, b) in enumerate(self.templates):
+            for pair in b:
+                self.holders.setdefault(pair, []).append(t)
+        self.alone = [t for t, (_, b) in enumerate(self.templates) if any(len(p) == 1 for p in b)]
+        self.known = _Words({w for p in self.holders for w in p})
+
+    def _wanted(self, words: list[str]) -> set[int]:
+        """Templates that some run of the text can reach: a run shares the least size of one at least with it."""
+        shared = [0] * len(self.templates)
+        for pair in self.holders.keys() & set(zip(words, words[1:], strict=False)):
+            for t in self.holders[pair]:
+                shared[t] += 1
+        return {t for t, n in enumerate(shared) if n >= self.low[t] - 1e-9}.union(self.alone)
 
     def runs(self, text: str) -> list[tuple[float, int, int, int]]:
         """(dice, template, first line, last line) of every run of lines that reaches the threshold."""
-        sets: list[list[str]] = []
-        hits = []
-        for i, line in enumerate(text.split("\n")):
-            words = normalised(line)
-            sets.append(words)
-            if not self.known.isdisjoint(bigrams(words)):
-                hits.append(i)
+        wanted = self._wanted(normalised(text))
+        if not wanted:
+            return []
+        sets = [normalised(line) for line in text.split("\n")]
+        hits = [i for i, words in enumerate(sets) if not self.known.words.isdisjoint(words)]
+        holders = {p: [t for t in ts if t in wanted] for p, ts in self.holders.items() if not wanted.isdisjoint(ts)}
         found = []
-        most = max(self.high, default=0)
+        most = max(self.high[t] for t in wanted)
         for at, a in enumerate(hits):
             words: list[str] = []
             held: set[tuple[str, ...]] = set()
+            shared: dict[int, int] = {}
             last = a - 1
             for b in hits[at:]:
                 for line in range(last + 1, b + 1):
-                    new = sets[line]
-                    if not new:
-                        continue
-                    joined = words[-1:] + new
-                    if len(joined) > 1:
-                        held.update(zip(joined, joined[1:], strict=False))
-                    words += new
+                    joined = words[-1:] + sets[line]
+                    for pair in zip(joined, joined[1:], strict=False):
+                        if pair not in held:
+                            held.add(pair)
+                            for t in holders.get(pair, ()):
+                                shared[t] = shared.get(t, 0) + 1
+                    words += sets[line]
                     if len(held) > most:
                         break
                 last = b
                 if len(held) > most:
                     break
-                now = held if len(words) > 1 else bigrams(words)
-                for t, (_, wanted) in enumerate(self.templates):
-                    if self.low[t] <= len(now) <= self.high[t] and (d := dice(now, wanted)) >= self.threshold:
+                if len(words) == 1:
+                    size, both = 1, dict.fromkeys(holders.get((words[0],), ()), 1)
+                else:
+                    size, both = len(held), shared
+                for t, n in both.items():
+                    if self.low[t] <= size <= self.high[t] and (d := 2 * n / (size + len(self.templates[t][1]))) >= self.threshold:
                         found.append((d, t, a, b))
         return found
 
