@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency (DataFrame functions only).
 
 Spans are found with regular expressions in the JVM. Every candidate value is then counted by the
-distinct repositories and owners that hold it: one that many owners hold is a copied example, one
-that a single owner holds and that looks random is live-looking and gets a further ``live`` span.
+distinct repositories and owners that hold it: one that many owners or repositories hold is a copied example,
+one that a single owner holds and that looks random is live-looking and gets a further ``live`` span.
 """
 
 from __future__ import annotations
@@ -58,21 +58,27 @@ def secret_spans(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str,
     return spans.select(*cols).unionByName(ids.select(*cols))
 
 
-def ownership(spans: DataFrame, *, copied_owners: int = 3) -> DataFrame:
+def ownership(spans: DataFrame, *, copied_owners: int = 3, copied_repos: int = 3) -> DataFrame:
     """(secret, n_spans, n_repos, n_owners, verdict) over the whole corpus, by hash of the value.
 
-    verdict: ``copied`` where at least copied_owners owners hold the value, ``live`` where one owner
-    does and the value looks random (8 distinct characters or more, a digit among them), else
-    ``shared``. Rows are first reduced to (hash, repository, owner), which happens before the shuffle.
+    verdict: ``copied`` where at least copied_owners owners or copied_repos repositories hold the value, ``live``
+    where one owner does and the value looks random (see ``_random``), else ``shared``. Rows are first reduced to
+    (hash, repository, owner), which happens before the shuffle.
     """
     held = spans.filter(F.col("kind").isNotNull()).groupBy(F.sha2("value", 256).alias("secret"), "repo", "owner").agg(F.count("*").alias("n"), F.min("value").alias("value"))
     by_owner = held.groupBy("secret", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.min("value").alias("value"))
     found = by_owner.groupBy("secret").agg(F.sum("n").alias("n_spans"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.min("value").alias("value"))
-    random = (F.size(F.array_distinct(F.split("value", ""))) >= 8) & F.col("value").rlike("[0-9]")
-    verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("n_owners") == 1) & random, LIVE).otherwise("shared")
+    verdict = F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos), "copied").when((F.col("n_owners") == 1) & _random(F.col("value")), LIVE).otherwise("shared")
     return found.select("secret", "n_spans", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
+def _random(value: Column) -> Column:
+    """Whether a value looks random: distinct characters for seven tenths of its length, 8 at most; and a digit, a capital
+    after a small letter or one of +/=, unless it has the form of an access key or a long hex value."""
+    distinct = F.size(F.array_distinct(F.split(value, ""))) >= F.least(F.lit(8), F.ceil(F.length(value) * 7 / 10).cast("int"))
+    return distinct & value.rlike("[0-9]|[a-z][A-Z]|[+/=]|^AKIA[A-Z0-9]{16,}$|^[0-9a-f]{24,}$")
+
+
 def scan_secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3
 ) -> DataFrame:
@@ -142,7 +148,7 @@ def op3_secret_ownership(spark, sf_dir):
 
 
 OP3_SQL = r"""
-WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, source, source || '/' || lang AS repo, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(source, chr(1)) || '/' || coalesce(lang, chr(1)) AS repo, coalesce(text, '') AS text FROM documents),
 found AS (
   SELECT d.row_id, d.doc_id, source, repo, 0 AS kind, 6 AS least, regexp_extract_all(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS hits,
          string_split_regex(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS parts FROM docs d
@@ -155,8 +161,9 @@ spans AS (
          CASE WHEN kind = 0 THEN regexp_extract(hit, '^(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE hit END AS value, least FROM ends),
 good AS (SELECT * FROM spans WHERE length(value) >= least),
 owners AS (
-  SELECT value, CASE WHEN count(DISTINCT source) >= 3 THEN 'copied'
-                     WHEN count(DISTINCT source) = 1 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') THEN 'live' ELSE 'shared' END AS verdict
+  SELECT value, CASE WHEN count(DISTINCT coalesce(source, chr(1))) >= 3 OR count(DISTINCT repo) >= 3 THEN 'copied'
+                     WHEN count(DISTINCT coalesce(source, chr(1))) = 1 AND len(list_distinct(string_split(value, ''))) >= least(8, (7 * length(value) + 9) // 10)
+                          AND regexp_matches(value, '[0-9]|[a-z][A-Z]|[+/=]|^AKIA[A-Z0-9]{16,}$|^[0-9a-f]{24,}$') THEN 'live' ELSE 'shared' END AS verdict
   FROM good GROUP BY value),
 judged AS (SELECT g.*, o.verdict FROM good g JOIN owners o USING (value)),
 allspans AS (
