@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pushgraph.session import table, written
+from pushgraph.session import table, written, written_counted
 
 # Kinds in order, their patterns, the group that holds the secret, its least length.
 KINDS = (
@@ -79,6 +79,23 @@ def _random(value: Column) -> Column:
     return distinct & value.rlike("[0-9]|[a-z][A-Z]|[+/=]|^AKIA[A-Z0-9]{16,}$|^[0-9a-f]{24,}$")
 
 
+#: A value with more than this part of all spans is hot; at most as many values as its inverse can be.
+HOT_PART = 1 / 4096
+
+
+def _judged(spans: DataFrame, copied_owners: int) -> DataFrame:
+    """Base spans with their value's verdict. Values with very many spans, which are few by the bound, are judged where the
+    spans lie; the others meet their verdicts in a shuffle, where no value has more than a small part of the rows."""
+    base, n = written_counted(spans.filter(F.col("kind").isNotNull()).withColumn("secret", F.sha2("value", 256)))
+    verdicts = written(ownership(base, copied_owners=copied_owners).select("secret", "n_spans", "verdict"))
+    is_hot = F.col("n_spans") > max(100, int(n * HOT_PART))
+    hot = F.broadcast(verdicts.filter(is_hot).select("secret", "verdict"))  # 4,096 rows at most
+    cold = verdicts.filter(~is_hot).select("secret", "verdict")
+    marked = base.join(hot, "secret", "left")
+    there = marked.filter(F.col("verdict").isNotNull())
+    return there.unionByName(marked.filter(F.col("verdict").isNull()).drop("verdict").join(cold, "secret"))
+
+
 def scan_secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3
 ) -> DataFrame:
@@ -90,8 +107,9 @@ def scan_secrets(
     as owner and repository. No rows: no rows. Further columns are ignored.
     """
     spans = secret_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_cols=repo_cols)
-    verdicts = ownership(spans, copied_owners=copied_owners).select(F.col("secret").alias("v_secret"), "verdict")
-    judged = spans.withColumn("secret", F.sha2("value", 256)).join(verdicts, F.col("secret") == F.col("v_secret"), "left")
+    # Documents' own rows, which hold no value, go past the judgement.
+    documents = spans.filter(F.col("kind").isNull()).select("row_id", "doc_id", "kind", "start", "end", "value", F.lit(None).cast("string").alias("verdict"))
+    judged = _judged(spans, copied_owners).select("row_id", "doc_id", "kind", "start", "end", "value", "verdict").unionByName(documents)
     span = lambda start, kind, end: F.struct(start.cast("long").alias("start"), kind.cast("int").alias("kind"), end.cast("long").alias("end"), F.col("verdict"))
     base = F.when(F.col("kind").isNotNull(), span(F.col("start"), F.col("kind"), F.col("end")))
     live = F.when(F.col("verdict") == LIVE, span(F.col("end") - F.length("value"), F.lit(len(KINDS)), F.col("end")))
