@@ -3,8 +3,9 @@
 The lexicon is learned from labelled texts: whole words and word beginnings that toxic texts hold
 far more often. Its trie is intersected with the Levenshtein automaton of distance 1 of every word that can
 come, once, as a deterministic automaton over characters; all words of a batch then run through it together.
-A text's score is a logistic model of its exact, misspelled and word-beginning hits, weighed by context windows
-that tell hits among quotation marks, and lone hits, from abuse.
+A hit's severity is what its spelling leaves, times what its context window leaves: less among quotation marks, less
+where no other hit is near. A text's score is a logistic model of its severities' sum and share, whose weights are not
+negative: a misspelled term scores above none, a quoted one below a plain one.
 """
 
 from __future__ import annotations
@@ -23,30 +24,34 @@ from pushgraph.session import small_batches, table
 QUOTES = "\"'«»“”„‘’"
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 NONE, EXACT, FUZZY, BEGIN = 0, 1, 2, 3
-WINDOW = 12
+#: Words around a hit that are looked at: for quotation marks, and for other hits.
+QUOTED_WITHIN, WINDOW = 2, 12
+#: What is left of a hit's severity if it is misspelled, quoted, without another hit near.
+MISSPELLED, QUOTED, LONE = 0.75, 0.25, 0.75
+#: Letters of a term at most: longer runs of letters are no words.
+LONGEST_TERM = 255
 #: Log likelihood ratio of a term; chance seldom reaches it among some 100,000 terms.
 LEAST_GAIN = 8.0
 PIECE = 1 << 20
 
-_LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)])
-_QUOTE = np.zeros(1 << 16, bool)
+_POINTS = 0x110000
+_LETTER = np.array([chr(c).isalpha() for c in range(_POINTS)])
+_QUOTE = np.zeros(_POINTS, bool)
 _QUOTE[[ord(c) for c in QUOTES]] = True
-_SPACE = np.zeros(1 << 16, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Automaton:
     """Deterministic automaton of the lexicon: for a word, which term it is, misspells or begins with.
 
     A state is a set of (trie node, edits) pairs. Reading a character follows the trie without edit, or
-    with one edit replaces it, inserts it, or skips a trie character. Terms shorter than ``least`` are matched
-    exactly only. Word beginnings are matched without edits and absorb what follows.
+    with one edit replaces it, inserts it, or skips a trie character. Terms shorter than ``least`` and those in
+    ``plain`` are matched exactly only. Word beginnings are matched without edits and absorb what follows.
     """
 
-    def __init__(self, words: list[str], beginnings: list[str], least: int = 5) -> None:
+    def __init__(self, words: list[str], beginnings: list[str], least: int = 5, plain: frozenset[str] = frozenset()) -> None:
         self.words, self.beginnings = words, beginnings
         alphabet = sorted({c for t in (*words, *beginnings) for c in t})
-        self.klass = np.zeros(1 << 16, np.int64)
+        self.klass = np.zeros(_POINTS, np.int32)
         for i, c in enumerate(alphabet, 1):
             self.klass[ord(c)] = i
         width = len(alphabet) + 1
@@ -73,7 +78,8 @@ class Automaton:
             at = grow(begin_root, t)
             if term[at] is None:
                 term[at] = (BEGIN, i)
-        long_enough = {n for t in words if len(t) >= least for n in self._path(kids, t)}
+        edited = {t for t in words if len(t) >= least} - plain
+        long_enough = {n for t in edited for n in self._path(kids, t)}
 
         def close(state: set[tuple[int, int]]) -> frozenset:
             out = set(state)
@@ -89,7 +95,7 @@ class Automaton:
             exact = [term[n][1] for n, e in state if e == 0 and term[n] is not None and term[n][0] == EXACT]
             if exact:
                 return EXACT, min(exact)
-            near = [term[n][1] for n, e in state if e == 1 and term[n] is not None and term[n][0] == EXACT and len(words[term[n][1]]) >= least]
+            near = [term[n][1] for n, e in state if e == 1 and term[n] is not None and term[n][0] == EXACT and words[term[n][1]] in edited]
             return (FUZZY, min(near)) if near else (NONE, 0)
 
         start = close({(0, 0), (begin_root, 0)})
@@ -144,7 +150,7 @@ class Automaton:
             if not len(active):
                 break
             c = chars[starts[active] + step]
-            state[active] = self.table[state[active], self.klass[np.where(c < 1 << 16, c, 0)]]
+            state[active] = self.table[state[active], self.klass[c]]
             active = active[state[active] > 0]
         kind, term = self.kinds[state], self.terms[state]
         too_long = (ends - starts > self.longest) & (kind != BEGIN)
@@ -179,46 +185,86 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, part
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased code points, starts, ends, text of each word); words are runs of letters."""
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased code points, starts, ends, text of each word, where each text begins); words are runs of letters."""
     lowered = [t.lower() for t in texts]
     chars = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    small = np.where(chars < 1 << 16, chars, 0)
-    letter = _LETTER[small]
+    letter = _LETTER[chars]
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bounds = np.cumsum([len(t) + 1 for t in lowered])
-    return chars, starts, ends, np.searchsorted(bounds, starts, "right")
+    begins = np.cumsum([0] + [len(t) + 1 for t in lowered])
+    return chars, starts, ends, np.searchsorted(begins[1:], starts, "right"), begins
 
 
-FEATURES = ("exact", "misspelled", "beginnings", "quoted", "isolated", "exact_share", "beginning_share", "window")
+FEATURES = ("severity", "share")
 
 
 def features(texts: list[str], automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
     """(features, hits) of each text: a row of FEATURES; hits by kind (exact, misspelled, beginning)."""
-    chars, starts, ends, text = _words(texts)
+    chars, starts, ends, text, begins = _words(texts)
     n = len(texts)
     kind, _ = automaton.match(chars, starts, ends)
     words = np.bincount(text, minlength=n).astype(float)
     hit = np.flatnonzero(kind != NONE)
-    hits = np.stack([np.bincount(text[hit][kind[hit] == k], minlength=n) for k in (EXACT, FUZZY, BEGIN)], axis=1).astype(float)
-    # Context windows: a hit is quoted where quotation marks stand just before and after it, or close by on
-    # both sides; it is isolated where no other hit is within WINDOW words.
-    small = np.where(chars < 1 << 16, chars, 0)
-    marks = np.concatenate(([0], np.cumsum(_QUOTE[small])))
-    left = starts[np.maximum(hit - 2, 0)]
-    right = ends[np.minimum(hit + 2, len(ends) - 1)] if len(ends) else hit
-    quoted = (marks[starts[hit]] > marks[np.minimum(left, starts[hit])]) & (marks[np.minimum(np.maximum(right, ends[hit]) + 1, len(chars))] > marks[ends[hit]])
-    before = np.full(len(hit), 10**9)
-    before[1:] = np.where(text[hit][1:] == text[hit][:-1], np.diff(hit), 10**9)
-    after = np.append(before[1:], 10**9)
-    alone = np.minimum(before, after) > WINDOW
-    weight = np.where(quoted, 0.25, 1.0) * np.where(kind[hit] == FUZZY, 0.5, 1.0) * np.where(alone, 0.75, 1.0)
-    window = np.bincount(text[hit], weights=weight, minlength=n)
-    per = lambda x: np.bincount(text[hit], weights=x.astype(float), minlength=n)
-    share = lambda x: np.log1p(200 * x / np.maximum(words, 20))
-    columns = [np.log1p(hits[:, 0]), np.log1p(hits[:, 1]), np.log1p(hits[:, 2]), np.log1p(per(quoted)), np.log1p(per(alone)), share(hits[:, 0]), share(hits[:, 2]), np.log1p(window)]
-    return np.stack(columns, axis=1), hits
+    owner = text[hit]
+    hits = np.stack([np.bincount(owner[kind[hit] == k], minlength=n) for k in (EXACT, FUZZY, BEGIN)], axis=1).astype(float)
+    quoted, lone = _context(chars, starts, ends, text, begins, hit)
+    severity = np.where(kind[hit] == FUZZY, MISSPELLED, 1.0) * np.where(quoted, QUOTED, 1.0) * np.where(lone, LONE, 1.0)
+    total = np.bincount(owner, weights=severity, minlength=n)
+    return np.stack([np.log1p(total), np.log1p(200 * total / np.maximum(words, 20))], axis=1), hits
+
+
+def _context(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, begins: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(quoted, lone) of each hit, a word's number. It is quoted where quotation marks stand on both sides, with no more than
+    QUOTED_WITHIN words of its text between, an apostrophe among letters being none; lone where none of the WINDOW words on
+    either side is a hit."""
+    if not len(hit):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    letter = _LETTER[chars]
+    inner = np.zeros(len(chars), bool)
+    inner[1:-1] = letter[:-2] & letter[2:]
+    upto = np.concatenate(([0], np.cumsum(_QUOTE[chars] & ~inner)))
+    owner, far = text[hit], QUOTED_WITHIN + 1
+    before, after = np.maximum(hit - far, 0), np.minimum(hit + far, len(starts) - 1)
+    left = np.where((hit >= far) & (text[before] == owner), ends[before], begins[owner])
+    right = np.where((hit + far < len(starts)) & (text[after] == owner), starts[after], begins[owner + 1] - 1)
+    quoted = (upto[starts[hit]] > upto[left]) & (upto[right] > upto[ends[hit]])
+    gap = np.where(np.diff(owner) == 0, np.diff(hit), 10**9)
+    before, after = np.concatenate(([10**9], gap)), np.concatenate((gap, [10**9]))
+    return quoted, np.minimum(before, after) > WINDOW
+
+
+def _near_counts(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
+    """(term, texts, toxic): how many texts of each batch hold a misspelling of each word of the lexicon."""
+    for batch in batches:
+        for first, texts in _pieces(batch.column("text")):
+            toxic = batch.column("toxic").slice(first, len(texts)).to_numpy(zero_copy_only=False)
+            chars, starts, ends, text, _ = _words(texts)
+            kind, term = automaton.match(chars, starts, ends)
+            near = np.unique(np.stack([text[kind == FUZZY], term[kind == FUZZY]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([automaton.words[t] for t in near[:, 1]], pa.string()), pa.array(np.ones(len(near), np.int64)), pa.array(toxic[near[:, 0]].astype(np.int64))], ["term", "n", "toxic"])
+
+
+def _fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights, none of them negative but the last, the constant, of a logistic model with a ridge: Newton steps on the
+    features left, of which the one with the most negative weight goes until there is none."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.column_stack([x[:, used], np.ones(len(x))])
+        w = np.zeros(a.shape[1])
+        ridge = np.append(np.full(len(used), 1.0), 1e-6)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
+            w += np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-9:
+                break
+        if not used or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[used] = w[:-1]
+            out[-1] = w[-1]
+            return out
+        used.pop(int(np.argmin(w[:-1])))
 
 
 def _terms(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -226,11 +272,12 @@ def _terms(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> It
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for x, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            chars, starts, ends, _ = _words([x.as_py() or ""])
+            chars, starts, ends, _, _ = _words([x.as_py() or ""])
             text = chars.tobytes().decode("utf-32-le", "surrogatepass")
             found = set()
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                found.add(text[a:b] + " ") if b - a <= 24 else None
+                if b - a <= LONGEST_TERM:
+                    found.add(text[a:b] + " ")
                 found.update(text[a : a + k] for k in range(shortest, min(longest, b - a - 1) + 1))
             for t in found:
                 c = counts.setdefault(t, [0, 0])
@@ -270,13 +317,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_
     """A model from the labelled rows that are not held out, most_rows of them at most (by hash of the id).
 
     Terms are all those whose share of toxic texts exceeds that of others e**2 times, in least_texts toxic
-    texts or more, with a log likelihood ratio above LEAST_GAIN; the best first, whole words before beginnings. Labels without text, ids without a label and null labels are
-    left out; of an id labelled twice, the higher label counts. Without any toxic label the lexicon is empty
-    and the score is the labels' mean, 0 if there are none.
+    texts or more, with a log likelihood ratio above LEAST_GAIN; the best first, whole words before beginnings. Words of the
+    lexicon whose misspellings are not found e**2 times as often in toxic texts, though least_texts texts hold them, are
+    matched exactly only: what is near to them are other words. Labels without text, ids without a label and null labels are
+    left out; of an id labelled twice, the higher label counts, of an id with several texts the least. Without any toxic
+    label the lexicon is empty and the score is the labels' mean, 0 if there are none.
     """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select(F.col("doc_id").alias("l_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "toxic").persist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     try:
         total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
         n, t = total["n"], total["t"]
@@ -289,10 +338,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_
         gain = F.col("k") * F.log(p) + (t - F.col("k")) * F.log(1 - p) + (F.col("n") - F.col("k")) * F.log(q) + (n - t - F.col("n") + F.col("k")) * F.log(1 - q)
         both = (F.col("n") + 0.5) / (n + 1.0)
         gain = gain - F.col("n") * F.log(both) - (n - F.col("n")) * F.log(1 - both)
-        good = terms.filter((F.col("k") >= least_texts) & (F.log(p / q) > 2)).withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
+        telling = F.log(p / q) > 2
+        good = terms.filter((F.col("k") >= least_texts) & telling).withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
         found = good.orderBy(F.desc(F.round("gain", 6)), F.desc(F.endswith("term", F.lit(" "))), "term").collect()
         words, beginnings = _chosen([r["term"] for r in found])
-        automaton = Automaton(words, beginnings)
+        edited = Automaton(words, beginnings)
+        near = rows.mapInArrow(lambda b: _near_counts(b, edited), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("k"))
+        others = frozenset(r["term"] for r in near.filter((F.col("n") >= least_texts) & ~telling).collect())  # words of the lexicon
+        automaton = Automaton(words, beginnings, plain=others) if others else edited
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -300,23 +353,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_
                     x, _ = features(texts, automaton)
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic").slice(first, len(texts))], ["x", "y"])
 
-        sample = rows.mapInArrow(measured, "x array<double>, y int").collect()  # most_rows rows of 9 numbers at most
+        sample = rows.mapInArrow(measured, "x array<double>, y int").collect()  # most_rows rows of a few numbers at most
     finally:
         rows.unpersist()
     sample = sorted((*r["x"], r["y"]) for r in sample)  # one order, whatever the partitions
     data = np.array(sample, float)
     x, y = data[:, :-1], data[:, -1]
     center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    a = np.column_stack([(x - center) / scale, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
-    ridge = np.append(np.full(a.shape[1] - 1, 1.0), 1e-6)
-    for _ in range(50):  # Newton steps of the penalised likelihood
-        p1 = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p1 * (1 - p1))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p1) - ridge * w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
-            break
-    return Model(automaton, w, center, scale)
+    return Model(automaton, _fitted((x - center) / scale, y), center, scale)
 
 
 def score_texts(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:

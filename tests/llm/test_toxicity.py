@@ -1,6 +1,8 @@
 """The automaton against edit distances; learning on planted words; odd input."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -44,11 +46,66 @@ def test_automaton():
     assert [(w, int(k)) for w, k in zip(words, kind, strict=True)] == [(w, brute(w)) for w in words]
 
 
-def test_quotation_counts_less():
-    a = X.Automaton(WORDS, [])
-    plain, quoted = X.features(["you moron and idiot", 'they said "moron" and "idiot"'], a)[0]
-    window, marks = X.FEATURES.index("window"), X.FEATURES.index("quoted")
-    assert plain[window] > quoted[window] and plain[marks] == 0 < quoted[marks]
+def brute_features(text, model):
+    """Severity and share of a text, word by word."""
+    text, a = (text or "").lower(), model.automaton
+    plain = lambda w: w in a.words or any(w.startswith(b) for b in a.beginnings)
+    words, hits = list(re.finditer(r"[^\W\d_]+", text)), {}
+    for i, m in enumerate(words):
+        if plain(m[0]):
+            hits[i] = 1.0
+        elif any(len(t) >= 5 and distance(m[0], t) == 1 for t in a.words):
+            hits[i] = X.MISSPELLED
+    marks = [i for i, c in enumerate(text) if c in X.QUOTES and not (0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha())]
+    total = 0.0
+    for i, severity in hits.items():
+        left = words[i - 3].end() if i >= 3 else 0
+        right = words[i + 3].start() if i + 3 < len(words) else len(text)
+        if any(left <= m < words[i].start() for m in marks) and any(words[i].end() <= m < right for m in marks):
+            severity *= X.QUOTED
+        if not any(j != i and abs(j - i) <= X.WINDOW for j in hits):
+            severity *= X.LONE
+        total += severity
+    return [np.log1p(total), np.log1p(200 * total / max(len(words), 20))]
+
+
+def test_whole_query_by_brute_force(corpus, spark, tmp_path):
+    docs, labels, truth = corpus
+    docs, labels = docs.select("doc_id", "text"), labels
+    more = spark.createDataFrame([(9200 + i, t) for i, t in enumerate(QUOTES)], docs.schema)
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r["doc_id"], r["text"]): r for r in X.op7_toxicity(spark, str(tmp_path)).join(docs.unionByName(more), "doc_id").collect()}
+    model = X.learn(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    assert {"idiot", "scum"} <= set(model.automaton.words) and (model.weights[:-1] >= 0).all() and model.weights[:-1].any()
+    for (doc, text), r in got.items():
+        z = ((np.array(brute_features(text, model)) - model.center) / model.scale) @ model.weights[:-1] + model.weights[-1]
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(doc).encode()) % 4 == 2)
+
+
+QUOTES = ["he said \"moron\" to me", "don't moron can't", "'a b moron c d' ef", "'a b c moron d e f'", "\"x\"\nmoron \"y\"", "moron", "« idiot »\nidiot", "x moron y idiot z " * 3, "a𐐀moron moron"]
+
+
+def test_spelling_and_quotation_through_the_learned_model(corpus, spark):
+    docs, labels, _ = corpus
+    model = X.learn(docs, labels)
+    texts = ["a clean sentence about nothing", "a clean sentence about morno", "a clean sentence about idiott", "a clean sentence about idiot", 'a clean sentence about "idiot" he said', "a clean sentence about idiot he said"]
+    clean, far, misspelled, plain, quoted, unquoted = model.score(X.features(texts, model.automaton)[0])
+    assert clean == far < misspelled < plain and clean < quoted < unquoted
+
+
+def test_words_near_to_a_term_that_clean_texts_hold(spark):
+    rows = [(i, f"you idiot w{'x' * (i % 7)}", 1) for i in range(60)] + [(100 + i, f"the idiom w{'x' * (i % 7)}", 0) for i in range(300)] + [(500 + i, f"a b c w{'x' * (i % 7)}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = X.learn(docs, docs)
+    assert [r["n_misspelled"] for r in X.score_texts(docs, model).filter("doc_id between 100 and 110").collect()] == [0] * 11
+
+
+def test_repeated_ids(spark, corpus):
+    docs, labels, _ = corpus
+    again = docs.unionByName(docs).unionByName(docs.filter("doc_id = 3").withColumn("text", X.F.lit("zz")))
+    one, two = X.learn(docs, labels), X.learn(again, labels)
+    assert one.automaton.words == two.automaton.words and np.allclose(one.weights, two.weights)
 
 
 @pytest.fixture(scope="module")
