@@ -1,17 +1,21 @@
 """License scan: normalised text against license templates by Dice coefficient over word bigrams.
 
-Any run of whole lines can be a license notice. A run is compared with a template only if their numbers
-of bigrams are near enough for the threshold: Dice >= t needs n * t / (2 - t) <= m <= n * (2 - t) / t.
-Lines without a word of any template start and end no run: without them it is as near or nearer. A template whose bigrams a
-text holds too few of, whatever the run, is not looked for in it.
+Any run of words can be a license notice, within a line or over many. A run is compared with a template only if their
+numbers of bigrams are near enough for the threshold: Dice >= t needs n * t / (2 - t) <= m <= n * (2 - t) / t; a template
+whose bigrams a text holds too few of, whatever the run, is not looked for in it. The nearest run starts and ends
+with a bigram of the template that stands nowhere else in the run, as without it the run is as near or nearer: other runs are not
+looked at, and for each start all ends are measured at once.
 """
 
 from __future__ import annotations
 
+import heapq
 import pkgutil
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,92 +91,115 @@ def dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
-class _Words:
-    """Stands for all bigrams that hold one of words."""
+class _Text:
+    """A text's words, its bigrams by number, and for each place of a bigram the places of the same before and after."""
 
-    def __init__(self, words: set[str]) -> None:
-        self.words = words
-
-    def isdisjoint(self, pairs) -> bool:
-        return all(self.words.isdisjoint(p) for p in pairs)
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.numbers = words, {}
+        n = max(0, len(words) - 1)
+        self.code = np.fromiter((self.numbers.setdefault(p, len(self.numbers)) for p in zip(words, words[1:], strict=False)), np.int64, n)
+        order = np.argsort(self.code, kind="stable")
+        same = np.flatnonzero(np.diff(self.code[order]) == 0)
+        self.before, self.after = np.full(n, -1), np.full(n, n)
+        self.before[order[same + 1]] = order[same]
+        self.after[order[same]] = order[same + 1]
 
 
 class Matcher:
-    """Templates indexed for run-of-lines comparison."""
+    """Templates indexed by their bigrams."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = 0.85) -> None:
         self.threshold = threshold
         self.templates = [(name, bigrams(normalised(text))) for name, text in templates]
         self.templates = [(name, b) for name, b in self.templates if b]
-        self.low = [threshold * len(b) / (2 - threshold) for _, b in self.templates]
-        self.high = [(2 - threshold) * len(b) / threshold for _, b in self.templates]
+        self.low = [threshold * len(b) / (2 - threshold) - 1e-9 for _, b in self.templates]
+        self.high = [(2 - threshold) * len(b) / threshold + 1e-9 for _, b in self.templates]
         self.holders: dict[tuple[str, ...], list[int]] = {}
         for t, (_, b) in enumerate(self.templates):
             for pair in b:
                 self.holders.setdefault(pair, []).append(t)
-        self.alone = [t for t, (_, b) in enumerate(self.templates) if any(len(p) == 1 for p in b)]
-        self.known = _Words({w for p in self.holders for w in p})
+        self.alone = {p[0]: ts for p, ts in self.holders.items() if len(p) == 1}
 
-    def _wanted(self, words: list[str]) -> set[int]:
-        """Templates that some run of the text can reach: a run shares the least size of one at least with it."""
+    def _wanted(self, words: list[str]) -> list[int]:
+        """Templates that some run of two words or more can reach: a run shares the least size of one at least with it."""
         shared = [0] * len(self.templates)
         for pair in self.holders.keys() & set(zip(words, words[1:], strict=False)):
             for t in self.holders[pair]:
                 shared[t] += 1
-        return {t for t, n in enumerate(shared) if n >= self.low[t] - 1e-9}.union(self.alone)
-
-    def runs(self, text: str) -> list[tuple[float, int, int, int]]:
-        """(dice, template, first line, last line) of every run of lines that reaches the threshold."""
-        wanted = self._wanted(normalised(text))
-        if not wanted:
-            return []
-        sets = [normalised(line) for line in text.split("\n")]
-        hits = [i for i, words in enumerate(sets) if not self.known.words.isdisjoint(words)]
-        holders = {p: [t for t in ts if t in wanted] for p, ts in self.holders.items() if not wanted.isdisjoint(ts)}
+        return [t for t, n in enumerate(shared) if n and n >= self.low[t]]
+
+    def _end(self, text: _Text, hit: np.ndarray, t: int, start: int, stop: int) -> tuple[float, int]:
+        """(dice, end) of the nearest run of bigrams from start that ends before stop, the shortest of equals."""
+        stop, size = min(stop, int(text.after[start])), len(self.templates[t][1])
+        best, m, s, a, width = (0.0, -1), 0, 0, start, 2 * size + 16
+        while a < stop and m <= self.high[t]:
+            b = min(stop, a + width)
+            new = text.before[a:b] < start
+            shared = new & hit[a:b]
+            held, both = m + np.cumsum(new), s + np.cumsum(shared)
+            near = np.where(shared & (held <= self.high[t]), 2 * both / (held + size), 0.0)
+            j = int(np.argmax(near))
+            if near[j] > best[0]:
+                best = (float(near[j]), a + j)
+            m, s, a, width = int(held[-1]), int(both[-1]), b, 2 * width
+        return best
+
+    def runs(self, words: list[str]) -> list[tuple[float, int, int, int]]:
+        """(dice, template, first word, last word): the nearest run of all, then in the same way those in what is left before
+        and after it. Of equally near ones the larger template, the shorter run, the earlier one, the earlier template."""
+        queue: list[tuple] = [(-1.0, -1, 1, i, t, i) for i, w in enumerate(words) if w in self.alone for t in self.alone[w]] if self.alone else []
+        hits: dict[int, np.ndarray] = {}
+        if wanted := self._wanted(words):
+            text = _Text(words)
+            member = {t: np.zeros(len(text.numbers), bool) for t in wanted}
+            for pair in text.numbers.keys() & self.holders.keys():
+                for t in self.holders[pair]:
+                    if t in member:
+                        member[t][text.numbers[pair]] = True
+
+            def ask(t: int, i: int, stop: int) -> None:
+                d, j = self._end(text, hits[t], t, i, stop)
+                if d >= self.threshold:
+                    heapq.heappush(queue, (-d, -len(self.templates[t][1]), j - i + 2, i, t, j + 1))
+
+            for t in wanted:
+                hits[t] = member[t][text.code]
+                upto = np.concatenate(([0], np.cumsum(hits[t])))
+                starts = np.flatnonzero(hits[t])
+                for i in starts[upto[text.after[starts]] - upto[starts] >= self.low[t]].tolist():
+                    ask(t, i, len(text.code))
+        heapq.heapify(queue)
+        taken: list[tuple[int, int]] = []
         found = []
-        most = max(self.high[t] for t in wanted)
-        for at, a in enumerate(hits):
-            words: list[str] = []
-            held: set[tuple[str, ...]] = set()
-            shared: dict[int, int] = {}
-            last = a - 1
-            for b in hits[at:]:
-                for line in range(last + 1, b + 1):
-                    joined = words[-1:] + sets[line]
-                    for pair in zip(joined, joined[1:], strict=False):
-                        if pair not in held:
-                            held.add(pair)
-                            for t in holders.get(pair, ()):
-                                shared[t] = shared.get(t, 0) + 1
-                    words += sets[line]
-                    if len(held) > most:
-                        break
-                last = b
-                if len(held) > most:
-                    break
-                if len(words) == 1:
-                    size, both = 1, dict.fromkeys(holders.get((words[0],), ()), 1)
-                else:
-                    size, both = len(held), shared
-                for t, n in both.items():
-                    if self.low[t] <= size <= self.high[t] and (d := 2 * n / (size + len(self.templates[t][1]))) >= self.threshold:
-                        found.append((d, t, a, b))
+        while queue:
+            d, _, length, i, t, last = heapq.heappop(queue)
+            at = bisect_right(taken, (i, len(words)))
+            if at and taken[at - 1][1] >= i:
+                continue
+            free = taken[at][0] if at < len(taken) else len(words)
+            if last >= free:
+                if length > 1 and free - i > 1:
+                    ask(t, i, free - 1)
+                continue
+            insort(taken, (i, last))
+            found.append((-d, t, i, last))
         return found
 
-    def best(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, dice, first line, last line): runs that don't overlap, the nearest first, in order of lines."""
-        taken: list[tuple[int, int]] = []
-        out = []
-        for d, t, a, b in sorted(self.runs(text), key=lambda r: (-r[0], -len(self.templates[r[1]][1]), r[2], r[3], r[1])):
-            if all(b < x or a > y for x, y in taken):
-                taken.append((a, b))
-                out.append((self.templates[t][0], d, a, b))
-        return sorted(out, key=lambda r: r[2])
+    def best(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
+        """(license, dice, first line, last line, first word, last word) of the runs, in order."""
+        found = sorted(self.runs(normalised(text)), key=lambda r: r[2])
+        if not found:
+            return []
+        upto = np.cumsum([len(normalised(line)) for line in text.split("\n")])
+        line = lambda word: int(np.searchsorted(upto, word, "right"))
+        return [(self.templates[t][0], d, line(a), line(b), a, b) for d, t, a, b in found]
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.85) -> DataFrame:
-    """One row for each input row: (doc_id, license, dice, n_found, found); license and dice of the nearest match,
-    the larger template of equals; found lists (license, dice, first, last) with line numbers from 0.
+    """One row for each input row: (doc_id, license, dice, n_found, found); license and dice of the nearest match, the first of
+    equals; found lists (license, dice, first, last, first_word, last_word) in order, with line and word numbers from 0. Runs don't
+    overlap: the nearest is found, then likewise in what is before and after it; of equally near ones the larger
+    template's, the shorter, the earlier.
 
     Null and empty texts, and texts without a match, have a null license and nothing found. Rows are independent:
     repeated rows give repeated rows, no rows give none. Further columns are ignored.
@@ -181,7 +208,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher.value
-        kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
+        places = ("first", "last", "first_word", "last_word")
+        kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), *((p, pa.int32()) for p in places)]))
         for batch in batches:
             names, scores, found = [], [], []
             for x in batch.column("text"):
@@ -190,13 +218,13 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 top = max(rows, key=lambda r: r[1], default=(None, None))
                 names.append(top[0])
                 scores.append(top[1])
-                found.append([dict(zip(("license", "dice", "first", "last"), r, strict=True)) for r in rows])
+                found.append([dict(zip(("license", "dice", *places), r, strict=True)) for r in rows])
             n = pa.array([len(f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), n, pa.array(found, kind)], ["doc_id", "license", "dice", "n_found", "found"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scan, f"doc_id {id_kind}, license string, dice double, n_found long, found array<struct<license:string,dice:double,first:int,last:int>>"
+        scan, f"doc_id {id_kind}, license string, dice double, n_found long, found array<struct<license:string,dice:double,first:int,last:int,first_word:int,last_word:int>>"
     )
 
 
