@@ -128,7 +128,7 @@ def repeated_words(
             out[0].append(V.runs(h, size, 2)[found].view(np.int64))
             out[1].append((V.runs(h, size, 3)[found] >> V.U(48)).astype(np.uint16).view(np.int16))
             out[2].append(np.full(len(found), who, np.int64))
-            out[3].append(np.full(len(found), batch.column("tag")[r].as_py(), np.int32))
+            out[3].append(np.full(len(found), batch.column("tag")[r].as_py(), np.int64))
             out[4].append(found.astype(np.int32))
             held += len(found)
             if held > 300_000:
@@ -158,9 +158,9 @@ def repeated_words(
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc", "tag", "pos")], ["doc", "tag", "pos"])
 
     # The tag tells rows apart that share an id.
-    tagged = docs.withColumn("tag", F.hash("text"))
-    every = tagged.mapInArrow(candidates, "key long, low short, doc long, tag int, pos int, settled boolean")
-    taken = every.repartition("key").sortWithinPartitions("key", "low", "doc").mapInArrow(later, "doc long, tag int, pos int")
+    tagged = docs.withColumn("tag", F.xxhash64("text"))
+    every = tagged.mapInArrow(candidates, "key long, low short, doc long, tag long, pos int, settled boolean")
+    taken = every.repartition("key").sortWithinPartitions("key", "low", "doc").mapInArrow(later, "doc long, tag long, pos int")
     marks = taken.groupBy("doc", "tag").agg(F.collect_set("pos").alias("at"))
     joined = tagged.join(marks, (F.col("doc_id") == F.col("doc")) & (tagged["tag"] == marks["tag"]), "left").select("doc_id", "text", "at")
 
