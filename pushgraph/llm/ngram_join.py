@@ -49,8 +49,17 @@ def _sets(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa
                 yield batch, r, np.unique(V.runs(w, min(K, max(1, len(w))), 4))
 
 
-def _digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digests(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """The halves of the set's digest of 128 bits; the first one has only so many bits."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    first, second = (int.from_bytes(x, "little", signed=True) for x in (d[:8], d[8:]))
+    return first & ((1 << bits) - 1) if bits < 64 else first, second
+
+
+def _class_of(s: np.ndarray, clashes: frozenset[int], bits: int) -> int:
+    """The set's class: the first half of its digest, or the second where other sets have the same first."""
+    first, second = _digests(s, bits)
+    return second if first in clashes else first
 
 
 def _prefix_length(n: int) -> int:
@@ -79,13 +88,22 @@ def _rare_prefix(s: np.ndarray, levels: bytes, bits: int) -> np.ndarray:
 
 
 def _prefix_rows(sets: Iterator[tuple[int, np.ndarray]], prefix) -> Iterator[pa.RecordBatch]:
-    """(token, size, class) rows of the sets' prefixes."""
+    """(token, size, class) rows of the sets' prefixes. Classes that meet among the rows held are linked here: one of them goes
+    on under the token and size, the others as (class, -1, that one), so that no token's rows are many in one place."""
     rows, held = [], 0
 
     def flush() -> pa.RecordBatch:
         n = [len(x[0]) for x in rows]
-        arrays = [np.concatenate([x[0] for x in rows]).view(np.int64), np.repeat(np.array([x[1] for x in rows], np.int32), n), np.repeat(np.array([x[2] for x in rows], np.int64), n)]
+        token, size, node = np.concatenate([x[0] for x in rows]).view(np.int64), np.repeat(np.array([x[1] for x in rows], np.int32), n), np.repeat(np.array([x[2] for x in rows], np.int64), n)
         rows.clear()
+        order = np.lexsort((node, size, token))
+        token, size, node = token[order], size[order], node[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
+        first = node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        others = node != first
+        links = np.unique(np.stack([node[others], first[others]], axis=1), axis=0)
+        arrays = [np.concatenate((token[new], links[:, 0])), np.concatenate((size[new], np.full(len(links), -1, np.int32))), np.concatenate((node[new], links[:, 1]))]
         return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "size", "class"])
 
     for node, s in sets:
@@ -137,11 +155,11 @@ class _Forest:
         return [(x, self.find(x)) for x in list(self.up) if self.find(x) != x]
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+def _new_sets(batches: Iterator[pa.RecordBatch], class_of) -> Iterator[tuple[int, np.ndarray]]:
     """(class, set) for the sets of a partition; copies of those that it has just seen are left out."""
     seen: set[int] = set()
     for _, _, s in _sets(batches, "text"):
-        if not len(s) or (node := _digest(s)) in seen:
+        if not len(s) or (node := class_of(s)) in seen:
             continue
         if len(seen) < 200_000:
             seen.add(node)
@@ -156,12 +174,19 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, size, class): neighbours with the same token and near sizes have met."""
+    """Rows sorted by (token, size, class): neighbours with the same token and near sizes have met, as have those of size -1."""
     forest, last = _Forest(), (None, 0, 0)
     for batch in batches:
         if not batch.num_rows:
             continue
         token, size, node = (batch.column(c).to_numpy() for c in ("token", "size", "class"))
+        met = size < 0
+        for a, b in zip(token[met].tolist(), node[met].tolist(), strict=True):
+            forest.meet(a, b)
+        if met.any():
+            token, size, node = token[~met], size[~met], node[~met]
+            if not len(token):
+                continue
         if token[0] == last[0] and size[0] - last[1] <= 1 and node[0] != last[2]:
             forest.meet(int(node[0]), last[2])
         meets = np.flatnonzero((token[1:] == token[:-1]) & (size[1:] - size[:-1] <= 1) & (node[1:] != node[:-1]))
@@ -202,7 +227,7 @@ def _joined(rows: DataFrame) -> DataFrame:
 
 
 def linked(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 8_000_000, pivots: int = 64, bits: int | None = None, most_bits: int = 28
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 8_000_000, pivots: int = 64, bits: int | None = None, most_bits: int = 28, class_bits: int = 64
 ) -> DataFrame:
     """One row for each input row: (doc_id, text_key, n_shingles, component, component_id); text_key is
     xxhash64 of the text, component tells groups apart (null for empty sets).
@@ -211,18 +236,19 @@ def linked(
     has fewer words; empty for a null text or one without words. Two rows link when 100 * common >=
     80 * union; an empty set links with nothing, and its component_id is its own id. component_id is the
     least id that links reach. Rows with equal sets are one class, so repeated rows and copies are never paired.
-    A null id is no component's name and gets a null component_id if nothing else is reached. Sets are
-    compared by 64-bit hashes. No rows: no rows. Further columns are ignored.
+    A null id is no component's name and gets a null component_id if nothing else is reached. Shingles are
+    compared by 64-bit hashes, sets by 128 bits: the few whose first class_bits are those of another are named by their others.
+    No rows: no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, keys, classes, sizes = None, [], [], [], []
+        now, ids, keys, classes, checks, sizes = None, [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, classes, sizes)], ["doc_id", "text_key", "class", "n"])
-            for x in (ids, keys, classes, sizes):
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, classes, checks, sizes)], ["doc_id", "text_key", "class", "other", "n"])
+            for x in (ids, keys, classes, checks, sizes):
                 x.clear()
             return out
 
@@ -232,25 +258,35 @@ def linked(
             now = batch
             ids.append(batch.column("doc_id")[r].as_py())
             keys.append(batch.column("text_key")[r].as_py())
-            classes.append(_digest(s))
+            first, second = _digests(s, class_bits)
+            classes.append(first)
+            checks.append(second)
             sizes.append(len(s))
         yield flush()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, s in _new_sets(batches):
+        for _, s in _new_sets(batches, class_of):
             yield s[: np.searchsorted(s, SKETCHED, "right")]
 
-    base = written(docs.mapInArrow(describe, "doc_id long, text_key long, class long, n long"))
+    base = written(docs.mapInArrow(describe, "doc_id long, text_key long, class long, other long, n long"))
+    grouped = lambda: base.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("other").alias("a"), F.max("other").alias("b"))
+    nodes = written(grouped())
+    # Of n sets about n**2 / 2**65 share their first half with another: three of 10**10.
+    clashes = frozenset(r["class"] for r in nodes.filter("a <> b").select("class").collect())
+    if clashes:
+        base = written(base.withColumn("class", F.when(F.col("class").isin(*clashes), F.col("other")).otherwise(F.col("class"))))
+        nodes = written(grouped())
+    nodes = nodes.select("class", "least", "n")
+    class_of = lambda s: _class_of(s, clashes, class_bits)
     if bits is None:
         bits = min(most_bits, max(16, math.ceil(math.log2(max(1, base.agg(F.sum("n")).first()[0] or 0)))))
     repeated = spark.sparkContext.broadcast(repeated_bits(docs.select("text"), sketched, depth=1, bits=bits))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _prefix_rows(_new_sets(batches), lambda s: _prefix(s, repeated.value, bits))
+        return _prefix_rows(_new_sets(batches, class_of), lambda s: _prefix(s, repeated.value, bits))
 
     clusters = written(_clusters(docs.select("text").mapInArrow(prefixes, _PREFIX)))
     repeated.unpersist()
-    nodes = base.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     # A fixed-size bitmap of the classes in clusters keeps other sets from moving.
     wide = 26
     position = F.shiftrightunsigned("class", 64 - wide) + 1  # Spark counts positions from 1
@@ -273,7 +309,7 @@ def linked(
         for _, _, s in _sets(batches, "text"):
             if not len(s):
                 continue
-            node = _digest(s)
+            node = class_of(s)
             p = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - wide)
             if node in seen or not bits_of[p >> 3] >> (p & 7) & 1:
                 continue
@@ -316,7 +352,7 @@ def linked(
     if n_large:
         links = links.unionByName(_large(sets.filter(F.col("blocks") > 1), clusters, pivots))
     parts = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
-    named = nodes.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    named = nodes.select("class", "least").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     names = named.groupBy("part").agg(F.min("least").alias("name"))
     named = named.join(names, "part").select("class", "name", "part")
     out = base.join(named, "class", "left")

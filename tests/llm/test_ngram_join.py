@@ -66,5 +66,20 @@ def test_brute_force(spark, seed, block):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_sets_with_the_same_first_half_of_a_digest(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_components(df, class_bits=4).collect()), key=repr) == brute(rows)
+
+
+def test_a_token_in_all_sets(spark):
+    """A passage in very many texts, whose rows are linked where they are; some of them are near copies too."""
+    r = random.Random(6)
+    shared = " ".join(f"s{i}" for i in range(8))
+    rows = [(i, shared + " " + " ".join(f"x{r.randrange(40)}" for _ in range(r.choice([1, 2, 3, 30])))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string, component_id int, class string")).collect() == []
