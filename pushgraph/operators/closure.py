@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from pushgraph.operators.pds import EPS
 from pushgraph.plans.fixpoint import Relation, fixpoint
+from pushgraph.session import forget, written, written_counted
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    """Distinct (qid, src, dst), as a table: whatever they come from is computed once, not once a round."""
+    return written(edges.select("qid", "src", "dst").distinct())
 
 
 def reachable(edges: DataFrame, start: DataFrame, **limits) -> DataFrame:
@@ -14,7 +20,7 @@ def reachable(edges: DataFrame, start: DataFrame, **limits) -> DataFrame:
 
     A frontier join: each round reads only the nodes that the last one found.
     """
-    e = edges.select("qid", "src", "dst").distinct()
+    e = _edges(edges)
     step = lambda total, delta: delta.withColumnRenamed("node", "src").join(e, ["qid", "src"]).select("qid", F.col("dst").alias("node"))
     return fixpoint(start.select("qid", "node"), step, keys=["qid", "node"], **limits).whole()
 
@@ -25,7 +31,7 @@ def transitive_closure(edges: DataFrame, *, doubling: bool = True, **limits) ->
     doubling joins the new pairs with all pairs on both sides: the number of rounds is the logarithm of
     the longest path. Without it, a round is a join with the edges.
     """
-    e = edges.select("qid", "src", "dst").distinct()
+    e = _edges(edges)
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.select(F.col("qid").alias("r_qid"), F.col("src").alias("r_src"), F.col("dst").alias("r_dst"))
@@ -44,13 +50,25 @@ def epsilon_closure(trans: DataFrame, **limits) -> DataFrame:
 
 
 def on_cycle(edges: DataFrame, **limits) -> DataFrame:
-    """(qid, node): nodes that lie on a cycle (a loop is one)."""
-    return transitive_closure(edges, **limits).filter(F.col("src") == F.col("dst")).select("qid", F.col("src").alias("node"))
+    """(qid, node): nodes that lie on a cycle (a loop is one). Only edges between cycles, or on them, are closed over."""
+    return transitive_closure(cyclic_core(edges), **limits).filter(F.col("src") == F.col("dst")).select("qid", F.col("src").alias("node"))
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """(qid, src, dst): edges on cycles or between them. Edges that nothing leads to, or that lead to nothing, are peeled off
+    until there are none; a round is two semi joins with the edges left."""
+    e, n = written_counted(edges.select("qid", "src", "dst").distinct())
+    while n:
+        fed = e.join(e.select("qid", F.col("dst").alias("src")).distinct(), ["qid", "src"], "left_semi")
+        left, m = written_counted(fed.join(e.select("qid", F.col("src").alias("dst")).distinct(), ["qid", "dst"], "left_semi").select("qid", "src", "dst"))
+        forget(e)
+        e, n = left, 0 if m == n else m
+    return e
 
 
-def has_cycle(edges: DataFrame, **limits) -> DataFrame:
+def has_cycle(edges: DataFrame) -> DataFrame:
     """(qid, cyclic) for each qid of edges."""
-    cyclic = on_cycle(edges, **limits).select("qid").distinct().withColumn("cyclic", F.lit(True))
+    cyclic = cyclic_core(edges).select("qid").distinct().withColumn("cyclic", F.lit(True))
     return edges.select("qid").distinct().join(cyclic, "qid", "left").select("qid", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
@@ -59,7 +77,7 @@ def depths(edges: DataFrame, start: DataFrame, longest: bool = False, max_rounds
 
     longest gives up on a cycle, as a path through it has no end: after max_rounds, or as many rounds as a qid has nodes.
     """
-    e = edges.select("qid", "src", "dst").distinct()
+    e = _edges(edges)
     if longest and max_rounds is None:
         nodes = e.select("qid", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("qid").count()
         max_rounds = nodes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1
@@ -78,7 +96,7 @@ class _Least:
 
 def longest_label_path(trans: DataFrame, start: DataFrame, **limits) -> DataFrame:
     """(qid, labels): the largest set of labels on a path without repeated labels from (qid, node); ties by order."""
-    t = trans.select("qid", "src", "label", "dst").distinct()
+    t = written(trans.select("qid", "src", "label", "dst").distinct())
     first = start.select("qid", F.col("node"), F.expr("cast(array() as array<string>)").alias("labels"))
 
     def step(total: DataFrame, delta: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ rule:  qid, kind ('normal', 'push', 'pop', 'open'), s1, l1, s2, l2, site, w
 trans: qid, src, label, dst, w
 
 l1 '*' matches every label. l2 '*' (normal) and site '*' (push) copy the label read; l2 'not:f' copies it
-unless it is f. A copy never copies an epsilon. A push makes the state gen(s2, l2). 'open' is a pop off an
-empty stack that goes on at (s2, l2): a return to any caller.
+unless it is f. A copy never copies an epsilon. A push makes the state gen(s2, l2), which alone may begin with '<': rules
+that name such a state are refused. 'open' is a pop off an empty stack that goes on at (s2, l2): a return to any caller.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import UNWEIGHTED, Semiring
 from pushgraph.plans.fixpoint import Relation, fixpoint
+from pushgraph.session import written
 
 EPS, EMPTY, ANY, NOT = "eps", "{}", "*", "not:"
 KEYS = ["qid", "src", "label", "dst"]
@@ -29,8 +30,14 @@ def is_gen(state: Column) -> Column:
     return state.startswith("<")
 
 
+def own_state(state: Column) -> Column:
+    """state, or an error where its name is kept for states that pushes make."""
+    return F.when(is_gen(state), F.raise_error(F.concat(F.lit("a state may not begin with '<': "), state)).cast("string")).otherwise(state)
+
+
 def normalised_rules(rules: DataFrame) -> DataFrame:
     """Distinct rules (weight included) without those that change nothing."""
+    rules = rules.withColumns({"s1": own_state(F.col("s1")), "s2": own_state(F.col("s2"))})
     return rules.filter(~((F.col("kind") == "normal") & (F.col("s1") == F.col("s2")) & (F.col("l1") == F.col("l2")))).distinct()
 
 
@@ -75,22 +82,49 @@ def epsilon_step(total: DataFrame, delta: DataFrame, semiring: Semiring) -> Data
     return closed(delta, total).unionByName(closed(total, delta)).filter(~((F.col("src") == F.col("dst")) & (F.col("label") == EPS)))
 
 
+def through_empty_step(total: DataFrame, delta: DataFrame, rules: DataFrame, semiring: Semiring) -> DataFrame:
+    """Pops that look through the empty stack's label: (p, {}, q) and (q, l, r) with a pop of l at p give (s2, eps, r)."""
+    pops = rules.filter("kind = 'pop'").select(F.col("qid").alias("r_qid"), "s1", "l1", "s2", F.col("w").alias("r_w"))
+
+    def popped(empty: DataFrame, edges: DataFrame) -> DataFrame:
+        e = empty.filter(F.col("label") == EMPTY).select("qid", F.col("src").alias("p"), F.col("dst").alias("mid"), F.col("w").alias("e_w"))
+        e = e.join(pops, (F.col("qid") == F.col("r_qid")) & (F.col("p") == F.col("s1")))
+        g = edges.select(F.col("qid").alias("g_qid"), F.col("src").alias("g_src"), "label", "dst", F.col("w").alias("g_w"))
+        hit = e.join(g, (F.col("qid") == F.col("g_qid")) & (F.col("mid") == F.col("g_src")) & ((F.col("l1") == ANY) | (F.col("l1") == F.col("label"))))
+        w = semiring.extend(semiring.extend(F.col("g_w"), F.col("e_w")), F.col("r_w"))
+        return hit.filter(F.col("label") != EPS).select("qid", F.col("s2").alias("src"), F.lit(EPS).alias("label"), "dst", w.alias("w"))
+
+    return popped(delta, total).unionByName(popped(total, delta))
+
+
 def _least(start: DataFrame, step, semiring: Semiring, limits: dict) -> Relation:
     if semiring is UNWEIGHTED:  # a constant weight: rows are a plain set
         return fixpoint(start.select(*KEYS, "w"), step, keys=[*KEYS, "w"], **limits)
     return fixpoint(start.select(*KEYS, "w"), step, keys=KEYS, weight="w", semiring=semiring, **limits)
 
 
-def post_star(rules: DataFrame, initial: DataFrame, semiring: Semiring = UNWEIGHTED, *, unbalanced: DataFrame | None = None, **limits) -> Relation:
-    """All transitions of the automaton of configurations reachable from initial (qid, src, label, dst, w)."""
-    rules = normalised_rules(rules).cache()
-    step = lambda total, delta: rule_step(delta, rules, semiring, unbalanced).unionByName(epsilon_step(total, delta, semiring))
+def post_star(rules: DataFrame, initial: DataFrame, semiring: Semiring = UNWEIGHTED, *, unbalanced: DataFrame | None = None, through_empty: bool = False, **limits) -> Relation:
+    """All transitions of the automaton of configurations reachable from initial (qid, src, label, dst, w).
+
+    through_empty: pops are also tried behind a transition with the empty stack's label.
+    """
+    rules = written(normalised_rules(rules))
+
+    def step(total: DataFrame, delta: DataFrame) -> DataFrame:
+        out = rule_step(delta, rules, semiring, unbalanced).unionByName(epsilon_step(total, delta, semiring))
+        return out.unionByName(through_empty_step(total, delta, rules, semiring)) if through_empty else out
+
     return _least(initial, step, semiring, limits)
 
 
 def pre_star(rules: DataFrame, initial: DataFrame, semiring: Semiring = UNWEIGHTED, **limits) -> Relation:
-    """All transitions of the automaton of configurations from which initial can be reached."""
-    r = normalised_rules(rules).select(F.col("qid").alias("r_qid"), "kind", "s1", "l1", "s2", "l2", "site", F.col("w").alias("r_w")).cache()
+    """All transitions of the automaton of configurations from which initial can be reached.
+
+    Wildcards stand for the labels that the rules and initial name.
+    """
+    named = rules.select("qid", F.explode(F.array("l1", "l2", "site")).alias("label")).unionByName(initial.select("qid", "label")).distinct()
+    named = named.filter(F.col("label").isNotNull() & ~F.col("label").isin("", EPS, ANY) & ~F.col("label").startswith(NOT))
+    r = written(instantiated(normalised_rules(rules), named).select(F.col("qid").alias("r_qid"), "kind", "s1", "l1", "s2", "l2", "site", F.col("w").alias("r_w")))
 
     def step(total: DataFrame, delta: DataFrame) -> DataFrame:
         normal = delta.withColumnRenamed("w", "t_w").join(r.filter("kind = 'normal'"), (F.col("qid") == F.col("r_qid")) & (F.col("src") == F.col("s2")) & (F.col("label") == F.col("l2")))
@@ -133,7 +167,9 @@ def summaries(trans: DataFrame) -> DataFrame:
 def instantiated(rules: DataFrame, labels: DataFrame) -> DataFrame:
     """Wildcard rules as plain ones, one for each label of (qid, label) that they match."""
     names = labels.select(F.col("qid").alias("n_qid"), F.col("label").alias("name")).distinct()
-    plain = rules.filter(F.col("l1") != ANY)
+    copy = (F.col("l2") == ANY) | F.col("l2").startswith(NOT)
+    plain = rules.filter((F.col("l1") != ANY) & ~F.coalesce(F.col("l2") == F.concat(F.lit(NOT), "l1"), F.lit(False)))
+    plain = plain.withColumns({"l2": F.when(copy, F.col("l1")).otherwise(F.col("l2")), "site": F.when(F.col("site") == ANY, F.col("l1")).otherwise(F.col("site"))})
     wild = rules.filter(F.col("l1") == ANY).join(names, (F.col("qid") == F.col("n_qid")) & (F.col("l2").isNull() | (F.col("l2") != F.concat(F.lit(NOT), F.col("name")))))
     l2 = F.when((F.col("l2") == ANY) | F.col("l2").startswith(NOT), F.col("name")).otherwise(F.col("l2"))
     site = F.when(F.col("site") == ANY, F.col("name")).otherwise(F.col("site"))

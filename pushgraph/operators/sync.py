@@ -11,18 +11,20 @@ are statements. A node is reached if both automata hold it; only reached nodes h
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import UNWEIGHTED
-from pushgraph.operators.pds import EMPTY, EPS, KEYS, epsilon_step, is_gen, rule_step
+from pushgraph.operators.pds import EMPTY, EPS, KEYS, epsilon_step, gen, is_gen, own_state, rule_step
 from pushgraph.plans.fixpoint import COMPACT, Growing
-from pushgraph.session import written
+from pushgraph.session import forget, written
 
 SEP = "\u0001"
 FIELD_END, CALL_END = "field_end", "call_end"
+FIELD, CALL = "field", "call"
 NODE = ["qid", "stmt", "val"]
 
 
@@ -30,8 +32,9 @@ def node_id(stmt, val):
     return F.concat(stmt, F.lit(SEP), val)
 
 
-def rules_of(flow: DataFrame, unbalanced: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(field rules, call rules) of flow rows, a rule of each system for a row."""
+def rules_of(flow: DataFrame, unbalanced: bool = False, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(field rules, call rules) of flow rows, a rule of each system for a row; without distinct, equal rules may be repeated."""
+    flow = flow.withColumns({c: own_state(F.col(c)) for c in ("stmt", "val", "to_stmt", "to_val")})
     node, to_node, kind, sym, none = node_id(F.col("stmt"), F.col("val")), node_id(F.col("to_stmt"), F.col("to_val")), F.col("kind"), F.col("sym"), F.lit("")
     rule = lambda kind, s1, l1, s2, l2, site: F.struct(F.lit(kind).alias("kind"), s1.alias("s1"), l1.alias("l1"), s2.alias("s2"), l2.alias("l2"), site.alias("site"), F.lit(0).cast("bigint").alias("w"))
     star = F.lit("*")
@@ -50,57 +53,112 @@ def rules_of(flow: DataFrame, unbalanced: bool = False) -> tuple[DataFrame, Data
     if unbalanced:
         leave = flow.filter(kind == "call_pop").select("qid", rule("open", F.col("val"), F.col("stmt"), F.col("to_val"), F.col("to_stmt"), none).alias("r")).select("qid", "r.*")
         call = call.unionByName(leave)
-    return field.distinct(), call.distinct()
-
-
-def synchronised(seeds: DataFrame, flows: DataFrame | Callable[[DataFrame], DataFrame], *, unbalanced: bool = False, more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (field.distinct(), call.distinct()) if distinct else (field, call)
+
+
+class BudgetExceeded(RuntimeError):
+    """The time is used up: reached, fields and calls are what was found until then."""
+
+    def __init__(self, seconds: float, reached: DataFrame, fields: DataFrame, calls: DataFrame) -> None:
+        super().__init__(f"no fixpoint after {seconds} seconds: rows are missing")
+        self.reached, self.fields, self.calls = reached, fields, calls
+
+
+def synchronised(
+    seeds: DataFrame,
+    flows: DataFrame | Callable[[DataFrame], DataFrame],
+    *,
+    unbalanced: bool = False,
+    more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None,
+    keep_field: Callable[[DataFrame], DataFrame] | None = None,
+    keep_call: Callable[[DataFrame], DataFrame] | None = None,
+    field_start: DataFrame | None = None,
+    listen: Callable[[str, DataFrame], None] | None = None,
+    max_rounds: int | None = None,
+    budget_seconds: float | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, field transitions, call transitions) from seeds (qid, stmt, val).
 
     flows: the flow rows, or a function from newly reached nodes to theirs (the demand-driven form). All
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
     more(reached, field transitions) is asked when nothing grows any more: seeds (qid, stmt, val) that it
-    returns go on from there, None ends. Runs until nothing grows; an error after max_rounds.
+    returns go on from there, None ends. keep_field, keep_call: filters of new transitions. field_start: further field
+    transitions (qid, src, label, dst) to start with. listen(name, rows) gets each round's new rows of ``reached``, ``field``,
+    ``call``, ``field_rule`` and ``call_rule``, the first of them all that are there.
+    Runs until nothing grows; RuntimeError after max_rounds, BudgetExceeded (with what was found) after budget_seconds.
     """
     flow_of = flows if callable(flows) else lambda new: flows.join(new.select(*NODE), NODE, "left_semi")
     zero = F.lit(0).cast("bigint").alias("w")
+    keep = (keep_field or (lambda t: t), keep_call or (lambda t: t))
+    tell = listen or (lambda name, rows: None)
     field_seed = lambda n: n.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"), zero)
     call_seed = lambda n: n.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"), zero)
-    fields, calls = Growing(field_seed(seeds), [*KEYS, "w"]), Growing(call_seed(seeds), [*KEYS, "w"])
+    first = field_seed(seeds) if field_start is None else field_seed(seeds).unionByName(field_start.select("qid", "src", "label", "dst", zero))
+    # Both systems are one relation, told apart by their part of the query's name: a round of both is one job.
+    part = lambda rows, name: rows.withColumn("qid", F.struct("qid", F.lit(name).alias("of")))
+    of = lambda rows, name: rows.filter(F.col("qid.of") == name).withColumn("qid", F.col("qid.qid"))
+    both_parts = lambda f, c: part(f, FIELD).unionByName(part(c, CALL))
+    systems = Growing(both_parts(first, call_seed(seeds)), [*KEYS, "w"])
     reached = Growing(seeds.select(*NODE), NODE)
+    for name, rows in (("field", of(systems.delta, FIELD)), ("call", of(systems.delta, CALL)), ("reached", reached.delta)):
+        tell(name, rows)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return both_parts(keep[0](of(rows, FIELD)), keep[1](of(rows, CALL))) if keep_field or keep_call else rows
+
     # Each node is new once, so its rules are new with it: they are kept, not compared.
-    rules: list[tuple[DataFrame, DataFrame]] = []
-    all_rules: tuple[DataFrame, DataFrame] | None = None
-    fresh = reached.delta
+    rules: list[DataFrame] = []
+    all_rules: DataFrame | None = None
+    fresh, began = reached.delta, time.monotonic()
     for n in itertools.count():
         if n == max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        if budget_seconds is not None and time.monotonic() - began > budget_seconds:
+            raise BudgetExceeded(budget_seconds, reached.total, of(systems.total, FIELD), of(systems.total, CALL))
         new = None
         if fresh is not None:
-            new = rules_of(written(flow_of(fresh)), unbalanced)
-            rules.append(new)
-            all_rules = new if all_rules is None else tuple(a.unionByName(b) for a, b in zip(all_rules, new, strict=True))
-            if len(rules) % COMPACT == 0:
-                all_rules = tuple(written(r) for r in all_rules)
-        grown = False
-        for i, system in enumerate((fields, calls)):
-            step = rule_step(system.delta, all_rules[i], UNWEIGHTED).unionByName(epsilon_step(system.total, system.delta, UNWEIGHTED))
-            grown |= system.grow(step if new is None else step.unionByName(rule_step(system.total, new[i], UNWEIGHTED)))
-        if not grown:
-            seeds = more(reached.total, fields.total) if more else None
+            rules.append(written(flow_of(fresh)))
+            if len(rules) > COMPACT:
+                whole = rules[0]
+                for r in rules[1:]:
+                    whole = whole.unionByName(r)
+                whole = written(whole)
+                forget(*rules[:-1])
+                new, rules = rules_of(rules[-1], unbalanced, False), [whole]
+            else:
+                new = rules_of(rules[-1], unbalanced, False)
+            flow = rules[0]
+            for r in rules[1:]:
+                flow = flow.unionByName(r)
+            all_rules = both_parts(*rules_of(flow, unbalanced, False))
+            tell("field_rule", new[0])
+            tell("call_rule", new[1])
+        step = rule_step(systems.delta, all_rules, UNWEIGHTED).unionByName(epsilon_step(systems.total, systems.delta, UNWEIGHTED))
+        if new is not None:
+            step = step.unionByName(rule_step(systems.total, both_parts(*new), UNWEIGHTED))
+        if systems.grow(kept(step)):
+            tell("field", of(systems.delta, FIELD))
+            tell("call", of(systems.delta, CALL))
+        else:
+            seeds = more(reached.total, of(systems.total, FIELD)) if more else None
             if seeds is None:
                 break
-            fields.grow(field_seed(seeds))
-            calls.grow(call_seed(seeds))
+            systems.grow(both_parts(field_seed(seeds), call_seed(seeds)))
             fresh = reached.delta if reached.grow(seeds) else None
+            if fresh is not None:
+                tell("reached", fresh)
             continue
         live = lambda t: t.filter(~is_gen(F.col("src")) & (F.col("label") != EPS))
         parts = F.split("src", SEP)
         by_field = lambda t: live(t).select("qid", parts[0].alias("stmt"), parts[1].alias("val")).distinct()
         by_call = lambda t: live(t).select("qid", F.col("label").alias("stmt"), F.col("src").alias("val")).distinct()
-        both = by_field(fields.delta).join(by_call(calls.total), NODE, "left_semi").unionByName(by_call(calls.delta).join(by_field(fields.total), NODE, "left_semi"))
+        new_fields, fields, new_calls, calls = (of(t, name) for name in (FIELD, CALL) for t in (systems.delta, systems.total))
+        both = by_field(new_fields).join(by_call(calls), NODE, "left_semi").unionByName(by_call(new_calls).join(by_field(fields), NODE, "left_semi"))
         fresh = reached.delta if reached.grow(both) else None
-    return reached.total, fields.total, calls.total
+        if fresh is not None:
+            tell("reached", fresh)
+    return reached.total, of(systems.total, FIELD), of(systems.total, CALL)
 
 
 def empty_stack_nodes(reached: DataFrame, fields: DataFrame, calls: DataFrame) -> DataFrame:
@@ -109,3 +167,19 @@ def empty_stack_nodes(reached: DataFrame, fields: DataFrame, calls: DataFrame) -
     f = fields.filter((F.col("label") == EMPTY) & (F.col("dst") == FIELD_END)).select("qid", parts[0].alias("stmt"), parts[1].alias("val"))
     c = calls.filter((F.col("dst") == CALL_END) & ~is_gen(F.col("src"))).select("qid", F.col("label").alias("stmt"), F.col("src").alias("val"))
     return reached.join(f, NODE, "left_semi").join(c, NODE, "left_semi")
+
+
+def returned_through(calls: DataFrame) -> DataFrame:
+    """(qid, stmt, val): facts that a procedure's own automaton hands to its callers: an epsilon of the procedure leads into the
+    state of a call, and each of that state's return sites is a node of the caller."""
+    back = calls.filter((F.col("label") == EPS) & is_gen(F.col("dst"))).select("qid", F.col("src").alias("val"), F.col("dst").alias("state"))
+    sites = calls.filter(is_gen(F.col("src")) & (F.col("label") != EPS)).select("qid", F.col("src").alias("state"), F.col("label").alias("stmt"))
+    return back.join(sites, ["qid", "state"]).select(*NODE).distinct()
+
+
+def field_seed_path(seeds: DataFrame, field: str) -> DataFrame:
+    """(qid, src, label, dst): field transitions with which each seed is also found in a field of itself."""
+    node = node_id(F.col("stmt"), F.col("val"))
+    made = gen(node, F.lit(field))
+    edges = F.array(F.struct(node.alias("src"), F.lit(field).alias("label"), made.alias("dst")), F.struct(made.alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst")))
+    return seeds.select("qid", F.explode(edges).alias("e")).select("qid", "e.*")

@@ -13,13 +13,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import Semiring
-from pushgraph.session import written, written_counted
+from pushgraph.session import forget, written, written_counted
 
-COMPACT = 6
+COMPACT = 4
 
 
 @dataclass
@@ -39,53 +39,60 @@ class Relation:
 
 
 class Growing:
-    """A set of rows that only grows, or a weighted one whose weights are merged."""
+    """A set of rows that only grows, or a weighted one whose weights are merged.
+
+    It is kept as a few tables: what was there and what each round added. A weighted one holds a key's earlier weights beside
+    its last until they are merged, which costs nothing but their room: what follows from an earlier weight is a part of what
+    follows from the last. Nothing but the rows of a round is written in it; every COMPACT rounds the tables become one.
+    """
 
     def __init__(self, start: DataFrame, keys: list[str], weight: str | None = None, semiring: Semiring | None = None) -> None:
         self.keys, self.weight, self.semiring = keys, weight, semiring
-        first = self._merged(start)
-        self.delta = written(first)
+        self.delta = written(self._merged(start))
         self.total = self.delta
-        self._parts = [self.delta]
+        self._parts, self._loose = [self.delta], []
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         if self.weight is None:
             return rows.select(*self.keys).distinct()
         return rows.groupBy(*self.keys).agg(self.semiring.combine(F.col(self.weight)).alias(self.weight))
 
+    def _changed(self, candidates: DataFrame) -> DataFrame:
+        """Rows that candidates add, or whose weight they change."""
+        fresh = self._merged(candidates)
+        if self.weight is None:
+            return fresh.join(self.total, self.keys, "left_anti")
+        w, old = self.weight, F.col("_old")
+        met = self._merged(self.total.join(fresh.select(*self.keys), self.keys, "left_semi"))
+        rows = fresh.withColumn("_old", F.lit(False)).unionByName(met.withColumn("_old", F.lit(True)))
+        merged = rows.groupBy(*self.keys).agg(self.semiring.combine(F.col(w)).alias("_new"), F.first(F.when(old, F.col(w)), ignorenulls=True).alias("_was"), F.max("_old").alias("_old"))
+        return merged.filter(~old | ~F.col("_new").eqNullSafe(F.col("_was"))).select(*self.keys, F.col("_new").alias(w))
+
     def grow(self, candidates: DataFrame) -> bool:
         """Adds the candidates; whether anything changed. The next delta is what did."""
-        if self.weight is None:
-            fresh = self._merged(candidates)
-            delta, n = written_counted(fresh.join(self.total, self.keys, "left_anti"))
-            if not n:
-                self.delta = delta
-                return False
-            self._parts.append(delta)
-            self.total = self._parts[0]
-            for p in self._parts[1:]:
-                self.total = self.total.unionByName(p)
-            if len(self._parts) > COMPACT:
-                self.total = written(self.total)
-                self._parts = [self.total]
-        else:
-            # One aggregate over old and new rows merges the weights and tells which changed.
-            w, old = self.weight, F.col("_old")
-            rows = candidates.select(*self.keys, w, F.lit(False).alias("_old")).unionByName(self.total.withColumn("_old", F.lit(True)))
-            merged = rows.groupBy(*self.keys).agg(self.semiring.combine(F.col(w)).alias("_new"), F.first(F.when(old, F.col(w)), ignorenulls=True).alias("_was"), F.max("_old").alias("_old"))
-            merged = merged.select(*self.keys, F.col("_new").alias(w), (~old | ~F.col("_new").eqNullSafe(F.col("_was"))).alias("_changed"))
-            seen = Observation()
-            table = written(merged.observe(seen, F.coalesce(F.sum(F.col("_changed").cast("bigint")), F.lit(0)).alias("n")))
-            delta = table.filter("_changed").drop("_changed")
-            if not seen.get["n"]:
-                self.delta = delta
-                return False
-            self.total = table.drop("_changed")
-        self.delta = delta
+        self.delta, n = written_counted(self._changed(candidates))
+        forget(*self._loose)
+        self._loose = []
+        if not n:
+            self._loose = [self.delta]
+            return False
+        self._parts.append(self.delta)
+        if len(self._parts) > COMPACT:
+            whole = written(self._merged(self._union()))
+            forget(*self._parts[:-1])
+            self._parts, self._loose = [whole], [self.delta]  # the delta is still read in the next round
+        self.total = self._union()
         return True
 
+    def _union(self) -> DataFrame:
+        out = self._parts[0]
+        for p in self._parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def relation(self, rounds: int, timed_out: bool) -> Relation:
-        return Relation(self.total, self.delta, rounds, timed_out)
+        total = self.total if self.weight is None or len(self._parts) == 1 else self._merged(self.total)
+        return Relation(total, self.delta, rounds, timed_out)
 
 
 def fixpoint(

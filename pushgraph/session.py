@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session has none (a local test run) is a temporary folder set.
+    Only a local session without one gets a temporary folder: elsewhere the executors would each write to their own disk.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pushgraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,7 +32,18 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; frames that are derived from them can't be read again."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written_counted(df: DataFrame) -> tuple[DataFrame, int]:
