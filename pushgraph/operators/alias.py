@@ -2,27 +2,32 @@
 
 Every allocation is a forward query; all of them run in one batch. A store makes a heap edge from each
 allocation that its base may point to, to each that is stored; a load of the field from an alias of the base
-continues the stored allocation's query there. The two alternate until no load gains anything.
+continues the stored allocation's query there. The two alternate until no load gains anything. backward_solve() asks
+about given facts only: it first finds the allocations that can matter to them, backwards, and solves those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pushgraph.operators.flows import Options, forward
+from pushgraph.operators.flows import STATIC, Options, backward, forward
 from pushgraph.operators.pds import EMPTY, EPS, is_gen
-from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, synchronised
+from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, BudgetExceeded, field_seed_path, synchronised
 from pushgraph.plans.fixpoint import fixpoint
-from pushgraph.session import written, written_counted
-from pushgraph.sources.ir import Program, dispatch, is_allocation, killed_values, used_values
+from pushgraph.session import forget, written, written_counted
+from pushgraph.sources.ir import Program, allocations, dispatch, has, killed_values, subtype_closure, used_values
 
 
 @dataclass
 class Solution:
-    """points: (qid, stmt, val) where val points to allocation qid after stmt; seeds: (qid, stmt, val, type)."""
+    """points: (qid, stmt, val) where val points to allocation qid after stmt; seeds: (qid, stmt, val, type, kind).
+
+    timed_out: the budget ended before the fixpoint, so that rows may be missing.
+    """
 
     program: Program
     seeds: DataFrame
@@ -31,19 +36,79 @@ class Solution:
     fields: DataFrame
     calls: DataFrame
     heap: DataFrame
+    timed_out: bool = False
 
 
 def allocation_seeds(p: Program, options: Options) -> DataFrame:
-    chosen = p.alloc.filter(is_allocation(strings=options.track_strings, nulls=options.track_nulls, arrays=options.array_flows))
-    return chosen.select(F.xxhash64("stmt", "val").alias("qid"), "stmt", "val", "type").distinct()
+    chosen = allocations(p, **options.allocation())
+    return chosen.select(F.xxhash64("stmt", "val").alias("qid"), "stmt", "val", "type", "kind").distinct()
+
+
+def _field_start(seeds: DataFrame, options: Options) -> DataFrame:
+    """Allocations of arrays of arrays are found in their cells too, strings in their character array."""
+    cells = field_seed_path(seeds.filter(F.lit(options.array_flows) & (F.col("kind") == "multi_array")), "array")
+    return cells.unionByName(field_seed_path(seeds.filter("kind = 'string'"), "value"))
+
+
+def own_calls(p: Program) -> Callable[[DataFrame], DataFrame]:
+    """A filter of call transitions: those of a value at a statement of another method go, statics and pushed states stay."""
+    owner = written(p.local.select(F.col("val").alias("src"), F.col("method").alias("_owner")).distinct())
+    where = p.stmt.select(F.col("stmt").alias("label"), F.col("method").alias("_at"))
 
+    def keep(t: DataFrame) -> DataFrame:
+        both = t.join(owner, "src", "left").join(where, "label", "left")
+        exempt = is_gen(F.col("src")) | F.col("src").startswith(STATIC) | F.col("_owner").isNull() | F.col("_at").isNull()
+        return both.filter(exempt | (F.col("_owner") == F.col("_at"))).select(*t.columns)
 
-def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None) -> Solution:
+    return keep
+
+
+def typed_fields(p: Program, seeds: DataFrame, options: Options) -> Callable[[DataFrame], DataFrame]:
+    """A filter of field transitions: a value with no field left whose declared type the allocation can't have goes.
+
+    Equal types, statics, unknown and phantom types stay; a ``new`` must be of a subtype of what is declared; any other allocation
+    of an interface stays, else one of the two types must be a subtype of the other. With kill_null_at_cast, null goes where it is
+    cast.
+    """
+    known = p.class_info.select("type", "phantom", "interface")
+    info = lambda rows, name, mark: rows.join(known.select(F.col("type").alias(name), F.col("phantom").alias(f"_{mark}_phantom"), F.col("interface").alias(f"_{mark}_interface")), name, "left")
+    alloc = written(info(seeds.select("qid", F.col("type").alias("_type"), F.col("kind").alias("_kind")), "_type", "a"))
+    declared = written(info(p.local.filter("type is not null").select(F.col("val").alias("_val"), F.col("type").alias("_declared")).distinct(), "_declared", "d"))
+    below = subtype_closure(p)
+    pairs = below.select(F.col("sub").alias("_type"), F.col("sup").alias("_declared"), F.lit(True).alias("_below"), F.lit(False).alias("_above"))
+    pairs = pairs.unionByName(below.select(F.col("sup").alias("_type"), F.col("sub").alias("_declared"), F.lit(False).alias("_below"), F.lit(True).alias("_above")))
+    pairs = written(pairs.groupBy("_type", "_declared").agg(F.max("_below").alias("_below"), F.max("_above").alias("_above")))
+    casts = p.cast.select(F.col("stmt").alias("_stmt"), F.col("rhs").alias("_val"), F.lit(True).alias("_cast")).distinct()
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    unknown = F.col("_type").isNull() | F.col("_declared").isNull() | (F.col("_kind") == "null") | is_true("_a_phantom") | is_true("_d_phantom")
+    related = F.when(F.col("_kind") == "new", is_true("_below")).otherwise(is_true("_a_interface") | is_true("_below") | is_true("_above"))
+
+    def keep(t: DataFrame) -> DataFrame:
+        plain = (F.col("label") == EMPTY) & (F.col("dst") == FIELD_END) & ~is_gen(F.col("src"))
+        parts = F.split("src", SEP)
+        some = t.withColumns({"_stmt": F.when(plain, parts[0]), "_val": F.when(plain, parts[1])}).join(alloc, "qid", "left").join(declared, "_val", "left")
+        some = some.join(pairs, ["_type", "_declared"], "left").filter(~plain | unknown | (F.col("_type") == F.col("_declared")) | related)
+        if options.kill_null_at_cast:
+            some = some.join(casts, ["_stmt", "_val"], "left").filter(F.col("_cast").isNull() | (F.col("_kind") != "null"))
+        return some.select(*t.columns)
+
+    return keep
+
+
+def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None) -> Solution:
     """Points-to facts of all allocations (or those of seeds), field- and context-sensitive in locals, with
     a heap that keeps fields apart but not the order of stores. max_rounds: passes through the heap that may find
-    something, without end by default; an error where one more is needed."""
-    seeds = written(allocation_seeds(p, options) if seeds is None else seeds)
-    flow = forward(p, options)
+    something, without end by default; an error where one more is needed. listen: see synchronised().
+
+    With options.on_the_fly_call_graph, virtual calls run what their receivers' allocations dispatch to, from the program's
+    entry methods on. A solution that options.timeout_seconds ends is marked timed_out.
+    """
+    if options.on_the_fly_call_graph and seeds is None:
+        return call_graph(p, p.entry, replace_option(options, on_the_fly_call_graph=False))[1]
+    seeds = allocation_seeds(p, options) if seeds is None else seeds
+    seeds = written(seeds if "kind" in seeds.columns else seeds.withColumn("kind", F.lit("new")))
+    nulls = seeds.filter("kind = 'null'").select("qid") if options.track_nulls and (has(p, "null_branch") or has(p, "flag_branch")) else None
+    flow = forward(p, options, nulls)
     edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct().cache()
     stores = p.store.select("stmt", F.col("base").alias("val"), "field", "rhs").cache()
     reads = p.load.select("stmt", F.col("base").alias("val"), "field", "lhs").cache()
@@ -61,7 +126,10 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
         points = empty_stack_nodes_any_context(reached, fields)
         before, heap = heap_of(points)
         gained = before.join(reads, ["stmt", "val"]).select(F.col("qid").alias("base"), "field", "stmt", F.col("lhs").alias("val"))
-        new, n = written_counted(gained.join(heap, ["base", "field"]).select(*NODE).distinct().join(points, NODE, "left_anti"))
+        gained = gained.join(heap, ["base", "field"]).select(*NODE).distinct()
+        if keep_point:
+            gained = keep_point(gained)
+        new, n = written_counted(gained.join(points, NODE, "left_anti"))
         if not n:
             return None
         if passes == max_rounds:
@@ -70,10 +138,126 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
         return new
 
     more = through_heap if options.aliasing and options.track_fields else None
-    reached, fields, calls = synchronised(seeds.select(*NODE), flow, unbalanced=True, more=more)
+    locals_known = has(p, "local")
+    keep_field = typed_fields(p, seeds, options) if options.type_check and locals_known else None
+    keep_point = _typed_points(keep_field) if keep_field else None
+    late = False
+    try:
+        reached, fields, calls = synchronised(
+            seeds.select(*NODE), flow, unbalanced=True, more=more, keep_field=keep_field, keep_call=own_calls(p) if locals_known else None,
+            field_start=_field_start(seeds, options) if options.track_fields else None, listen=listen, budget_seconds=options.timeout_seconds,
+        )
+    except BudgetExceeded as e:
+        reached, fields, calls, late = e.reached, e.fields, e.calls, True
     points = written(empty_stack_nodes_any_context(reached, fields))
     _, heap = heap_of(points)
-    return Solution(p, seeds, points, reached, fields, calls, written(heap))
+    heap = written(heap)
+    flow.release()
+    for t in (edge, stores, reads):
+        t.unpersist()
+    return Solution(p, seeds, points, reached, fields, calls, heap, late)
+
+
+def _typed_points(keep_field: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The filter of field transitions for facts (qid, stmt, val) without fields."""
+
+    def keep(points: DataFrame) -> DataFrame:
+        parts = F.split("src", SEP)
+        as_transitions = points.select("qid", F.concat("stmt", F.lit(SEP), "val").alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"))
+        return keep_field(as_transitions).select("qid", parts[0].alias("stmt"), parts[1].alias("val"))
+
+    return keep
+
+
+def replace_option(options: Options, **changes) -> Options:
+    from dataclasses import replace
+
+    return replace(options, **changes)
+
+
+def relevant_facts(p: Program, asked: DataFrame, options: Options = Options()) -> DataFrame:
+    """(stmt, val): facts that what the asked facts (stmt, val) point to can depend on, found backwards.
+
+    Assignments, calls (to their end) and returns (to every caller) are followed to where values come from. At a load it goes on
+    with the base, and with base and value of every store of the field: whether the two bases are aliases is left to solve(). Each
+    value is looked at once for each statement, so the work grows with what is asked about, not with the program.
+    """
+    flow = backward(p, replace_option(options, track_fields=False))
+    back = p.cfg_edge.select(F.col("dst").alias("stmt"), F.col("src").alias("pred")).distinct().cache()
+    reads = p.load.select("stmt", F.col("lhs").alias("val"), "base", "field").cache()
+    stores = p.store.select(F.col("stmt").alias("at"), "field", F.col("base").alias("s_base"), "rhs").cache()
+    one = F.lit(1).cast("bigint").alias("qid")
+
+    def step(total: DataFrame, delta: DataFrame) -> DataFrame:
+        node = delta.select(one, "stmt", "val")
+        out = flow(node).select(F.col("to_stmt").alias("stmt"), F.col("to_val").alias("val"))
+        read = delta.join(reads, ["stmt", "val"])
+        base = read.join(back, "stmt").select(F.col("pred").alias("stmt"), F.col("base").alias("val"))
+        told = read.select("field").distinct().join(stores, "field").join(back.withColumnRenamed("stmt", "at"), "at")
+        told = told.select(F.col("pred").alias("stmt"), F.explode(F.array("s_base", "rhs")).alias("val"))
+        out = out.unionByName(base)
+        return out.unionByName(told) if options.track_fields else out
+
+    found = fixpoint(asked.select("stmt", "val").distinct(), step, keys=["stmt", "val"]).whole()
+    found = written(found)
+    flow.release()
+    for t in (back, reads, stores):
+        t.unpersist()
+    return found
+
+
+def backward_solve(p: Program, queries: DataFrame, options: Options = Options(), **limits) -> Solution:
+    """The solution for queries (query, stmt, val): of the allocations that they can depend on, and no others.
+
+    points_to(), may_alias() and the like give the same answers for the asked facts as with a solution of all allocations.
+    """
+    facts = relevant_facts(p, queries, options)
+    seeds = written(allocation_seeds(p, options).join(facts, ["stmt", "val"], "left_semi"))
+    forget(facts)
+    return solve(p, seeds.select("qid", "stmt", "val", "type", "kind"), replace_option(options, on_the_fly_call_graph=False), **limits)
+
+
+def backward_solve_in_context(p: Program, queries: DataFrame, contexts: DataFrame, options: Options = Options()) -> Solution:
+    """backward_solve() where each query (query, stmt, val) is asked in the call chains that a client names.
+
+    contexts (callee, site): calls that are followed out of a method; a method with no row there keeps all its callers. Other calls of the
+    methods named are left out of the program.
+    """
+    named = contexts.select("callee").distinct()
+    kept = p.call_edge.join(named, "callee", "left_anti").unionByName(p.call_edge.join(contexts.select("callee", "site").distinct(), ["callee", "site"], "left_semi").select(*p.call_edge.columns), allowMissingColumns=True)
+    return backward_solve(Program(p.spark, p.tables | {"call_edge": kept.select(*p.call_edge.columns)}), queries, options)
+
+
+def scoped_contexts(s: Solution, fact: DataFrame) -> DataFrame:
+    """(callee, site): the calls open on the stack of a forward query's fact (query, stmt, val), as contexts to ask backwards in."""
+    sites = contexts(s, fact).select(F.col("call_site").alias("site")).distinct()
+    return s.program.call_edge.join(sites, "site", "left_semi").select("callee", "site").distinct()
+
+
+def indirections(s: Solution) -> DataFrame:
+    """(stmt, field, base, flow, kind): points of indirection, a row once for each pair of allocations that meet at one: at a store
+    the base's and the stored value's, at a load the base's and what the heap holds in the field."""
+    p = s.program
+    before = s.points.join(p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct(), "stmt").select("qid", F.col("at").alias("stmt"), "val")
+    of = lambda name, qid: before.select(F.col("qid").alias(qid), "stmt", F.col("val").alias(name))
+    writes = p.store.select("stmt", F.col("base").alias("b"), "field", "rhs").join(of("b", "base"), ["stmt", "b"]).join(of("rhs", "flow"), ["stmt", "rhs"])
+    reads = p.load.select("stmt", F.col("base").alias("b"), "field").join(of("b", "base"), ["stmt", "b"]).join(s.heap.withColumnRenamed("qid", "flow"), ["base", "field"])
+    cols = ["stmt", "field", "base", "flow"]
+    return writes.select(*cols).withColumn("kind", F.lit("store")).unionByName(reads.select(*cols).withColumn("kind", F.lit("load"))).distinct()
+
+
+def activated(s: Solution) -> DataFrame:
+    """(stmt, field, base, flow, succ): indirections with where their effect starts: each pair is active at every successor."""
+    succ = s.program.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("succ")).distinct()
+    return indirections(s).join(succ, "stmt").select("stmt", "field", "base", "flow", "succ").distinct()
+
+
+def imported_at_calls(s: Solution) -> DataFrame:
+    """(qid, stmt, val): facts at call sites and at method exits that lie on the call stack of a query, where what a store in a
+    callee has changed is seen by the caller's aliases of the base."""
+    stack = s.calls.filter(is_gen(F.col("src")) & (F.col("label") != EPS)).select("qid", F.col("label").alias("stmt")).distinct()
+    exits = s.reached.join(s.program.ret.select("stmt").distinct(), "stmt", "left_semi").select("qid", "stmt").distinct()
+    return s.points.join(stack.unionByName(exits).distinct(), ["qid", "stmt"], "left_semi")
 
 
 def empty_stack_nodes_any_context(reached: DataFrame, fields: DataFrame) -> DataFrame:
@@ -132,25 +316,36 @@ def contexts(s: Solution, queries: DataFrame) -> DataFrame:
     return states.withColumnRenamed("state", "src").join(edges, ["qid", "src"]).select("query", F.col("label").alias("call_site")).distinct()
 
 
-def call_graph(p: Program, entries: DataFrame, options: Options = Options(), *, max_rounds: int = 20) -> tuple[Program, Solution]:
+def call_graph(p: Program, entries: DataFrame, options: Options = Options(), *, max_rounds: int | None = None) -> tuple[Program, Solution]:
     """The program with the call edges that receivers' allocations give, and its solution.
 
-    Virtual calls run what the types of their receivers dispatch to; each round solves with all edges so far.
+    Virtual calls run what the types of their receivers dispatch to. With entries (method), only methods that these reach take
+    part: statements and allocations of others wait until a call edge leads to them; without rows there, all do.
+    Each round goes on with the allocations and calls that the last one's edges made reachable; an error after max_rounds.
     """
+    from pushgraph.sources.ir import reachable_methods
+
     owner = p.stmt.select(F.col("stmt").alias("site"), F.col("method").alias("caller"))
-    known = written(p.call_edge.distinct())
-    for _ in range(max_rounds):
+    known, rounds, scoped = written(p.call_edge.distinct()), 0, not entries.isEmpty()
+    while True:
         now = Program(p.spark, p.tables | {"call_edge": known})
-        s = solve(now, None, options)
+        if scoped:
+            inside = p.stmt.join(reachable_methods(now, entries.select("method")), "method", "left_semi").select("stmt")
+            now = Program(p.spark, now.tables | {"alloc": p.alloc.join(inside, "stmt", "left_semi").select(*p.alloc.columns)})
+        s = solve(now, None, replace_option(options, on_the_fly_call_graph=False))
+        if s.timed_out:
+            return now, s
         edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("site")).distinct()
         virtual = p.call.filter("kind = 'virtual'").select(F.col("stmt").alias("site"), F.col("recv").alias("val"), "sig")
         types = s.points.join(edge, "stmt").join(virtual, ["site", "val"]).join(s.seeds.select("qid", "type"), "qid").select("site", "type", "sig").distinct()
         found = dispatch(p, types).join(owner, "site").select("site", "caller", F.col("method").alias("callee"), F.lit("virtual").alias("kind"))
-        new = written(found.join(known, ["site", "caller", "callee"], "left_anti"))
-        if new.isEmpty():
+        new, n = written_counted(found.join(known, ["site", "caller", "callee"], "left_anti"))
+        if not n:
             return now, s
+        rounds += 1
+        if rounds == max_rounds:
+            raise RuntimeError(f"the call graph still grows after {max_rounds} rounds")
         known = written(known.unionByName(new.select(*known.columns)).distinct())
-    raise RuntimeError(f"the call graph still grows after {max_rounds} rounds")
 
 
 def data_flow_path(s: Solution) -> DataFrame:

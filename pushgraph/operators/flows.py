@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pushgraph.sources.ir import ARRAY, Program, end_points, killed_values, start_points
+from pushgraph.session import forget, written
+from pushgraph.sources.ir import ARRAY, RESULT, THIS, Program, end_points, entry_points, has, ignored_methods, initialiser_ends, instance_branches, killed_values, start_points
 
 FLOW = ["qid", "kind", "stmt", "val", "sym", "to_stmt", "to_val"]
 STATIC = "static:"
@@ -19,7 +20,12 @@ STATIC = "static:"
 
 @dataclass(frozen=True)
 class Options:
-    """Switches of the flow functions, with their defaults."""
+    """Switches of the solver, with their defaults.
+
+    type_check: facts whose allocation can't have their declared type go (where local rows tell it). on_the_fly_call_graph:
+    solve() finds virtual calls' targets by itself, from the program's entry methods. timeout_seconds: a solution found within it is
+    marked timed_out if it isn't whole; None: no limit.
+    """
 
     static_flows: bool = True
     array_flows: bool = True
@@ -27,10 +33,18 @@ class Options:
     throw_flows: bool = False
     type_check: bool = True
     aliasing: bool = True
-    on_the_fly_call_graph: bool = True
+    on_the_fly_call_graph: bool = False
     track_strings: bool = False
     track_nulls: bool = False
-    timeout_seconds: float = 60.0
+    track_throwables: bool = False
+    track_instance_of: bool = False
+    kill_null_at_cast: bool = False
+    static_fields_at_entry: bool = False
+    timeout_seconds: float | None = None
+
+    def allocation(self) -> dict:
+        """The switches that tell allocations, by their names there."""
+        return {"strings": self.track_strings, "nulls": self.track_nulls, "arrays": self.array_flows, "throwables": self.track_throwables}
 
     @classmethod
     def from_dict(cls, values: dict) -> Options:
@@ -52,86 +66,197 @@ def _row(df: DataFrame, kind: str, sym, to_stmt: str, to_val) -> DataFrame:
     return df.select("qid", F.lit(kind).alias("kind"), "stmt", "val", (F.lit("") if sym is None else sym).alias("sym"), F.col(to_stmt).alias("to_stmt"), to_val.alias("to_val"))
 
 
-def forward(p: Program, options: Options = Options()) -> Callable[[DataFrame], DataFrame]:
-    """Flow rows of new nodes (qid, stmt, val), forward."""
+class Flow:
+    """A function from new nodes to their flow rows; release() frees the tables that it keeps."""
+
+    def __init__(self, rows: Callable[[DataFrame], DataFrame], kept: list[DataFrame], tables: list[DataFrame]) -> None:
+        self.rows, self.kept, self.tables = rows, kept, tables
+
+    def __call__(self, new: DataFrame) -> DataFrame:
+        return self.rows(new)
+
+    def release(self) -> None:
+        for t in self.kept:
+            t.unpersist()
+        forget(*self.tables)
+
+
+def models(p: Program) -> DataFrame:
+    """(succ, val, to): what calls without a body copy: arraycopy its first argument to its third, others by lib_model."""
+    given = p.spark.createDataFrame([("arraycopy", 0, 2)], "name string, src int, dst int")
+    given = given.unionByName(p.lib_model.select("name", "src", "dst"))
+    calls = p.call.select(F.col("stmt").alias("succ"), "recv", "lhs", F.regexp_extract("sig", r"^[^(]*", 0).alias("name")).join(F.broadcast(given), "name")
+    with_body = p.call_edge.join(p.method.filter("has_body and not native and not phantom").select(F.col("method").alias("callee")), "callee").select(F.col("site").alias("succ"))
+    calls = calls.join(with_body, "succ", "left_anti")
+    at = p.arg.filter(F.col("pos") != THIS).select(F.col("stmt").alias("succ"), "pos", "val")
+    at = at.unionByName(p.call.filter("recv is not null").select(F.col("stmt").alias("succ"), F.lit(THIS).alias("pos"), F.col("recv").alias("val")))
+    to = at.unionByName(p.call.filter("lhs is not null").select(F.col("stmt").alias("succ"), F.lit(RESULT).alias("pos"), F.col("lhs").alias("val")))
+    found = calls.select("succ", "src", "dst").join(at.withColumnRenamed("pos", "src"), ["succ", "src"])
+    return found.join(to.select("succ", F.col("pos").alias("dst"), F.col("val").alias("to")), ["succ", "dst"]).select("succ", "val", "to").distinct()
+
+
+def is_identity(flow: DataFrame) -> DataFrame:
+    """(qid, stmt, val): nodes whose only flow leaves the value as it is, at a statement that neither calls nor touches fields."""
+    one = flow.groupBy("qid", "stmt", "val").agg(F.count("*").alias("n"), F.min(F.struct("kind", "to_val")).alias("f"))
+    return one.filter((F.col("n") == 1) & (F.col("f.kind") == "normal") & (F.col("f.to_val") == F.col("val"))).select("qid", "stmt", "val")
+
+
+def _flow(special: DataFrame, moved: DataFrame, edge: DataFrame, generic: Callable[[DataFrame], list[DataFrame]], kept: list[DataFrame], blocked=None) -> Flow:
+    """Flow rows of nodes: those of special (stmt, val, kind, sym, to_stmt, to_val, via), which a program has for its own values; a
+    plain step along every edge (stmt, via) on which moved (stmt, via, val) does not take the value; and generic(nodes) ones.
+
+    All that depends on the program alone is joined once, so a round joins its nodes with two tables.
+    """
+    special, moved = written(special.distinct()), written(moved.distinct())
+
+    def rows(new: DataFrame) -> DataFrame:
+        n = new.select("qid", "stmt", "val")
+        own = n.join(special, ["stmt", "val"])
+        stays = n.join(edge, "stmt").join(moved, ["stmt", "via", "val"], "left_anti")
+        stays = stays.select("qid", F.lit("normal").alias("kind"), "stmt", "val", F.lit("").alias("sym"), F.col("via").alias("to_stmt"), F.col("val").alias("to_val"), "via")
+        both = own.select(*FLOW, "via").unionByName(stays)
+        if blocked is not None:
+            qids, edges = blocked
+            both = both.join(both.join(qids, "qid", "left_semi").join(edges, ["stmt", "via", "val"], "left_semi").select("qid", "stmt", "via", "val").distinct(), ["qid", "stmt", "via", "val"], "left_anti")
+        return _union([both, *generic(n)])
+
+    return Flow(rows, kept, [special, moved])
+
+
+def forward(p: Program, options: Options = Options(), nulls: DataFrame | None = None) -> Flow:
+    """Flow rows of new nodes (qid, stmt, val), forward. nulls (qid): queries of null, which take no edge that null does not."""
     fields = F.lit(options.track_fields) & ((F.col("field") != ARRAY) | F.lit(options.array_flows))
-    edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("succ")).distinct().cache()
-    kills = killed_values(p).select(F.col("stmt").alias("succ"), "val").cache()
+    edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("via")).distinct().cache()
+    kills = killed_values(p).select(F.col("stmt").alias("via"), "val")
     bodies = start_points(p).join(p.method.filter("has_body and not phantom and not native and not clinit"), "method", "left_semi").select(F.col("method").alias("callee"), F.col("stmt").alias("begin"))
-    calls = p.call_edge.select(F.col("site").alias("succ"), "callee").join(bodies, "callee").cache()
-    passed = p.arg.select(F.col("stmt").alias("succ"), "pos", "val").join(calls, "succ").join(p.param.select(F.col("method").alias("callee"), "pos", F.col("val").alias("to")), ["callee", "pos"]).select("succ", "val", "begin", "to").cache()
+    calls = p.call_edge.select(F.col("site").alias("via"), "callee").join(bodies, "callee").cache()
+    passed = p.arg.select(F.col("stmt").alias("via"), "pos", "val").join(calls, "via").join(p.param.select(F.col("method").alias("callee"), "pos", F.col("val").alias("to")), ["callee", "pos"]).select("via", "val", "begin", "to").cache()
     exits = end_points(p).join(p.stmt.filter(F.col("kind") != "throw") if not options.throw_flows else p.stmt, ["stmt", "method"], "left_semi").select("stmt", F.col("method").alias("callee"))
     site = p.call_edge.select("site", "callee")
     returned = p.ret.join(exits, "stmt").join(site, "callee").join(p.call.filter("lhs is not null").select(F.col("stmt").alias("site"), F.col("lhs").alias("to")), "site").select("stmt", "val", "site", "to")
     given = exits.join(p.param.select(F.col("method").alias("callee"), "pos", "val"), "callee").join(site, "callee").join(p.arg.select(F.col("stmt").alias("site"), "pos", F.col("val").alias("to")), ["site", "pos"]).select("stmt", "val", "site", "to")
-    back = returned.unionByName(given).distinct().cache()
+    gone = kills.unionByName(passed.select("via", "val")).distinct()
+    overwritten = p.store.filter(fields).select(F.col("stmt").alias("via"), F.col("base").alias("val"), "field")
 
-    def flow(new: DataFrame) -> DataFrame:
-        n = new.select("qid", "stmt", "val")
-        at = n.join(edge, "stmt")
-        alive = at.join(kills, ["succ", "val"], "left_anti").join(passed.select("succ", "val").distinct(), ["succ", "val"], "left_anti")
-        overwritten = p.store.filter(fields).select(F.col("stmt").alias("succ"), F.col("base").alias("val"), "field")
-        stays = alive.join(overwritten.select("succ", "val").distinct(), ["succ", "val"], "left_anti")
-        out = [_row(stays, "normal", None, "succ", F.col("val"))]
-        out.append(_row(alive.join(overwritten, ["succ", "val"]), "exclude", F.col("field"), "succ", F.col("val")))
-        copy = p.assign.select(F.col("stmt").alias("succ"), F.col("rhs").alias("val"), F.col("lhs").alias("to"))
-        out.append(_row(at.join(copy, ["succ", "val"]), "normal", None, "succ", F.col("to")))
-        store = p.store.filter(fields).select(F.col("stmt").alias("succ"), F.col("rhs").alias("val"), F.col("base").alias("to"), "field")
-        out.append(_row(at.join(store, ["succ", "val"]), "field_push", F.col("field"), "succ", F.col("to")))
-        load = p.load.filter(fields).select(F.col("stmt").alias("succ"), F.col("base").alias("val"), F.col("lhs").alias("to"), "field")
-        out.append(_row(at.join(load, ["succ", "val"]), "field_pop", F.col("field"), "succ", F.col("to")))
-        if options.static_flows:
-            to_static = p.static_store.select(F.col("stmt").alias("succ"), F.col("rhs").alias("val"), F.concat(F.lit(STATIC), "field").alias("to"))
-            from_static = p.static_load.select(F.col("stmt").alias("succ"), F.concat(F.lit(STATIC), "field").alias("val"), F.col("lhs").alias("to"))
-            out.append(_row(at.join(to_static.unionByName(from_static), ["succ", "val"]), "normal", None, "succ", F.col("to")))
-            into = at.filter(F.col("val").startswith(STATIC)).join(calls, "succ")
-            out.append(into.select("qid", F.lit("call_push").alias("kind"), "stmt", "val", F.col("succ").alias("sym"), F.col("begin").alias("to_stmt"), F.col("val").alias("to_val")))
-            out_of = n.filter(F.col("val").startswith(STATIC)).join(exits, "stmt").join(site, "callee")
-            out.append(_row(out_of, "call_pop", None, "site", F.col("val")))
-        enter = at.join(passed, ["succ", "val"])
-        out.append(enter.select("qid", F.lit("call_push").alias("kind"), "stmt", "val", F.col("succ").alias("sym"), F.col("begin").alias("to_stmt"), F.col("to").alias("to_val")))
-        out.append(_row(n.join(back, ["stmt", "val"]), "call_pop", None, "site", F.col("to")))
-        # A callee without body does not take the value away; arraycopy copies its first to its third argument.
-        copies = p.call.filter(F.col("sig").rlike("^arraycopy")).select(F.col("stmt").alias("succ")).join(p.arg.filter("pos = 0").select(F.col("stmt").alias("succ"), "val"), "succ").join(p.arg.filter("pos = 2").select(F.col("stmt").alias("succ"), F.col("val").alias("to")), "succ")
-        out.append(_row(at.join(copies, ["succ", "val"]), "normal", None, "succ", F.col("to")))
-        return _union(out)
-
-    return flow
-
-
-def backward(p: Program, options: Options = Options()) -> Callable[[DataFrame], DataFrame]:
-    """Flow rows of new nodes, backward: evaluated at the statement itself, towards its predecessors."""
+    def along(rows: DataFrame, kind: str, sym, to) -> DataFrame:
+        """Rows (via, val, ..) for every edge that leads to their statement."""
+        return rows.join(edge, "via").select("stmt", "val", F.lit(kind).alias("kind"), (F.lit("") if sym is None else F.col(sym)).alias("sym"), F.col("via").alias("to_stmt"), F.col(to).alias("to_val"), "via")
+
+    parts = [
+        along(overwritten.join(gone, ["via", "val"], "left_anti"), "exclude", "field", "val"),
+        along(p.assign.select(F.col("stmt").alias("via"), F.col("rhs").alias("val"), F.col("lhs").alias("to")), "normal", None, "to"),
+        along(p.store.filter(fields).select(F.col("stmt").alias("via"), F.col("rhs").alias("val"), F.col("base").alias("to"), "field"), "field_push", "field", "to"),
+        along(p.load.filter(fields).select(F.col("stmt").alias("via"), F.col("base").alias("val"), F.col("lhs").alias("to"), "field"), "field_pop", "field", "to"),
+        # A callee without body does not take the value away; models tell what it copies.
+        along(models(p).withColumnRenamed("succ", "via"), "normal", None, "to"),
+        passed.join(edge, "via").select("stmt", "val", F.lit("call_push").alias("kind"), F.col("via").alias("sym"), F.col("begin").alias("to_stmt"), F.col("to").alias("to_val"), "via"),
+        returned.unionByName(given).select("stmt", "val", F.lit("call_pop").alias("kind"), F.lit("").alias("sym"), F.col("site").alias("to_stmt"), F.col("to").alias("to_val"), F.col("site").alias("via")),
+    ]
+    statics = options.static_flows and (has(p, "static_load") or has(p, "static_store"))
+    if statics:
+        to_static = p.static_store.select(F.col("stmt").alias("via"), F.col("rhs").alias("val"), F.concat(F.lit(STATIC), "field").alias("to"))
+        from_static = p.static_load.select(F.col("stmt").alias("via"), F.concat(F.lit(STATIC), "field").alias("val"), F.col("lhs").alias("to"))
+        parts.append(along(to_static.unionByName(from_static), "normal", None, "to"))
+    special = parts[0]
+    for x in parts[1:]:
+        special = special.unionByName(x)
+    begins = None
+    if statics and has(p, "entry") and has(p, "method"):
+        begins = initialiser_ends(p).select("stmt").crossJoin(F.broadcast(entry_points(p).select(F.col("stmt").alias("to_stmt")))).cache()  # a program's few entries
+
+    def of_statics(n: DataFrame) -> list[DataFrame]:
+        if not statics:
+            return []
+        s = n.filter(F.col("val").startswith(STATIC))
+        into = s.join(edge, "stmt").join(calls, "via")
+        out = [into.select("qid", F.lit("call_push").alias("kind"), "stmt", "val", F.col("via").alias("sym"), F.col("begin").alias("to_stmt"), F.col("val").alias("to_val"))]
+        out.append(_row(s.join(exits, "stmt").join(site, "callee"), "call_pop", None, "site", F.col("val")))
+        if begins is not None:
+            out.append(_row(s.join(begins, "stmt"), "normal", None, "to_stmt", F.col("val")))
+        return out
+
+    blocked = None
+    if nulls is not None:
+        branches = p.null_branch.select("src", "dst", "val")
+        if options.track_instance_of:
+            branches = branches.unionByName(instance_branches(p))
+        blocked = nulls.select("qid").distinct(), branches.select(F.col("src").alias("stmt"), F.col("dst").alias("via"), "val").distinct().cache()
+    moved = gone.unionByName(overwritten.select("via", "val")).join(edge, "via").select("stmt", "via", "val")
+    return _flow(special, moved, edge, of_statics, [edge, calls, passed, *([] if begins is None else [begins]), *([] if blocked is None else [blocked[1]])], blocked)
+
+
+def own_facts(p: Program, facts: DataFrame) -> DataFrame:
+    """facts (.., stmt, val) without those of values that belong to another method than the statement; static ones and
+    values that local does not list stay."""
+    if not has(p, "local"):
+        return facts
+    owner = p.local.select("val", F.col("method").alias("_owner")).distinct()
+    where = p.stmt.select("stmt", F.col("method").alias("_at"))
+    both = facts.join(owner, "val", "left").join(where, "stmt", "left")
+    return both.filter(F.col("_owner").isNull() | F.col("_at").isNull() | (F.col("_owner") == F.col("_at"))).select(*facts.columns)
+
+
+def backward(p: Program, options: Options = Options()) -> Flow:
+    """Flow rows of new nodes, backward: evaluated at the statement itself, towards its predecessors.
+
+    Values of other methods are killed, then ignored methods left out, then calls, returns and plain statements looked at.
+    """
     fields = F.lit(options.track_fields) & ((F.col("field") != ARRAY) | F.lit(options.array_flows))
-    edge = p.cfg_edge.select(F.col("dst").alias("stmt"), F.col("src").alias("pred")).distinct().cache()
+    edge = p.cfg_edge.select(F.col("dst").alias("stmt"), F.col("src").alias("via")).distinct().cache()
     first = start_points(p).select("stmt", F.col("method").alias("callee"))
     site = p.call_edge.select("site", "callee")
     last = end_points(p).join(p.stmt.filter(F.col("kind") != "throw"), ["stmt", "method"], "left_semi").select(F.col("stmt").alias("end"), F.col("method").alias("callee"))
-    ends = site.withColumnRenamed("site", "stmt").join(last, "callee")
-    passed = p.arg.select("stmt", "pos", "val").join(ends, "stmt").join(p.param.select(F.col("method").alias("callee"), "pos", F.col("val").alias("to")), ["callee", "pos"]).select("stmt", "val", "end", "to")
-    result = p.call.filter("lhs is not null").select("stmt", F.col("lhs").alias("val")).join(ends, "stmt").join(p.ret.select(F.col("stmt").alias("end"), F.col("val").alias("to")), "end").select("stmt", "val", "end", "to")
+    ends_of_calls = site.withColumnRenamed("site", "stmt").join(last, "callee").cache()
+    passed = p.arg.select("stmt", "pos", "val").join(ends_of_calls, "stmt").join(p.param.select(F.col("method").alias("callee"), "pos", F.col("val").alias("to")), ["callee", "pos"]).select("stmt", "val", "end", "to")
+    result = p.call.filter("lhs is not null").select("stmt", F.col("lhs").alias("val")).join(ends_of_calls, "stmt").join(p.ret.select(F.col("stmt").alias("end"), F.col("val").alias("to")), "end").select("stmt", "val", "end", "to")
     into = passed.unionByName(result).distinct().cache()
-    out_of = first.join(p.param.select(F.col("method").alias("callee"), "pos", "val"), "callee").join(site, "callee").join(p.arg.select(F.col("stmt").alias("site"), "pos", F.col("val").alias("to")), ["site", "pos"]).select("stmt", "val", "site", "to").distinct().cache()
-    defined = killed_values(p).cache()
+    # The argument holds before the call: at the statements that lead to it.
+    callers = first.join(site, "callee").join(edge.select(F.col("stmt").alias("site"), "via"), "site").cache()
+    out_of = callers.join(p.param.select(F.col("method").alias("callee"), "pos", "val"), "callee").join(p.arg.select(F.col("stmt").alias("site"), "pos", F.col("val").alias("to")), ["site", "pos"])
 
-    def flow(new: DataFrame) -> DataFrame:
-        n = new.select("qid", "stmt", "val")
-        at = n.join(edge, "stmt")
-        stays = at.join(defined, ["stmt", "val"], "left_anti").join(into.select("stmt", "val").distinct(), ["stmt", "val"], "left_anti")
-        popped = p.store.filter(fields).select("stmt", F.col("base").alias("val"), F.col("rhs").alias("to"), "field")
-        pushed = p.load.filter(fields).select("stmt", F.col("lhs").alias("val"), F.col("base").alias("to"), "field")
-        out = [
-            _row(stays, "normal", None, "pred", F.col("val")),
-            _row(at.join(p.assign.select("stmt", F.col("lhs").alias("val"), F.col("rhs").alias("to")), ["stmt", "val"]), "normal", None, "pred", F.col("to")),
-            _row(at.join(pushed, ["stmt", "val"]), "field_push", F.col("field"), "pred", F.col("to")),
-            _row(at.join(popped, ["stmt", "val"]), "field_pop", F.col("field"), "pred", F.col("to")),
-        ]
-        if options.static_flows:
-            load = p.static_load.select("stmt", F.col("lhs").alias("val"), F.concat(F.lit(STATIC), "field").alias("to"))
-            store = p.static_store.select("stmt", F.concat(F.lit(STATIC), "field").alias("val"), F.col("rhs").alias("to"))
-            out.append(_row(at.join(load.unionByName(store), ["stmt", "val"]), "normal", None, "pred", F.col("to")))
-        enter = at.join(into, ["stmt", "val"])
-        out.append(enter.select("qid", F.lit("call_push").alias("kind"), "stmt", "val", F.col("pred").alias("sym"), F.col("end").alias("to_stmt"), F.col("to").alias("to_val")))
-        out.append(_row(n.join(out_of, ["stmt", "val"]), "call_pop", None, "site", F.col("to")))
-        return _union(out)
-
-    return flow
+    def along(rows: DataFrame, kind: str, sym, to) -> DataFrame:
+        """Rows (stmt, val, ..) for every edge that leads back from their statement."""
+        return rows.join(edge, "stmt").select("stmt", "val", F.lit(kind).alias("kind"), (F.lit("") if sym is None else F.col(sym)).alias("sym"), F.col("via").alias("to_stmt"), F.col(to).alias("to_val"), "via")
+
+    parts = [
+        along(p.assign.select("stmt", F.col("lhs").alias("val"), F.col("rhs").alias("to")), "normal", None, "to"),
+        along(models(p).select(F.col("succ").alias("stmt"), F.col("to").alias("val"), F.col("val").alias("to")), "normal", None, "to"),
+        along(p.load.filter(fields).select("stmt", F.col("lhs").alias("val"), F.col("base").alias("to"), "field"), "field_push", "field", "to"),
+        along(p.store.filter(fields).select("stmt", F.col("base").alias("val"), F.col("rhs").alias("to"), "field"), "field_pop", "field", "to"),
+        into.join(edge, "stmt").select("stmt", "val", F.lit("call_push").alias("kind"), F.col("via").alias("sym"), F.col("end").alias("to_stmt"), F.col("to").alias("to_val"), "via"),
+        out_of.select("stmt", "val", F.lit("call_pop").alias("kind"), F.lit("").alias("sym"), F.col("via").alias("to_stmt"), F.col("to").alias("to_val"), "via"),
+    ]
+    statics = options.static_flows and (has(p, "static_load") or has(p, "static_store"))
+    if statics:
+        load = p.static_load.select("stmt", F.col("lhs").alias("val"), F.concat(F.lit(STATIC), "field").alias("to"))
+        store = p.static_store.select("stmt", F.concat(F.lit(STATIC), "field").alias("val"), F.col("rhs").alias("to"))
+        parts.append(along(load.unionByName(store), "normal", None, "to"))
+    special = parts[0]
+    for x in parts[1:]:
+        special = special.unionByName(x)
+    initialisers = None
+    if statics and options.static_fields_at_entry:
+        ends = p.static_field.select(F.concat(F.lit(STATIC), "field").alias("val"), "cls").join(initialiser_ends(p).withColumnRenamed("stmt", "to_stmt"), "cls").select("val", "to_stmt")
+        initialisers = entry_points(p).select("stmt"), ends
+
+    def of_statics(n: DataFrame) -> list[DataFrame]:
+        if not statics:
+            return []
+        s = n.filter(F.col("val").startswith(STATIC))
+        down = s.join(edge, "stmt").join(ends_of_calls.select("stmt", "end").distinct(), "stmt")
+        out = [down.select("qid", F.lit("call_push").alias("kind"), "stmt", "val", F.col("via").alias("sym"), F.col("end").alias("to_stmt"), F.col("val").alias("to_val"))]
+        out.append(_row(s.join(callers.select("stmt", "via").distinct(), "stmt"), "call_pop", None, "via", F.col("val")))
+        if initialisers is not None:
+            starts, ends = initialisers
+            out.append(_row(s.join(starts, "stmt", "left_semi").join(ends, "val"), "normal", None, "to_stmt", F.col("val")))
+        return out
+
+    moved = killed_values(p).select("stmt", "val").unionByName(into.select("stmt", "val")).join(edge, "stmt").select("stmt", "via", "val")
+    flow = _flow(special, moved, edge, of_statics, [edge, ends_of_calls, into, callers])
+    ignored = p.stmt.join(ignored_methods(p, throwables=options.track_throwables), "method", "left_semi").select("stmt") if options.track_throwables else None
+
+    def rows(new: DataFrame) -> DataFrame:
+        n = own_facts(p, new.select("qid", "stmt", "val"))
+        return flow(n if ignored is None else n.join(ignored, "stmt", "left_anti"))
+
+    return Flow(rows, flow.kept, flow.tables)

@@ -7,99 +7,153 @@ only be the one allocation replaces the state, one on a receiver that may be ano
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pushgraph.operators.alias import Solution
+from pushgraph.operators.alias import Solution, solve
+from pushgraph.operators.flows import Options
 from pushgraph.plans.fixpoint import fixpoint
-from pushgraph.sources.ir import end_points, start_points
+from pushgraph.session import written
+from pushgraph.sources.ir import THIS, Program, end_points, start_points, subtype_closure
 
-# Machine; type of the seed; initial state; error states; transitions (from, method pattern, to).
-# Seeds: "new T" an allocation of T or a subtype; "call m" the receiver of m; "result m" what m returns.
+# Machine; class; seed; initial state; error states; when calls act; transitions (from, methods, to).
+# Seeds: "new" an allocation of the class or a subtype; "call m" the receiver of m; "result m" what m returns.
+# Methods are names, as patterns; "sig:" a pattern over the whole signature; "public:" the instance methods that are public, by
+# name; "native:" native ones. "@" gives a transition a time of its own.
 MACHINES = """
-FileMustBeClosed | new File | INIT | OPENED | INIT open OPENED; INIT close CLOSED; OPENED close CLOSED
-FileMustBeClosedCallToReturn | new File | INIT | OPENED | INIT open OPENED; INIT close CLOSED; OPENED close CLOSED
-HasNext | result iterator | INIT | ERROR | INIT next ERROR; ERROR next ERROR; HASNEXT next INIT; INIT hasNext HASNEXT; HASNEXT hasNext HASNEXT; ERROR hasNext ERROR
-Vector | new Vector | INIT | ACCESSED_EMPTY | INIT add.* NOT_EMPTY; INIT (elementAt|firstElement|lastElement|get) ACCESSED_EMPTY; NOT_EMPTY (elementAt|firstElement|lastElement|get) NOT_EMPTY; ACCESSED_EMPTY (elementAt|firstElement|lastElement|get) ACCESSED_EMPTY; NOT_EMPTY removeAllElements INIT; INIT removeAllElements INIT
-KeyStore | result getInstance | INIT | ERROR | INIT load LOADED; LOADED (?!load).* LOADED; INIT (?!load).* ERROR; ERROR (?!load).* ERROR
-Signature | result getInstance | UNITIALIZED | ERROR | UNITIALIZED initSign SIGN_CHECK; UNITIALIZED initVerify VERIFY_CHECK; UNITIALIZED (sign|verify|update) ERROR; SIGN_CHECK initSign SIGN_CHECK; SIGN_CHECK initVerify VERIFY_CHECK; SIGN_CHECK (sign|update) SIGN_CHECK; SIGN_CHECK verify ERROR; VERIFY_CHECK initSign SIGN_CHECK; VERIFY_CHECK initVerify VERIFY_CHECK; VERIFY_CHECK (verify|update) VERIFY_CHECK; VERIFY_CHECK sign ERROR; ERROR (initSign|initVerify|sign|verify|update) ERROR
-Socket | new Socket | INIT | ERROR | INIT connect CONNECTED; CONNECTED connect CONNECTED; ERROR connect ERROR; CONNECTED (get.*|send.*|setSoTimeout) CONNECTED; INIT (get.*|send.*|setSoTimeout) ERROR; ERROR (get.*|send.*|setSoTimeout) ERROR
-URLConn | call connect | CONNECTED | ERROR | CONNECTED set.* ERROR; ERROR set.* ERROR
-InputStream | call close | NONE | ERROR | NONE close CLOSED; CLOSED close CLOSED; CLOSED read ERROR; ERROR read ERROR
-OutputStream | call close | NONE | ERROR | NONE close CLOSED; CLOSED close CLOSED; CLOSED write ERROR; ERROR write ERROR
-PipedInputStream | new PipedInputStream | INIT | ERROR | INIT connect CONNECTED; INIT read ERROR; CONNECTED read CONNECTED; ERROR read ERROR
-PipedOutputStream | new PipedOutputStream | INIT | ERROR | INIT connect CONNECTED; INIT write ERROR; CONNECTED write CONNECTED; ERROR write ERROR
-PrintStream | call close | CLOSED | ERROR | CLOSED close CLOSED; CLOSED (?!close).* ERROR
-PrintWriter | call close | CLOSED | ERROR | NONE close CLOSED; CLOSED close CLOSED; CLOSED (?!close).* ERROR; ERROR (?!close).* ERROR
-AllocInputStream | call close | CLOSED | ERROR | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN read OPEN; CLOSED read ERROR; ERROR read ERROR
-AllocOutputStream | call close | OPEN | ERROR | OPEN close CLOSED; OPEN write OPEN; CLOSED write ERROR; ERROR write ERROR
-AllocPrintStream | new PrintStream | OPEN | ERROR OPEN | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN (?!close).* OPEN; CLOSED (?!close).* ERROR; ERROR (?!close).* ERROR
-AllocPrintWriter | new PrintWriter | OPEN | ERROR | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN (?!close).* OPEN; CLOSED (?!close).* ERROR; ERROR (?!close).* ERROR
+FileMustBeClosed | File | new | INIT | OPENED | call | INIT sig:.*open.* OPENED; INIT sig:.*close.* CLOSED; OPENED sig:.*close.* CLOSED
+FileMustBeClosedCallToReturn | File | new | INIT | OPENED | call_to_return | INIT sig:.*open.* OPENED; INIT sig:.*close.* CLOSED; OPENED sig:.*close.* CLOSED
+HasNext | Iterator | result iterator | INIT | ERROR | return | INIT next ERROR; ERROR next ERROR; HASNEXT next INIT; INIT hasNext HASNEXT; HASNEXT hasNext HASNEXT; ERROR hasNext ERROR
+Vector | Vector | new | INIT | ACCESSED_EMPTY | return | INIT add|addAll|addElement|insertElementAt|set|setElementAt NOT_EMPTY; INIT sig:<init>[(](java[.]util[.])?Collection[)] NOT_EMPTY; INIT elementAt|firstElement|lastElement|get ACCESSED_EMPTY; NOT_EMPTY elementAt|firstElement|lastElement|get NOT_EMPTY; ACCESSED_EMPTY elementAt|firstElement|lastElement|get ACCESSED_EMPTY; NOT_EMPTY removeAllElements INIT; INIT removeAllElements INIT
+KeyStore | KeyStore | result getInstance | INIT | ERROR | call_to_return | INIT load LOADED; LOADED public:(?!load$).* LOADED; INIT public:(?!load$).* ERROR; ERROR public:(?!load$).* ERROR
+Signature | Signature | result getInstance | UNITIALIZED | ERROR | return | NONE getInstance UNITIALIZED; UNITIALIZED initSign SIGN_CHECK; UNITIALIZED initVerify VERIFY_CHECK; UNITIALIZED sign|verify|update ERROR; SIGN_CHECK initSign SIGN_CHECK; SIGN_CHECK initVerify VERIFY_CHECK; SIGN_CHECK sign|update SIGN_CHECK; SIGN_CHECK verify ERROR; VERIFY_CHECK initSign SIGN_CHECK; VERIFY_CHECK initVerify VERIFY_CHECK; VERIFY_CHECK verify|update VERIFY_CHECK; VERIFY_CHECK sign ERROR; ERROR initSign|initVerify|sign|verify|update ERROR
+Socket | Socket | new | INIT | ERROR | return | INIT connect CONNECTED; CONNECTED connect CONNECTED; ERROR connect ERROR; CONNECTED public:(?!connect$|is|<init>).* CONNECTED; INIT public:(?!connect$|is|<init>).* ERROR; ERROR public:(?!connect$|is|<init>).* ERROR
+URLConn | URLConnection | call connect | CONNECTED | ERROR | return | CONNECTED setDoInput|setDoOutput|setAllowUserInteraction|setUseCaches|setIfModifiedSince|setRequestProperty|addRequestProperty|getRequestProperty|getRequestProperties ERROR; ERROR setDoInput|setDoOutput|setAllowUserInteraction|setUseCaches|setIfModifiedSince|setRequestProperty|addRequestProperty|getRequestProperty|getRequestProperties ERROR
+InputStream | InputStream | call close | NONE | ERROR | return | NONE close CLOSED; CLOSED close CLOSED; CLOSED read ERROR; ERROR read ERROR; CLOSED sig:read[(][)] ERROR @call_to_return; ERROR sig:read[(][)] ERROR @call_to_return
+OutputStream | OutputStream | call close | NONE | ERROR | return | NONE close CLOSED; CLOSED close CLOSED; CLOSED write ERROR; ERROR write ERROR
+PipedInputStream | PipedInputStream | new | INIT | ERROR | return | INIT connect CONNECTED; INIT read ERROR; CONNECTED read CONNECTED; ERROR read ERROR
+PipedOutputStream | PipedOutputStream | new | INIT | ERROR | return | INIT connect CONNECTED; INIT write ERROR; CONNECTED write CONNECTED; ERROR write ERROR
+PrintStream | PrintStream | call close | CLOSED | ERROR | return | CLOSED close CLOSED; CLOSED public:(?!close$).* ERROR
+PrintWriter | PrintWriter | call close | CLOSED | ERROR | return | NONE close CLOSED; CLOSED close CLOSED; CLOSED public:(?!close$).* ERROR; ERROR public:(?!close$).* ERROR
+AllocInputStream | InputStream | call close | CLOSED | ERROR | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN read OPEN; CLOSED read ERROR; ERROR read ERROR; OPEN native:read[(][)] OPEN @call_to_return; CLOSED native:read[(][)] ERROR @call_to_return; ERROR native:read[(][)] ERROR @call_to_return
+AllocOutputStream | OutputStream | call close | OPEN | ERROR | return | OPEN close CLOSED; OPEN write OPEN; CLOSED write ERROR; ERROR write ERROR
+AllocPrintStream | PrintStream | new | OPEN | ERROR OPEN | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN public:(?!close$|<init>).* OPEN; CLOSED public:(?!close$|<init>).* ERROR; ERROR public:(?!close$|<init>).* ERROR
+AllocPrintWriter | PrintWriter | new | OPEN | ERROR | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN public:(?!close$|<init>).* OPEN; CLOSED public:(?!close$|<init>).* ERROR; ERROR public:(?!close$|<init>).* ERROR
 """
-CONSTRUCTOR = "<init>"
+#: When a call changes the state: as its callee is entered, as it returns, as the caller goes past it.
+CALL, RETURN, CALL_TO_RETURN, CALL_OR_CALL_TO_RETURN = "call", "return", "call_to_return", "call_or_call_to_return"
+MOVES = "machine string, src string, over string, pattern string, dst string, at string, param int"
 
 
 def machine_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(machine, seed_kind, seed_name, initial, errors) and (machine, src, pattern, dst) of all machines."""
+    """(machine, cls, seed_kind, seed_name, initial, errors) and (machine, src, over, pattern, dst, at, param) of all machines.
+
+    over: what the pattern matches: ``name``, ``sig``, ``public`` or ``native`` methods; param: THIS, or the argument's position.
+    """
     heads, moves = [], []
     for line in MACHINES.strip().splitlines():
-        name, seed, initial, errors, steps = (x.strip() for x in line.split(" | "))
-        heads.append((name, *seed.split(" "), initial, errors.split(" ")))
-        moves += [(name, a, p, b) for a, p, b in (s.strip().split(" ") for s in steps.split(";"))]
-    return spark.createDataFrame(heads, "machine string, seed_kind string, seed_name string, initial string, errors array<string>"), spark.createDataFrame(moves, "machine string, src string, pattern string, dst string")
+        name, cls, seed, initial, errors, at, steps = (x.strip() for x in line.split(" | "))
+        kind, _, method = seed.partition(" ")
+        heads.append((name, cls, kind, method or cls, initial, errors.split(" ")))
+        for step in steps.split(";"):
+            src, methods, dst, *own = step.split()
+            over, _, pattern = methods.rpartition(":") if methods.split(":")[0] in ("sig", "public", "native") else ("name", "", methods)
+            moves.append((name, src, over, pattern, dst, own[0][1:] if own else at, THIS))
+    return spark.createDataFrame(heads, "machine string, cls string, seed_kind string, seed_name string, initial string, errors array<string>"), spark.createDataFrame(moves, MOVES)
+
+
+def _of_class(rows: DataFrame, machines: DataFrame, subtypes: DataFrame) -> DataFrame:
+    """rows (machine, type, ..) whose type is the machine's class, below it or unknown."""
+    named = rows.join(machines.select("machine", "cls"), "machine")
+    below = subtypes.select(F.col("sub").alias("type"), F.col("sup").alias("cls"), F.lit(True).alias("_below")).distinct()
+    fits = F.col("type").isNull() | (F.col("type") == F.col("cls")) | F.coalesce("_below", F.lit(False))
+    return named.join(below, ["type", "cls"], "left").filter(fits).select(*rows.columns)
 
 
 def seeds(s: Solution, machines: DataFrame, subtypes: DataFrame) -> DataFrame:
     """(machine, qid, stmt, state): objects that each machine watches, from where, in its initial state.
 
-    subtypes (sub, sup): reflexive and transitive.
+    subtypes (sub, sup): reflexive and transitive. An object whose type is unknown is of any class. Allocations in static
+    initialisers are not watched by machines that start at a ``new``.
     """
     p = s.program
     name = F.regexp_extract("sig", r"^[^(]*", 0)
     at = s.seeds.select("qid", "stmt", "type")
-    made = at.join(subtypes, F.col("type") == F.col("sub"), "left").withColumn("sup", F.coalesce("sup", "type")).join(machines.filter("seed_kind = 'new'"), F.col("sup") == F.col("seed_name")).select("machine", "qid", "stmt", "initial")
+    started = p.stmt.join(p.method.filter("clinit").select("method"), "method", "left_semi").select("stmt")
+    of = subtypes.select(F.col("sub").alias("type"), F.col("sup").alias("seed_name")).unionByName(at.select("type", F.col("type").alias("seed_name"))).distinct()
+    made = at.join(started, "stmt", "left_anti").join(of, "type").join(F.broadcast(machines.filter("seed_kind = 'new'").select("machine", "seed_name", "initial")), "seed_name").select("machine", "qid", "stmt", "initial")
     calls = p.call.withColumn("name", name)
     edge = p.cfg_edge.select(F.col("src").alias("before"), F.col("dst").alias("stmt"))
-    on = calls.select("stmt", F.col("recv").alias("val"), "name").join(edge, "stmt").join(s.points.withColumnRenamed("stmt", "before"), ["before", "val"])
-    called = on.join(machines.filter("seed_kind = 'call'"), F.col("name") == F.col("seed_name")).select("machine", "qid", F.col("before").alias("stmt"), "initial")
-    result = calls.select("stmt", F.col("lhs").alias("val"), "name").join(s.points, ["stmt", "val"]).join(machines.filter("seed_kind = 'result'"), F.col("name") == F.col("seed_name")).select("machine", "qid", "stmt", "initial")
-    return made.unionByName(called).unionByName(result).select("machine", "qid", "stmt", F.col("initial").alias("state")).distinct()
+    types = s.seeds.select("qid", "type")
+    on = calls.select("stmt", F.col("recv").alias("val"), "name").join(edge, "stmt").join(s.points.withColumnRenamed("stmt", "before"), ["before", "val"]).join(types, "qid")
+    called = _of_class(on.join(F.broadcast(machines.filter("seed_kind = 'call'").select("machine", "seed_name", "initial")), F.col("name") == F.col("seed_name")).select("machine", "qid", "type", F.col("before").alias("stmt"), "initial"), machines, subtypes)
+    result = calls.select("stmt", F.col("lhs").alias("val"), "name").join(s.points, ["stmt", "val"]).join(types, "qid")
+    result = _of_class(result.join(F.broadcast(machines.filter("seed_kind = 'result'").select("machine", "seed_name", "initial")), F.col("name") == F.col("seed_name")).select("machine", "qid", "type", "stmt", "initial"), machines, subtypes)
+    cols = ["machine", "qid", "stmt", "initial"]
+    return made.unionByName(called.select(*cols)).unionByName(result.select(*cols)).select("machine", "qid", "stmt", F.col("initial").alias("state")).distinct()
 
 
-def changes(s: Solution, moves: DataFrame) -> DataFrame:
-    """(machine, qid, stmt, src, dst, strong): state changes that calls cause on each allocation.
+def matched_calls(p: Program, moves: DataFrame) -> DataFrame:
+    """(stmt, val, sig, machine, src, dst, at, over): calls whose method a move matches, with the value that it acts on.
 
-    strong where the receiver points to the one allocation alone.
+    Moves without the columns of machine_tables() are by name, act as the call returns, and on the receiver.
+    """
+    moves = moves.withColumns({c: F.lit(x) for c, x in (("machine", ""), ("over", "name"), ("at", RETURN), ("param", THIS)) if c not in moves.columns})
+    own = p.call.filter("recv is not null").select("stmt", F.lit(THIS).alias("param"), F.col("recv").alias("val"), "sig")
+    passed = p.arg.filter(F.col("pos") >= 0).join(p.call.select("stmt", "sig"), "stmt").select("stmt", F.col("pos").alias("param"), "val", "sig")
+    native = p.call_edge.join(p.method.filter("native").select(F.col("method").alias("callee")), "callee").select(F.col("site").alias("stmt")).distinct().withColumn("native", F.lit(True))
+    on = own.unionByName(passed).join(native, "stmt", "left").withColumns({"native": F.coalesce("native", F.lit(False)), "name": F.regexp_extract("sig", r"^[^(]*", 0)})
+    # Few distinct signatures, few patterns: they are matched once each.
+    kinds = on.select("sig", "name", "native", "param").distinct().join(F.broadcast(moves.withColumnRenamed("param", "m_param")), F.col("param") == F.col("m_param"))
+    kinds = kinds.filter(((F.col("over") != "native") | F.col("native")) & F.expr("CASE WHEN over IN ('sig', 'native') THEN sig ELSE name END RLIKE concat('^(?:', pattern, ')$')"))
+    return on.join(kinds.select("sig", "native", "param", "machine", "src", "dst", "at", "over"), ["sig", "native", "param"])
+
+
+def changes(s: Solution, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None) -> DataFrame:
+    """(machine, qid, stmt, src, dst, at, strong): state changes that calls cause on each allocation.
+
+    strong where the value points to the one allocation alone. With machines and subtypes, only calls on objects of the machine's class
+    count. Moves over public methods leave out those that ``hidden`` lists for the object's type.
     """
     p = s.program
-    edge = p.cfg_edge.select(F.col("src").alias("before"), F.col("dst").alias("stmt"))
-    calls = p.call.filter("recv is not null").select("stmt", F.col("recv").alias("val"), F.regexp_extract("sig", r"^[^(]*", 0).alias("name")).filter(F.col("name") != CONSTRUCTOR)
-    hit = calls.join(edge, "stmt").join(s.points.withColumnRenamed("stmt", "before"), ["before", "val"]).select("stmt", "val", "name", "qid").distinct()
-    owners = hit.groupBy("stmt", "val").agg(F.count_distinct("qid").alias("owners"))
-    hit = hit.join(owners, ["stmt", "val"])
-    # Few distinct method names, few patterns: they are matched once each.
-    matched = hit.select("name").distinct().join(F.broadcast(moves), F.expr("name rlike concat('^(?:', pattern, ')$')"))
-    return hit.join(matched, "name").groupBy("machine", "qid", "stmt", "src", "dst").agg((F.max("owners") == 1).alias("strong"))
-
-
-def states(s: Solution, start: DataFrame, moves: DataFrame, **limits) -> DataFrame:
-    """(machine, qid, stmt, state): states that an object may be in after each statement."""
+    edge = p.cfg_edge.select(F.col("src").alias("before"), F.col("dst").alias("stmt")).distinct()
+    found = matched_calls(p, moves).join(edge, "stmt").join(s.points.withColumnRenamed("stmt", "before"), ["before", "val"]).select("stmt", "val", "qid", "sig", "machine", "src", "dst", "at", "over").distinct()
+    found = found.join(s.seeds.select("qid", "type"), "qid")
+    not_public = p.hidden.select("type", "sig", F.lit("public").alias("over")).distinct()
+    found = found.join(not_public, ["type", "sig", "over"], "left_anti")
+    if machines is not None and subtypes is not None:
+        found = _of_class(found, machines, subtypes)
+    held = s.points.withColumnRenamed("stmt", "before").join(edge, "before").select("stmt", "val", "qid").distinct().groupBy("stmt", "val").agg(F.count("*").alias("owners"))
+    return found.join(held, ["stmt", "val"]).groupBy("machine", "qid", "stmt", "src", "dst", "at").agg((F.max("owners") == 1).alias("strong"))
+
+
+def states(s: Solution, start: DataFrame, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None, **limits) -> DataFrame:
+    """(machine, qid, stmt, state): states that an object may be in after each statement.
+
+    A move at ``call`` acts as the callee is entered, one at ``return`` or ``call_to_return`` as the call is left, one at
+    ``call_or_call_to_return`` at either. A call without a body is entered and left at once.
+    """
     p = s.program
-    steps = changes(s, moves).cache()
+    steps = written(changes(s, moves, machines, subtypes))
     bodies = start_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("begin"))
     with_body = p.call_edge.join(bodies, "callee")
-    into = p.cfg_edge.join(with_body.select(F.col("site").alias("dst"), "begin"), "dst").select("src", F.col("begin").alias("to"))
-    back = p.call_edge.join(end_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("src")), "callee").select("src", F.col("site").alias("to"))
-    over = p.cfg_edge.join(with_body.select(F.col("site").alias("dst")), "dst", "left_anti").select("src", F.col("dst").alias("to"))
-    edges = into.unionByName(back).unionByName(over).distinct().cache()
-    killed = steps.filter("strong").select("machine", "qid", F.col("stmt").alias("to"), F.col("src").alias("state")).distinct()
-    moved = steps.select("machine", "qid", F.col("stmt").alias("to"), F.col("src").alias("state"), "dst")
+    into = p.cfg_edge.join(with_body.select(F.col("site").alias("dst"), "begin"), "dst").select("src", F.col("begin").alias("to"), F.col("dst").alias("site"), F.lit("into").alias("way"))
+    back = p.call_edge.join(end_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("src")), "callee").select("src", F.col("site").alias("to"), "site", F.lit("back").alias("way"))
+    over = p.cfg_edge.join(with_body.select(F.col("site").alias("dst")), "dst", "left_anti").select("src", F.col("dst").alias("to"), F.col("dst").alias("site"), F.lit("over").alias("way"))
+    edges = written(into.unionByName(back).unionByName(over).distinct())
+    ways = F.when(F.col("at") == CALL, F.array(F.lit("into"), F.lit("over"))).when(F.col("at") == CALL_OR_CALL_TO_RETURN, F.array(F.lit("into"), F.lit("over"))).otherwise(F.array(F.lit("back"), F.lit("over")))
+    acts = written(steps.select("machine", "qid", F.col("stmt").alias("site"), F.col("src").alias("state"), "dst", "strong", F.explode(ways).alias("way")).distinct())
+    key = ["machine", "qid", "site", "way", "state"]
+    killed = acts.filter("strong").select(*key).distinct()
+    moved = acts.select(*key, "dst")
 
     def step(total: DataFrame, delta: DataFrame) -> DataFrame:
-        at = delta.withColumnRenamed("stmt", "src").join(edges, "src").select("machine", "qid", "to", "state")
-        stay = at.join(killed, ["machine", "qid", "to", "state"], "left_anti")
-        change = at.join(moved, ["machine", "qid", "to", "state"]).select("machine", "qid", "to", F.col("dst").alias("state"))
-        return stay.unionByName(change).select("machine", "qid", F.col("to").alias("stmt"), "state")
+        at = delta.withColumnRenamed("stmt", "src").join(edges, "src").select("machine", "qid", "site", "way", "to", "state")
+        stay = at.join(killed, key, "left_anti").select("machine", "qid", F.col("to").alias("stmt"), "state")
+        change = at.join(moved, key).select("machine", "qid", F.col("to").alias("stmt"), F.col("dst").alias("state"))
+        return stay.unionByName(change)
 
     return fixpoint(start, step, keys=["machine", "qid", "stmt", "state"], **limits).whole()
 
@@ -110,6 +164,26 @@ def verdicts(found: DataFrame, machines: DataFrame, exits: DataFrame) -> DataFra
     return at.groupBy("machine", "qid").agg(F.bool_or(F.array_contains("errors", F.col("state"))).alias("error"))
 
 
+def judged(p: Program, names: list[str], options: Options = Options(), *, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(machine, qid, stmt, val, error, timed_out): the verdict on every object that the machines of these names watch, at its
+    program's method ends; all seeds are solved in one batch, within options.timeout_seconds.
+
+    error is null for an object that reaches no end. report gets the table before it is returned.
+    """
+    machines, moves = machine_tables(p.spark)
+    machines, moves = (t.filter(F.col("machine").isin(*names)) for t in (machines, moves))
+    s = solve(p, None, options)
+    subtypes = subtype_closure(p)
+    start = written(seeds(s, machines, subtypes))
+    found = states(s, start, moves, machines, subtypes)
+    told = verdicts(found, machines, end_points(p))
+    watched = start.select("machine", "qid").distinct().join(s.seeds.select("qid", "stmt", "val"), "qid")
+    out = written(watched.join(told, ["machine", "qid"], "left").select("machine", "qid", "stmt", "val", "error", F.lit(s.timed_out).alias("timed_out")))
+    if report:
+        report(out)
+    return out
+
+
 def must_may(found: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (machine, qid, stmt, state) with may (in the state possibly) and must (in no other)."""
     per = found.groupBy("machine", "qid", "stmt").agg(F.collect_set("state").alias("held"))
@@ -122,15 +196,14 @@ def fold_machine(events: DataFrame, moves: DataFrame, initial: str, *, block: in
     """events (qid, ord, name) and moves (src, name, dst) -> (qid, state, visited): state after all events in
     order, and the set of states on the way, the first included. A name without a move from a state keeps it.
 
-    An object's events are cut into blocks; a block is folded once for every state it may start in, and blocks are
-    chained by their changes, so that no task needs all events of an object.
+    Events are sorted over all tasks, by ranges of object and order, and cut into blocks; a block is folded once for every state
+    it may start in, and blocks are chained by their changes, so that no task needs all events of an object.
     """
-    from pyspark.sql import Window
-
     names = [r["s"] for r in moves.select(F.explode(F.array("src", "dst")).alias("s")).distinct().unionByName(moves.sparkSession.createDataFrame([(initial,)], "s string")).distinct().orderBy("s").collect()]  # a machine's states
     table = F.create_map(*[x for r in moves.collect() for x in (F.lit(f"{r['src']}\u0001{r['name']}"), F.lit(r["dst"]))])
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("ord")) - 1
-    parts = events.select("qid", "ord", "name", F.floor(nth / block).alias("block"))
+    ordered = events.select("qid", "ord", "name").repartitionByRange("qid", "ord").sortWithinPartitions("qid", "ord", "name")
+    nth = F.monotonically_increasing_id()  # rises in order through all partitions
+    parts = ordered.select("qid", "name", nth.alias("ord")).withColumn("block", F.floor(F.col("ord") / block))
     parts = parts.groupBy("qid", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda e: e["name"]).alias("names"))
     go = lambda s, name: F.coalesce(table[F.concat(s, F.lit("\u0001"), name)], s)
 

@@ -6,6 +6,10 @@ is an object whose field holds parts; nations and regions are types.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from pushgraph.functions import semiring as S
 from pushgraph.functions import text as T
 from pushgraph.operators import alias, closure, flows, language, pds, results, sync, typestate
 from pushgraph.plans import stats
-from pushgraph.session import table
+from pushgraph.session import table, written
 from pushgraph.sources import ir, sinks
 from pushgraph.streaming import incremental
 
@@ -166,9 +170,28 @@ def _(spark, sf):
     return pds.post_star(_rules(spark, sf), _starts(spark, sf), S.MIN_PLUS).total.select("qid", "src", "label", "dst", "w")
 
 
-@query("d9_pre_star")
+_PRE = f"""WITH RECURSIVE {_BI},
+rules AS (SELECT DISTINCT qid, CASE src WHEN 'signup' THEN 'push' WHEN 'error' THEN 'pop' ELSE 'normal' END AS kind, src AS l1, CASE WHEN src = 'error' THEN '' ELSE dst END AS l2 FROM bi),
+users AS (SELECT DISTINCT user_id::BIGINT AS qid FROM events),
+t(qid, src, label, dst) USING KEY (qid, src, label, dst) AS (
+  (SELECT qid, 'p', 'signup', 'ACC' FROM users UNION SELECT qid, 'q', unnest(['view', 'error']), 'ACC' FROM users UNION SELECT qid, 'p', l1, 'p' FROM rules WHERE kind = 'pop')
+  UNION
+  SELECT n.* FROM (
+    SELECT t.qid, 'p' AS src, l1 AS label, dst FROM t JOIN rules r ON r.qid = t.qid AND t.src = 'p' AND r.l2 = t.label AND kind = 'normal'
+    UNION SELECT t.qid, 'p', t.label, t.dst FROM t WHERE t.src = 'q' AND t.label <> 'error'
+    UNION SELECT a.qid, 'p', r.l1, b.dst FROM t a JOIN rules r ON r.qid = a.qid AND a.src = 'p' AND r.l2 = a.label AND kind = 'push' JOIN recurring.t b ON b.qid = a.qid AND b.src = a.dst AND b.label = 'view'
+    UNION SELECT a.qid, 'p', r.l1, b.dst FROM recurring.t a JOIN rules r ON r.qid = a.qid AND a.src = 'p' AND r.l2 = a.label AND kind = 'push' JOIN t b ON b.qid = a.qid AND b.src = a.dst AND b.label = 'view') n
+  LEFT JOIN recurring.t o ON o.qid = n.qid AND o.src = n.src AND o.label = n.label AND o.dst = n.dst WHERE o.qid IS NULL)
+"""
+
+
+@query("d9_pre_star", _PRE + "SELECT qid, src, label, dst FROM t")
 def _(spark, sf):
-    return pds.pre_star(_rules(spark, sf), _starts(spark, sf)).total.select("qid", "src", "label", "dst")
+    users = _starts(spark, sf)
+    more = users.select("qid", F.lit("q").alias("src"), F.explode(F.array(F.lit("view"), F.lit("error"))).alias("label"), "dst", "w")
+    # p goes to q on any label but error, which it keeps.
+    wild = users.select("qid", F.lit("normal").alias("kind"), F.lit("p").alias("s1"), F.lit("*").alias("l1"), F.lit("q").alias("s2"), F.lit("not:error").alias("l2"), F.lit("").alias("site"), F.lit(1).cast("bigint").alias("w"))
+    return pds.pre_star(_rules(spark, sf).unionByName(wild), users.unionByName(more)).total.select("qid", "src", "label", "dst")
 
 
 @query("d12_synchronised", "WITH t AS (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), d AS (SELECT *, coalesce(sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM t) SELECT qid, stmt FROM (SELECT conv_id AS qid, turn::VARCHAR AS stmt, min(depth) OVER (PARTITION BY conv_id ORDER BY n) AS low FROM d) WHERE low >= 0")
@@ -190,7 +213,7 @@ run(user_id, i, s) AS (SELECT DISTINCT user_id, 0::BIGINT, 'INIT' FROM events
 """
 
 
-@query("e3_typestate_final", _FOLD + "SELECT user_id AS qid, arg_max(s, i) AS state, bool_or(s = 'ERROR') AS error FROM run GROUP BY user_id")
+@query("d35_fold_machine", _FOLD + "SELECT user_id AS qid, arg_max(s, i) AS state, bool_or(s = 'ERROR') AS error FROM run GROUP BY user_id")
 def _(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.struct("ts", "event_id").alias("ord"), F.col("event_type").alias("name"))
     found = typestate.fold_machine(e, spark.createDataFrame(_MOVES, "src string, name string, dst string"), "INIT")
@@ -214,30 +237,17 @@ def _trade_program(spark, sf) -> ir.Program:
 _BOUGHT = "SELECT DISTINCT c_nationkey AS n, l_partkey AS p FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"
 
 
-@query("f1_points_to", f"SELECT 'n' || n AS val, 'p' || p AS alloc FROM ({_BOUGHT})")
+@query("f1_flow_insensitive", f"SELECT 'n' || n AS val, 'p' || p AS alloc FROM ({_BOUGHT})")
 def _(spark, sf):
     points, _ = alias.flow_insensitive(_trade_program(spark, sf))
     return points.filter(F.col("val").startswith("n"))
 
 
-@query("d20_heap_edges", "SELECT DISTINCT 'o' || l_orderkey AS base, 'item' AS field, 'p' || l_partkey AS alloc FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query("d20_flow_insensitive_heap", "SELECT DISTINCT 'o' || l_orderkey AS base, 'item' AS field, 'p' || l_partkey AS alloc FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def _(spark, sf):
     return alias.flow_insensitive(_trade_program(spark, sf))[1]
 
 
-@query("f5_possible_types", f"SELECT 'n' || n AS val, count(*) AS n_allocs FROM ({_BOUGHT}) GROUP BY n")
-def _(spark, sf):
-    points, _ = alias.flow_insensitive(_trade_program(spark, sf))
-    return points.filter(F.col("val").startswith("n")).groupBy("val").agg(F.count("*").alias("n_allocs"))
-
-
-@query("b6_reaching_definitions", "SELECT event_id, user_id, event_type FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL")
-def _(spark, sf):
-    e = table(spark, sf, "events")
-    last = e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("last"))
-    return e.join(last.select("last.event_id"), "event_id", "left_semi").select("event_id", "user_id", "event_type")
-
-
 @query("d27_dispatch", "SELECT 's' || s_suppkey AS site, CASE WHEN s_suppkey % 5 = 0 THEN 'S' || s_suppkey WHEN n_nationkey % 2 = 0 THEN 'N' || n_nationkey ELSE 'R' || n_regionkey END AS method FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def _(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
@@ -327,11 +337,13 @@ def _(spark, sf):
     return sinks.dot_lines(_bigrams(spark, sf).withColumn("label", F.upper("dst")))
 
 
-@query("l2_graph_json")
+@query("l2_graph_json", f"WITH {_BI} SELECT DISTINCT qid, 'node' AS part, n AS a, upper(n) AS b FROM (SELECT qid, unnest([src, dst]) AS n FROM bi) UNION ALL SELECT qid, 'edge', src, dst FROM bi")
 def _(spark, sf):
     b = _bigrams(spark, sf)
     nodes = b.select("qid", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.upper("id"))
-    return sinks.graph_json(nodes, b)
+    read = sinks.graph_json(nodes, b).select("qid", F.from_json("json", "nodes array<struct<id:string,label:string>>, edges array<struct<src:string,dst:string>>").alias("g"))
+    part = lambda name, a, b: F.transform(F.col(f"g.{name}s"), lambda x: F.struct(F.lit(name).alias("part"), x[a].alias("a"), x[b].alias("b")))
+    return read.select("qid", F.explode(F.concat(part("node", "id", "label"), part("edge", "src", "dst"))).alias("p")).select("qid", "p.*")
 
 
 @query("l5_geometric_mean", "SELECT round(exp(avg(ln(o_totalprice))), 4) AS geometric_mean FROM orders WHERE o_totalprice > 0")
@@ -339,19 +351,19 @@ def _(spark, sf):
     return stats.geometric_mean(table(spark, sf, "orders"), "o_totalprice").select(F.round("geometric_mean", 4).alias("geometric_mean"))
 
 
-@query("f17_longest_label_path")
+@query("f17_longest_label_path", f"WITH RECURSIVE {_BI}, up AS (SELECT * FROM bi WHERE src < dst), walk(qid, node, labels) AS (SELECT DISTINCT qid, 'click', []::VARCHAR[] FROM bi UNION SELECT walk.qid, up.dst, list_sort(list_append(labels, up.src || '>' || up.dst)) FROM walk JOIN up ON up.qid = walk.qid AND up.src = node) SELECT qid, array_to_string(arg_max(labels, len(labels) || ' ' || array_to_string(labels, ',')), ',') AS labels FROM walk GROUP BY qid")
 def _(spark, sf):
     b = _bigrams(spark, sf)
-    start = b.select("qid").distinct().select("qid", F.lit("signup").alias("node"))
+    start = b.select("qid").distinct().select("qid", F.lit("click").alias("node"))
     return closure.longest_label_path(b.withColumn("label", F.concat("src", F.lit(">"), "dst")).filter("src < dst"), start).select("qid", F.array_join("labels", ",").alias("labels"))
 
 
-@query("a10_whole_program_seeds", "SELECT event_id::VARCHAR AS stmt, user_id::VARCHAR AS method FROM events WHERE event_type = 'signup' AND user_id % 2 = 0")
+@query("a10_whole_program_seeds", "SELECT event_id::VARCHAR AS stmt, user_id::VARCHAR AS method FROM events WHERE event_type = 'signup'")
 def _(spark, sf):
     p = _program(spark, sf)
     none = F.lit(None).cast("string")
     p.tables["alloc"] = p.stmt.filter("kind = 'signup'").select("stmt", F.concat(F.lit("v"), "stmt").alias("val"), F.lit("T").alias("type"), F.lit("new").alias("kind"), none.alias("const"))
-    entries = p.stmt.filter(F.col("method").cast("bigint") % 2 == 0).select("method").distinct()
+    entries = p.stmt.select("method").distinct()
     return ir.whole_program_seeds(p, entries).select("stmt").join(p.stmt.select("stmt", "method"), "stmt")
 
 
@@ -370,9 +382,9 @@ def _(spark, sf):
     name = lambda a, x: F.concat(F.lit(a), F.col(x).cast("string"))
     up = s.select(name("s", "s_suppkey").alias("sub"), name("n", "s_nationkey").alias("sup")).unionByName(n.select(name("n", "n_nationkey").alias("sub"), name("r", "n_regionkey").alias("sup")))
     subtypes = ir.subtype_closure(ir.Program(spark, {"subtype": up}))
-    # Every supplier is asked whether it can be each of the five regions.
-    regions = F.array(*(F.lit(x["r_regionkey"]) for x in r.select("r_regionkey").orderBy("r_regionkey").collect()))
-    facts = s.select(F.col("s_suppkey").alias("qid"), F.explode(regions).alias("region")).withColumn("declared", name("r", "region"))
+    # Every supplier is asked whether it can be each of the regions.
+    regions = r.agg(F.collect_set("r_regionkey").alias("regions"))
+    facts = s.select(F.col("s_suppkey").alias("qid")).join(F.broadcast(regions)).select("qid", F.explode("regions").alias("region")).withColumn("declared", name("r", "region"))
     types = s.select(F.col("s_suppkey").alias("qid"), name("s", "s_suppkey").alias("type"))
     return results.type_filter(facts, types, subtypes).select("qid", "region")
 
@@ -383,10 +395,21 @@ def _(spark, sf):
     return results.callers(o.filter("o_orderpriority = '1-URGENT'"), o, table(spark, sf, "customer").select(F.col("c_custkey").alias("method")))
 
 
-@query("f15_languages")
+_WORDS = [""] + [" ".join(w) + " " for n in (1, 2, 3) for w in itertools.product("cepsv", repeat=n)]
+
+
+@query("f15_languages", f"WITH RECURSIVE {_BI}, walk(qid, node, word, n) AS (SELECT DISTINCT qid, 'click', '', 0 FROM bi UNION SELECT walk.qid, dst, word || dst[1] || ' ', n + 1 FROM walk JOIN bi ON bi.qid = walk.qid AND bi.src = node WHERE n < 3) SELECT DISTINCT qid, word FROM walk WHERE node = 'view'")
 def _(spark, sf):
+    """Words of three labels at most that each user's expression accepts."""
     b = _bigrams(spark, sf).withColumn("label", F.substring("dst", 1, 1))
-    return language.languages(b, b.select("qid").distinct().withColumns({"start": F.lit("click"), "final": F.lit("view")}))
+    found = language.languages(b, b.select("qid").distinct().withColumns({"start": F.lit("click"), "final": F.lit("view")})).filter("regex is not null")
+
+    def accepted(batches):
+        for batch in batches:
+            rows = [(q, w) for q, r in zip(batch["qid"], batch["regex"], strict=True) for p in [language.to_python(r)] for w in _WORDS if p.fullmatch(w)]
+            yield pd.DataFrame(rows, columns=["qid", "word"])
+
+    return found.select("qid", "regex").mapInPandas(accepted, "qid long, word string")
 
 
 @query("h4_short_labels", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'x' || user_id || ' = new T' WHEN 'purchase' THEN 'x' || user_id || ' = m()' WHEN 'click' THEN 'x' || user_id || ' = y.f' WHEN 'view' THEN 'x' || user_id || '.f = y' ELSE 'return y' END AS label FROM events")
@@ -403,3 +426,182 @@ def _(spark, sf):
     for part in (0, 1):  # two batches, split by the edges' starts
         c.add(b.filter(F.col("src").isin("click", "view") == F.lit(bool(part))))
     return c.pairs
+
+
+# Conversations as code: a conversation is a method, its turns are statements; the first turn, and those whose text's length leaves 0,
+# are v = new T; other remainders are w = v, w.f = v, x = w.f, calls on v and calls on w.
+_KINDS = ("new", "assign", "store", "load", "on_v", "on_w")
+_TYPES = ("T0", "T1", "T2")
+
+
+def _turns(spark, sf) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    size = F.octet_length("text")
+    first = F.col("turn") == F.min("turn").over(ir.Window.partitionBy("conv_id"))
+    kind = F.when(first, "new").otherwise(F.element_at(F.array(*map(F.lit, _KINDS)), (size % 6 + 1).cast("int")))
+    name = lambda a: F.concat(F.lit(a), "conv_id")
+    return c.select(F.concat(name("c"), F.lit(":"), "turn").alias("stmt"), name("c").alias("method"), F.col("turn").cast("long").alias("ord"), kind.alias("kind"), F.floor(size / 6).cast("int").alias("n"), name("v").alias("v"), name("w").alias("w"), name("x").alias("x"))
+
+
+def _code(spark, sf, types=_TYPES, calls=("go()",), results=()) -> ir.Program:
+    """The program; allocations take types, calls take signatures in turn. results: (type, signature) of types that a call makes."""
+    t = written(_turns(spark, sf))
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), F.pmod("n", F.lit(len(names))) + 1)
+    of = lambda kind, *cols: t.filter(F.col("kind").isin(*kind.split())).select("stmt", *cols)
+    none = F.lit(None).cast("string")
+    alloc = of("new", F.col("v").alias("val"), pick(types).alias("type"), F.lit("new").alias("kind"), none.alias("const"))
+    call = of("on_v on_w", F.when(F.col("kind") == "on_v", F.col("v")).otherwise(F.col("w")).alias("recv"), pick(calls).alias("sig"), F.lit("virtual").alias("kind"), none.alias("lhs"))
+    if results:
+        made = alloc.join(F.broadcast(spark.createDataFrame(results, "type string, sig string")), "type")
+        call = call.unionByName(made.select("stmt", none.alias("recv"), "sig", F.lit("static").alias("kind"), F.col("val").alias("lhs")))
+    return ir.Program(spark, {
+        "stmt": t.select("stmt", "method", "ord", "kind"), "cfg_edge": ir.straight_line_edges(t), "alloc": alloc, "call": call,
+        "assign": of("assign", F.col("w").alias("lhs"), F.col("v").alias("rhs")), "store": of("store", F.col("w").alias("base"), F.lit("f").alias("field"), F.col("v").alias("rhs")),
+        "load": of("load", F.col("x").alias("lhs"), F.col("w").alias("base"), F.lit("f").alias("field")),
+    })
+
+
+_SOLVED = {}
+
+
+def _solved(spark, sf) -> alias.Solution:
+    """The program's solution, which the rows of one session share."""
+    key = (spark.sparkContext.applicationId, sf)
+    try:
+        _SOLVED[key].points.isEmpty()  # its tables are still there
+    except Exception:
+        _SOLVED[key] = alias.solve(_code(spark, sf))
+    return _SOLVED[key]
+
+
+def _asked(p: ir.Program, *names: str) -> DataFrame:
+    """(query, stmt, val): the named values at every statement."""
+    val = F.explode(F.array(*(F.concat(F.lit(n), F.substring("method", 2, 99)) for n in names))).alias("val")
+    return p.stmt.select("stmt", val).select(F.concat_ws("|", "stmt", "val").alias("query"), "stmt", "val")
+
+
+# Each statement with what v and w hold before and after it, by the statement that allocated it, and what w held at the last load; where
+# w held nothing yet, the load gives what the last store through w put there.
+_HELD = """WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, strlen(text) // 6 AS n, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'new' ELSE (['new', 'assign', 'store', 'load', 'on_v', 'on_w'])[strlen(text) % 6 + 1] END AS kind FROM conversations),
+v AS (SELECT *, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS va, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS vb FROM k),
+w AS (SELECT *, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS wa, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wb FROM v),
+held AS (SELECT *, last_value(CASE WHEN kind = 'load' THEN {'b': wb, 'd': CASE WHEN wb IS NULL THEN sb END} END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS xb FROM (SELECT *, last_value(CASE WHEN kind = 'store' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS sb FROM w)),
+heap AS (SELECT DISTINCT c, wb AS a, vb AS o FROM held WHERE kind = 'store' AND wb IS NOT NULL),
+points AS (SELECT c, t, 'v' AS x, va AS o FROM held WHERE va IS NOT NULL UNION ALL SELECT c, t, 'w', wa FROM held WHERE wa IS NOT NULL UNION ALL SELECT h.c, t, 'x', heap.o FROM held h JOIN heap ON heap.c = h.c AND heap.a = h.xb.b UNION ALL SELECT c, t, 'x', xb.d FROM held WHERE xb.d IS NOT NULL)
+"""
+_OF = "'c' || p.c || ':' || p.o"
+
+
+@query("f1_points_to", _HELD + f"SELECT 'c' || c || ':' || t AS stmt, x || c AS val, {_OF} AS alloc_stmt FROM points p")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    asked = _asked(s.program, "v", "w", "x")
+    return alias.points_to(s, asked).join(asked, "query").select("stmt", "val", "alloc_stmt")
+
+
+@query("d24_backward_points_to", _HELD + f"SELECT 'x' || p.c AS val, {_OF} AS alloc_stmt, (['T0', 'T1', 'T2'])[a.n % 3 + 1] AS type FROM points p JOIN k a ON a.c = p.c AND a.t = p.o WHERE x = 'x' AND p.t = (SELECT max(t) FROM k WHERE k.c = p.c)")
+def _(spark, sf):
+    """What x holds at each method's end, asked backwards: only the allocations that can matter are solved."""
+    p = _code(spark, sf)
+    asked = _asked(p, "x").join(ir.end_points(p).select("stmt"), "stmt", "left_semi")
+    return alias.points_to(alias.backward_solve(p, asked), asked).join(asked, "query").select("val", "alloc_stmt", "type")
+
+
+@query("f2_may_alias", _HELD + "SELECT 'c' || k.c || ':' || k.t AS stmt, EXISTS (SELECT 1 FROM points a JOIN points b ON a.c = b.c AND a.t = b.t AND a.o = b.o WHERE a.c = k.c AND a.t = k.t AND a.x = 'x' AND b.x = 'v') AS alias FROM k")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    pairs = _asked(s.program, "x").select("query", "stmt", "val", F.col("stmt").alias("other_stmt"), F.concat(F.lit("v"), F.substring("val", 2, 99)).alias("other"))
+    return alias.may_alias(s, pairs).select("stmt", "alias")
+
+
+@query("f5_possible_types", _HELD + "SELECT DISTINCT 'c' || p.c || ':' || p.t AS stmt, (['T0', 'T1', 'T2'])[a.n % 3 + 1] AS type FROM points p JOIN k a ON a.c = p.c AND a.t = p.o WHERE x = 'x'")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    asked = _asked(s.program, "x")
+    return alias.possible_types(s, asked).join(asked, "query").select("stmt", "type")
+
+
+@query("d20_heap_edges", _HELD + "SELECT 'c' || c || ':' || a AS base, 'f' AS field, 'c' || c || ':' || o AS alloc FROM heap")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    names = lambda qid, name: s.seeds.select(F.col("qid").alias(qid), F.col("stmt").alias(name))
+    return s.heap.withColumnRenamed("base", "b").join(names("b", "base"), "b").join(names("qid", "alloc"), "qid").select("base", "field", "alloc")
+
+
+@query("d18_points_of_indirection", _HELD + "SELECT 'c' || c || ':' || t AS stmt, 'store' AS kind, 'c' || c || ':' || wb AS base, 'c' || c || ':' || vb AS flow FROM held WHERE kind = 'store' AND wb IS NOT NULL UNION ALL SELECT 'c' || h.c || ':' || t, 'load', 'c' || h.c || ':' || wb, 'c' || h.c || ':' || heap.o FROM held h JOIN heap ON heap.c = h.c AND heap.a = wb WHERE kind = 'load'")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    names = lambda qid, name: s.seeds.select(F.col("qid").alias(qid), F.col("stmt").alias(name))
+    met = alias.indirections(s).withColumnsRenamed({"base": "b", "flow": "o"})
+    return met.join(names("b", "base"), "b").join(names("o", "flow"), "o").select("stmt", "kind", "base", "flow")
+
+
+@query("f11_invoked_methods", _HELD + "SELECT 'c' || c || ':' || CASE WHEN kind = 'on_v' THEN vb ELSE wb END AS alloc, 'c' || c || ':' || t AS stmt, 'go()' AS sig FROM held WHERE kind = 'on_v' OR (kind = 'on_w' AND wb IS NOT NULL)")
+def _(spark, sf):
+    s = _solved(spark, sf)
+    return alias.invoked_methods(s).join(s.seeds.select("qid", F.col("stmt").alias("alloc")), "qid").select("alloc", "stmt", "sig")
+
+
+@query("b6_killed_values", _HELD + "SELECT 'c' || c || ':' || t AS stmt, CASE kind WHEN 'new' THEN 'v' WHEN 'assign' THEN 'w' ELSE 'x' END || c AS val FROM k WHERE kind IN ('new', 'assign', 'load')")
+def _(spark, sf):
+    return ir.killed_values(_code(spark, sf))
+
+
+@query("d27_call_graph", _HELD + "SELECT 'c' || h.c || ':' || h.t AS site, 'c' || h.c AS caller, CASE WHEN a.n % 3 = 0 THEN 'M0' ELSE 'M1' END AS callee FROM held h JOIN k a ON a.c = h.c AND a.t = CASE WHEN h.kind = 'on_v' THEN vb ELSE wb END WHERE h.kind IN ('on_v', 'on_w')")
+def _(spark, sf):
+    """T0 has a method of its own; T1 has one that T2, below it, inherits."""
+    p = _code(spark, sf)
+    p.tables |= {"vtable": spark.createDataFrame([("T0", "go()", "M0"), ("T1", "go()", "M1")], ir.SCHEMAS["vtable"]), "subtype": spark.createDataFrame([("T2", "T1")], ir.SCHEMAS["subtype"])}
+    p.tables["call_edge"] = spark.createDataFrame([], ir.SCHEMAS["call_edge"])
+    full, _ = alias.call_graph(p, p.stmt.select("method").distinct())
+    return full.call_edge.select("site", "caller", "callee")
+
+
+@query("e3_typestate_weights", _HELD + "SELECT 'c' || p.c || ':' || p.o AS alloc, CASE n WHEN 0 THEN '*>*' WHEN 1 THEN 'INIT>OPENED' ELSE '' END AS w FROM (SELECT p.c, p.o, count(h.t) AS n FROM points p LEFT JOIN held h ON h.c = p.c AND h.kind = 'on_v' AND h.vb = p.o WHERE x = 'v' AND p.t = (SELECT max(t) FROM k WHERE k.c = p.c) GROUP BY ALL) p")
+def _(spark, sf):
+    """What the calls on v change, for what v holds at the end: calls through w are not v's."""
+    p = _code(spark, sf, types=("File",), calls=("open()",))
+    s = alias.solve(p)
+    moves = typestate.machine_tables(spark)[1].filter("machine = 'FileMustBeClosed'")
+    ends = _asked(p, "v").join(ir.end_points(p).select("stmt"), "stmt", "left_semi")
+    found = results.state_changes(s, moves).join(ends, ["stmt", "val"], "left_semi").join(s.seeds.select("qid", F.col("stmt").alias("alloc")), "qid")
+    return found.select("alloc", F.array_join(F.transform("w", lambda x: F.concat_ws(">", x["src"], x["dst"])), ",").alias("w"))
+
+
+_WATCHED = ("File", "Iterator", "Vector", "KeyStore", "Signature", "Socket", "URLConnection", "InputStream", "OutputStream", "PipedInputStream", "PipedOutputStream", "PrintStream", "PrintWriter")
+_RESULTS = [("Iterator", "iterator()"), ("KeyStore", "getInstance(String)"), ("Signature", "getInstance(String)")]
+_SIGS = tuple("close() connect() read() write(int) open() add(int) get(int) removeAllElements() next() hasNext() load(int) initSign(int) initVerify(int) sign() verify(int) update(int) setDoInput(boolean) getInputStream()".split())
+
+
+def _watch_sql() -> str:
+    """Every object's calls folded from each of its seeds, for every machine; what a pattern matches is told by its names."""
+    heads, moves, errors = [], set(), []
+    for line in typestate.MACHINES.strip().splitlines():
+        name, cls, seed, initial, wrong, _, steps = (x.strip() for x in line.split(" | "))
+        kind, _, method = seed.partition(" ")
+        heads.append((name, cls, kind, method, initial))
+        errors += [(name, e) for e in wrong.split()]
+        for step in steps.split(";"):
+            src, methods, dst, *_ = step.split()
+            over, _, pattern = methods.rpartition(":")
+            for sig in _SIGS:
+                if over != "native" and re.fullmatch(pattern, sig if over == "sig" else sig.partition("(")[0]):
+                    moves.add((name, src, sig, dst))
+    values = lambda rows: "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in sorted(rows))
+    return _HELD + f""",
+m(machine, cls, seed, method, initial) AS ({values(heads)}), mv(machine, src, sig, dst) AS ({values(moves)}), bad(machine, state) AS ({values(errors)}),
+objects AS (SELECT c, t AS o, ([{', '.join(f"'{x}'" for x in _WATCHED)}])[n % {len(_WATCHED)} + 1] AS cls FROM k WHERE kind = 'new'),
+calls AS (SELECT c, CASE WHEN kind = 'on_v' THEN vb ELSE wb END AS o, t, ([{', '.join(f"'{x}'" for x in _SIGS)}])[n % {len(_SIGS)} + 1] AS sig FROM held WHERE kind IN ('on_v', 'on_w')),
+ev AS (SELECT *, row_number() OVER (PARTITION BY c, o ORDER BY t) AS i FROM calls WHERE o IS NOT NULL),
+starts AS (SELECT machine, objects.c, objects.o, 0 AS i, initial FROM m JOIN objects USING (cls) WHERE seed IN ('new', 'result') UNION SELECT machine, ev.c, ev.o, ev.i - 1, initial FROM m JOIN objects USING (cls) JOIN ev ON ev.c = objects.c AND ev.o = objects.o AND seed = 'call' AND split_part(ev.sig, '(', 1) = method),
+run(machine, c, o, i, state) AS (SELECT * FROM starts UNION SELECT run.machine, run.c, run.o, ev.i, coalesce(mv.dst, run.state) FROM run JOIN ev ON ev.c = run.c AND ev.o = run.o AND ev.i = run.i + 1 LEFT JOIN mv ON mv.machine = run.machine AND mv.src = run.state AND mv.sig = ev.sig),
+last AS (SELECT run.*, coalesce((SELECT max(i) FROM ev WHERE ev.c = run.c AND ev.o = run.o), 0) AS n FROM run)
+SELECT last.machine, 'c' || c || ':' || o AS stmt, bool_or(bad.state IS NOT NULL) AS error FROM last LEFT JOIN bad ON bad.machine = last.machine AND bad.state = last.state WHERE i = n GROUP BY last.machine, c, o"""
+
+
+@query("k1_to_k18_typestate_verdicts", _watch_sql())
+def _(spark, sf):
+    """All machines over one program whose objects are of the watched classes."""
+    p = _code(spark, sf, types=_WATCHED, calls=_SIGS, results=_RESULTS)
+    names = [line.split(" | ")[0] for line in typestate.MACHINES.strip().splitlines()]
+    return typestate.judged(p, names).select("machine", "stmt", "error")

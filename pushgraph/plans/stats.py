@@ -39,6 +39,23 @@ def graph_edges(cfg: DataFrame, call_edges: DataFrame) -> DataFrame:
     return cfg.distinct().agg(F.count("*").alias("n")).unionAll(call_edges.distinct().agg((2 * F.count("*")).alias("n"))).agg(F.sum("n").alias("n"))
 
 
+def simple(solutions: list, program) -> DataFrame:
+    """One row (forward, backward, total, visited_methods): queries solved, by direction, and methods that any visited.
+
+    solutions: (direction, Solution) pairs.
+    """
+    rows = None
+    for direction, s in solutions:
+        one = s.seeds.select("qid").distinct().withColumn("direction", F.lit(direction))
+        rows = one if rows is None else rows.unionByName(one)
+    methods = None
+    for _, s in solutions:
+        m = s.reached.select("stmt").distinct().join(program.stmt.select("stmt", "method"), "stmt").select("method")
+        methods = m if methods is None else methods.unionByName(m)
+    counts = rows.agg(*(F.sum((F.col("direction") == d).cast("bigint")).alias(d) for d in ("forward", "backward")), F.count("*").alias("total"))
+    return counts.crossJoin(methods.agg(F.count_distinct("method").alias("visited_methods")))  # a row each
+
+
 def geometric_mean(rows: DataFrame, col: str) -> DataFrame:
     """One row (geometric_mean) over positive values."""
     return rows.filter(F.col(col) > 0).agg(F.exp(F.avg(F.log(col))).alias("geometric_mean"))

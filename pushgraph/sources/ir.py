@@ -32,7 +32,17 @@ SCHEMAS = {
     "vtable": "type string, sig string, method string",
     "null_branch": "src string, dst string, val string",
     "instance_of": "stmt string, lhs string, val string",
+    "flag_branch": "src string, dst string, val string",
+    "local": "val string, method string, type string",
+    "cast": "stmt string, rhs string, type string",
+    "class_info": "type string, phantom boolean, interface boolean",
+    "lib_model": "name string, src int, dst int",
+    "static_field": "field string, cls string",
+    "entry": "method string",
+    "hidden": "type string, sig string",
 }
+#: Position of the result among a library model's positions.
+RESULT = -2
 #: Position of the receiver among arguments and parameters.
 THIS = -1
 ARRAY = "array"
@@ -42,17 +52,26 @@ STRING_TYPES = ("java.lang.String", "java.lang.StringBuilder", "java.lang.String
 
 @dataclass
 class Program:
-    """The fact tables of a program; absent ones are empty. Array accesses are loads and stores of field ``array``."""
+    """The fact tables of a program; absent ones are empty. Array accesses are loads and stores of field ``array``.
+
+    null_branch: edges that a value which is null does not take; flag_branch: those taken where val, the result of an
+    instance_of, is true. local: what method a value belongs to and its declared type (null: no class). cast: assignments that cast.
+    lib_model: for calls without a body, by name, what argument (-1: receiver) flows to what argument or result (-2). hidden:
+    methods that are not public or are static. entry: methods that a run starts with.
+    """
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    blank: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        if name not in self.tables:
-            self.tables[name] = self.spark.createDataFrame([], SCHEMAS[name])
-        return self.tables[name]
+        if name in self.tables:
+            return self.tables[name]
+        if name not in self.blank:
+            self.blank[name] = self.spark.createDataFrame([], SCHEMAS[name])
+        return self.blank[name]
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, names: Iterable[str] = SCHEMAS) -> Program:
@@ -114,28 +133,110 @@ def reachable_statements(p: Program, entries: DataFrame) -> DataFrame:
     return p.stmt.join(reachable_methods(p, entries), "method", "left_semi").select("stmt", "method")
 
 
-def is_allocation(*, strings: bool = False, nulls: bool = False, arrays: bool = True, throwables: bool = False, constants: bool = False, throwable_types: DataFrame | None = None) -> Column:
+def has(p: Program, name: str) -> bool:
+    """Whether the program comes with the table."""
+    return name in p.tables
+
+
+def is_allocation(*, strings: bool = False, nulls: bool = False, arrays: bool = True, throwables: bool = False, constants: bool = False, throwable: Column | None = None) -> Column:
     """Predicate on alloc rows, in the order of the options: first match decides.
 
     kind: new, new_array, multi_array, null, string, int, length, big_integer. constants is the profile of integer
-    and string constants.
+    and string constants. throwable: whether the row's type is a subtype of Throwable; without it, types are told by name.
     """
     k, t = F.col("kind"), F.col("type")
     if constants:
         return k.isin("int", "string", "new", "new_array", "multi_array", "length", "big_integer")
     out = F.when(F.lit(not strings) & (k == "new") & t.isin(*STRING_TYPES), False).when(k == "null", F.lit(nulls)).when(k.isin("new_array", "multi_array"), F.lit(arrays)).when(k == "string", F.lit(strings))
     if not throwables:
-        out = out.when(t.rlike(r"(^|\.)[A-Za-z]*(Throwable|Exception|Error)$"), False)
+        out = out.when(t.rlike(r"(^|\.)[A-Za-z]*(Throwable|Exception|Error)$") if throwable is None else throwable, False)
     return out.otherwise(k == "new")
 
 
+def allocations(p: Program, **options) -> DataFrame:
+    """alloc rows that are allocations by the options; with subtype rows, exceptions are told by them, not by name."""
+    rows = p.alloc
+    if has(p, "subtype") and not options.get("throwables"):
+        below = subtype_closure(p).filter(F.col("sup").rlike(r"(^|\.)Throwable$")).select(F.col("sub").alias("type"), F.lit(True).alias("_throwable")).distinct()
+        rows = rows.join(below, "type", "left").withColumn("_throwable", F.coalesce("_throwable", F.lit(False)))
+        return rows.filter(is_allocation(throwable=F.col("_throwable"), **options)).select(*p.alloc.columns)
+    return rows.filter(is_allocation(**options))
+
+
+def allocation_at(p: Program, asked: DataFrame, **options) -> DataFrame:
+    """asked (stmt, val) -> (stmt, val, alloc_stmt, alloc_val, type): the allocation that the statement assigns to val: its own, or
+    else what a callee's return statement allocates (the least such statement)."""
+    rows = allocations(p, **options).select(F.col("stmt").alias("alloc_stmt"), F.col("val").alias("alloc_val"), "type")
+    own = asked.join(rows, (F.col("stmt") == F.col("alloc_stmt")) & (F.col("val") == F.col("alloc_val"))).select("stmt", "val", "alloc_stmt", "alloc_val", "type")
+    results = asked.join(p.call.select("stmt", F.col("lhs").alias("val")), ["stmt", "val"]).join(p.call_edge.select(F.col("site").alias("stmt"), "callee"), "stmt")
+    ends = end_points(p).select(F.col("stmt").alias("alloc_stmt"), F.col("method").alias("callee")).join(p.ret.select(F.col("stmt").alias("alloc_stmt"), F.col("val").alias("alloc_val")), "alloc_stmt")
+    made = results.join(ends, "callee").join(rows, ["alloc_stmt", "alloc_val"]).join(own.select("stmt", "val"), ["stmt", "val"], "left_anti")
+    first = made.groupBy("stmt", "val").agg(F.min(F.struct("alloc_stmt", "alloc_val", "type")).alias("a"))
+    return own.unionByName(first.select("stmt", "val", "a.*")).distinct()
+
+
+def ignored_methods(p: Program, *, throwables: bool = False) -> DataFrame:
+    """(method): methods of exception classes, where exceptions are tracked; none otherwise."""
+    if not throwables:
+        return p.method.select("method").limit(0)
+    below = subtype_closure(p).filter(F.col("sup").rlike(r"(^|\.)Throwable$")).select(F.col("sub").alias("cls")).distinct()
+    return p.method.join(below, "cls", "left_semi").select("method")
+
+
+def instance_branches(p: Program) -> DataFrame:
+    """null_branch rows that instance_of gives: null is an instance of nothing, so it takes no edge on which the test is true."""
+    return p.flag_branch.withColumnRenamed("val", "lhs").join(p.instance_of.select("lhs", "val"), "lhs").select("src", "dst", "val").distinct()
+
+
+def entry_points(p: Program) -> DataFrame:
+    """(stmt, method): first statements of the methods that a run starts with."""
+    return start_points(p).join(p.entry, "method", "left_semi").select("stmt", "method")
+
+
+def initialiser_ends(p: Program) -> DataFrame:
+    """(stmt, cls): last statements of the static initialisers."""
+    return end_points(p).join(p.method.filter("clinit").select("method", "cls"), "method").select("stmt", "cls")
+
+
+def method_scope(p: Program, queries: DataFrame) -> DataFrame:
+    """(query, method): the method of each query (query, stmt), and all that call it, directly or not."""
+    from pushgraph.plans.fixpoint import fixpoint
+
+    first = queries.select("query", "stmt").join(p.stmt.select("stmt", "method"), "stmt").select("query", "method")
+    up = p.call_edge.select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct()
+    step = lambda total, delta: delta.join(up, F.col("method") == F.col("src")).select("query", F.col("dst").alias("method"))
+    return fixpoint(first, step, keys=["query", "method"]).whole()
+
+
+def reflection_log(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, target, caller, line, guard): a ;-separated log of calls by reflection, one a line; absent columns are null."""
+    return spark.read.option("sep", ";").schema("kind string, target string, caller string, line string, guard string").csv(path)
+
+
+def class_list(spark: SparkSession, path: str) -> DataFrame:
+    """(cls): a text of class names, one a line; empty lines are none."""
+    return spark.read.text(path).select(F.trim("value").alias("cls")).filter("cls <> ''").distinct()
+
+
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value): a text of key=value lines; # and ! begin comments."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not line rlike '^[#!]'")
+    return lines.select(F.trim(F.regexp_extract("line", r"^([^=:]*)[=:]?", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^[^=:]*[=:](.*)$", 1)).alias("value"))
+
+
 def whole_program_seeds(p: Program, entries: DataFrame, **options) -> DataFrame:
     """(stmt, val, type): every allocation in a reachable method."""
-    return p.alloc.filter(is_allocation(**options)).join(reachable_statements(p, entries).select("stmt"), "stmt", "left_semi").select("stmt", "val", "type").distinct()
+    return allocations(p, **options).join(reachable_statements(p, entries).select("stmt"), "stmt", "left_semi").select("stmt", "val", "type").distinct()
+
 
+def application_seeds(p: Program, entries: DataFrame, *, initialisers: bool = False, **options) -> DataFrame:
+    """The same where calls are followed into application classes with bodies only.
 
-def application_seeds(p: Program, entries: DataFrame, **options) -> DataFrame:
-    """The same where calls are followed into application classes with bodies only."""
+    initialisers: the static initialisers of the entries' classes are entered too.
+    """
+    if initialisers:
+        classes = p.method.join(entries.select("method"), "method", "left_semi").select("cls").distinct()
+        entries = entries.select("method").unionByName(p.method.filter("clinit").join(classes, "cls", "left_semi").select("method")).distinct()
     inside = p.method.filter(F.col("app") & F.col("has_body")).select(F.col("method").alias("callee"))
     some = Program(p.spark, p.tables | {"call_edge": p.call_edge.join(inside, "callee", "left_semi").select("site", "caller", "callee", "kind")})
     return whole_program_seeds(some, entries, **options)
@@ -172,10 +273,9 @@ def subtype_closure(p: Program) -> DataFrame:
 def dispatch(p: Program, receivers: DataFrame) -> DataFrame:
     """(site, type, method): the method that each call on a receiver type runs: the nearest up the superclass chain.
 
-    receivers: (site, type, sig). An array type runs its element type's. Thread.start runs run.
+    receivers: (site, type, sig). An array type runs its element type's. Where a supertype is Thread, start runs run too.
     """
-    sig = F.when(F.col("sig").rlike(r"^start\(\)$"), F.array(F.col("sig"), F.lit("run()"))).otherwise(F.array("sig"))
-    want = receivers.select("site", F.regexp_replace("type", r"(\[\])+$", "").alias("type"), F.explode(sig).alias("sig")).distinct()
+    want = receivers.select("site", F.regexp_replace("type", r"(\[\])+$", "").alias("type"), "sig").distinct()
     up = p.subtype.select(F.lit(0).cast("bigint").alias("qid"), F.col("sub").alias("src"), F.col("sup").alias("dst"))
     from pushgraph.plans.fixpoint import fixpoint
 
@@ -186,6 +286,8 @@ def dispatch(p: Program, receivers: DataFrame) -> DataFrame:
 
     step = lambda total, delta: delta.join(up, F.col("at") == F.col("src")).select("type", F.col("dst").alias("at"), (F.col("depth") + 1).alias("depth"))
     above = fixpoint(start, step, keys=["type", "at"], weight="depth", semiring=_Least).whole()
+    threads = above.filter(F.col("at").rlike(r"(^|\.)Thread$")).select("type").distinct()
+    want = want.unionByName(want.filter("sig = 'start()'").join(threads, "type", "left_semi").select("site", "type", F.lit("run()").alias("sig"))).distinct()
     found = want.join(above, "type").join(p.vtable.select(F.col("type").alias("at"), "sig", "method"), ["at", "sig"])
     return found.groupBy("site", "type", "sig").agg(F.min_by("method", F.struct("depth", "at", "method")).alias("method")).select("site", "type", "method").distinct()
 

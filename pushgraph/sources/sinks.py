@@ -27,6 +27,13 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "qid", "left").select("qid", F.to_json(F.struct("nodes", "edges")).alias("json"))
 
 
+def console(rows: DataFrame, most: int = 20) -> str:
+    """The first rows in order, as a table; also printed."""
+    text = rows.orderBy(*rows.columns).limit(most)._show_string(most, 80, False)
+    print(text)
+    return text
+
+
 def write_text(rows: DataFrame, col: str, path: str) -> None:
     rows.select(col).write.mode("overwrite").text(path)
 
