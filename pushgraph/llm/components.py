@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pushgraph.session import written
+from pushgraph.session import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         m = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = down.join(m, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(small.filter(F.col("u") != F.col("v")).distinct())
+        before, now = now, written(small.filter(F.col("u") != F.col("v")).distinct())
+        forget(before)
         new = _state(now)
         if new == state:
             break

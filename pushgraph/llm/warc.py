@@ -30,11 +30,22 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with its names in lower case; values of names that differ in case alone are joined in order by commas."""
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+
+    def value(name: Column) -> Column:
+        values = F.transform(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
+        return F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(F.array_join(F.array_sort(values), ", "))
+
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def resolve_revisits(records: DataFrame, *, span_seconds: int = 86_400) -> DataFrame:
     """One row for each revisit: (record_id, url_key, ts, verdict, response_id, response_ts, headers).
 
     records: record_id, url, ts (timestamp), type ('response' or 'revisit'), etag, last_modified (strings) and
-    headers (map of lower-case names). The answer to a revisit is the latest response of its canonical URL
+    headers (a map; names in any case, as lower_names() has them). The answer to a revisit is the latest response of its canonical URL
     with an earlier time; of equal times, the one with the larger record_id. verdict: ``resolved``; ``mismatch`` where a
     validator that both carry differs (a weak ETag equals its strong form); ``unchecked`` where they share
     none; ``missing`` where there is no earlier response. headers: those of the response, updated by the
@@ -43,7 +54,7 @@ def resolve_revisits(records: DataFrame, *, span_seconds: int = 86_400) -> DataF
     """
     empty = F.expr("cast(map() as map<string,string>)")
     base = records.select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", (F.col("type") == FULL).alias("full"), "type", "etag", "last_modified", F.coalesce("headers", empty).alias("headers")
+        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", (F.col("type") == FULL).alias("full"), "type", "etag", "last_modified", lower_names(F.coalesce("headers", empty)).alias("headers")
     ).filter(F.col("type").isin(FULL, REVISIT))
     base = base.withColumn("span", F.floor(F.unix_timestamp("ts") / span_seconds))
     known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()

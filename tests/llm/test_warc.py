@@ -56,3 +56,12 @@ def test_empty_and_repeated(spark):
     assert R.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
     row = (1, "a.org", datetime(2024, 1, 1), "revisit", None, None, None, "")
     assert R.resolve_revisits(spark.createDataFrame([row, row], SCHEMA)).count() == 2
+
+
+def test_header_names_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from pushgraph.llm.warc import lower_names
+
+    rows = spark.createDataFrame([({"ETag": "a", "Etag": "b", "Date": "d", "x": None},), ({},)], "h map<string,string>")
+    assert [dict(r[0]) for r in rows.select(lower_names(F.col("h"))).collect()] == [{"etag": "a, b", "date": "d", "x": None}, {}]
