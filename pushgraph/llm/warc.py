@@ -19,10 +19,12 @@ FULL, REVISIT = "response", "revisit"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and www. dropped, host in lower case, default port, fragment, tracking parameters and a trailing
-    slash removed, the other parameters in order. Null stays null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), r"^(?i:https?)://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r":(80|443)$", ""), r"^www\.", "")
+    """Scheme and www. dropped, host in lower case, the scheme's default port (80 without a scheme), fragment,
+    tracking parameters and a trailing slash removed, the other parameters in order. Null stays null."""
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^((?i:http://)?[^/?]*):80(?=[/?]|$)", "$1"), r"^((?i:https)://[^/?]*):443(?=[/?]|$)", "$1")
+    bare = F.regexp_replace(bare, r"^(?i:https?)://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www\.", "")
     rest = F.regexp_replace(bare, r"^[^/?]*", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), r"/+$", "")
     query = F.when(F.instr(rest, "?") > 0, F.regexp_replace(rest, r"^[^?]*\?", "")).otherwise(F.lit(""))
@@ -120,8 +122,8 @@ def op5_resolved_revisits(spark, sf_dir):
 OP5_SQL = r"""
 WITH base AS (
   SELECT page_id, url, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, length(coalesce(html, '')) AS size,
-         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', '') AS bare FROM pages),
-cut AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host, regexp_replace(bare, '^[^/?]*', '') AS rest FROM base),
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^((?i:http://)?[^/?]*):80([/?]|$)', '\1\2'), '^((?i:https)://[^/?]*):443([/?]|$)', '\1\2'), '^(?i:https?)://', '') AS bare FROM pages),
+cut AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', '') AS host, regexp_replace(bare, '^[^/?]*', '') AS rest FROM base),
 parts AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS path,
                  list_sort([p FOR p IN string_split(CASE WHEN contains(rest, '?') THEN regexp_replace(rest, '^[^?]*\?', '') ELSE '' END, '&')
                    IF p <> '' AND lower(split_part(p, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref')]) AS kept FROM cut),

@@ -47,7 +47,7 @@ def test_brute_force(spark, seed):
 
 
 def test_canonical_url(spark):
-    urls = {"HTTP://WWW.Ex.org:80/A/?b=2&utm_source=f&a=1#top": "ex.org/A?a=1&b=2", "https://ex.org": "ex.org", "ex.org/?ref=x": "ex.org", "": "", None: None}
+    urls = {"HTTP://WWW.Ex.org:80/A/?b=2&utm_source=f&a=1#top": "ex.org/A?a=1&b=2", "https://ex.org": "ex.org", "https://ex.org:443/?b": "ex.org?b", "https://ex.org:80/a": "ex.org:80/a", "http://ex.org:443": "ex.org:443", "http://ex.org:8080": "ex.org:8080", "ex.org:80": "ex.org", "ex.org/?ref=x": "ex.org", "": "", None: None}
     got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", R.canonical_url(R.F.col("url")).alias("k")).collect()
     assert {r["url"]: r["k"] for r in got} == urls
 
