@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, licenses, mixing, ngram_join, ogg, secrets, substrings, tokens, toxicity, warc
+from pushgraph.llm import decontamination, licenses, line_dedup, mixing, ngram_join, ogg, secrets, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_ogg_columns": ogg.op1_ogg_columns,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_repeated_windows": substrings.op9_repeated_windows,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_resolved_revisits": warc.OP5_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op9_repeated_windows": substrings.OP9_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
 }
