@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pushgraph.llm import decontamination, licenses, line_dedup, mixing, ngram_join, ogg, secrets, substrings, tokens, toxicity, warc
+from pushgraph.llm import decontamination, fim, licenses, line_dedup, mixing, ngram_join, ogg, resampling, secrets, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_ogg_columns": ogg.op1_ogg_columns,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_repeated_windows": substrings.op9_repeated_windows,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLES = {
@@ -26,4 +28,5 @@ ORACLES = {
     "op8_source_mix": mixing.OP8_SQL,
     "op9_repeated_windows": substrings.OP9_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
 }

@@ -51,13 +51,13 @@ def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte ranges of the words, and the first word of each text (n + 1)."""
-    inside = ~SPACE[data]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): ranges of the bytes marked inside, none across texts, and the first of each text (n + 1)."""
+    n = len(inside)
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     before[:1] = False
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    before[offsets[:-1][offsets[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[:-1] = inside[1:]
@@ -68,6 +68,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte ranges of the words, and the first word of each text (n + 1)."""
+    return spans(~SPACE[data], offsets)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash for each word, from sums of byte codes times powers over PIECE bytes at a time."""
     out = np.empty(len(starts), U)
