@@ -159,7 +159,7 @@ def _short(docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for i, j, data, offsets in V.doc_pieces(batch, "text"):
+            for i, j, data, offsets in V.doc_pieces(batch, "text", V.PIECE):
                 state, ended = functions(data, offsets)
                 ends = token_ends(data, offsets, np.full(j - i, GAP))
                 first = np.searchsorted(ends, offsets)
