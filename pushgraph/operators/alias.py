@@ -1,8 +1,8 @@
 """Points-to and alias queries, and the call graph they discover.
 
-Every allocation is a forward query; all of them run in one batch. A store makes a heap edge from each
-allocation that its base may point to, to each that is stored; a load of the field from an alias of the base
-continues the stored allocation's query there. The two alternate until no load gains anything. backward_solve() asks
+Every allocation is a forward query; all of them run in one batch. Where a value is stored into a field whose base is another query's, the
+stored value's query takes over what that one knows of the base's aliases at the statement (alias_imports()): from there on its object is in
+their field too. Saturation and imports alternate until an import brings nothing new. backward_solve() asks
 about given facts only: it first finds the allocations that can matter to them, backwards, and solves those.
 """
 
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.operators.flows import STATIC, Options, backward, forward
-from pushgraph.operators.pds import EMPTY, EPS, is_gen
-from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, BudgetExceeded, field_seed_path, synchronised
+from pushgraph.operators.pds import EMPTY, EPS, gen, is_gen
+from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, BudgetExceeded, field_seed_path, node_id, synchronised
 from pushgraph.plans.fixpoint import fixpoint
 from pushgraph.session import forget, written, written_counted
-from pushgraph.sources.ir import Program, allocations, dispatch, has, killed_values, subtype_closure, used_values
+from pushgraph.sources.ir import ARRAY, Program, allocations, dispatch, has, killed_values, subtype_closure, used_values
 
 
 @dataclass
@@ -39,6 +39,80 @@ class Solution:
     timed_out: bool = False
 
 
+TRANS = ["qid", "src", "label", "dst"]
+
+
+def _held(p: Program, points: DataFrame, stores: DataFrame) -> DataFrame:
+    """(base, field, qid): what some store puts into a field of an allocation, when its base points there."""
+    before = points.join(p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct(), "stmt").select("qid", F.col("at").alias("stmt"), "val")
+    base = before.withColumnsRenamed({"qid": "base_qid", "val": "base"}).join(stores, ["stmt", "base"]).select("base_qid", "stmt", "field", "rhs")
+    return base.join(before.withColumnRenamed("val", "rhs"), ["stmt", "rhs"]).select(F.col("base_qid").alias("base"), "field", "qid").distinct()
+
+
+def _nodes(fields: DataFrame) -> DataFrame:
+    """Field transitions (qid, label, dst) of nodes, with the node's stmt and val instead of src."""
+    parts = F.split("src", SEP)
+    return fields.filter(~is_gen(F.col("src")) & (F.col("label") != EPS)).select("qid", parts[0].alias("stmt"), parts[1].alias("val"), "label", "dst")
+
+
+def _pending_returns(p: Program, pushed: DataFrame, calls: DataFrame) -> DataFrame:
+    """(qid, dst, field, stmt): call sites that a query returns to after its store: those on its call stack at the store, and where the
+    stack ends, the callers of the method, theirs and so on. pushed: (qid, dst, field, stmt, val)."""
+    edges = calls.filter(F.col("label") != EPS).select("qid", F.col("src").alias("at"), F.col("label").alias("site"), F.col("dst").alias("to")).filter(is_gen(F.col("at")))
+    owner = p.stmt.select("stmt", F.concat(F.lit("in "), "method").alias("inside"))
+    into = p.call_edge.select(F.concat(F.lit("in "), "callee").alias("at"), "site").distinct().join(owner.withColumnsRenamed({"stmt": "site", "inside": "to"}), "site").select("at", "site", "to")
+    here = calls.filter(F.col("label") != EPS).select("qid", F.col("src").alias("val"), F.col("label").alias("stmt"), F.col("dst").alias("to"))
+    upper = lambda to, inside: F.when(is_gen(to), to).otherwise(inside)
+    start = pushed.join(here, ["qid", "stmt", "val"]).join(owner, "stmt").select("qid", "dst", "field", F.lit("").alias("site"), upper(F.col("to"), F.col("inside")).alias("at"))
+    keys = ["qid", "dst", "field", "site", "at"]
+
+    def step(total: DataFrame, delta: DataFrame) -> DataFrame:
+        d = delta.select("qid", "dst", "field", "at")
+        by_stack = d.join(edges, ["qid", "at"]).join(owner.withColumnRenamed("stmt", "site"), "site")
+        out = by_stack.select("qid", "dst", "field", "site", upper(F.col("to"), F.col("inside")).alias("at"))
+        return out.unionByName(d.join(into, "at").select("qid", "dst", "field", "site", F.col("to").alias("at")))
+
+    return fixpoint(start, step, keys=keys).whole().filter("site <> ''").select("qid", "dst", "field", F.col("site").alias("stmt")).distinct()
+
+
+def points_of_indirection(p: Program, stores: DataFrame, reached: DataFrame, fields: DataFrame, calls: DataFrame) -> DataFrame:
+    """(qid, base, dst, field, stmt, val): a row once for each flow query, base query and statement at which the first's object has come into
+    a field of the second's: a store, or a call that it was stored in; val holds the base there, dst is the state that the store pushed."""
+    nodes = _nodes(fields).join(reached, NODE, "left_semi")
+    made = stores.select("stmt", F.col("base").alias("val"), F.col("field").alias("label"), gen(node_id(F.col("stmt"), F.col("base")), F.col("field")).alias("dst")).distinct()
+    pushed = nodes.join(made, ["stmt", "val", "label", "dst"]).select("qid", "dst", F.col("label").alias("field"), "stmt", "val")
+    if has(p, "call_edge"):
+        back = _pending_returns(p, pushed, calls).withColumnRenamed("field", "label")
+        pushed = pushed.unionByName(nodes.join(back, ["qid", "dst", "label", "stmt"]).select("qid", "dst", F.col("label").alias("field"), "stmt", "val"))
+    at = empty_stack_nodes_any_context(reached, fields).withColumnRenamed("qid", "base")
+    return pushed.join(at, ["stmt", "val"]).select("qid", "base", "dst", "field", "stmt", "val").distinct()
+
+
+def alias_imports(p: Program, stores: DataFrame, reached: DataFrame, fields: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field transitions, call transitions) that flow queries take over from base queries at points of indirection.
+
+    From the statement on, and not before it, the flow query's object is in the field of all that holds the base there: each value's transitions
+    in the base's automaton are copied, those to its end lead to the pushed state over the field instead. The values are in the call contexts
+    of the one that the object was stored through.
+    """
+    met = written(points_of_indirection(p, stores, reached, fields, calls))
+    held = _nodes(fields).join(reached, NODE, "left_semi").join(met.select("stmt").distinct(), "stmt", "left_semi")
+    held = held.select(F.col("qid").alias("base"), "stmt", F.col("val").alias("other"), "label", F.col("dst").alias("to"))
+    copied = written(met.join(held, ["base", "stmt"]).filter((F.col("other") != F.col("val")) | (F.col("to") != FIELD_END)))
+    ends = F.col("to") == FIELD_END
+    over = lambda rows, src: rows.select("qid", src.alias("src"), F.when(ends, F.col("field")).otherwise(F.col("label")).alias("label"), F.when(ends, F.col("dst")).otherwise(F.col("to")).alias("dst"))
+    taken = over(copied, node_id(F.col("stmt"), F.col("other")))
+    deeper = copied.filter(~ends).select("qid", "base", "dst", "field", F.col("to").alias("at")).distinct()
+    if not deeper.isEmpty():
+        inner = fields.filter(is_gen(F.col("src")) & (F.col("label") != EPS)).select(F.col("qid").alias("base"), F.col("src").alias("at"), "label", F.col("dst").alias("to"))
+        step = lambda total, delta: delta.join(inner.filter(~ends), ["base", "at"]).select("qid", "base", "dst", "field", F.col("to").alias("at"))
+        states = fixpoint(deeper, step, keys=["qid", "base", "dst", "field", "at"]).whole()
+        taken = taken.unionByName(over(states.join(inner, ["base", "at"]), F.col("at")))
+    in_calls = calls.filter((F.col("label") != EPS) & ~is_gen(F.col("src"))).select("qid", F.col("src").alias("val"), F.col("label").alias("stmt"), F.col("dst").alias("to"))
+    pairs = copied.select("qid", "stmt", "val", "other").distinct().join(in_calls, ["qid", "stmt", "val"])
+    return taken.distinct(), pairs.select("qid", F.col("other").alias("src"), F.col("stmt").alias("label"), F.col("to").alias("dst")).distinct()
+
+
 def allocation_seeds(p: Program, options: Options) -> DataFrame:
     chosen = allocations(p, **options.allocation())
     return chosen.select(F.xxhash64("stmt", "val").alias("qid"), "stmt", "val", "type", "kind").distinct()
@@ -96,8 +170,8 @@ def typed_fields(p: Program, seeds: DataFrame, options: Options) -> Callable[[Da
 
 
 def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None) -> Solution:
-    """Points-to facts of all allocations (or those of seeds), field- and context-sensitive in locals, with
-    a heap that keeps fields apart but not the order of stores. max_rounds: passes through the heap that may find
+    """Points-to facts of all allocations (or those of seeds), field-, context- and flow-sensitive: what a store puts into a field is
+    found there, through every alias of the base, from the store on. max_rounds: passes through the heap that may find
     something, without end by default; an error where one more is needed. listen: see synchronised().
 
     With options.on_the_fly_call_graph, virtual calls run what their receivers' allocations dispatch to, from the program's
@@ -109,38 +183,24 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
     seeds = written(seeds if "kind" in seeds.columns else seeds.withColumn("kind", F.lit("new")))
     nulls = seeds.filter("kind = 'null'").select("qid") if options.track_nulls and (has(p, "null_branch") or has(p, "flag_branch")) else None
     flow = forward(p, options, nulls)
-    edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct().cache()
-    stores = p.store.select("stmt", F.col("base").alias("val"), "field", "rhs").cache()
-    reads = p.load.select("stmt", F.col("base").alias("val"), "field", "lhs").cache()
-
-    def heap_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(facts before each statement, heap edges)."""
-        before = points.join(edge, "stmt").select("qid", F.col("at").alias("stmt"), "val")
-        base = before.join(stores, ["stmt", "val"]).select(F.col("qid").alias("base"), "stmt", "field", "rhs")
-        return before, base.join(before.select("qid", "stmt", F.col("val").alias("rhs")), ["stmt", "rhs"]).select("base", "field", "qid").distinct()
+    stores = written(p.store.filter((F.col("field") != ARRAY) | F.lit(options.array_flows)).select("stmt", "base", "field", "rhs").distinct())
 
     passes = 0
 
-    def through_heap(reached: DataFrame, fields: DataFrame) -> DataFrame | None:
+    def imports(reached: DataFrame, fields: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         nonlocal passes
-        points = empty_stack_nodes_any_context(reached, fields)
-        before, heap = heap_of(points)
-        gained = before.join(reads, ["stmt", "val"]).select(F.col("qid").alias("base"), "field", "stmt", F.col("lhs").alias("val"))
-        gained = gained.join(heap, ["base", "field"]).select(*NODE).distinct()
-        if keep_point:
-            gained = keep_point(gained)
-        new, n = written_counted(gained.join(points, NODE, "left_anti"))
-        if not n:
-            return None
         if passes == max_rounds:
+            more_fields, more_calls = alias_imports(p, stores, reached, fields, calls)
+            lacking = more_fields.join(fields, TRANS, "left_anti").select("qid").unionByName(more_calls.join(calls, TRANS, "left_anti").select("qid"))
+            if lacking.isEmpty():
+                return None
             raise RuntimeError(f"points-to facts still grow after {max_rounds} passes through the heap")
         passes += 1
-        return new
+        return alias_imports(p, stores, reached, fields, calls)
 
-    more = through_heap if options.aliasing and options.track_fields else None
+    more = imports if options.aliasing and options.track_fields else None
     locals_known = has(p, "local")
     keep_field = typed_fields(p, seeds, options) if options.type_check and locals_known else None
-    keep_point = _typed_points(keep_field) if keep_field else None
     late = False
     try:
         reached, fields, calls = synchronised(
@@ -150,25 +210,11 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
     except BudgetExceeded as e:
         reached, fields, calls, late = e.reached, e.fields, e.calls, True
     points = written(empty_stack_nodes_any_context(reached, fields))
-    _, heap = heap_of(points)
-    heap = written(heap)
+    heap = written(_held(p, points, stores))
     flow.release()
-    for t in (edge, stores, reads):
-        t.unpersist()
     return Solution(p, seeds, points, reached, fields, calls, heap, late)
 
 
-def _typed_points(keep_field: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """The filter of field transitions for facts (qid, stmt, val) without fields."""
-
-    def keep(points: DataFrame) -> DataFrame:
-        parts = F.split("src", SEP)
-        as_transitions = points.select("qid", F.concat("stmt", F.lit(SEP), "val").alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"))
-        return keep_field(as_transitions).select("qid", parts[0].alias("stmt"), parts[1].alias("val"))
-
-    return keep
-
-
 def replace_option(options: Options, **changes) -> Options:
     from dataclasses import replace
 
@@ -236,12 +282,16 @@ def scoped_contexts(s: Solution, fact: DataFrame) -> DataFrame:
 
 def indirections(s: Solution) -> DataFrame:
     """(stmt, field, base, flow, kind): points of indirection, a row once for each pair of allocations that meet at one: at a store
-    the base's and the stored value's, at a load the base's and what the heap holds in the field."""
+    the base's and the stored value's, at a load the base's and what the field holds there."""
     p = s.program
-    before = s.points.join(p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct(), "stmt").select("qid", F.col("at").alias("stmt"), "val")
+    succ = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("at")).distinct()
+    before = s.points.join(succ, "stmt").select("qid", F.col("at").alias("stmt"), "val")
     of = lambda name, qid: before.select(F.col("qid").alias(qid), "stmt", F.col("val").alias(name))
     writes = p.store.select("stmt", F.col("base").alias("b"), "field", "rhs").join(of("b", "base"), ["stmt", "b"]).join(of("rhs", "flow"), ["stmt", "rhs"])
-    reads = p.load.select("stmt", F.col("base").alias("b"), "field").join(of("b", "base"), ["stmt", "b"]).join(s.heap.withColumnRenamed("qid", "flow"), ["base", "field"])
+    direct = s.fields.filter((F.col("label") == EMPTY) & (F.col("dst") == FIELD_END) & is_gen(F.col("src"))).select("qid", F.col("src").alias("dst"))
+    inside = _nodes(s.fields).join(direct, ["qid", "dst"]).join(s.reached, NODE, "left_semi").join(succ, "stmt")
+    inside = inside.select(F.col("qid").alias("flow"), F.col("at").alias("stmt"), F.col("val").alias("b"), F.col("label").alias("field"))
+    reads = p.load.select("stmt", F.col("base").alias("b"), "field").join(of("b", "base"), ["stmt", "b"]).join(inside, ["stmt", "b", "field"])
     cols = ["stmt", "field", "base", "flow"]
     return writes.select(*cols).withColumn("kind", F.lit("store")).unionByName(reads.select(*cols).withColumn("kind", F.lit("load"))).distinct()
 

@@ -136,7 +136,7 @@ def forward(p: Program, options: Options = Options(), nulls: DataFrame | None =
     returned = p.ret.join(exits, "stmt").join(site, "callee").join(p.call.filter("lhs is not null").select(F.col("stmt").alias("site"), F.col("lhs").alias("to")), "site").select("stmt", "val", "site", "to")
     given = exits.join(p.param.select(F.col("method").alias("callee"), "pos", "val"), "callee").join(site, "callee").join(p.arg.select(F.col("stmt").alias("site"), "pos", F.col("val").alias("to")), ["site", "pos"]).select("stmt", "val", "site", "to")
     gone = kills.unionByName(passed.select("via", "val")).distinct()
-    overwritten = p.store.filter(fields).select(F.col("stmt").alias("via"), F.col("base").alias("val"), "field")
+    overwritten = p.store.filter(fields & (F.col("field") != ARRAY)).select(F.col("stmt").alias("via"), F.col("base").alias("val"), "field")
 
     def along(rows: DataFrame, kind: str, sym, to) -> DataFrame:
         """Rows (via, val, ..) for every edge that leads to their statement."""

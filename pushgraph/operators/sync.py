@@ -69,7 +69,7 @@ def synchronised(
     flows: DataFrame | Callable[[DataFrame], DataFrame],
     *,
     unbalanced: bool = False,
-    more: Callable[[DataFrame, DataFrame], DataFrame | None] | None = None,
+    more: Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None] | None = None,
     keep_field: Callable[[DataFrame], DataFrame] | None = None,
     keep_call: Callable[[DataFrame], DataFrame] | None = None,
     field_start: DataFrame | None = None,
@@ -82,8 +82,8 @@ def synchronised(
     flows: the flow rows, or a function from newly reached nodes to theirs (the demand-driven form). All
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
-    more(reached, field transitions) is asked when nothing grows any more: seeds (qid, stmt, val) that it
-    returns go on from there, None ends. keep_field, keep_call: filters of new transitions. field_start: further field
+    more(reached, field transitions, call transitions) is asked when nothing grows any more: the field and call transitions
+    (qid, src, label, dst) that it returns go on from there, None or nothing new ends. keep_field, keep_call: filters of new transitions. field_start: further field
     transitions (qid, src, label, dst) to start with. listen(name, rows) gets each round's new rows of ``reached``, ``field``,
     ``call``, ``field_rule`` and ``call_rule``, the first of them all that are there.
     Runs until nothing grows; RuntimeError after max_rounds, BudgetExceeded (with what was found) after budget_seconds.
@@ -141,14 +141,11 @@ def synchronised(
             tell("field", of(systems.delta, FIELD))
             tell("call", of(systems.delta, CALL))
         else:
-            seeds = more(reached.total, of(systems.total, FIELD)) if more else None
-            if seeds is None:
+            taken = more(reached.total, of(systems.total, FIELD), of(systems.total, CALL)) if more else None
+            if taken is None or not systems.grow(kept(both_parts(*(t.select(*KEYS[:4], zero) for t in taken)))):
                 break
-            systems.grow(both_parts(field_seed(seeds), call_seed(seeds)))
-            fresh = reached.delta if reached.grow(seeds) else None
-            if fresh is not None:
-                tell("reached", fresh)
-            continue
+            tell("field", of(systems.delta, FIELD))
+            tell("call", of(systems.delta, CALL))
         live = lambda t: t.filter(~is_gen(F.col("src")) & (F.col("label") != EPS))
         parts = F.split("src", SEP)
         by_field = lambda t: live(t).select("qid", parts[0].alias("stmt"), parts[1].alias("val")).distinct()

@@ -480,14 +480,20 @@ def _asked(p: ir.Program, *names: str) -> DataFrame:
     return p.stmt.select("stmt", val).select(F.concat_ws("|", "stmt", "val").alias("query"), "stmt", "val")
 
 
-# Each statement with what v and w hold before and after it, by the statement that allocated it, and what w held at the last load; where
-# w held nothing yet, the load gives what the last store through w put there.
+# Each statement with what v and w hold before and after it, by the statement that allocated it; folded in order, what field f of v's and
+# of w's object holds as the variables know it: a store through w replaces what w knows, and adds to what v knows if both are one object.
 _HELD = """WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, strlen(text) // 6 AS n, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'new' ELSE (['new', 'assign', 'store', 'load', 'on_v', 'on_w'])[strlen(text) % 6 + 1] END AS kind FROM conversations),
 v AS (SELECT *, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS va, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS vb FROM k),
-w AS (SELECT *, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS wa, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wb FROM v),
-held AS (SELECT *, last_value(CASE WHEN kind = 'load' THEN {'b': wb, 'd': CASE WHEN wb IS NULL THEN sb END} END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS xb FROM (SELECT *, last_value(CASE WHEN kind = 'store' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS sb FROM w)),
+w AS (SELECT *, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS wa, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wb, row_number() OVER (PARTITION BY c ORDER BY t) AS i FROM v),
+run(c, i, vf, wf, x) AS (
+  SELECT DISTINCT c, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM k
+  UNION ALL
+  SELECT w.c, w.i, CASE WHEN kind = 'new' THEN [] WHEN kind = 'store' AND vb = wb THEN list_distinct(list_append(vf, vb)) ELSE vf END,
+    CASE kind WHEN 'assign' THEN vf WHEN 'store' THEN [vb] ELSE wf END, CASE WHEN kind = 'load' THEN wf ELSE x END
+  FROM run JOIN w ON w.c = run.c AND w.i = run.i + 1),
+held AS (SELECT w.*, run.x AS xs FROM w JOIN run ON run.c = w.c AND run.i = w.i),
 heap AS (SELECT DISTINCT c, wb AS a, vb AS o FROM held WHERE kind = 'store' AND wb IS NOT NULL),
-points AS (SELECT c, t, 'v' AS x, va AS o FROM held WHERE va IS NOT NULL UNION ALL SELECT c, t, 'w', wa FROM held WHERE wa IS NOT NULL UNION ALL SELECT h.c, t, 'x', heap.o FROM held h JOIN heap ON heap.c = h.c AND heap.a = h.xb.b UNION ALL SELECT c, t, 'x', xb.d FROM held WHERE xb.d IS NOT NULL)
+points AS (SELECT c, t, 'v' AS x, va AS o FROM held WHERE va IS NOT NULL UNION ALL SELECT c, t, 'w', wa FROM held WHERE wa IS NOT NULL UNION ALL SELECT c, t, 'x', unnest(xs) FROM held)
 """
 _OF = "'c' || p.c || ':' || p.o"
 
@@ -528,7 +534,7 @@ def _(spark, sf):
     return s.heap.withColumnRenamed("base", "b").join(names("b", "base"), "b").join(names("qid", "alloc"), "qid").select("base", "field", "alloc")
 
 
-@query("d18_points_of_indirection", _HELD + "SELECT 'c' || c || ':' || t AS stmt, 'store' AS kind, 'c' || c || ':' || wb AS base, 'c' || c || ':' || vb AS flow FROM held WHERE kind = 'store' AND wb IS NOT NULL UNION ALL SELECT 'c' || h.c || ':' || t, 'load', 'c' || h.c || ':' || wb, 'c' || h.c || ':' || heap.o FROM held h JOIN heap ON heap.c = h.c AND heap.a = wb WHERE kind = 'load'")
+@query("d18_points_of_indirection", _HELD + "SELECT 'c' || c || ':' || t AS stmt, 'store' AS kind, 'c' || c || ':' || wb AS base, 'c' || c || ':' || vb AS flow FROM held WHERE kind = 'store' AND wb IS NOT NULL UNION ALL SELECT 'c' || c || ':' || t, 'load', 'c' || c || ':' || wb, 'c' || c || ':' || o FROM (SELECT c, t, wb, unnest(xs) AS o FROM held WHERE kind = 'load' AND wb IS NOT NULL)")
 def _(spark, sf):
     s = _solved(spark, sf)
     names = lambda qid, name: s.seeds.select(F.col("qid").alias(qid), F.col("stmt").alias(name))
