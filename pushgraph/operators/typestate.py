@@ -1,8 +1,8 @@
 """Typestate: machines as a table, and two phases over a program.
 
 Phase 1 finds what every receiver may point to. It is complete before phase 2 starts, which is what makes the
-kill of a strong update sound. Phase 2 carries states along the control flow: a call on a receiver that can
-only be the one allocation replaces the state, one on a receiver that may be another keeps the old one too.
+kill of a strong update sound. Phase 2 carries states along the control flow, returns matched to their calls: a call on a receiver that
+can only be the one allocation in its call context replaces the state, one on a receiver that may be another keeps the old one too.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from pushgraph.operators.alias import Solution, solve
 from pushgraph.operators.flows import Options
+from pushgraph.operators.pds import EPS
+from pushgraph.operators.sync import CALL_END
 from pushgraph.plans.fixpoint import fixpoint
-from pushgraph.session import written
+from pushgraph.session import written, written_counted
 from pushgraph.sources.ir import THIS, Program, end_points, start_points, subtype_closure
 
 # Machine; class; seed; initial state; error states; when calls act; transitions (from, methods, to).
@@ -114,7 +116,7 @@ def matched_calls(p: Program, moves: DataFrame) -> DataFrame:
 def changes(s: Solution, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None) -> DataFrame:
     """(machine, qid, stmt, src, dst, at, strong): state changes that calls cause on each allocation.
 
-    strong where the value points to the one allocation alone. With machines and subtypes, only calls on objects of the machine's class
+    strong where the value points to the one allocation alone, in each call context of it. With machines and subtypes, only calls on objects of the machine's class
     count. Moves over public methods leave out those that ``hidden`` lists for the object's type.
     """
     p = s.program
@@ -125,58 +127,140 @@ def changes(s: Solution, moves: DataFrame, machines: DataFrame | None = None, su
     found = found.join(not_public, ["type", "sig", "over"], "left_anti")
     if machines is not None and subtypes is not None:
         found = _of_class(found, machines, subtypes)
-    held = s.points.withColumnRenamed("stmt", "before").join(edge, "before").select("stmt", "val", "qid").distinct().groupBy("stmt", "val").agg(F.count("*").alias("owners"))
-    return found.join(held, ["stmt", "val"]).groupBy("machine", "qid", "stmt", "src", "dst", "at").agg((F.max("owners") == 1).alias("strong"))
+    alone = single_owners(s, found.select("stmt", "val").distinct())
+    found = found.join(alone, ["qid", "stmt", "val"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    return found.groupBy("machine", "qid", "stmt", "src", "dst", "at").agg(F.bool_and("alone").alias("strong"))
 
 
-def states(s: Solution, start: DataFrame, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None, **limits) -> DataFrame:
-    """(machine, qid, stmt, state): states that an object may be in after each statement.
+def single_owners(s: Solution, at: DataFrame) -> DataFrame:
+    """(qid, stmt, val, alone): objects that a value of at (stmt, val) holds before the statement, and whether it holds no other one in any of the
+    object's call contexts.
 
-    A move at ``call`` acts as the callee is entered, one at ``return`` or ``call_to_return`` as the call is left, one at
-    ``call_or_call_to_return`` at either. A call without a body is entered and left at once.
+    Objects are told apart by the calls open on their stacks, the innermost first: values that only one object has under the same open calls
+    are settled, the others are looked at one call further up, until the stacks end or a call comes again.
+    """
+    edge = s.program.cfg_edge.select(F.col("src").alias("before"), F.col("dst").alias("stmt")).distinct()
+    stack = written(s.calls.filter(F.col("label") != EPS).select("qid", "src", "label", "dst").join(s.seeds.select("qid"), "qid", "left_semi").distinct())
+    facts = at.join(edge, "stmt").join(s.points.withColumnRenamed("stmt", "before"), ["before", "val"]).select("qid", "stmt", "val", "before")
+    rows = facts.join(stack.select("qid", F.col("src").alias("val"), F.col("label").alias("before"), F.col("dst").alias("top")), ["qid", "val", "before"])
+    rows = written(rows.select("qid", "stmt", "val", F.expr("cast(array() as array<string>)").alias("open"), "top").distinct())
+    settled = []
+    while True:
+        owners = rows.groupBy("stmt", "val", "open").agg((F.count_distinct("qid") == 1).alias("one"), F.bool_or(F.col("top") == CALL_END).alias("whole"))
+        told = written(rows.join(owners, ["stmt", "val", "open"]))
+        # A stack that has ended may stand under any call; one that comes back to a call is not followed on.
+        again = F.size("open") > F.size(F.array_distinct("open"))
+        done = F.col("one") | F.col("whole") | again
+        settled.append(told.filter(done).select("qid", "stmt", "val", F.col("one").alias("alone")))
+        rest = told.filter(~done)
+        up = rest.join(stack.select("qid", F.col("src").alias("top"), F.col("label").alias("site"), F.col("dst").alias("upper")), ["qid", "top"])
+        rows, n = written_counted(up.select("qid", "stmt", "val", F.array_append("open", F.col("site")).alias("open"), F.col("upper").alias("top")).distinct())
+        if not n:
+            break
+    out = settled[0]
+    for x in settled[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("qid", "stmt", "val").agg(F.bool_and("alone").alias("alone"))
+
+
+PATH = ["machine", "qid", "kind", "entry", "e_state", "stmt", "state", "up"]
+AT, IN, OPEN = "at", "in", ""
+
+
+def paths(s: Solution, start: DataFrame, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None, **limits) -> DataFrame:
+    """Rows of two kinds. ``at``: an object that is in e_state as the method that begins at entry is entered may be in state after stmt; entry is
+    empty where the object's way began in the method or further below, whose callers are any. ``in``: the call site stmt enters entry in
+    e_state, from a caller that was itself entered at up in state.
+
+    A return goes on in the callers whose entry it answers, and in no others. A method that an object does not reach is passed over.
+    A call whose receiver can only be the one object replaces its state, any other may leave it as it is.
     """
     p = s.program
     steps = written(changes(s, moves, machines, subtypes))
-    bodies = start_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("begin"))
-    with_body = p.call_edge.join(bodies, "callee")
-    into = p.cfg_edge.join(with_body.select(F.col("site").alias("dst"), "begin"), "dst").select("src", F.col("begin").alias("to"), F.col("dst").alias("site"), F.lit("into").alias("way"))
-    back = p.call_edge.join(end_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("src")), "callee").select("src", F.col("site").alias("to"), "site", F.lit("back").alias("way"))
-    over = p.cfg_edge.join(with_body.select(F.col("site").alias("dst")), "dst", "left_anti").select("src", F.col("dst").alias("to"), F.col("dst").alias("site"), F.lit("over").alias("way"))
-    edges = written(into.unionByName(back).unionByName(over).distinct())
+    begins = start_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("begin"))
+    calls = p.call_edge.select("site", "callee").join(begins, "callee").distinct()
+    into = written(p.cfg_edge.select("src", F.col("dst").alias("site")).distinct().join(calls, "site"))
+    back = written(p.call_edge.select("site", "callee").join(end_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("src")), "callee").join(begins, "callee").select("src", "site", "begin").distinct())
+    plain = written(p.cfg_edge.select("src", F.col("dst").alias("site")).distinct().join(calls.select("site"), "site", "left_anti"))
+    inside = written(s.reached.join(p.stmt.select("stmt", F.col("method").alias("callee")), "stmt").select("qid", "callee").distinct())
+    held_at = written(s.reached.select("qid", F.col("stmt").alias("site")).distinct())
     ways = F.when(F.col("at") == CALL, F.array(F.lit("into"), F.lit("over"))).when(F.col("at") == CALL_OR_CALL_TO_RETURN, F.array(F.lit("into"), F.lit("over"))).otherwise(F.array(F.lit("back"), F.lit("over")))
     acts = written(steps.select("machine", "qid", F.col("stmt").alias("site"), F.col("src").alias("state"), "dst", "strong", F.explode(ways).alias("way")).distinct())
     key = ["machine", "qid", "site", "way", "state"]
-    killed = acts.filter("strong").select(*key).distinct()
-    moved = acts.select(*key, "dst")
+    # What a state becomes at a site: itself, unless a strong update replaces it, and what the moves make of it.
+    turned = acts.groupBy(*key).agg(F.collect_set("dst").alias("to"), F.bool_or("strong").alias("strong"))
+
+    def moved(rows: DataFrame) -> DataFrame:
+        """rows (machine, qid, site, way, state, ..) with each state that they may have behind the site."""
+        met = rows.join(turned, key, "left")
+        after = F.when(F.col("to").isNull(), F.array("state")).when(F.col("strong"), F.col("to")).otherwise(F.array_union(F.col("to"), F.array("state")))
+        return met.withColumn("after", F.explode(after)).drop("to", "strong")
+
+    as_rows = lambda df, kind, entry, e_state, stmt, state, up: df.select("machine", "qid", F.lit(kind).alias("kind"), entry.alias("entry"), e_state.alias("e_state"), stmt.alias("stmt"), state.alias("state"), up.alias("up"))
+    c, none = F.col, F.lit(OPEN)
 
     def step(total: DataFrame, delta: DataFrame) -> DataFrame:
-        at = delta.withColumnRenamed("stmt", "src").join(edges, "src").select("machine", "qid", "site", "way", "to", "state")
-        stay = at.join(killed, key, "left_anti").select("machine", "qid", F.col("to").alias("stmt"), "state")
-        change = at.join(moved, key).select("machine", "qid", F.col("to").alias("stmt"), F.col("dst").alias("state"))
-        return stay.unionByName(change)
+        here = delta.filter(c("kind") == AT).drop("kind", "up").withColumnRenamed("stmt", "src")
+        met = here.join(into, "src").join(inside.withColumn("enters", F.lit(True)), ["qid", "callee"], "left")
+        passed = here.join(plain, "src").select("machine", "qid", "entry", "e_state", "site", "state").unionByName(met.filter("enters IS NULL").select("machine", "qid", "entry", "e_state", "site", "state"))
+        over = moved(passed.distinct().withColumn("way", F.lit("over")))
+        out = as_rows(over, AT, c("entry"), c("e_state"), c("site"), c("after"), none)
+        entered = moved(met.filter("enters").select("machine", "qid", "entry", "e_state", "site", "state", "begin").distinct().withColumn("way", F.lit("into")))
+        out = out.unionByName(as_rows(entered, AT, c("begin"), c("after"), c("begin"), c("after"), none)).unionByName(as_rows(entered, IN, c("begin"), c("after"), c("site"), c("e_state"), c("entry")))
+
+        def answered(ends: DataFrame, asked: DataFrame) -> DataFrame:
+            ends = ends.filter((c("kind") == AT) & (c("entry") != OPEN)).select("machine", "qid", "entry", "e_state", c("stmt").alias("src"), "state").join(back, "src").filter(c("begin") == c("entry"))
+            asked = asked.filter(c("kind") == IN).select("machine", "qid", "entry", "e_state", c("stmt").alias("site"), c("state").alias("c_state"), c("up").alias("c_entry"))
+            return ends.join(asked, ["machine", "qid", "entry", "e_state", "site"]).select("machine", "qid", "site", "state", c("c_entry").alias("entry"), c("c_state").alias("e_state"))
+
+        opened = here.filter(c("entry") == OPEN).join(back, "src").join(held_at, ["qid", "site"], "left_semi").select("machine", "qid", "site", "state", "entry", "e_state")
+        returned = moved(answered(delta, total).unionByName(answered(total, delta)).unionByName(opened).distinct().withColumn("way", F.lit("back")))
+        return out.unionByName(as_rows(returned, AT, c("entry"), c("e_state"), c("site"), c("after"), none))
+
+    first = as_rows(start, AT, none, none, c("stmt"), c("state"), none)
+    return fixpoint(first, step, keys=PATH, **limits).whole()
 
-    return fixpoint(start, step, keys=["machine", "qid", "stmt", "state"], **limits).whole()
+
+def states(s: Solution, start: DataFrame, moves: DataFrame, machines: DataFrame | None = None, subtypes: DataFrame | None = None, **limits) -> DataFrame:
+    """(machine, qid, stmt, state): states that an object may be in after each statement, in whatever call context.
+
+    A move at ``call`` acts as the callee is entered, one at ``return`` or ``call_to_return`` as the call is left, one at
+    ``call_or_call_to_return`` at either. A call without a body is entered and left at once.
+    """
+    return paths(s, start, moves, machines, subtypes, **limits).filter(F.col("kind") == AT).select("machine", "qid", "stmt", "state").distinct()
+
+
+def final_states(s: Solution, walked: DataFrame) -> DataFrame:
+    """(machine, qid, stmt, state): of paths(), the states at the end of methods that an object does not return from: its way began there or
+    further below, and no caller holds it."""
+    p = s.program
+    held_at = s.reached.select("qid", F.col("stmt").alias("site")).distinct()
+    leaves = p.call_edge.select("site", "callee").join(end_points(p).select(F.col("method").alias("callee"), "stmt"), "callee").join(held_at, "site").select("qid", "stmt").distinct()
+    own = walked.filter((F.col("kind") == AT) & (F.col("entry") == OPEN)).select("machine", "qid", "stmt", "state")
+    return own.join(end_points(p).select("stmt"), "stmt", "left_semi").join(leaves, ["qid", "stmt"], "left_anti").distinct()
 
 
-def verdicts(found: DataFrame, machines: DataFrame, exits: DataFrame) -> DataFrame:
-    """(machine, qid, error): whether an object may be in an error state at one of exits (stmt)."""
-    at = found.join(exits.select("stmt").distinct(), "stmt", "left_semi").join(machines.select("machine", "errors"), "machine")
+def verdicts(found: DataFrame, machines: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+    """(machine, qid, error): whether an object may be in an error state at one of exits (stmt); without exits, at any statement of found."""
+    at = found if exits is None else found.join(exits.select("stmt").distinct(), "stmt", "left_semi")
+    at = at.join(machines.select("machine", "errors"), "machine")
     return at.groupBy("machine", "qid").agg(F.bool_or(F.array_contains("errors", F.col("state"))).alias("error"))
 
 
-def judged(p: Program, names: list[str], options: Options = Options(), *, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """(machine, qid, stmt, val, error, timed_out): the verdict on every object that the machines of these names watch, at its
-    program's method ends; all seeds are solved in one batch, within options.timeout_seconds.
+def judged(p: Program, names: list[str], options: Options = Options(), *, anywhere: bool = False, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(machine, qid, stmt, val, error, timed_out): the verdict on every object that the machines of these names watch; all seeds are solved
+    in one batch, within options.timeout_seconds.
 
-    error is null for an object that reaches no end. report gets the table before it is returned.
+    An object is in error if it may be in an error state where it ends (final_states()), or, with anywhere, after any statement. error is null
+    for an object that reaches no end. report gets the table before it is returned.
     """
     machines, moves = machine_tables(p.spark)
     machines, moves = (t.filter(F.col("machine").isin(*names)) for t in (machines, moves))
     s = solve(p, None, options)
     subtypes = subtype_closure(p)
     start = written(seeds(s, machines, subtypes))
-    found = states(s, start, moves, machines, subtypes)
-    told = verdicts(found, machines, end_points(p))
+    walked = paths(s, start, moves, machines, subtypes)
+    told = verdicts(walked.filter(F.col("kind") == AT).select("machine", "qid", "stmt", "state") if anywhere else final_states(s, walked), machines)
     watched = start.select("machine", "qid").distinct().join(s.seeds.select("qid", "stmt", "val"), "qid")
     out = written(watched.join(told, ["machine", "qid"], "left").select("machine", "qid", "stmt", "val", "error", F.lit(s.timed_out).alias("timed_out")))
     if report:

@@ -46,6 +46,37 @@ def test_file_machine(spark):
     assert [(r["may"], r["must"]) for r in Y.must_may(found, asked).collect()] == [(True, False)] * 2
 
 
+def test_call_contexts(spark):
+    """What goes into a method at one call does not come back at another; a helper's update is strong for each caller's object."""
+    code = Code()
+    on = lambda v, sig: ("call", None, v, sig, [], [])
+    to = lambda name, v: ("call", None, None, name, [v], [name])
+    code.method("between", [], ("new", "o", "File"), on("o", "open()"), to("id", "o"), on("o", "close()"), to("id", "o"), ("nop",))
+    code.method("two", [], ("new", "a", "File"), ("new", "b", "File"), to("open2", "a"), to("open_it", "b"), to("shut", "a"), ("nop",))
+    code.method("again", [], ("new", "r", "File"), on("r", "open()"), to("rec", "r"), ("nop",))
+    code.method("id", ["p"], ("nop",))
+    code.method("open2", ["q2"], to("open_it", "q2"), ("nop",))
+    code.method("open_it", ["q"], on("q", "open()"), ("nop",))
+    code.method("shut", ["t"], on("t", "close()"), ("nop",))
+    code.method("rec", ["u"], on("u", "close()"), to("rec", "u"), ("nop",))
+    p = code.program(spark)
+    p.tables["cfg_edge"] = p.cfg_edge.union(spark.createDataFrame([("rec:1", "rec:3")], "src string, dst string"))
+    s = A.solve(p)
+    machines, moves = (t.filter("machine = 'FileMustBeClosed'") for t in Y.machine_tables(spark))
+    start = Y.seeds(s, machines, spark.createDataFrame([], "sub string, sup string"))
+    walked = Y.paths(s, start, moves).cache()
+    names = {r["qid"]: r["val"] for r in s.seeds.collect()}
+    held = {}
+    for r in walked.filter("kind = 'at'").collect():
+        held.setdefault((names[r["qid"]], r["stmt"]), set()).add(r["state"])
+    assert held["o", "between:3"] == {"OPENED"} and held["o", "between:4"] == held["o", "between:6"] == {"CLOSED"} and held["o", "id:1"] == {"OPENED", "CLOSED"}
+    assert held["a", "two:3"] == {"OPENED"} and held["a", "two:6"] == {"CLOSED"} and held["b", "two:3"] == {"INIT"} and held["b", "two:6"] == {"OPENED"}
+    assert held["r", "again:4"] == {"CLOSED"} and ("a", "shut:1") in held and ("b", "shut:1") not in held
+    told = lambda rows: {names[r["qid"]]: r["error"] for r in Y.verdicts(rows, machines).collect()}
+    assert told(Y.final_states(s, walked)) == {"o": False, "a": False, "b": True, "r": False}
+    assert told(walked.filter("kind = 'at'")) == {"o": True, "a": True, "b": True, "r": True}
+
+
 def test_machines(spark):
     machines, moves = Y.machine_tables(spark)
     assert machines.count() == 18 and moves.select("machine").distinct().count() == 18
