@@ -464,14 +464,23 @@ def _code(spark, sf, types=_TYPES, calls=("go()",), results=()) -> ir.Program:
 _SOLVED = {}
 
 
-def _solved(spark, sf) -> alias.Solution:
-    """The program's solution, which the rows of one session share."""
-    key = (spark.sparkContext.applicationId, sf)
-    try:
-        _SOLVED[key].points.isEmpty()  # its tables are still there
-    except Exception:
-        _SOLVED[key] = alias.solve(_code(spark, sf))
-    return _SOLVED[key]
+def _there(df: DataFrame) -> bool:
+    """Whether the files that df is read from still exist."""
+    context = df.sparkSession.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(x.getFileSystem(context._jsc.hadoopConfiguration()).exists(x) for x in paths)
+
+
+def _solved(spark, sf, code=None) -> alias.Solution:
+    """The program's solution, which the rows of one session share as long as the conversations' files stay the same."""
+    code = code or _code
+    files = table(spark, sf, "conversations").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()["h"]
+    key = (spark.sparkContext.applicationId, code.__name__, sf, state)
+    s = _SOLVED.get(key)
+    if s is None or not all(_there(t) for t in (s.seeds, s.points, s.reached, s.fields, s.calls, s.heap)):
+        _SOLVED[key] = s = alias.solve(code(spark, sf))
+    return s
 
 
 def _asked(p: ir.Program, *names: str) -> DataFrame:
@@ -611,3 +620,123 @@ def _(spark, sf):
     p = _code(spark, sf, types=_WATCHED, calls=_SIGS, results=_RESULTS)
     names = [line.split(" | ")[0] for line in typestate.MACHINES.strip().splitlines()]
     return typestate.judged(p, names).select("machine", "stmt", "error")
+
+
+# Conversations that call methods which all of them share; turns are told by their text's length, the first is v = new File.
+_CALLING = ("new", "assign", "put", "get", "same", "keep", "take", "open_it", "shut")
+# The shared methods: name; parameters; what they do; what they return.
+_SHARED = {
+    "put": (["b", "o"], ("store", "b", "f", "o"), None),
+    "get": (["c"], ("load", "r", "c", "f"), "r"),
+    "same": (["p"], ("nop",), "p"),
+    "keep": (["s"], ("static_store", "G", "s"), None),
+    "take": ([], ("static_load", "u", "G"), "u"),
+    "open_it": (["q"], ("call", "q", "open()"), None),
+    "shut": (["t"], ("call", "t", "close()"), None),
+}
+
+
+def _calling(spark, sf) -> ir.Program:
+    """put(w, v), x = get(w), y = same(v), keep(v), z = take(), open_it(v) and shut(v), with bodies of their own."""
+    t = _turns(spark, sf)
+    first = F.col("turn") == F.min("turn").over(ir.Window.partitionBy("conv_id"))
+    kinds = table(spark, sf, "conversations").withColumn("kind", F.when(first, "new").otherwise(F.element_at(F.array(*map(F.lit, _CALLING)), (F.octet_length("text") % len(_CALLING) + 1).cast("int"))))
+    kinds = kinds.select(F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("stmt"), "kind")
+    t = written(t.drop("kind").join(kinds, "stmt").withColumns({x: F.concat(F.lit(x), F.substring("method", 2, 99)) for x in "yz"}))
+    of = lambda kind, *cols: t.filter(F.col("kind").isin(*kind.split())).select("stmt", *cols)
+    rows = {n: [] for n in ("stmt", "store", "load", "static_store", "static_load", "call", "param", "ret", "method")}
+    for name, (params, (kind, *x), result) in _SHARED.items():
+        rows["stmt"] += [(f"{name}:{i}", name, i, k) for i, k in enumerate(("nop", kind, "ret"))]
+        rows["param"] += [(name, i, v) for i, v in enumerate(params)]
+        rows["method"].append((name, "C", True, True, False, False, False, True))
+        rows["ret"] += [(f"{name}:2", result)] if result else []
+        if kind == "call":
+            rows["call"].append((f"{name}:1", x[0], x[1], "virtual", None))
+        elif kind != "nop":
+            rows[kind].append((f"{name}:1", *x))
+    shared = {n: spark.createDataFrame(r, ir.SCHEMAS[n]) for n, r in rows.items()}
+    none, lit = F.lit(None).cast("string"), F.lit
+    called = t.filter(F.col("kind").isin(*_SHARED))
+    given = F.when(F.col("kind") == "put", F.array("w", "v")).when(F.col("kind") == "get", F.array("w")).when(F.col("kind") != "take", F.array("v")).otherwise(F.expr("cast(array() as array<string>)"))
+    lhs = F.when(F.col("kind") == "get", F.col("x")).when(F.col("kind") == "same", F.col("y")).when(F.col("kind") == "take", F.col("z"))
+    stmts = t.select("stmt", "method", "ord", "kind").unionByName(shared["stmt"])
+    flag = lambda x: lit(x)
+    own = t.select("method").distinct().select("method", lit("C").alias("cls"), *(flag(x).alias(n) for n, x in (("static", True), ("has_body", True), ("native", False), ("phantom", False), ("clinit", False), ("app", True))))
+    return ir.Program(spark, shared | {
+        "stmt": stmts, "cfg_edge": ir.straight_line_edges(stmts), "method": shared["method"].unionByName(own),
+        "alloc": of("new", F.col("v").alias("val"), lit("File").alias("type"), lit("new").alias("kind"), none.alias("const")),
+        "assign": of("assign", F.col("w").alias("lhs"), F.col("v").alias("rhs")),
+        "call": shared["call"].unionByName(called.select("stmt", none.alias("recv"), F.concat("kind", lit("()")).alias("sig"), lit("static").alias("kind"), lhs.alias("lhs"))),
+        "call_edge": called.select(F.col("stmt").alias("site"), F.col("method").alias("caller"), F.col("kind").alias("callee"), lit("static").alias("kind")),
+        "arg": called.select("stmt", F.posexplode(given).alias("pos", "val")).filter("val is not null"),
+    })
+
+
+# The same folded in order: what G has been given, and what x, y and z were last given by the shared methods.
+_CALLED = """WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'new' ELSE (['new', 'assign', 'put', 'get', 'same', 'keep', 'take', 'open_it', 'shut'])[strlen(text) % 9 + 1] END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+run(c, i, t, kind, va, vb, wa, wb, vf, wf, g, x, y, z) AS (
+  SELECT DISTINCT c, 0::BIGINT, NULL::BIGINT, '', NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[], []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM k
+  UNION ALL
+  SELECT k.c, k.i, k.t, k.kind, CASE WHEN k.kind = 'new' THEN k.t ELSE va END, va, CASE WHEN k.kind = 'assign' THEN va ELSE wa END, wa,
+    CASE WHEN k.kind = 'new' THEN [] WHEN k.kind = 'put' AND va = wa THEN list_distinct(list_append(vf, va)) ELSE vf END, CASE k.kind WHEN 'assign' THEN vf WHEN 'put' THEN [va] ELSE wf END,
+    CASE WHEN k.kind = 'keep' THEN list_distinct(list_append(g, va)) ELSE g END, CASE WHEN k.kind = 'get' THEN wf ELSE x END, CASE WHEN k.kind = 'same' THEN [va] ELSE y END, CASE WHEN k.kind = 'take' THEN g ELSE z END
+  FROM run JOIN k ON k.c = run.c AND k.i = run.i + 1),
+done AS (SELECT * FROM run WHERE i > 0),
+held AS (SELECT c, t, 'v' AS n, va AS o FROM done WHERE va IS NOT NULL UNION ALL SELECT c, t, 'w', wa FROM done WHERE wa IS NOT NULL UNION ALL SELECT c, t, 'x', unnest(x) FROM done UNION ALL SELECT c, t, 'y', unnest(y) FROM done UNION ALL SELECT c, t, 'z', unnest(z) FROM done)
+"""
+
+
+@query("c5_calls_points_to", _CALLED + "SELECT 'c' || c || ':' || t AS stmt, n || c AS val, 'c' || c || ':' || o AS alloc_stmt FROM held")
+def _(spark, sf):
+    """What every value of a conversation holds, through arguments, returns, fields and statics of shared methods."""
+    s = _solved(spark, sf, _calling)
+    own = s.program.stmt.filter(F.col("method").startswith("c")).join(spark.createDataFrame([(m,) for m in _SHARED], "method string"), "method", "left_anti")
+    asked = _asked(ir.Program(spark, {"stmt": own}), "v", "w", "x", "y", "z")
+    return alias.points_to(s, asked).join(asked, "query").select("stmt", "val", "alloc_stmt")
+
+
+@query("c11_parameters", _CALLED + "SELECT DISTINCT kind || ':1' AS stmt, CASE kind WHEN 'put' THEN 'o' WHEN 'same' THEN 'p' WHEN 'keep' THEN 's' WHEN 'open_it' THEN 'q' ELSE 't' END AS val, 'c' || c || ':' || va AS alloc_stmt FROM done WHERE kind IN ('put', 'same', 'keep', 'open_it', 'shut') UNION SELECT DISTINCT kind || ':1', CASE kind WHEN 'put' THEN 'b' ELSE 'c' END, 'c' || c || ':' || wa FROM done WHERE kind IN ('put', 'get') AND wa IS NOT NULL")
+def _(spark, sf):
+    """What the parameters of the shared methods hold, over all calls."""
+    s = _solved(spark, sf, _calling)
+    asked = s.program.param.select(F.concat_ws("|", "method", "val").alias("query"), F.concat("method", F.lit(":1")).alias("stmt"), "val")
+    return alias.points_to(s, asked).join(asked, "query").select("stmt", "val", "alloc_stmt")
+
+
+@query("d26_open_calls", _CALLED + "SELECT kind AS method, 'c' || c || ':' || t AS call_site FROM done WHERE kind IN ('put', 'get', 'same', 'keep', 'open_it', 'shut') AND (kind <> 'get' OR wa IS NOT NULL)")
+def _(spark, sf):
+    """The calls that are open where a parameter of a shared method holds something."""
+    s = _solved(spark, sf, _calling)
+    asked = s.program.param.select(F.col("method").alias("query"), F.concat("method", F.lit(":1")).alias("stmt"), "val")
+    return alias.contexts(s, asked).select(F.col("query").alias("method"), "call_site")
+
+
+@query("c21_static_values", _CALLED + "SELECT 'c' || c || ':' || t AS stmt, 'c' || c || ':' || unnest(g) AS alloc_stmt FROM done")
+def _(spark, sf):
+    """What the static field holds after each statement of a conversation."""
+    s = _solved(spark, sf, _calling)
+    held = s.points.filter(F.col("val") == flows.STATIC + "G").join(s.program.stmt.filter(F.col("method").rlike("^c[0-9]")).select("stmt"), "stmt", "left_semi")
+    return held.join(s.seeds.select("qid", F.col("stmt").alias("alloc_stmt")), "qid").select("stmt", "alloc_stmt")
+
+
+@query("d32_typestate_in_callees", _CALLED + ", u AS (SELECT c, va AS o, min(CASE WHEN kind = 'open_it' THEN t END) AS opened, min(CASE WHEN kind = 'shut' THEN t END) AS closed FROM done GROUP BY c, va) SELECT 'c' || c || ':' || o AS stmt, opened IS NOT NULL AND closed IS NULL AS error FROM u")
+def _(spark, sf):
+    """Files that are open at the end; they are opened and closed in methods that all conversations share."""
+    s, found = _file_paths(spark, sf)
+    machines = typestate.machine_tables(spark)[0].filter("machine = 'FileMustBeClosed'")
+    return typestate.verdicts(typestate.final_states(s, found), machines).join(s.seeds.select("qid", "stmt"), "qid").select("stmt", "error")
+
+
+@query("f20_error_anywhere", _CALLED + ", u AS (SELECT c, va AS o, min(CASE WHEN kind = 'open_it' THEN t END) AS opened, min(CASE WHEN kind = 'shut' THEN t END) AS closed FROM done GROUP BY c, va) SELECT 'c' || c || ':' || o AS stmt, opened IS NOT NULL AND (closed IS NULL OR opened < closed) AS error FROM u")
+def _(spark, sf):
+    """Files that are open after any statement."""
+    s, found = _file_paths(spark, sf)
+    machines = typestate.machine_tables(spark)[0].filter("machine = 'FileMustBeClosed'")
+    return typestate.verdicts(found.filter(F.col("kind") == typestate.AT), machines).join(s.seeds.select("qid", "stmt"), "qid").select("stmt", "error")
+
+
+def _file_paths(spark, sf) -> tuple[alias.Solution, DataFrame]:
+    s = _solved(spark, sf, _calling)
+    machines, moves = (t.filter("machine = 'FileMustBeClosed'") for t in typestate.machine_tables(spark))
+    start = typestate.seeds(s, machines, spark.createDataFrame([], ir.SCHEMAS["subtype"]))
+    return s, typestate.paths(s, start, moves)
