@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pushgraph.session import forget, written
 
+#: A node with more than one in HUB of all edges is joined by broadcast.
+HUB = 4096
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -17,12 +20,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) -> (node, component): component is the least node that is reachable; nodes of edges only.
 
     Nulls and loops are ignored, repeated edges count once. Each round is two joins on a node with
-    its least neighbour, which is aggregated before the shuffle; no neighbourhood is collected. The
+    its least neighbour, which is aggregated before the shuffle; no neighbourhood is collected, nor does that of a hub meet in one task. The
     number of rounds is about the logarithm of the longest path.
     """
 
-    def least(sym: DataFrame) -> DataFrame:
-        return sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    def met(rows: DataFrame, n: int, least) -> DataFrame:
+        """rows (u, v) with m, the least v of their u. The rows of a u that has more than one in HUB of all stay where they are."""
+        found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), least.alias("m"), "n")
+        hubs = F.broadcast(found.filter(F.col("n") * HUB > n).select("k", "m"))  # 2 * HUB rows at most
+        others = rows.join(hubs, F.col("u") == F.col("k"), "left_anti").join(found.filter(F.col("n") * HUB <= n).drop("n"), F.col("u") == F.col("k"))
+        return rows.join(hubs, F.col("u") == F.col("k")).unionByName(others)
 
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct())
     state = _state(now)
@@ -30,11 +37,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = sym.join(least(sym), F.col("u") == F.col("k")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = met(sym, 2 * state[0], F.least("u", "m")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        m = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = down.join(m, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = met(down, state[0], F.col("m")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, now = now, written(small.filter(F.col("u") != F.col("v")).distinct())
         forget(before)
         new = _state(now)

@@ -11,6 +11,38 @@ from pyspark.sql import DataFrame
 from pushgraph.llm import textvec as V
 
 BLOCK = 1 << 16
+#: Cells of a piece above which it goes as bits.
+SPARSE = BLOCK // 16
+
+
+def _piece(cells: np.ndarray, of: int) -> bytes:
+    """The cells of a block: their numbers, or a bit for each of the block's where the piece has more than SPARSE."""
+    if of <= SPARSE:
+        return cells.tobytes()
+    bits = np.zeros(BLOCK, bool)
+    bits[cells] = True
+    return np.packbits(bits).tobytes()
+
+
+def _folded(pieces: DataFrame, dtype: type, add: Callable, told: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """(block, name): all pieces (block, ..) of each block added up. Pieces come sorted by block and are read as a stream: a task holds a
+    batch of them and one block's sums."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(BLOCK, dtype)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([told(total)], pa.binary())], ["block", name])
+        for batch in batches:
+            columns = [batch.column(c) for c in batch.schema.names[1:]]
+            for r, block in enumerate(batch.column("block").to_pylist()):
+                if block != at:
+                    if at is not None:
+                        yield row()
+                    at, total = block, np.zeros(BLOCK, dtype)
+                total = add(total, *(c[r].as_buffer() if pa.types.is_binary(c.type) else c[r].as_py() for c in columns))
+        if at is not None:
+            yield row()
+
+    return pieces.repartition("block").sortWithinPartitions("block").mapInArrow(fold, f"block int, {name} binary")
 
 
 def cells(keys: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
@@ -22,8 +54,8 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
     """A bit for each cell, set where it counts 2 or more over all of keys_of's arrays.
 
     Every partition counts its own keys; the counts (0, 1, 2 or more) of its cells are added on the
-    executors, a block of cells at a time. Between them go two bytes a key; the result has
-    depth * 2**bits / 8 bytes, whatever the input.
+    executors, a block of cells at a time. Between them go two bytes a key, or two bits a cell where a block of a million keys' cells
+    is fuller than that; a task that adds holds one block, whatever the number of keys. The result has depth * 2**bits / 8 bytes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +71,8 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
             low, twice = (cell % BLOCK).astype(np.uint16), n > 1
             parts = list(zip(edges[:-1], edges[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(block[a]) for a, _ in parts], pa.int32()), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([low[a:b][twice[a:b]].tobytes() for a, b in parts], pa.binary())],
-                ["block", "once", "more"],
+                [pa.array([int(block[a]) for a, _ in parts], pa.int32()), pa.array([_piece(low[a:b], b - a) for a, b in parts], pa.binary()), pa.array([_piece(low[a:b][twice[a:b]], b - a) for a, b in parts], pa.binary()), pa.array([b - a > SPARSE for a, b in parts], pa.bool_())],
+                ["block", "once", "more", "dense"],
             )
 
         for keys in keys_of(batches):
@@ -52,15 +84,17 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
         if held:
             yield from flush()
 
-    def add(key, parts):
-        total = np.zeros(BLOCK, np.uint8)
-        for col in ("once", "more"):
-            for x in parts.column(col):
-                cell = np.frombuffer(x.as_buffer(), np.uint16)
+    def add(total: np.ndarray, once: memoryview, more: memoryview, dense: bool) -> np.ndarray:
+        for x in (once, more):
+            if dense:
+                total = np.minimum(total + np.unpackbits(np.frombuffer(x, np.uint8)), 2)
+            else:
+                cell = np.frombuffer(x, np.uint16)
                 total[cell] = np.minimum(total[cell] + 1, 2)  # the cells of one piece are distinct
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
+        return total
 
-    merged = rows.mapInArrow(count, "block int, once binary, more binary").groupBy("block").applyInArrow(add, "block int, bits binary")
+    pieces = rows.mapInArrow(count, "block int, once binary, more binary, dense boolean")
+    merged = _folded(pieces, np.uint8, add, lambda total: np.packbits(total > 1).tobytes(), "bits")
     out = np.zeros((depth << bits) // 8, np.uint8)
     for r in merged.toLocalIterator():
         out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -107,14 +141,12 @@ def count_levels(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
         if held:
             yield flush()
 
-    def add(key, parts):
-        total = np.zeros(BLOCK, np.int64)
-        for c, n in zip(parts.column("cell"), parts.column("n"), strict=True):
-            total[np.frombuffer(c.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8)
-        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+    def add(total: np.ndarray, cell: memoryview, n: memoryview) -> np.ndarray:
+        total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint8)
+        return total
 
-    merged = rows.mapInArrow(count, "block int, cell binary, n binary").groupBy("block").applyInArrow(add, "block int, level binary")
+    level = lambda total: np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()
+    merged = _folded(rows.mapInArrow(count, "block int, cell binary, n binary"), np.int64, add, level, "level")
     out = np.zeros(1 << bits, np.uint8)
     for r in merged.toLocalIterator():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["level"]), np.uint8)
