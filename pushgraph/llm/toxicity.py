@@ -314,7 +314,7 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_texts: int = 3, shortest: int = 4, longest: int = 8) -> Model:
-    """A model from the labelled rows that are not held out, most_rows of them at most (by hash of the id).
+    """A model from the labelled rows of docs that are not held out, most_rows of them at most (by hash of the id).
 
     Terms are all those whose share of toxic texts exceeds that of others e**2 times, in least_texts toxic
     texts or more, with a log likelihood ratio above LEAST_GAIN; the best first, whole words before beginnings. Words of the
@@ -324,6 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 10_000, least_
     label the lexicon is empty and the score is the labels' mean, 0 if there are none.
     """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # Labels of documents that aren't there don't count towards the bound.
+    chosen = chosen.join(docs.select(F.col("doc_id").alias("d_id")), F.col("doc_id") == F.col("d_id"), "left_semi")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select(F.col("doc_id").alias("l_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     try:
