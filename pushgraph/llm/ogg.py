@@ -22,6 +22,8 @@ from pushgraph.session import small_batches, table
 
 # Fixed values of the format: capture pattern, header flags, header layout without lacing values.
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
+#: Above every serial number, which has 32 bits.
+CHAIN = 1 << 32
 HEADER = struct.Struct("<4sBBqIIIB")
 NO_GRANULE = -1
 
@@ -122,10 +124,12 @@ class Stream:
 def demultiplex(media: bytes) -> tuple[dict[int, Stream], int, int]:
     """(streams by serial number, pages with a wrong checksum, bytes outside pages).
 
-    A page with a wrong checksum is dropped and reading goes on at the next capture pattern. A packet that
-    lost a part is dropped.
+    A page with a wrong checksum is dropped and reading goes on at the next capture pattern. A packet that lost a part is dropped,
+    and counted as lost; so is one whose next page does not continue it. Streams may be chained: one that begins anew under a serial that
+    has been used is a stream of its own, with CHAIN added to its number for each before it.
     """
     streams: dict[int, Stream] = {}
+    links: dict[int, int] = {}
     at, bad, stray = 0, 0, 0
     while at < len(media):
         start = media.find(CAPTURE, at)
@@ -144,7 +148,9 @@ def demultiplex(media: bytes) -> tuple[dict[int, Stream], int, int]:
             bad += 1
             at = start + len(CAPTURE)
             continue
-        s = streams.setdefault(serial, Stream(serial))
+        if flags & FIRST and serial + CHAIN * links.get(serial, 0) in streams:
+            links[serial] = links.get(serial, 0) + 1
+        s = streams.setdefault(serial + CHAIN * links.get(serial, 0), Stream(serial))
         if s.next is not None and sequence != s.next:
             s.lost += 1
             s.part = None
@@ -153,7 +159,8 @@ def demultiplex(media: bytes) -> tuple[dict[int, Stream], int, int]:
         s.ended |= bool(flags & LAST)
         part, done = s.part, None
         skip = bool(flags & CONTINUED) and part is None  # its start was lost
-        if not flags & CONTINUED:
+        if not flags & CONTINUED and part is not None:
+            s.lost += 1
             part = None
         pos = body
         for v in lacing:

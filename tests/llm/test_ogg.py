@@ -71,3 +71,26 @@ def test_empty_and_null(spark):
     assert ogg.media_columns(ogg.to_ogg(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
     r = ogg.media_columns(spark.createDataFrame([(1, 2, None)], "doc_id long, n_bytes long, media binary")).first()
     assert r["payload_sha256"] is None and r["feature"] == "streams=0"
+
+
+def test_chained_streams_and_cut_packets():
+    first, second = random.Random(1).randbytes(192 * 40), random.Random(2).randbytes(192 * 30)
+    streams, bad, stray = ogg.demultiplex(ogg.encode(first) + ogg.encode(second))
+    assert len(streams) == 4 and not bad and not stray and all(s.ended and not s.lost for s in streams.values())
+    for chain, payload in ((0, first), (1, second)):
+        link = [s for n, s in streams.items() if n // ogg.CHAIN == chain]
+        assert sum(len(p.data) for s in link for p in s.packets[1:]) == len(payload)
+    # A packet of several pages of which the last is missing, and the next page starts anew.
+    w = ogg.StreamWriter(9, segments=2)
+    pages = w.packet(b"a" * 2000, 1) + w.packet(b"b" * 10, 2, flush=True)
+    ends = [i for i in range(len(pages)) if pages.startswith(ogg.CAPTURE, i)] + [len(pages)]
+    kept, number = b"", 0
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if i in (0, 1, len(ends) - 2):
+            page = bytearray(pages[a:b])
+            page[5] &= ~ogg.CONTINUED if i == len(ends) - 2 else 255
+            page[18:26] = number.to_bytes(4, "little") + bytes(4)
+            page[22:26] = ogg.page_checksum(bytes(page)).to_bytes(4, "little")
+            kept, number = kept + bytes(page), number + 1
+    streams, bad, _ = ogg.demultiplex(kept)
+    assert not bad and streams[9].lost == 1 and streams[9].packets[-1].data.endswith(b"b" * 10)
