@@ -61,7 +61,8 @@ def mix_sources(
     Cost: one scan of the texts; after it only (id, source, size, order) moves. A source, however
     large, is split into 4096 ranges of the seeded order, whose sums give every range its offset.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # Rows without an id are spread by their text.
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))))
     base = written(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("ord")).withColumn("bucket", F.substring("ord", 1, 3))
     )
@@ -92,7 +93,7 @@ def op8_source_mix(spark, sf_dir):
 OP8_SQL = """
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS ord
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM sizes),
