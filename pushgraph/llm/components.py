@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pushgraph.session import forget, written
 
-#: A node with more than one in HUB of all edges is joined by broadcast.
-HUB = 4096
+#: A node with more edges than HUB_ROWS, and more than one in HUB of all, is joined by broadcast.
+HUB, HUB_ROWS = 4096, 1 << 16
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges, written, with their number and a hash of them all, which are told while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,26 +26,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     number of rounds is about the logarithm of the longest path.
     """
 
-    def met(rows: DataFrame, n: int, least) -> DataFrame:
-        """rows (u, v) with m, the least v of their u. The rows of a u that has more than one in HUB of all stay where they are."""
+    def met(rows: DataFrame, n: int, hubs: bool, least: Column) -> DataFrame:
+        """rows (u, v) with m, the least v of their u."""
         found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), least.alias("m"), "n")
-        hubs = F.broadcast(found.filter(F.col("n") * HUB > n).select("k", "m"))  # 2 * HUB rows at most
-        others = rows.join(hubs, F.col("u") == F.col("k"), "left_anti").join(found.filter(F.col("n") * HUB <= n).drop("n"), F.col("u") == F.col("k"))
-        return rows.join(hubs, F.col("u") == F.col("k")).unionByName(others)
-
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct())
-    state = _state(now)
+        if not hubs:
+            return rows.join(found.drop("n"), F.col("u") == F.col("k"))
+        hot = (F.col("n") > HUB_ROWS) & (F.col("n") * HUB > n)
+        told = F.broadcast(found.filter(hot).select("k", "m"))  # HUB rows at most
+        others = rows.join(told, F.col("u") == F.col("k"), "left_anti").join(found.filter(~hot).drop("n"), F.col("u") == F.col("k"))
+        return rows.join(told, F.col("u") == F.col("k")).unionByName(others)
+
+    now, state = _written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct())
     for _ in range(max_rounds):
         if not state[0]:
             break
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = met(sym, 2 * state[0], F.least("u", "m")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Neither step below gives a node more edges than it has here.
+        hubs = state[0] > HUB_ROWS and sym.groupBy("u").count().agg(F.max("count")).first()[0] > HUB_ROWS
+        large = met(sym, 2 * state[0], hubs, F.least("u", "m")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = met(down, state[0], F.col("m")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        before, now = now, written(small.filter(F.col("u") != F.col("v")).distinct())
+        small = met(down, state[0], hubs, F.col("m")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        before = now
+        now, new = _written(small.filter(F.col("u") != F.col("v")).distinct())
         forget(before)
-        new = _state(now)
         if new == state:
             break
         state = new

@@ -61,8 +61,10 @@ def test_a_fold_holds_one_block(spark):
     assert held[1] < 1.2 * held[0]
 
 
-def test_hubs(spark):
+@pytest.mark.parametrize("hub_rows", [1 << 16, 100])
+def test_hubs(spark, monkeypatch, hub_rows):
     """Stars whose middle is the least, the greatest or any node, linked into one chain."""
+    monkeypatch.setattr(components, "HUB_ROWS", hub_rows)
     star = [(1, x) for x in range(10, 5000)] + [(9000, x) for x in range(5000, 6000)] + [(7000, x) for x in range(8000, 8200)]
     chain = [(20, 5100), (9000, 9001), (50_000, 50_001)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame([*star, *chain, (3, 3), (None, 4)], "u long, v long")).collect()}
