@@ -9,7 +9,7 @@ about given facts only: it first finds the allocations that can matter to them,
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +19,15 @@ from pushgraph.operators.pds import EMPTY, EPS, gen, is_gen
 from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, BudgetExceeded, field_seed_path, node_id, synchronised
 from pushgraph.plans.fixpoint import fixpoint
 from pushgraph.session import forget, written, written_counted
-from pushgraph.sources.ir import ARRAY, Program, allocations, dispatch, has, killed_values, subtype_closure, used_values
+from pushgraph.sources.ir import ARRAY, Program, allocations, dispatch, has, killed_values, start_points, subtype_closure, used_values
 
 
 @dataclass
 class Solution:
     """points: (qid, stmt, val) where val points to allocation qid after stmt; seeds: (qid, stmt, val, type, kind).
 
-    timed_out: the budget ended before the fixpoint, so that rows may be missing.
+    timed_out: the budget ended before the fixpoint, so that rows may be missing. found (query, qid): the allocations that each backward query
+    came to with no field open, where it was asked backwards.
     """
 
     program: Program
@@ -37,6 +38,7 @@ class Solution:
     calls: DataFrame
     heap: DataFrame
     timed_out: bool = False
+    found: DataFrame | None = None
 
 
 TRANS = ["qid", "src", "label", "dst"]
@@ -163,121 +165,145 @@ def typed_fields(p: Program, seeds: DataFrame, options: Options) -> Callable[[Da
         some = t.withColumns({"_stmt": F.when(plain, parts[0]), "_val": F.when(plain, parts[1])}).join(alloc, "qid", "left").join(declared, "_val", "left")
         some = some.join(pairs, ["_type", "_declared"], "left").filter(~plain | unknown | (F.col("_type") == F.col("_declared")) | related)
         if options.kill_null_at_cast:
-            some = some.join(casts, ["_stmt", "_val"], "left").filter(F.col("_cast").isNull() | (F.col("_kind") != "null"))
+            some = some.join(casts, ["_stmt", "_val"], "left").filter(F.col("_cast").isNull() | (F.coalesce("_kind", F.lit("")) != "null"))
         return some.select(*t.columns)
 
     return keep
 
 
-def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None) -> Solution:
+def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None, asked: DataFrame | None = None, keep_open: Callable[[DataFrame], DataFrame] | None = None) -> Solution:
     """Points-to facts of all allocations (or those of seeds), field-, context- and flow-sensitive: what a store puts into a field is
     found there, through every alias of the base, from the store on. max_rounds: passes through the heap that may find
-    something, without end by default; an error where one more is needed. listen: see synchronised().
+    something, without end by default; an error where one more is needed. listen, keep_open: see synchronised().
+
+    asked (qid, stmt, val): backward queries, which then choose the seeds. They run in the same loop: one that comes to an allocation makes it a
+    forward query, whatever fields it has still open; one that has opened a field at a load goes on, where a forward query holds the base both there
+    and at a store of the field, with the value that is stored.
 
     With options.on_the_fly_call_graph, virtual calls run what their receivers' allocations dispatch to, from the program's
     entry methods on. A solution that options.timeout_seconds ends is marked timed_out.
     """
     if options.on_the_fly_call_graph and seeds is None:
-        return call_graph(p, p.entry, replace_option(options, on_the_fly_call_graph=False))[1]
+        return call_graph(p, p.entry, replace(options, on_the_fly_call_graph=False))[1]
     seeds = allocation_seeds(p, options) if seeds is None else seeds
     seeds = written(seeds if "kind" in seeds.columns else seeds.withColumn("kind", F.lit("new")))
     nulls = seeds.filter("kind = 'null'").select("qid") if options.track_nulls and (has(p, "null_branch") or has(p, "flag_branch")) else None
     flow = forward(p, options, nulls)
+    back, backwards = None, None
+    if asked is not None:
+        asked, back = written(asked.select(*NODE).distinct()), backward(p, options)
+        backwards = written(asked.select("qid").distinct())
+    split = lambda rows: (rows.join(backwards, "qid", "left_anti"), rows.join(backwards, "qid", "left_semi"))
     stores = written(p.store.filter((F.col("field") != ARRAY) | F.lit(options.array_flows)).select("stmt", "base", "field", "rhs").distinct())
 
     passes = 0
 
     def imports(reached: DataFrame, fields: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         nonlocal passes
+        all_fields, all_calls, extra = fields, calls, None
+        if backwards is not None:
+            (reached, reached_b), (fields, fields_b), (calls, _) = split(reached), split(fields), split(calls)
+            extra = demanded(p, stores, seeds, reached_b, fields_b, empty_stack_nodes_any_context(reached, fields), options)
+        if not heap_aliases:
+            return extra
+        taken = alias_imports(p, stores, reached, fields, calls)
+        if extra is not None:
+            taken = tuple(a.unionByName(b) for a, b in zip(taken, extra, strict=True))
         if passes == max_rounds:
-            more_fields, more_calls = alias_imports(p, stores, reached, fields, calls)
-            lacking = more_fields.join(fields, TRANS, "left_anti").select("qid").unionByName(more_calls.join(calls, TRANS, "left_anti").select("qid"))
+            lacking = taken[0].join(all_fields, TRANS, "left_anti").select("qid").unionByName(taken[1].join(all_calls, TRANS, "left_anti").select("qid"))
             if lacking.isEmpty():
                 return None
             raise RuntimeError(f"points-to facts still grow after {max_rounds} passes through the heap")
         passes += 1
-        return alias_imports(p, stores, reached, fields, calls)
+        return taken
+
+    def flows_of(new: DataFrame) -> DataFrame:
+        ahead, behind = split(new)
+        return flow(ahead).unionByName(back(behind))
 
-    more = imports if options.aliasing and options.track_fields else None
+    heap_aliases = options.aliasing and options.track_fields
+    more = imports if heap_aliases or asked is not None else None
     locals_known = has(p, "local")
     keep_field = typed_fields(p, seeds, options) if options.type_check and locals_known else None
     late = False
     try:
         reached, fields, calls = synchronised(
-            seeds.select(*NODE), flow, unbalanced=True, more=more, keep_field=keep_field, keep_call=own_calls(p) if locals_known else None,
-            field_start=_field_start(seeds, options) if options.track_fields else None, listen=listen, budget_seconds=options.timeout_seconds,
+            (seeds if asked is None else asked).select(*NODE), flow if asked is None else flows_of, unbalanced=True, more=more, keep_field=keep_field, keep_call=own_calls(p) if locals_known else None,
+            field_start=_field_start(seeds, options) if options.track_fields and asked is None else None, keep_open=keep_open, listen=listen, budget_seconds=options.timeout_seconds,
         )
     except BudgetExceeded as e:
         reached, fields, calls, late = e.reached, e.fields, e.calls, True
+    found = None
+    if backwards is not None:
+        (reached, reached_b), (fields, fields_b), (calls, _) = split(reached), split(fields), split(calls)
+        met = seeds.join(empty_stack_nodes_any_context(reached_b, fields_b).withColumnRenamed("qid", "query"), ["stmt", "val"]).select("query", "qid")
+        found = written(met.distinct())
+        seeds = written(seeds.join(reached.select("qid").distinct(), "qid", "left_semi").select(*seeds.columns))
+        back.release()
     points = written(empty_stack_nodes_any_context(reached, fields))
     heap = written(_held(p, points, stores))
     flow.release()
-    return Solution(p, seeds, points, reached, fields, calls, heap, late)
-
-
-def replace_option(options: Options, **changes) -> Options:
-    from dataclasses import replace
-
-    return replace(options, **changes)
-
-
-def relevant_facts(p: Program, asked: DataFrame, options: Options = Options()) -> DataFrame:
-    """(stmt, val): facts that what the asked facts (stmt, val) point to can depend on, found backwards.
-
-    Assignments, calls (to their end) and returns (to every caller) are followed to where values come from. At a load it goes on
-    with the base, and with base and value of every store of the field: whether the two bases are aliases is left to solve(). Each
-    value is looked at once for each statement, so the work grows with what is asked about, not with the program.
+    return Solution(p, seeds, points, reached, fields, calls, heap, late, found)
+
+
+def demanded(p: Program, stores: DataFrame, seeds: DataFrame, reached: DataFrame, fields: DataFrame, points: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """(field transitions, call transitions) that backward queries ask for: the starts of the forward queries at allocations that they have reached, and
+    their own way on from loads to what is stored. reached, fields: theirs; points: of the forward queries."""
+    chosen = seeds.join(reached.select("stmt", "val").distinct(), ["stmt", "val"], "left_semi").select("qid", "stmt", "val", "kind")
+    begin = chosen.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"))
+    begin_call = chosen.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"))
+    if options.track_fields:
+        begin = begin.unionByName(_field_start(chosen, options).select(*begin.columns))
+    opened = _nodes(fields).join(reached, NODE, "left_semi").filter(F.col("dst") == gen(node_id(F.col("stmt"), F.col("val")), F.col("label")))
+    bases = opened.join(points.withColumnRenamed("qid", "base_qid"), ["stmt", "val"]).select("qid", "base_qid", F.col("label").alias("field"), "dst").distinct()
+    before = p.cfg_edge.select(F.col("src").alias("pred"), F.col("dst").alias("stmt")).distinct()
+    at = stores.join(before, "stmt").join(points.select(F.col("qid").alias("base_qid"), F.col("stmt").alias("pred"), F.col("val").alias("base")), ["pred", "base"])
+    on = bases.join(at.select("base_qid", "field", "pred", "rhs").distinct(), ["base_qid", "field"])
+    back = on.select("qid", node_id(F.col("pred"), F.col("rhs")).alias("src"), F.lit(EPS).alias("label"), "dst").distinct()
+    back_call = on.select("qid", F.col("rhs").alias("src"), F.col("pred").alias("label"), F.lit(CALL_END).alias("dst")).distinct()
+    return begin.unionByName(back), begin_call.unionByName(back_call)
+
+
+def query_ids(queries: DataFrame) -> DataFrame:
+    """queries (query, ..) with the qid that each has as a backward query."""
+    return queries.withColumn("qid", F.xxhash64(F.lit("backward"), F.col("query").cast("string")))
+
+
+def backward_solve(p: Program, queries: DataFrame, options: Options = Options(), *, contexts: DataFrame | None = None, **limits) -> Solution:
+    """The solution for queries (query, stmt, val), asked backwards: of the allocations that they come to, and no others.
+
+    points_to(), may_alias() and the like give the same answers for the asked facts as with a solution of all allocations. contexts (query, callee, site):
+    the calls through which a query may leave a method that it did not enter; a method that has no row for the query keeps all its callers. Each
+    query has contexts of its own; answers() tells their answers apart.
     """
-    flow = backward(p, replace_option(options, track_fields=False))
-    back = p.cfg_edge.select(F.col("dst").alias("stmt"), F.col("src").alias("pred")).distinct().cache()
-    reads = p.load.select("stmt", F.col("lhs").alias("val"), "base", "field").cache()
-    stores = p.store.select(F.col("stmt").alias("at"), "field", F.col("base").alias("s_base"), "rhs").cache()
-    one = F.lit(1).cast("bigint").alias("qid")
+    keep = None if contexts is None else _allowed_callers(p, query_ids(contexts))
+    return solve(p, None, replace(options, on_the_fly_call_graph=False), asked=query_ids(queries).select(*NODE), keep_open=keep, **limits)
 
-    def step(total: DataFrame, delta: DataFrame) -> DataFrame:
-        node = delta.select(one, "stmt", "val")
-        out = flow(node).select(F.col("to_stmt").alias("stmt"), F.col("to_val").alias("val"))
-        read = delta.join(reads, ["stmt", "val"])
-        base = read.join(back, "stmt").select(F.col("pred").alias("stmt"), F.col("base").alias("val"))
-        told = read.select("field").distinct().join(stores, "field").join(back.withColumnRenamed("stmt", "at"), "at")
-        told = told.select(F.col("pred").alias("stmt"), F.explode(F.array("s_base", "rhs")).alias("val"))
-        out = out.unionByName(base)
-        return out.unionByName(told) if options.track_fields else out
-
-    found = fixpoint(asked.select("stmt", "val").distinct(), step, keys=["stmt", "val"]).whole()
-    found = written(found)
-    flow.release()
-    for t in (back, reads, stores):
-        t.unpersist()
-    return found
 
+def _allowed_callers(p: Program, contexts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A filter of the rules by which backward queries go from a method's first statement to its callers: contexts (qid, callee, site)."""
+    begins = start_points(p).select(F.col("method").alias("callee"), F.col("stmt").alias("l1"))
+    sites = p.cfg_edge.select(F.col("src").alias("l2"), F.col("dst").alias("site")).distinct()
+    named = written(contexts.join(begins, "callee").select("qid", "l1").distinct())
+    allowed = written(contexts.join(begins, "callee").join(sites, "site").select("qid", "l1", "l2").distinct())
 
-def backward_solve(p: Program, queries: DataFrame, options: Options = Options(), **limits) -> Solution:
-    """The solution for queries (query, stmt, val): of the allocations that they can depend on, and no others.
-
-    points_to(), may_alias() and the like give the same answers for the asked facts as with a solution of all allocations.
-    """
-    facts = relevant_facts(p, queries, options)
-    seeds = written(allocation_seeds(p, options).join(facts, ["stmt", "val"], "left_semi"))
-    forget(facts)
-    return solve(p, seeds.select("qid", "stmt", "val", "type", "kind"), replace_option(options, on_the_fly_call_graph=False), **limits)
+    def keep(rules: DataFrame) -> DataFrame:
+        return rules.join(named, ["qid", "l1"], "left_anti").unionByName(rules.join(allowed, ["qid", "l1", "l2"], "left_semi").select(*rules.columns))
 
+    return keep
 
-def backward_solve_in_context(p: Program, queries: DataFrame, contexts: DataFrame, options: Options = Options()) -> Solution:
-    """backward_solve() where each query (query, stmt, val) is asked in the call chains that a client names.
 
-    contexts (callee, site): calls that are followed out of a method; a method with no row there keeps all its callers. Other calls of the
-    methods named are left out of the program.
-    """
-    named = contexts.select("callee").distinct()
-    kept = p.call_edge.join(named, "callee", "left_anti").unionByName(p.call_edge.join(contexts.select("callee", "site").distinct(), ["callee", "site"], "left_semi").select(*p.call_edge.columns), allowMissingColumns=True)
-    return backward_solve(Program(p.spark, p.tables | {"call_edge": kept.select(*p.call_edge.columns)}), queries, options)
+def answers(s: Solution, queries: DataFrame) -> DataFrame:
+    """queries (query, stmt, val) of a backward_solve() -> (query, alloc_stmt, alloc_val, type): the allocations that each came to itself, in its own
+    contexts, and that the value holds."""
+    hit = query_ids(queries).withColumnRenamed("qid", "asked").join(s.found.select(F.col("query").alias("asked"), "qid"), "asked").join(s.points, ["qid", "stmt", "val"], "left_semi")
+    return hit.select("query", "qid").join(s.seeds.select("qid", F.col("stmt").alias("alloc_stmt"), F.col("val").alias("alloc_val"), "type"), "qid").select("query", "alloc_stmt", "alloc_val", "type").distinct()
 
 
-def scoped_contexts(s: Solution, fact: DataFrame) -> DataFrame:
-    """(callee, site): the calls open on the stack of a forward query's fact (query, stmt, val), as contexts to ask backwards in."""
-    sites = contexts(s, fact).select(F.col("call_site").alias("site")).distinct()
-    return s.program.call_edge.join(sites, "site", "left_semi").select("callee", "site").distinct()
+def scoped_contexts(s: Solution, facts: DataFrame) -> DataFrame:
+    """(query, callee, site): the calls open on the stacks of forward queries' facts (query, stmt, val), as contexts to ask each backwards in."""
+    sites = contexts(s, facts).select("query", F.col("call_site").alias("site")).distinct()
+    return s.program.call_edge.join(sites, "site").select("query", "callee", "site").distinct()
 
 
 def indirections(s: Solution) -> DataFrame:
@@ -382,7 +408,7 @@ def call_graph(p: Program, entries: DataFrame, options: Options = Options(), *,
         if scoped:
             inside = p.stmt.join(reachable_methods(now, entries.select("method")), "method", "left_semi").select("stmt")
             now = Program(p.spark, now.tables | {"alloc": p.alloc.join(inside, "stmt", "left_semi").select(*p.alloc.columns)})
-        s = solve(now, None, replace_option(options, on_the_fly_call_graph=False))
+        s = solve(now, None, replace(options, on_the_fly_call_graph=False))
         if s.timed_out:
             return now, s
         edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("site")).distinct()

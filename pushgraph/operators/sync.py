@@ -73,6 +73,7 @@ def synchronised(
     keep_field: Callable[[DataFrame], DataFrame] | None = None,
     keep_call: Callable[[DataFrame], DataFrame] | None = None,
     field_start: DataFrame | None = None,
+    keep_open: Callable[[DataFrame], DataFrame] | None = None,
     listen: Callable[[str, DataFrame], None] | None = None,
     max_rounds: int | None = None,
     budget_seconds: float | None = None,
@@ -83,7 +84,8 @@ def synchronised(
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
     more(reached, field transitions, call transitions) is asked when nothing grows any more: the field and call transitions
-    (qid, src, label, dst) that it returns go on from there, None or nothing new ends. keep_field, keep_call: filters of new transitions. field_start: further field
+    (qid, src, label, dst) that it returns go on from there, None or nothing new ends. keep_field, keep_call: filters of new transitions; keep_open: of the rules by
+    which an unbalanced return goes to a caller. field_start: further field
     transitions (qid, src, label, dst) to start with. listen(name, rows) gets each round's new rows of ``reached``, ``field``,
     ``call``, ``field_rule`` and ``call_rule``, the first of them all that are there.
     Runs until nothing grows; RuntimeError after max_rounds, BudgetExceeded (with what was found) after budget_seconds.
@@ -118,25 +120,21 @@ def synchronised(
             raise BudgetExceeded(budget_seconds, reached.total, of(systems.total, FIELD), of(systems.total, CALL))
         new = None
         if fresh is not None:
-            rules.append(written(flow_of(fresh)))
+            of_fields, of_calls = rules_of(flow_of(fresh), unbalanced, False)
+            if keep_open:
+                of_calls = of_calls.filter("kind <> 'open'").unionByName(keep_open(of_calls.filter("kind = 'open'")).select(*of_calls.columns))
+            new = written(both_parts(of_fields, of_calls))
+            tell("field_rule", of(new, FIELD))
+            tell("call_rule", of(new, CALL))
+            rules.append(new)
+            all_rules = new if all_rules is None else all_rules.unionByName(new)
             if len(rules) > COMPACT:
-                whole = rules[0]
-                for r in rules[1:]:
-                    whole = whole.unionByName(r)
-                whole = written(whole)
+                whole = written(all_rules)
                 forget(*rules[:-1])
-                new, rules = rules_of(rules[-1], unbalanced, False), [whole]
-            else:
-                new = rules_of(rules[-1], unbalanced, False)
-            flow = rules[0]
-            for r in rules[1:]:
-                flow = flow.unionByName(r)
-            all_rules = both_parts(*rules_of(flow, unbalanced, False))
-            tell("field_rule", new[0])
-            tell("call_rule", new[1])
+                rules, all_rules = [whole], whole
         step = rule_step(systems.delta, all_rules, UNWEIGHTED).unionByName(epsilon_step(systems.total, systems.delta, UNWEIGHTED))
         if new is not None:
-            step = step.unionByName(rule_step(systems.total, both_parts(*new), UNWEIGHTED))
+            step = step.unionByName(rule_step(systems.total, new, UNWEIGHTED))
         if systems.grow(kept(step)):
             tell("field", of(systems.delta, FIELD))
             tell("call", of(systems.delta, CALL))

@@ -47,12 +47,28 @@ def test_backward_query(spark):
     assert {r["stmt"] for r in s.seeds.collect()} == {"main:1", "main:3"}  # nothing of the other method
     met = {(r["stmt"], r["kind"]) for r in A.indirections(s).collect()}
     assert met == {("put:2", "store"), ("main:5", "load")}
-    none = A.backward_solve_in_context(p, spark.createDataFrame([(1, "put:3", "s")], "query long, stmt string, val string"), spark.createDataFrame([("put", "nowhere")], "callee string, site string"))
-    assert none.seeds.isEmpty()
+    assert [(r["query"], r["alloc_stmt"]) for r in A.answers(s, asked).collect()] == [(1, "main:3")]
     one = A.solve(p, options=A.Options(timeout_seconds=0.0))
     assert one.timed_out and not s.timed_out
 
 
+def test_backward_queries_in_contexts(spark):
+    """Queries of one batch are asked in call chains of their own; loads and stores in backward queries, through aliases and calls."""
+    code = Code()
+    code.method("main", [], ("new", "x", "A"), ("call", None, None, "m", ["x"], ["m"]), ("new", "y", "B"), ("call", None, None, "m", ["y"], ["m"]), ("nop",))
+    code.method("m", ["p"], ("nop",))
+    code.method("store", [], ("new", "w", "N"), ("new", "v", "A"), ("store", "w", "f", "v"), ("assign", "e", "w"), ("load", "q", "e", "f"), ("new", "u", "N"), ("new", "z", "B"), ("store", "u", "f", "z"), ("nop",))
+    p = code.program(spark)
+    asked = spark.createDataFrame([(1, "m:1", "p"), (2, "m:1", "p"), (3, "m:1", "p"), (4, "m:1", "p"), (5, "store:6", "q")], "query long, stmt string, val string")
+    chains = spark.createDataFrame([(1, "m", "main:2"), (2, "m", "main:4"), (4, "m", "nowhere")], "query long, callee string, site string")
+    s = A.backward_solve(p, asked, contexts=chains)
+    got = {}
+    for r in A.answers(s, asked).collect():
+        got.setdefault(r["query"], set()).add(r["alloc_stmt"])
+    assert got == {1: {"main:1"}, 2: {"main:3"}, 3: {"main:1", "main:3"}, 5: {"store:2"}}
+    assert {r["stmt"] for r in s.seeds.collect()} == {"main:1", "main:3", "store:1", "store:2"}  # not the other N, nor what is stored there
+
+
 def test_filters_and_models(spark):
     code = Code()
     code.method("main", [], ("new", "a", "A"), ("new", "b", "B"), ("assign", "c", "a"), ("call", "r", None, "copy(Object)", ["a"], []), ("new", "n", None, "null"), ("nop",), ("new", "arr", "T[][]", "multi_array"), ("load", "q", "arr", "array"), ("nop",))
