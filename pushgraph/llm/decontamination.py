@@ -93,8 +93,9 @@ def contained_items(
     Further columns are ignored. A passage in a third of all documents gives a row for each of them and
     item, never pairs of documents.
 
-    Two scans of the texts: the first probes with the signatures, whose table is broadcast while its counted
-    rows are within broadcast_rows; the second reads shingles of the candidates alone.
+    The texts are scanned once for each length of shingles, which items of fewer words have less than k of: at most k times. Each
+    scan probes with the signatures of that length, whose table is broadcast while its counted rows are within broadcast_rows; then
+    shingles of the candidates alone are read, once a length. 64-bit hashes stand for words and shingles.
     """
     spark = docs.sparkSession
     found = written(item_shingles(items, item_col=item_col, text_col=item_text_col, k=k, threshold=threshold), 1)
