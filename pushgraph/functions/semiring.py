@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Semiring:
-    """dtype: SQL type; one: neutral of extend; extend(a, b): a then b; combine: aggregate over a column."""
+    """dtype: SQL type; one: neutral of extend; extend(a, b): a then b; combine: aggregate over a column.
+
+    idempotent: combining a weight with itself leaves it, and extend distributes over combine, so that what follows from an earlier weight is
+    a part of what follows from a later one. The fixpoint loop relies on it and refuses others.
+    """
 
     name: str
     dtype: str
     one: Callable[[], Column]
     extend: Callable[[Column, Column], Column]
     combine: Callable[[Column], Column]
+    idempotent: bool = True
 
 
 def _union(a: Column, b: Column) -> Column:
@@ -45,6 +50,19 @@ NUM = Semiring("num", "bigint", lambda: F.lit(0).cast("bigint"), lambda a, b: a
 INFERENCE = Semiring("inference", "array<string>", lambda: F.expr("cast(array() as array<string>)"), _union, _merged)
 DATA_FLOW_PATH = Semiring("data_flow_path", "array<string>", lambda: F.expr("cast(array() as array<string>)"), _union, _merged)
 
+def _then(a: Column, b: Column) -> Column:
+    return F.struct(_union(a["names"], b["names"]).alias("names"), F.coalesce(b["last"], a["last"]).alias("last"))
+
+
+#: Names of a path with the one that was added last: the right side's, where it has one; over paths the greatest name.
+ORDERED_PATH = Semiring(
+    "ordered_path",
+    "struct<names:array<string>,last:string>",
+    lambda: F.expr("named_struct('names', cast(array() as array<string>), 'last', cast(null as string))"),
+    _then,
+    lambda c: F.struct(_merged(c["names"]).alias("names"), F.max(c["last"]).alias("last")),
+)
+
 #: Sets where the empty set is one: a path keeps what its only non-empty part has, else nothing (null is zero).
 SET_DOMAIN = Semiring(
     "set_domain",
@@ -71,4 +89,4 @@ def compose(a: Column, b: Column) -> Column:
 #: Changes of a typestate machine's state: sorted sets of (from, to); at most the square of its states.
 TYPESTATE = Semiring("typestate", PAIRS, lambda: F.array(pair(ANY, ANY)), compose, _merged)
 
-SEMIRINGS = {s.name: s for s in (UNWEIGHTED, MIN_PLUS, NUM, INFERENCE, DATA_FLOW_PATH, SET_DOMAIN, TYPESTATE)}
+SEMIRINGS = {s.name: s for s in (UNWEIGHTED, MIN_PLUS, NUM, INFERENCE, DATA_FLOW_PATH, ORDERED_PATH, SET_DOMAIN, TYPESTATE)}

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from pushgraph.operators.flows import STATIC, Options, backward, forward
 from pushgraph.operators.pds import EMPTY, EPS, gen, is_gen
-from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, BudgetExceeded, field_seed_path, node_id, synchronised
+from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, SEP, Budget, BudgetExceeded, field_seed_path, node_id, synchronised
 from pushgraph.plans.fixpoint import fixpoint
 from pushgraph.session import forget, written, written_counted
-from pushgraph.sources.ir import ARRAY, Program, allocations, dispatch, has, killed_values, start_points, subtype_closure, used_values
+from pushgraph.sources.ir import ARRAY, Program, allocations, dispatch, end_points, has, killed_values, reachable_methods, start_points, subtype_closure, used_values
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Solution:
     """points: (qid, stmt, val) where val points to allocation qid after stmt; seeds: (qid, stmt, val, type, kind).
 
     timed_out: the budget ended before the fixpoint, so that rows may be missing. found (query, qid): the allocations that each backward query
-    came to with no field open, where it was asked backwards.
+    came to with no field open, where it was asked backwards. exhausted (qid, ..): queries that a budget ended; what needs their aliases may lack them.
     """
 
     program: Program
@@ -39,6 +39,7 @@ class Solution:
     heap: DataFrame
     timed_out: bool = False
     found: DataFrame | None = None
+    exhausted: DataFrame | None = None
 
 
 TRANS = ["qid", "src", "label", "dst"]
@@ -171,7 +172,7 @@ def typed_fields(p: Program, seeds: DataFrame, options: Options) -> Callable[[Da
     return keep
 
 
-def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None, asked: DataFrame | None = None, keep_open: Callable[[DataFrame], DataFrame] | None = None) -> Solution:
+def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options(), *, max_rounds: int | None = None, listen: Callable[[str, DataFrame], None] | None = None, asked: DataFrame | None = None, keep_open: Callable[[DataFrame], DataFrame] | None = None, budget: Budget | None = None, growing: _CallGraph | None = None) -> Solution:
     """Points-to facts of all allocations (or those of seeds), field-, context- and flow-sensitive: what a store puts into a field is
     found there, through every alias of the base, from the store on. max_rounds: passes through the heap that may find
     something, without end by default; an error where one more is needed. listen, keep_open: see synchronised().
@@ -188,7 +189,10 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
     seeds = allocation_seeds(p, options) if seeds is None else seeds
     seeds = written(seeds if "kind" in seeds.columns else seeds.withColumn("kind", F.lit("new")))
     nulls = seeds.filter("kind = 'null'").select("qid") if options.track_nulls and (has(p, "null_branch") or has(p, "flag_branch")) else None
-    flow = forward(p, options, nulls)
+    held = None
+    if growing is not None:
+        held = written(growing.unresolved().select(F.col("site").alias("via")).join(p.arg.select(F.col("stmt").alias("via"), "val"), "via").distinct())
+    flow = forward(p, options, nulls, held)
     back, backwards = None, None
     if asked is not None:
         asked, back = written(asked.select(*NODE).distinct()), backward(p, options)
@@ -204,32 +208,81 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
         if backwards is not None:
             (reached, reached_b), (fields, fields_b), (calls, _) = split(reached), split(fields), split(calls)
             extra = demanded(p, stores, seeds, reached_b, fields_b, empty_stack_nodes_any_context(reached, fields), options)
-        if not heap_aliases:
-            return extra
-        taken = alias_imports(p, stores, reached, fields, calls)
-        if extra is not None:
-            taken = tuple(a.unionByName(b) for a, b in zip(taken, extra, strict=True))
+        taken = alias_imports(p, stores, reached, fields, calls) if heap_aliases else None
+        lacks = lambda new: not new[0].join(all_fields, TRANS, "left_anti").select("qid").unionByName(new[1].join(all_calls, TRANS, "left_anti").select("qid")).isEmpty()
+        late = None
+        if growing is not None:
+            now = growing.found(empty_stack_nodes_any_context(reached, fields))
+            if now is None and taken is not None and lacks(taken):
+                return (*taken, None)  # calls are looked at again when nothing else grows
+            extra, late = carried_on(reached, now)
+        if taken is not None and extra is not None:
+            taken = tuple(x.unionByName(y) for x, y in zip(taken, extra, strict=True))
+        taken = taken or extra
+        if taken is None:
+            return None
         if passes == max_rounds:
-            lacking = taken[0].join(all_fields, TRANS, "left_anti").select("qid").unionByName(taken[1].join(all_calls, TRANS, "left_anti").select("qid"))
-            if lacking.isEmpty():
+            if not lacks(taken):
                 return None
             raise RuntimeError(f"points-to facts still grow after {max_rounds} passes through the heap")
         passes += 1
-        return taken
+        return (*taken, late)
+
+    def carried_on(reached: DataFrame, now: Program | None) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+        """Allocations that the grown call graph brings in, and the flow rows of facts that are there already along its new edges; where it
+        does not grow, values go past the calls that they were held at."""
+        nonlocal flow, p, held
+        into = p.cfg_edge.select("src", F.col("dst").alias("via")).distinct()
+        if now is not None:
+            p = now
+            sites = growing.new.select(F.col("site").alias("via"))
+            ends = end_points(p).join(growing.new.select(F.col("callee").alias("method")).distinct(), "method", "left_semi").select("stmt")
+            near = into.join(sites, "via", "left_semi").select(F.col("src").alias("stmt")).unionByName(ends).distinct()
+            held = written(held.join(sites, "via", "left_anti"))
+            flow.release()
+            flow = forward(p, options, nulls, held)
+            late = flow(reached.join(near, "stmt", "left_semi"))
+        else:
+            # Nothing more is known of these calls: what was held goes past them.
+            at = reached.join(into.withColumnRenamed("src", "stmt"), "stmt").join(held, ["via", "val"])
+            late = at.select("qid", F.lit("normal").alias("kind"), "stmt", "val", F.lit("").alias("sym"), F.col("via").alias("to_stmt"), F.col("val").alias("to_val"))
+            gone = written(late.select(F.col("to_stmt").alias("via"), "val").distinct())
+            late = written(late)
+            held = written(held.join(gone, ["via", "val"], "left_anti"))
+            flow.release()
+            flow = forward(p, options, nulls, held)
+        chosen = growing.seeds_in(seeds, p).select("qid", "stmt", "val", "kind")
+        begin = chosen.select("qid", node_id(F.col("stmt"), F.col("val")).alias("src"), F.lit(EMPTY).alias("label"), F.lit(FIELD_END).alias("dst"))
+        if options.track_fields:
+            begin = begin.unionByName(_field_start(chosen, options).select(*begin.columns))
+        return (begin, chosen.select("qid", F.col("val").alias("src"), F.col("stmt").alias("label"), F.lit(CALL_END).alias("dst"))), late
 
     def flows_of(new: DataFrame) -> DataFrame:
+        if backwards is None:
+            return flow(new)
         ahead, behind = split(new)
         return flow(ahead).unionByName(back(behind))
 
     heap_aliases = options.aliasing and options.track_fields
-    more = imports if heap_aliases or asked is not None else None
+    more = imports if heap_aliases or asked is not None or growing is not None else None
+    first = seeds if asked is None else asked
+    if growing is not None:
+        first = written(growing.seeds_in(seeds, p))
     locals_known = has(p, "local")
     keep_field = typed_fields(p, seeds, options) if options.type_check and locals_known else None
-    late = False
+    late, exhausted = False, None
+
+    def hear(name: str, rows: DataFrame) -> None:
+        nonlocal exhausted
+        if name == "exhausted":
+            exhausted = rows
+        if listen:
+            listen(name, rows)
+
     try:
         reached, fields, calls = synchronised(
-            (seeds if asked is None else asked).select(*NODE), flow if asked is None else flows_of, unbalanced=True, more=more, keep_field=keep_field, keep_call=own_calls(p) if locals_known else None,
-            field_start=_field_start(seeds, options) if options.track_fields and asked is None else None, keep_open=keep_open, listen=listen, budget_seconds=options.timeout_seconds,
+            first.select(*NODE), flows_of, unbalanced=True, more=more, keep_field=keep_field, keep_call=own_calls(p) if locals_known else None,
+            field_start=_field_start(first, options) if options.track_fields and asked is None else None, keep_open=keep_open, listen=hear, budget_seconds=options.timeout_seconds, budget=budget,
         )
     except BudgetExceeded as e:
         reached, fields, calls, late = e.reached, e.fields, e.calls, True
@@ -240,10 +293,12 @@ def solve(p: Program, seeds: DataFrame | None = None, options: Options = Options
         found = written(met.distinct())
         seeds = written(seeds.join(reached.select("qid").distinct(), "qid", "left_semi").select(*seeds.columns))
         back.release()
+    if growing is not None:
+        seeds = written(growing.seeds_in(seeds, p))
     points = written(empty_stack_nodes_any_context(reached, fields))
     heap = written(_held(p, points, stores))
     flow.release()
-    return Solution(p, seeds, points, reached, fields, calls, heap, late, found)
+    return Solution(p, seeds, points, reached, fields, calls, heap, late, found, exhausted)
 
 
 def demanded(p: Program, stores: DataFrame, seeds: DataFrame, reached: DataFrame, fields: DataFrame, points: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -357,11 +412,11 @@ def may_alias(s: Solution, pairs: DataFrame) -> DataFrame:
     return pairs.join(both, "query", "left").withColumn("alias", F.coalesce("alias", F.lit(False)))
 
 
-def access_paths(s: Solution, queries: DataFrame, *, max_fields: int = 12) -> DataFrame:
+def access_paths(s: Solution, queries: DataFrame, *, max_fields: int | None = None) -> DataFrame:
     """queries (query, stmt, val) -> (query, base, fields, approx): everything that may hold the same object at stmt.
 
     A path is followed through the field automaton from each variable; one that would repeat a state is
-    cut there and marked approximate, as are paths above max_fields.
+    cut there and marked approximate, as are paths above max_fields where that is given.
     """
     owners = queries.join(s.points, ["stmt", "val"]).select("query", "qid", "stmt").distinct()
     parts = F.split("src", SEP)
@@ -373,7 +428,7 @@ def access_paths(s: Solution, queries: DataFrame, *, max_fields: int = 12) -> Da
     def step(total: DataFrame, delta: DataFrame) -> DataFrame:
         at = delta.filter("not approx").withColumn("src", F.element_at("seen", -1)).filter(F.col("src") != FIELD_END)
         hit = at.join(edges, ["qid", "src"])
-        again = F.array_contains("seen", F.col("dst")) | (F.size("fields") >= max_fields)
+        again = F.array_contains("seen", F.col("dst")) | (F.lit(False) if max_fields is None else F.size("fields") >= max_fields)
         longer = F.when(F.col("label") == EMPTY, F.col("fields")).otherwise(F.array_append("fields", F.col("label")))
         return hit.select("query", "qid", "base", F.when(again, F.col("fields")).otherwise(longer).alias("fields"), F.when(again, F.col("seen")).otherwise(F.array_append("seen", F.col("dst"))).alias("seen"), again.alias("approx"))
 
@@ -392,36 +447,59 @@ def contexts(s: Solution, queries: DataFrame) -> DataFrame:
     return states.withColumnRenamed("state", "src").join(edges, ["qid", "src"]).select("query", F.col("label").alias("call_site")).distinct()
 
 
+class _CallGraph:
+    """Call edges that grow with what receivers are found to point to."""
+
+    def __init__(self, p: Program, entries: DataFrame, options: Options, max_rounds: int | None) -> None:
+        self.base, self.max_rounds, self.rounds, self.new = p, max_rounds, 0, None
+        self.entries = None if entries.isEmpty() else entries.select("method")
+        self.known = written(p.call_edge.distinct())
+        self.virtual = written(p.call.filter("kind = 'virtual'").select(F.col("stmt").alias("site"), F.col("recv").alias("val"), "sig"))
+        self.types = written(allocation_seeds(p, options).select("qid", "type").distinct())
+
+    def program(self) -> Program:
+        return Program(self.base.spark, self.base.tables | {"call_edge": self.known})
+
+    def unresolved(self) -> DataFrame:
+        return self.virtual.select("site").distinct().join(self.known.select("site"), "site", "left_anti")
+
+    def seeds_in(self, seeds: DataFrame, p: Program) -> DataFrame:
+        """The seeds in methods that the entries reach; all where there are none."""
+        if self.entries is None:
+            return seeds
+        inside = p.stmt.join(reachable_methods(p, self.entries), "method", "left_semi").select("stmt")
+        return seeds.join(inside, "stmt", "left_semi").select(*seeds.columns)
+
+    def found(self, points: DataFrame) -> Program | None:
+        """The program with the edges that these facts add (new); None where there are none."""
+        p = self.base
+        before = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("site")).distinct()
+        met = points.join(before, "stmt").join(self.virtual, ["site", "val"]).join(self.types, "qid").select("site", "type", "sig").distinct()
+        owner = p.stmt.select(F.col("stmt").alias("site"), F.col("method").alias("caller"))
+        edges = dispatch(p, met).join(owner, "site").select("site", "caller", F.col("method").alias("callee"), F.lit("virtual").alias("kind"))
+        new, n = written_counted(edges.join(self.known, ["site", "caller", "callee"], "left_anti").select(*self.known.columns).distinct())
+        if not n:
+            return None
+        self.rounds += 1
+        if self.rounds == self.max_rounds:
+            raise RuntimeError(f"the call graph still grows after {self.max_rounds} rounds")
+        self.known, self.new = written(self.known.unionByName(new)), new
+        return self.program()
+
+
 def call_graph(p: Program, entries: DataFrame, options: Options = Options(), *, max_rounds: int | None = None) -> tuple[Program, Solution]:
     """The program with the call edges that receivers' allocations give, and its solution.
 
     Virtual calls run what the types of their receivers dispatch to. With entries (method), only methods that these reach take
-    part: statements and allocations of others wait until a call edge leads to them; without rows there, all do.
-    Each round goes on with the allocations and calls that the last one's edges made reachable; an error after max_rounds.
+    part: allocations of others wait until a call edge leads to them; without rows there, all do.
+
+    One solution is carried on as edges are found: facts, stacks and rules stay, and a new edge adds the flows of the facts at its call and at
+    its callee's end, and the allocations of methods that it makes reachable. Arguments wait at a virtual call until it has a target, or until
+    nothing else grows; a call that has one later still has let them past. An error after max_rounds times of new edges.
     """
-    from pushgraph.sources.ir import reachable_methods
-
-    owner = p.stmt.select(F.col("stmt").alias("site"), F.col("method").alias("caller"))
-    known, rounds, scoped = written(p.call_edge.distinct()), 0, not entries.isEmpty()
-    while True:
-        now = Program(p.spark, p.tables | {"call_edge": known})
-        if scoped:
-            inside = p.stmt.join(reachable_methods(now, entries.select("method")), "method", "left_semi").select("stmt")
-            now = Program(p.spark, now.tables | {"alloc": p.alloc.join(inside, "stmt", "left_semi").select(*p.alloc.columns)})
-        s = solve(now, None, replace(options, on_the_fly_call_graph=False))
-        if s.timed_out:
-            return now, s
-        edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("site")).distinct()
-        virtual = p.call.filter("kind = 'virtual'").select(F.col("stmt").alias("site"), F.col("recv").alias("val"), "sig")
-        types = s.points.join(edge, "stmt").join(virtual, ["site", "val"]).join(s.seeds.select("qid", "type"), "qid").select("site", "type", "sig").distinct()
-        found = dispatch(p, types).join(owner, "site").select("site", "caller", F.col("method").alias("callee"), F.lit("virtual").alias("kind"))
-        new, n = written_counted(found.join(known, ["site", "caller", "callee"], "left_anti"))
-        if not n:
-            return now, s
-        rounds += 1
-        if rounds == max_rounds:
-            raise RuntimeError(f"the call graph still grows after {max_rounds} rounds")
-        known = written(known.unionByName(new.select(*known.columns)).distinct())
+    graph = _CallGraph(p, entries, options, max_rounds)
+    s = solve(graph.program(), None, replace(options, on_the_fly_call_graph=False), growing=graph)
+    return graph.program(), replace(s, program=graph.program())
 
 
 def data_flow_path(s: Solution) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pushgraph.functions.semiring import MIN_PLUS
 from pushgraph.operators.pds import EPS
 from pushgraph.plans.fixpoint import Relation, fixpoint
 from pushgraph.session import forget, written, written_counted
@@ -84,16 +85,12 @@ def depths(edges: DataFrame, start: DataFrame, longest: bool = False, max_rounds
     first = start.select("qid", "node", F.lit(0).alias("depth"))
     step = lambda total, delta: delta.withColumnRenamed("node", "src").join(e, ["qid", "src"]).select("qid", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
     agg = F.max if longest else F.min
-    found: Relation = fixpoint(first, step, keys=["qid", "node", "depth"] if longest else ["qid", "node"], weight=None if longest else "depth", semiring=None if longest else _Least, max_rounds=max_rounds)
+    found: Relation = fixpoint(first, step, keys=["qid", "node", "depth"] if longest else ["qid", "node"], weight=None if longest else "depth", semiring=None if longest else MIN_PLUS, max_rounds=max_rounds)
     if longest and found.timed_out:
         raise ValueError(f"a path has more than {max_rounds} edges; is there a cycle?")
     return found.whole().groupBy("qid", "node").agg(agg("depth").alias("depth"))
 
 
-class _Least:
-    combine = staticmethod(F.min)
-
-
 def longest_label_path(trans: DataFrame, start: DataFrame, **limits) -> DataFrame:
     """(qid, labels): the largest set of labels on a path without repeated labels from (qid, node); ties by order."""
     t = written(trans.select("qid", "src", "label", "dst").distinct())

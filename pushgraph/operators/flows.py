@@ -123,8 +123,9 @@ def _flow(special: DataFrame, moved: DataFrame, edge: DataFrame, generic: Callab
     return Flow(rows, kept, [special, moved])
 
 
-def forward(p: Program, options: Options = Options(), nulls: DataFrame | None = None) -> Flow:
-    """Flow rows of new nodes (qid, stmt, val), forward. nulls (qid): queries of null, which take no edge that null does not."""
+def forward(p: Program, options: Options = Options(), nulls: DataFrame | None = None, held: DataFrame | None = None) -> Flow:
+    """Flow rows of new nodes (qid, stmt, val), forward. nulls (qid): queries of null, which take no edge that null does not. held
+    (via, val): values that do not go past a statement, as its targets are not known yet."""
     fields = F.lit(options.track_fields) & ((F.col("field") != ARRAY) | F.lit(options.array_flows))
     edge = p.cfg_edge.select(F.col("src").alias("stmt"), F.col("dst").alias("via")).distinct().cache()
     kills = killed_values(p).select(F.col("stmt").alias("via"), "val")
@@ -135,7 +136,8 @@ def forward(p: Program, options: Options = Options(), nulls: DataFrame | None =
     site = p.call_edge.select("site", "callee")
     returned = p.ret.join(exits, "stmt").join(site, "callee").join(p.call.filter("lhs is not null").select(F.col("stmt").alias("site"), F.col("lhs").alias("to")), "site").select("stmt", "val", "site", "to")
     given = exits.join(p.param.select(F.col("method").alias("callee"), "pos", "val"), "callee").join(site, "callee").join(p.arg.select(F.col("stmt").alias("site"), "pos", F.col("val").alias("to")), ["site", "pos"]).select("stmt", "val", "site", "to")
-    gone = kills.unionByName(passed.select("via", "val")).distinct()
+    gone = kills.unionByName(passed.select("via", "val"))
+    gone = (gone if held is None else gone.unionByName(held.select("via", "val"))).distinct()
     overwritten = p.store.filter(fields & (F.col("field") != ARRAY)).select(F.col("stmt").alias("via"), F.col("base").alias("val"), "field")
 
     def along(rows: DataFrame, kind: str, sym, to) -> DataFrame:

@@ -12,7 +12,7 @@ from pushgraph.operators.closure import has_cycle
 from pushgraph.operators.flows import FLOW, Options, forward, own_facts
 from pushgraph.operators.pds import EPS, is_gen, post_star, values_to_final
 from pushgraph.operators.sync import CALL_END, FIELD_END, NODE, node_id, rules_of
-from pushgraph.operators.typestate import matched_calls
+from pushgraph.operators.typestate import changes, matched_calls
 from pushgraph.plans.fixpoint import fixpoint
 from pushgraph.session import written
 from pushgraph.sources.ir import Program, end_points, start_points, used_values
@@ -110,10 +110,20 @@ def with_indirect(flow: DataFrame, indirect: DataFrame, one: Column, weight: str
 
 
 def second_phase(s: Solution, moves: DataFrame, options: Options = Options()) -> DataFrame:
-    """(qid, stmt, val, w): state_changes() where a change to an object is carried to all its aliases at the node that changes it."""
+    """(qid, stmt, val, w): state_changes() where a change to an object is carried to all its aliases at the node that changes it.
+
+    A strong update, on a value that holds the one object alone in its contexts, leaves the aliases no other way past its statement: the
+    flows by which they would keep their old state are taken out of the system before it is saturated.
+    """
     flow = written(state_flows(s, moves))
     changed = non_one_flows(flow, F.col("change"), TYPESTATE)
-    return call_weights(s, with_indirect(flow, indirect_flows(s, changed, options), TYPESTATE.one()), F.col("change"), TYPESTATE)
+    strong = changes(s, moves).groupBy("qid", "stmt").agg(F.bool_and("strong").alias("strong")).filter("strong")
+    values = changed.select("qid", F.col("stmt").alias("to_stmt"), "val").distinct()
+    kept = flow.join(strong.select("qid", F.col("stmt").alias("to_stmt"), F.lit(True).alias("_strong")), ["qid", "to_stmt"], "left")
+    kept = kept.join(values.withColumn("_changed", F.lit(True)), ["qid", "to_stmt", "val"], "left")
+    bypass = (F.col("kind") == "normal") & (F.col("val") == F.col("to_val")) & F.col("_strong").isNotNull() & F.col("_changed").isNull()
+    kept = kept.filter(~bypass).select(*flow.columns)
+    return call_weights(s, with_indirect(kept, indirect_flows(s, changed, options), TYPESTATE.one()), F.col("change"), TYPESTATE)
 
 
 def statement_weights(facts: DataFrame, semiring: Semiring) -> DataFrame:

@@ -13,14 +13,15 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import UNWEIGHTED
 from pushgraph.operators.pds import EMPTY, EPS, KEYS, epsilon_step, gen, is_gen, own_state, rule_step
 from pushgraph.plans.fixpoint import COMPACT, Growing
-from pushgraph.session import forget, written
+from pushgraph.session import forget, together, written
 
 SEP = "\u0001"
 FIELD_END, CALL_END = "field_end", "call_end"
@@ -56,6 +57,23 @@ def rules_of(flow: DataFrame, unbalanced: bool = False, distinct: bool = True) -
     return (field.distinct(), call.distinct()) if distinct else (field, call)
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What one query may use: rounds that bring it something, transitions, and seconds, of which a round's are dealt to the queries by
+    their transitions. None: no limit."""
+
+    rounds: int | None = None
+    rows: int | None = None
+    seconds: float | None = None
+
+    def exceeded(self) -> Column:
+        over = [F.col(c) > F.lit(limit) for c, limit in (("rounds", self.rounds), ("rows", self.rows), ("seconds", self.seconds)) if limit is not None]
+        out = F.lit(False)
+        for x in over:
+            out = out | x
+        return out
+
+
 class BudgetExceeded(RuntimeError):
     """The time is used up: reached, fields and calls are what was found until then."""
 
@@ -69,7 +87,7 @@ def synchronised(
     flows: DataFrame | Callable[[DataFrame], DataFrame],
     *,
     unbalanced: bool = False,
-    more: Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None] | None = None,
+    more: Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame | None] | None] | None = None,
     keep_field: Callable[[DataFrame], DataFrame] | None = None,
     keep_call: Callable[[DataFrame], DataFrame] | None = None,
     field_start: DataFrame | None = None,
@@ -77,6 +95,7 @@ def synchronised(
     listen: Callable[[str, DataFrame], None] | None = None,
     max_rounds: int | None = None,
     budget_seconds: float | None = None,
+    budget: Budget | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, field transitions, call transitions) from seeds (qid, stmt, val).
 
@@ -84,10 +103,12 @@ def synchronised(
     queries advance in the same rounds; each system joins its new transitions with all rules and all its transitions
     with new rules. unbalanced: a return that no call of the query is matched to goes to every caller.
     more(reached, field transitions, call transitions) is asked when nothing grows any more: the field and call transitions
-    (qid, src, label, dst) that it returns go on from there, None or nothing new ends. keep_field, keep_call: filters of new transitions; keep_open: of the rules by
+    (qid, src, label, dst) that it returns go on from there, with further flow rows of nodes that are there already (or None); None or nothing new
+    ends. keep_field, keep_call: filters of new transitions; keep_open: of the rules by
     which an unbalanced return goes to a caller. field_start: further field
     transitions (qid, src, label, dst) to start with. listen(name, rows) gets each round's new rows of ``reached``, ``field``,
     ``call``, ``field_rule`` and ``call_rule``, the first of them all that are there.
+    budget: a query that uses more goes on no further, and is told as ``exhausted`` (qid, rounds, rows, seconds); the others go on as if alone.
     Runs until nothing grows; RuntimeError after max_rounds, BudgetExceeded (with what was found) after budget_seconds.
     """
     flow_of = flows if callable(flows) else lambda new: flows.join(new.select(*NODE), NODE, "left_semi")
@@ -113,6 +134,8 @@ def synchronised(
     rules: list[DataFrame] = []
     all_rules: DataFrame | None = None
     fresh, began = reached.delta, time.monotonic()
+    spent, over, lap = None, None, began
+    going = lambda rows, of_qid="qid": rows if over is None else rows.join(over.select(F.col("qid").alias("_over")), F.col(of_qid) == F.col("_over"), "left_anti")
     for n in itertools.count():
         if n == max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
@@ -127,32 +150,48 @@ def synchronised(
             tell("field_rule", of(new, FIELD))
             tell("call_rule", of(new, CALL))
             rules.append(new)
-            all_rules = new if all_rules is None else all_rules.unionByName(new)
             if len(rules) > COMPACT:
-                whole = written(all_rules)
+                whole = written(together(rules))
                 forget(*rules[:-1])
-                rules, all_rules = [whole], whole
-        step = rule_step(systems.delta, all_rules, UNWEIGHTED).unionByName(epsilon_step(systems.total, systems.delta, UNWEIGHTED))
+                rules = [whole]
+            all_rules = together(rules)
+        delta = going(systems.delta, "qid.qid")
+        step = rule_step(delta, all_rules, UNWEIGHTED).unionByName(epsilon_step(systems.total, delta, UNWEIGHTED))
         if new is not None:
             step = step.unionByName(rule_step(systems.total, new, UNWEIGHTED))
-        if systems.grow(kept(step)):
-            tell("field", of(systems.delta, FIELD))
-            tell("call", of(systems.delta, CALL))
-        else:
+        if not systems.grow(kept(step)):
             taken = more(reached.total, of(systems.total, FIELD), of(systems.total, CALL)) if more else None
-            if taken is None or not systems.grow(kept(both_parts(*(t.select(*KEYS[:4], zero) for t in taken)))):
+            if taken is None:
+                break
+            candidates = both_parts(*(going(t).select(*KEYS[:4], zero) for t in taken[:2]))
+            if taken[2] is not None:
+                late = written(both_parts(*rules_of(taken[2], unbalanced, False)))
+                rules.append(late)
+                all_rules = together(rules)
+                candidates = candidates.unionByName(rule_step(systems.total, late, UNWEIGHTED))
+            if not systems.grow(kept(candidates)):
                 break
-            tell("field", of(systems.delta, FIELD))
-            tell("call", of(systems.delta, CALL))
+        tell("field", of(systems.delta, FIELD))
+        tell("call", of(systems.delta, CALL))
+        if budget is not None:
+            used, now = systems.delta.groupBy(F.col("qid.qid").alias("qid")).agg(F.count("*").alias("rows")), time.monotonic()
+            used = used.select("qid", F.lit(1).cast("bigint").alias("rounds"), "rows", (F.col("rows") * F.lit((now - lap) / max(systems.grown, 1))).alias("seconds"))
+            before, lap = spent, now
+            spent = written((used if spent is None else spent.unionByName(used)).groupBy("qid").agg(*(F.sum(c).alias(c) for c in ("rounds", "rows", "seconds"))))
+            over = spent.filter(budget.exceeded())
+            if before is not None:
+                forget(before)
         live = lambda t: t.filter(~is_gen(F.col("src")) & (F.col("label") != EPS))
         parts = F.split("src", SEP)
         by_field = lambda t: live(t).select("qid", parts[0].alias("stmt"), parts[1].alias("val")).distinct()
         by_call = lambda t: live(t).select("qid", F.col("label").alias("stmt"), F.col("src").alias("val")).distinct()
         new_fields, fields, new_calls, calls = (of(t, name) for name in (FIELD, CALL) for t in (systems.delta, systems.total))
         both = by_field(new_fields).join(by_call(calls), NODE, "left_semi").unionByName(by_call(new_calls).join(by_field(fields), NODE, "left_semi"))
-        fresh = reached.delta if reached.grow(both) else None
+        fresh = reached.delta if reached.grow(going(both)) else None
         if fresh is not None:
             tell("reached", fresh)
+    if over is not None:
+        tell("exhausted", over)
     return reached.total, of(systems.total, FIELD), of(systems.total, CALL)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pushgraph.operators.alias import Solution, solve
 from pushgraph.operators.flows import Options
 from pushgraph.operators.pds import EPS
-from pushgraph.operators.sync import CALL_END
+from pushgraph.operators.sync import CALL_END, Budget
 from pushgraph.plans.fixpoint import fixpoint
 from pushgraph.session import written, written_counted
 from pushgraph.sources.ir import THIS, Program, end_points, start_points, subtype_closure
@@ -247,22 +247,26 @@ def verdicts(found: DataFrame, machines: DataFrame, exits: DataFrame | None = No
     return at.groupBy("machine", "qid").agg(F.bool_or(F.array_contains("errors", F.col("state"))).alias("error"))
 
 
-def judged(p: Program, names: list[str], options: Options = Options(), *, anywhere: bool = False, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def judged(p: Program, names: list[str], options: Options = Options(), *, anywhere: bool = False, budget: Budget | None = None, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(machine, qid, stmt, val, error, timed_out): the verdict on every object that the machines of these names watch; all seeds are solved
-    in one batch, within options.timeout_seconds.
+    in one batch, within options.timeout_seconds for all and budget for each, beyond which an object is marked timed_out.
 
     An object is in error if it may be in an error state where it ends (final_states()), or, with anywhere, after any statement. error is null
     for an object that reaches no end. report gets the table before it is returned.
     """
     machines, moves = machine_tables(p.spark)
     machines, moves = (t.filter(F.col("machine").isin(*names)) for t in (machines, moves))
-    s = solve(p, None, options)
+    s = solve(p, None, options, budget=budget)
     subtypes = subtype_closure(p)
     start = written(seeds(s, machines, subtypes))
     walked = paths(s, start, moves, machines, subtypes)
     told = verdicts(walked.filter(F.col("kind") == AT).select("machine", "qid", "stmt", "state") if anywhere else final_states(s, walked), machines)
     watched = start.select("machine", "qid").distinct().join(s.seeds.select("qid", "stmt", "val"), "qid")
-    out = written(watched.join(told, ["machine", "qid"], "left").select("machine", "qid", "stmt", "val", "error", F.lit(s.timed_out).alias("timed_out")))
+    late = F.lit(s.timed_out)
+    if s.exhausted is not None:
+        watched = watched.join(s.exhausted.select("qid", F.lit(True).alias("ended")), "qid", "left")
+        late = late | F.col("ended").isNotNull()
+    out = written(watched.join(told, ["machine", "qid"], "left").select("machine", "qid", "stmt", "val", "error", late.alias("timed_out")))
     if report:
         report(out)
     return out

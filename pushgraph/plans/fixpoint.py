@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pushgraph.functions.semiring import Semiring
-from pushgraph.session import forget, written, written_counted
+from pushgraph.session import forget, together, written, written_counted
 
 COMPACT = 4
 
@@ -47,9 +47,11 @@ class Growing:
     """
 
     def __init__(self, start: DataFrame, keys: list[str], weight: str | None = None, semiring: Semiring | None = None) -> None:
+        if semiring is not None and not semiring.idempotent:
+            raise ValueError(f"weights of {semiring.name} change when they are combined with themselves: no fixpoint is told by them")
         self.keys, self.weight, self.semiring = keys, weight, semiring
         self.delta = written(self._merged(start))
-        self.total = self.delta
+        self.total, self.grown = self.delta, 0
         self._parts, self._loose = [self.delta], []
 
     def _merged(self, rows: DataFrame) -> DataFrame:
@@ -71,6 +73,7 @@ class Growing:
     def grow(self, candidates: DataFrame) -> bool:
         """Adds the candidates; whether anything changed. The next delta is what did."""
         self.delta, n = written_counted(self._changed(candidates))
+        self.grown = n
         forget(*self._loose)
         self._loose = []
         if not n:
@@ -78,18 +81,12 @@ class Growing:
             return False
         self._parts.append(self.delta)
         if len(self._parts) > COMPACT:
-            whole = written(self._merged(self._union()))
+            whole = written(self._merged(together(self._parts)))
             forget(*self._parts[:-1])
             self._parts, self._loose = [whole], [self.delta]  # the delta is still read in the next round
-        self.total = self._union()
+        self.total = together(self._parts)
         return True
 
-    def _union(self) -> DataFrame:
-        out = self._parts[0]
-        for p in self._parts[1:]:
-            out = out.unionByName(p)
-        return out
-
     def relation(self, rounds: int, timed_out: bool) -> Relation:
         total = self.total if self.weight is None or len(self._parts) == 1 else self._merged(self.total)
         return Relation(total, self.delta, rounds, timed_out)

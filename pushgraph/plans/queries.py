@@ -170,6 +170,17 @@ def _(spark, sf):
     return pds.post_star(_rules(spark, sf), _starts(spark, sf), S.MIN_PLUS).total.select("qid", "src", "label", "dst", "w")
 
 
+@query("e5_ordered_paths", f"WITH RECURSIVE {_BI}, up AS (SELECT * FROM bi WHERE src < dst), walk(qid, node, labels, last) AS (SELECT DISTINCT qid, 'click', []::VARCHAR[], NULL::VARCHAR FROM bi UNION SELECT walk.qid, up.dst, list_sort(list_distinct(list_append(labels, up.src || '>' || up.dst))), up.src || '>' || up.dst FROM walk JOIN up ON up.qid = walk.qid AND up.src = node) SELECT qid, node, array_to_string(list_sort(list_distinct(flatten(list(labels)))), ',') AS names, max(last) AS last FROM walk GROUP BY qid, node")
+def _(spark, sf):
+    """Ways from clicks up the types in order: all steps of them, and the greatest that one ends with."""
+    up = _bigrams(spark, sf).filter("src < dst")
+    step, p = F.concat("src", F.lit(">"), "dst"), F.lit("p")
+    rules = up.select("qid", F.lit("normal").alias("kind"), p.alias("s1"), F.col("src").alias("l1"), p.alias("s2"), F.col("dst").alias("l2"), F.lit("").alias("site"), F.struct(F.array(step).alias("names"), step.alias("last")).alias("w"))
+    start = _bigrams(spark, sf).select("qid").distinct().select("qid", p.alias("src"), F.lit("click").alias("label"), F.lit("ACC").alias("dst"), S.ORDERED_PATH.one().alias("w"))
+    found = pds.post_star(rules, start, S.ORDERED_PATH).total
+    return found.select("qid", F.col("label").alias("node"), F.array_join("w.names", ",").alias("names"), F.col("w.last").alias("last"))
+
+
 _PRE = f"""WITH RECURSIVE {_BI},
 rules AS (SELECT DISTINCT qid, CASE src WHEN 'signup' THEN 'push' WHEN 'error' THEN 'pop' ELSE 'normal' END AS kind, src AS l1, CASE WHEN src = 'error' THEN '' ELSE dst END AS l2 FROM bi),
 users AS (SELECT DISTINCT user_id::BIGINT AS qid FROM events),
@@ -205,6 +216,21 @@ def _(spark, sf):
     return sync.synchronised(seeds, flow)[0].select("qid", "stmt")
 
 
+@query("f19_budgets", "SELECT conv_id AS qid, count(*) > 5 AS exhausted, CASE WHEN count(*) <= 5 THEN count(*) END AS reached FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    """Conversations as chains of turns, each a query of four rounds at most: longer ones are given up, the others are whole."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), "turn")
+    w = ir.Window.partitionBy("qid").orderBy("turn")
+    c = c.withColumns({"to": F.lead("turn").over(w), "n": F.row_number().over(w)})
+    text, x = (lambda name: F.col(name).cast("string")), F.lit("x")
+    flow = c.filter("to is not null").select("qid", F.lit("normal").alias("kind"), text("turn").alias("stmt"), x.alias("val"), F.lit("").alias("sym"), text("to").alias("to_stmt"), x.alias("to_val"))
+    told = {}
+    reached, _, _ = sync.synchronised(c.filter("n = 1").select("qid", text("turn").alias("stmt"), x.alias("val")), flow, budget=sync.Budget(rounds=4), listen=lambda name, rows: told.update({name: rows}))
+    whole = reached.groupBy("qid").agg(F.count("*").alias("n")).join(told["exhausted"].select("qid", F.lit(True).alias("over")), "qid", "left")
+    over = F.coalesce("over", F.lit(False))
+    return whole.select("qid", over.alias("exhausted"), F.when(~over, F.col("n")).alias("reached"))
+
+
 _MOVES = [("INIT", "signup", "OPEN"), ("OPEN", "view", "USED"), ("USED", "purchase", "CLOSED"), ("CLOSED", "view", "ERROR"), ("CLOSED", "error", "INIT"), ("ERROR", "signup", "OPEN")]
 _FOLD = f"""WITH RECURSIVE m(a, n, b) AS (VALUES {', '.join(str(x) for x in _MOVES)}),
 ev AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -519,7 +545,7 @@ def _(spark, sf):
     """What x holds at each method's end, asked backwards: only the allocations that can matter are solved."""
     p = _code(spark, sf)
     asked = _asked(p, "x").join(ir.end_points(p).select("stmt"), "stmt", "left_semi")
-    return alias.points_to(alias.backward_solve(p, asked), asked).join(asked, "query").select("val", "alloc_stmt", "type")
+    return alias.answers(alias.backward_solve(p, asked), asked).join(asked, "query").select("val", "alloc_stmt", "type")
 
 
 @query("f2_may_alias", _HELD + "SELECT 'c' || k.c || ':' || k.t AS stmt, EXISTS (SELECT 1 FROM points a JOIN points b ON a.c = b.c AND a.t = b.t AND a.o = b.o WHERE a.c = k.c AND a.t = k.t AND a.x = 'x' AND b.x = 'v') AS alias FROM k")
@@ -740,3 +766,20 @@ def _file_paths(spark, sf) -> tuple[alias.Solution, DataFrame]:
     machines, moves = (t.filter("machine = 'FileMustBeClosed'") for t in typestate.machine_tables(spark))
     start = typestate.seeds(s, machines, spark.createDataFrame([], ir.SCHEMAS["subtype"]))
     return s, typestate.paths(s, start, moves)
+
+
+@query("d25_contexts_of_each_call", _CALLED + "SELECT 'c' || c || ':' || t AS call_site, 'c' || c || ':' || CASE kind WHEN 'get' THEN wa ELSE va END AS alloc_stmt FROM done WHERE kind IN ('same', 'keep', 'open_it', 'shut') OR (kind = 'get' AND wa IS NOT NULL)")
+def _(spark, sf):
+    """What the parameter of a shared method holds at each of its calls: one backward query a call, asked in that call alone."""
+    p = _calling(spark, sf)
+    params = p.param.groupBy(F.col("method").alias("callee")).agg(F.count("*").alias("n"), F.min("val").alias("val")).filter("n = 1")
+    asked = written(p.call_edge.join(params, "callee").select(F.col("site").alias("query"), F.concat("callee", F.lit(":1")).alias("stmt"), "val", "callee", "site"))
+    s = alias.backward_solve(p, asked, contexts=asked.select("query", "callee", "site"))
+    return alias.answers(s, asked).select(F.col("query").alias("call_site"), "alloc_stmt")
+
+
+@query("d14_empty_stacks", _CALLED + "SELECT 'c' || c || ':' || t AS stmt, n || c AS val, 'c' || c || ':' || o AS alloc_stmt FROM held UNION ALL SELECT 'c' || c || ':' || t, 'static:G', 'c' || c || ':' || unnest(g) FROM done")
+def _(spark, sf):
+    """Facts with no field and no call open: those of the conversations' own statements."""
+    s = _solved(spark, sf, _calling)
+    return sync.empty_stack_nodes(s.reached, s.fields, s.calls).join(s.seeds.select("qid", F.col("stmt").alias("alloc_stmt")), "qid").select("stmt", "val", "alloc_stmt")

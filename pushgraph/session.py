@@ -37,6 +37,13 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one: a single scan of all their files, which plans stay small with."""
+    if len(tables) == 1:
+        return tables[0]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._written_at for t in tables))
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more; frames that are derived from them can't be read again."""
     for df in tables:

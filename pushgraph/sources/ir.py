@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pushgraph.functions.semiring import MIN_PLUS
 from pushgraph.operators.closure import reachable
+from pushgraph.plans.fixpoint import fixpoint
 
 SCHEMAS = {
     "stmt": "stmt string, method string, ord long, kind string",
@@ -200,8 +202,6 @@ def initialiser_ends(p: Program) -> DataFrame:
 
 def method_scope(p: Program, queries: DataFrame) -> DataFrame:
     """(query, method): the method of each query (query, stmt), and all that call it, directly or not."""
-    from pushgraph.plans.fixpoint import fixpoint
-
     first = queries.select("query", "stmt").join(p.stmt.select("stmt", "method"), "stmt").select("query", "method")
     up = p.call_edge.select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct()
     step = lambda total, delta: delta.join(up, F.col("method") == F.col("src")).select("query", F.col("dst").alias("method"))
@@ -277,15 +277,10 @@ def dispatch(p: Program, receivers: DataFrame) -> DataFrame:
     """
     want = receivers.select("site", F.regexp_replace("type", r"(\[\])+$", "").alias("type"), "sig").distinct()
     up = p.subtype.select(F.lit(0).cast("bigint").alias("qid"), F.col("sub").alias("src"), F.col("sup").alias("dst"))
-    from pushgraph.plans.fixpoint import fixpoint
-
     start = want.select("type").distinct().select("type", F.col("type").alias("at"), F.lit(0).alias("depth"))
 
-    class _Least:
-        combine = staticmethod(F.min)
-
     step = lambda total, delta: delta.join(up, F.col("at") == F.col("src")).select("type", F.col("dst").alias("at"), (F.col("depth") + 1).alias("depth"))
-    above = fixpoint(start, step, keys=["type", "at"], weight="depth", semiring=_Least).whole()
+    above = fixpoint(start, step, keys=["type", "at"], weight="depth", semiring=MIN_PLUS).whole()
     threads = above.filter(F.col("at").rlike(r"(^|\.)Thread$")).select("type").distinct()
     want = want.unionByName(want.filter("sig = 'start()'").join(threads, "type", "left_semi").select("site", "type", F.lit("run()").alias("sig"))).distinct()
     found = want.join(above, "type").join(p.vtable.select(F.col("type").alias("at"), "sig", "method"), ["at", "sig"])
