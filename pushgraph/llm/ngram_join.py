@@ -292,7 +292,7 @@ def linked(
     position = F.shiftrightunsigned("class", 64 - wide) + 1  # Spark counts positions from 1
     bitmap = clusters.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     member = np.zeros((1 << wide) // 8, np.uint8)
-    for r in bitmap.toLocalIterator():
+    for r in bitmap.collect():  # 8 MB at most
         member[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     members = spark.sparkContext.broadcast(member.tobytes())
 

@@ -96,7 +96,7 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
     pieces = rows.mapInArrow(count, "block int, once binary, more binary, dense boolean")
     merged = _folded(pieces, np.uint8, add, lambda total: np.packbits(total > 1).tobytes(), "bits")
     out = np.zeros((depth << bits) // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # at most the size of the result, in one job
         out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
@@ -148,7 +148,7 @@ def count_levels(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
     level = lambda total: np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()
     merged = _folded(rows.mapInArrow(count, "block int, cell binary, n binary"), np.int64, add, level, "level")
     out = np.zeros(1 << bits, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # at most the size of the result, in one job
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["level"]), np.uint8)
     return out.tobytes()
 
