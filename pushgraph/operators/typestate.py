@@ -40,7 +40,7 @@ PipedOutputStream | PipedOutputStream | new | INIT | ERROR | return | INIT conne
 PrintStream | PrintStream | call close | CLOSED | ERROR | return | CLOSED close CLOSED; CLOSED public:(?!close$).* ERROR
 PrintWriter | PrintWriter | call close | CLOSED | ERROR | return | NONE close CLOSED; CLOSED close CLOSED; CLOSED public:(?!close$).* ERROR; ERROR public:(?!close$).* ERROR
 AllocInputStream | InputStream | call close | CLOSED | ERROR | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN read OPEN; CLOSED read ERROR; ERROR read ERROR; OPEN native:read[(][)] OPEN @call_to_return; CLOSED native:read[(][)] ERROR @call_to_return; ERROR native:read[(][)] ERROR @call_to_return
-AllocOutputStream | OutputStream | call close | OPEN | ERROR | return | OPEN close CLOSED; OPEN write OPEN; CLOSED write ERROR; ERROR write ERROR
+AllocOutputStream | OutputStream | call close | OPEN | ERROR | return | OPEN close CLOSED; CLOSED close CLOSED; OPEN write OPEN; CLOSED write ERROR; ERROR write ERROR
 AllocPrintStream | PrintStream | new | OPEN | ERROR OPEN | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN public:(?!close$|<init>).* OPEN; CLOSED public:(?!close$|<init>).* ERROR; ERROR public:(?!close$|<init>).* ERROR
 AllocPrintWriter | PrintWriter | new | OPEN | ERROR | return | OPEN close CLOSED; CLOSED close CLOSED; ERROR close ERROR; OPEN public:(?!close$|<init>).* OPEN; CLOSED public:(?!close$|<init>).* ERROR; ERROR public:(?!close$|<init>).* ERROR
 """
