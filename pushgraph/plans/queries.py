@@ -520,13 +520,13 @@ def _asked(p: ir.Program, *names: str) -> DataFrame:
 _HELD = """WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, strlen(text) // 6 AS n, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'new' ELSE (['new', 'assign', 'store', 'load', 'on_v', 'on_w'])[strlen(text) % 6 + 1] END AS kind FROM conversations),
 v AS (SELECT *, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS va, last_value(CASE WHEN kind = 'new' THEN t END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS vb FROM k),
 w AS (SELECT *, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t) AS wa, last_value(CASE WHEN kind = 'assign' THEN vb END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wb, row_number() OVER (PARTITION BY c ORDER BY t) AS i FROM v),
-run(c, i, vf, wf, x) AS (
+folded(c, i, vf, wf, x) AS (
   SELECT DISTINCT c, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM k
   UNION ALL
   SELECT w.c, w.i, CASE WHEN kind = 'new' THEN [] WHEN kind = 'store' AND vb = wb THEN list_distinct(list_append(vf, vb)) ELSE vf END,
     CASE kind WHEN 'assign' THEN vf WHEN 'store' THEN [vb] ELSE wf END, CASE WHEN kind = 'load' THEN wf ELSE x END
-  FROM run JOIN w ON w.c = run.c AND w.i = run.i + 1),
-held AS (SELECT w.*, run.x AS xs FROM w JOIN run ON run.c = w.c AND run.i = w.i),
+  FROM folded JOIN w ON w.c = folded.c AND w.i = folded.i + 1),
+held AS (SELECT w.*, folded.x AS xs FROM w JOIN folded ON folded.c = w.c AND folded.i = w.i),
 heap AS (SELECT DISTINCT c, wb AS a, vb AS o FROM held WHERE kind = 'store' AND wb IS NOT NULL),
 points AS (SELECT c, t, 'v' AS x, va AS o FROM held WHERE va IS NOT NULL UNION ALL SELECT c, t, 'w', wa FROM held WHERE wa IS NOT NULL UNION ALL SELECT c, t, 'x', unnest(xs) FROM held)
 """
