@@ -87,8 +87,15 @@ def points_of_indirection(p: Program, stores: DataFrame, reached: DataFrame, fie
     if has(p, "call_edge"):
         back = _pending_returns(p, pushed, calls).withColumnRenamed("field", "label")
         pushed = pushed.unionByName(nodes.join(back, ["qid", "dst", "label", "stmt"]).select("qid", "dst", F.col("label").alias("field"), "stmt", "val"))
-    at = empty_stack_nodes_any_context(reached, fields).withColumnRenamed("qid", "base")
-    return pushed.join(at, ["stmt", "val"]).select("qid", "base", "dst", "field", "stmt", "val").distinct()
+    # The two are only met under a common innermost call; a stack that has ended may stand under any.
+    top = calls.filter((F.col("label") != EPS) & ~is_gen(F.col("src"))).select("qid", F.col("src").alias("val"), F.col("label").alias("stmt"), F.col("dst").alias("top"))
+    under = calls.filter((F.col("label") != EPS) & is_gen(F.col("src"))).select("qid", F.col("src").alias("top"), F.col("label").alias("site"))
+    inner = top.join(under, ["qid", "top"], "left").select("qid", "stmt", "val", F.when(is_gen(F.col("top")), F.col("site")).otherwise(F.lit("*")).alias("site")).distinct()
+    flow = pushed.join(inner, ["qid", "stmt", "val"])
+    at = empty_stack_nodes_any_context(reached, fields).join(inner, ["qid", "stmt", "val"]).withColumnRenamed("qid", "base")
+    met = flow.join(at, ["stmt", "val", "site"])
+    met = met.unionByName(flow.filter("site = '*'").drop("site").join(at, ["stmt", "val"])).unionByName(flow.drop("site").join(at.filter("site = '*'"), ["stmt", "val"]))
+    return met.select("qid", "base", "dst", "field", "stmt", "val").distinct()
 
 
 def alias_imports(p: Program, stores: DataFrame, reached: DataFrame, fields: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
