@@ -2,8 +2,8 @@
 
 1. One pass gives every document its set of distinct 5-word shingles (64-bit hashes), the set's size
    and the set's class (a digest); equal sets are one class from then on.
-2. The global order puts shingles that stand in one class alone first, as far as a count-min sketch of
-   fixed size (over half of the hash space) proves it, then the rest of the hash space's other half, then
+2. The global order puts shingles that stand in one class alone first, as far as a count-min sketch
+   (over half of the hash space, a bit for each shingle up to 2**31) proves it, then the rest of the hash space's other half, then
    what may be repeated; by hash within each. Two sets of Jaccard 0.8 or more share a shingle among the
    first n - ceil(0.8 n) + 1 of each, whatever the order. This one fills the prefixes of texts that copy less
    than most of their shingles with shingles that can't be shared, which needn't move at all. The others go,
@@ -66,6 +66,12 @@ def _prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def _sketch_bits(shingles: int, most_bits: int) -> int:
+    """Cells of the first sketch, as a power of two: 0.7 a shingle, so that at most 0.72 of the sketched half fall on a cell and half of those that
+    stand alone are proven, a quarter of a set: more than its prefix. 2**(most_bits + 3) at most."""
+    return min(most_bits + 3, max(16, math.ceil(math.log2(max(1, 0.7 * shingles)))))
+
+
 def _size_class(n: int) -> int:
     """Sizes of sets that link differ by a quarter at most, so by one class at most."""
     return int(math.floor(math.log(n) / math.log(1.25) + 1e-9))
@@ -279,7 +285,7 @@ def linked(
     nodes = nodes.select("class", "least", "n")
     class_of = lambda s: _class_of(s, clashes, class_bits)
     if bits is None:
-        bits = min(most_bits, max(16, math.ceil(math.log2(max(1, base.agg(F.sum("n")).first()[0] or 0)))))
+        bits = _sketch_bits(base.agg(F.sum("n")).first()[0] or 0, most_bits)
     repeated = spark.sparkContext.broadcast(repeated_bits(docs.select("text"), sketched, depth=1, bits=bits))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pushgraph.llm import textvec as V
+from pushgraph.session import forget, written
 
 BLOCK = 1 << 16
+#: Blocks whose bits the driver takes in one piece: 32 MB.
+PIECE_BLOCKS = 1 << 12
 #: Cells of a piece above which it goes as bits.
 SPARSE = BLOCK // 16
 
@@ -55,8 +58,11 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
 
     Every partition counts its own keys; the counts (0, 1, 2 or more) of its cells are added on the
     executors, a block of cells at a time. Between them go two bytes a key, or two bits a cell where a block of a million keys' cells
-    is fuller than that; a task that adds holds one block, whatever the number of keys. The result has depth * 2**bits / 8 bytes.
+    is fuller than that; a task that adds holds one block, whatever the number of keys. The result has depth * 2**bits / 8 bytes, of
+    which the driver's JVM holds PIECE_BLOCKS blocks at a time.
     """
+    # Above 2**28 cells a block's part of a million keys is small beside what a row costs.
+    most_held = 1_000_000 * min(4, max(1, (depth << bits) >> 28))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -78,7 +84,7 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
         for keys in keys_of(batches):
             waiting.append(keys)
             held += len(keys)
-            if held > 1_000_000:
+            if held > most_held:
                 yield from flush()
                 held = 0
         if held:
@@ -95,9 +101,16 @@ def repeated_bits(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]],
 
     pieces = rows.mapInArrow(count, "block int, once binary, more binary, dense boolean")
     merged = _folded(pieces, np.uint8, add, lambda total: np.packbits(total > 1).tobytes(), "bits")
-    out = np.zeros((depth << bits) // 8, np.uint8)
-    for r in merged.collect():  # at most the size of the result, in one job
-        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    out, blocks = np.zeros((depth << bits) // 8, np.uint8), (depth << bits) // BLOCK
+    many = blocks > PIECE_BLOCKS
+    if many:
+        merged = written(merged)
+    for first in range(0, blocks, PIECE_BLOCKS):
+        some = merged.filter(f"block >= {first} and block < {first + PIECE_BLOCKS}") if many else merged
+        for r in some.collect():  # each piece in one job
+            out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    if many:
+        forget(merged)
     return out.tobytes()
 
 

@@ -70,3 +70,26 @@ def test_hubs(spark, monkeypatch, hub_rows):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame([*star, *chain, (3, 3), (None, 4)], "u long, v long")).collect()}
     want = {x: 1 for e in [*star[:5990], (20, 5100), (9000, 9001)] for x in e} | {x: 7000 for e in star[5990:] for x in e} | {50_000: 50_000, 50_001: 50_000}
     assert got == want
+
+
+def test_a_sketch_in_pieces(spark, monkeypatch):
+    """What the driver takes piece by piece is what it takes at once."""
+    rows = spark.range(8).repartition(2)
+
+    def keys_of(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                yield np.random.default_rng(i).integers(0, 200_000, 30_000).astype(V.U)
+
+    whole = sketch.repeated_bits(rows, keys_of, depth=1, bits=19)
+    monkeypatch.setattr(sketch, "PIECE_BLOCKS", 3)
+    assert any(whole) and sketch.repeated_bits(rows, keys_of, depth=1, bits=19) == whole
+
+
+@pytest.mark.parametrize("shingles", [25_000_000, 250_000_000, 1_500_000_000])
+def test_the_sketch_grows_with_the_shingles(shingles):
+    """Of a set whose shingles stand alone more are proven than its prefix holds, at 0.1, 1 and 6 GB."""
+    from pushgraph.llm import ngram_join
+
+    on_a_cell = shingles / 2 / 2 ** ngram_join._sketch_bits(shingles, 28)
+    assert 0.5 * np.exp(-on_a_cell) > 0.2
