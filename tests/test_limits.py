@@ -1,6 +1,7 @@
 """Loops end at their fixpoint, however long the chains; a budget that cuts one is an error, not a smaller result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pushgraph.operators import closure as C
 from pushgraph.operators.sync import synchronised
@@ -38,3 +39,19 @@ def test_synchronised_budget(spark):
     assert {r["stmt"] for r in synchronised(seeds, flows)[0].collect()} == {f"s{i}" for i in range(6)}
     with pytest.raises(RuntimeError):
         synchronised(seeds, flows, max_rounds=2)
+
+
+def test_rounds_send_nothing_to_the_driver(spark):
+    """Within the loop no join is turned into a broadcast, however small its side; the session's threshold is back after it."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, plans = spark.conf.get(name), []
+
+    def step(total, delta):
+        out = delta.join(edges, "at").select(F.col("to").alias("at"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "at int, to int")
+    assert fixpoint(spark.createDataFrame([(1,)], "at int"), step, keys=["at"]).whole().count() == 3
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get(name) == before
